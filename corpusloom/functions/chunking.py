@@ -53,7 +53,7 @@ def chunk_texts(
 def running_total(df: DataFrame, keys: list[str], pos: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
     """Sum of ``value`` over the earlier rows of the same key, in ``pos`` order.
 
-    ``pos`` is a non-negative integer, unique within the key. A key is cut into
+    ``pos`` is a non-negative integer, unique within the key; no keys means one total. A key is cut into
     blocks of positions: sums inside a block and sums of whole blocks are separate
     windows, so a key that holds a third of all rows does not end up in one task.
     """

@@ -46,8 +46,9 @@ def json_array(rows: DataFrame, order: list[Column], obj: Column) -> DataFrame:
 
 def json_each_text(df: DataFrame, obj: str) -> DataFrame:
     """One row per key of a JSON object: ``pos``, ``key``, ``value`` as text."""
+    # the outer form keeps the optimizer from parsing twice, for a filter and for the rows
     pairs = F.map_entries(F.from_json(F.col(obj), "map<string,string>"))
-    return df.select("*", F.posexplode(pairs).alias("pos", "pair")).select(
+    return df.select("*", F.posexplode_outer(pairs).alias("pos", "pair")).where(F.col("pos").isNotNull()).select(
         *df.columns, "pos", F.col("pair.key").alias("key"), F.col("pair.value").alias("value")
     )
 
@@ -56,7 +57,8 @@ def hal_elements(df: DataFrame, doc: str, keep: list[str] | tuple[str, ...] = ()
     """Elements of a HAL collection: ``id``, ``subject``, ``status``."""
     parsed = F.from_json(F.col(doc), HAL_COLLECTION)
     return (
-        df.select(*keep, F.explode(parsed["_embedded"]["elements"]).alias("e"))
+        df.select(*keep, F.explode_outer(parsed["_embedded"]["elements"]).alias("e"))
+        .where(F.col("e").isNotNull())
         .select(
             *keep,
             F.col("e.id").alias("id"),

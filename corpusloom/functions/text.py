@@ -49,9 +49,19 @@ def strip_ws(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` repeats it in a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def words(text: Column) -> Column:
-    """White-space separated words of a text, without empty ones."""
-    return F.filter(F.split(text, WHITESPACE_CLASS + "+"), lambda w: w != "")
+    """White-space separated words of a text, without empty ones.
+
+    Every white-space character becomes a blank first, since splitting by one fixed
+    character needs no regular expression.
+    """
+    blanks = F.translate(text, WHITESPACE, " " * len(WHITESPACE))
+    return F.filter(F.split(blanks, " "), lambda w: w != "")
 
 
 def char_windows(
@@ -75,10 +85,14 @@ def char_windows(
 
 def token_windows(tokens: Column, size: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> Column:
     """Windows of ``size`` tokens every ``size - overlap``; the first that reaches the end is last."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - overlap - 1, F.lit(0)), F.lit(size - overlap))
-    return F.when(
-        F.size(tokens) > 0, F.transform(starts, lambda i: F.slice(tokens, i + 1, F.lit(size)))
-    ).otherwise(F.array())
+
+    def windows(held: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(held) - overlap - 1, F.lit(0)), F.lit(size - overlap))
+        return F.when(
+            F.size(held) > 0, F.transform(starts, lambda i: F.slice(held, i + 1, F.lit(size)))
+        ).otherwise(F.array())
+
+    return bind(tokens, windows)
 
 
 def word_windows(text: Column, size: int = CHUNK_TOKENS, overlap: int = CHUNK_OVERLAP) -> Column:

@@ -75,30 +75,42 @@ def embed_column(
         rows = df.withColumn(call, F.lit(0))
         rows = rows.repartition(tasks) if tasks else rows
 
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        try:
-            vectors: list = call_model(embed, batch[text].tolist())
-            error = None
-        except Exception as failure:  # recorded in the rows, the job goes on
-            vectors, error = [None] * len(batch), f"{type(failure).__name__}: {failure}"
-        batch = batch.drop(columns=[call])
-        batch[out] = vectors
-        batch["embed_error"] = error
-        return batch
+    def embed_rows(rows: pd.DataFrame, ends: list[int]) -> pd.DataFrame:
+        """Rows with their vectors; ``ends`` are the positions where a call ends."""
+        texts, vectors, errors, start = rows[text].tolist(), [], [], 0
+        for end in ends:
+            part = texts[start:end]
+            try:
+                vectors += call_model(embed, part)
+                errors += [None] * len(part)
+            except Exception as failure:  # recorded in the rows, the job goes on
+                vectors += [None] * len(part)
+                errors += [f"{type(failure).__name__}: {failure}"] * len(part)
+            start = end
+        return rows.drop(columns=[call]).assign(**{out: vectors, "embed_error": errors})
+
+    def call_ends(rows: pd.DataFrame) -> list[int]:
+        keys = [group, call] if group else [call]
+        fresh = (rows[keys] != rows[keys].shift()).any(axis=1).to_numpy()
+        ends, length = [], 0
+        for at, new in enumerate(fresh):
+            if length and (new or length == batch_size):
+                ends.append(at)
+                length = 0
+            length += 1
+        return ends + [len(rows)] if length else ends
 
     def calls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys = [group, call] if group else [call]
-        held: pd.DataFrame | None = None
+        held: pd.DataFrame | None = None  # the last call may go on in the next batch
         for batch in batches:
-            rest = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            changes = (rest[keys] != rest[keys].shift()).any(axis=1).cumsum()
-            size = rest.groupby(changes).cumcount() // batch_size
-            parts = [part for _, part in rest.groupby([changes, size], sort=True)]
-            for part in parts[:-1]:
-                yield run(part)
-            held = parts[-1] if parts else None
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            ends = call_ends(rows)
+            if len(ends) > 1:
+                yield embed_rows(rows.iloc[: ends[-2]], ends[:-1])
+                rows = rows.iloc[ends[-2] :].reset_index(drop=True)
+            held = rows
         if held is not None and len(held):
-            yield run(held)
+            yield embed_rows(held, call_ends(held))
 
     return rows.mapInPandas(calls, schema)
 

@@ -7,8 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusloom.functions.chunking import chunk_pages
-from corpusloom.functions.text import CHUNK_OVERLAP, CHUNK_TOKENS, char_windows, preview, title
+from corpusloom.functions.chunking import chunk_pages, running_total
+from corpusloom.functions.text import CHUNK_OVERLAP, CHUNK_TOKENS, char_windows, preview, strip_ws, title
 from corpusloom.functions.vectors import rounded_vector
 from corpusloom.operators.dedup import collision_decision
 from corpusloom.operators.keys import assign_seq, next_seq, stored_table
@@ -18,6 +18,7 @@ from corpusloom.operators.stats import (
 from corpusloom.operators.tables import linked
 from corpusloom.plans.embedding import EmbedFn, embed_column
 from corpusloom.session import materialise
+from corpusloom.sources.files import NO_TEXT
 
 NO_CHUNKS = "no chunks produced"
 
@@ -104,55 +105,56 @@ class Prepared:
         return batch_totals(self.chunks, "source_path")
 
 
-def prepare(documents: DataFrame, settings: Settings, corpus: Corpus | None = None) -> Prepared:
+def prepare(
+    documents: DataFrame, settings: Settings, corpus: Corpus | None = None, write: bool = False
+) -> Prepared:
     """Chunk documents and decide which to keep.
 
     ``documents`` has ``source_path`` (unique), ``filename``, ``fingerprint``, ``pages``
-    and ``error`` (NULL if the pages could be read).
+    and ``error`` (NULL if the pages could be read). Without a look at stored documents
+    all of it is row by row. With ``write``, page texts and decisions are written
+    once, so files are opened and names compared a single time.
     """
     sized = page_stats(documents)
-    error = F.coalesce(F.col("error"), F.when(F.col("total_chars") == 0, "no extractable text"))
-    read = sized.withColumn("error", error)
-    named = read.where(F.col("error").isNull()).select("source_path", "filename", "pages")
-    chunks = chunk_pages(named, windows=settings.windows).drop("filename")
-    counts = chunks.groupBy("source_path").agg(F.count(F.lit(1)).alias("chunk_count"))
-    judged = read.drop("pages").join(counts, "source_path", "left").withColumn(
-        "error", F.coalesce("error", F.when(F.col("chunk_count").isNull(), NO_CHUNKS))
+    blank = ~F.exists("pages", lambda p: F.coalesce(strip_ws(p) != "", F.lit(False)))
+    error = F.coalesce(
+        F.col("error"), F.when(F.col("total_chars") == 0, NO_TEXT), F.when(blank, NO_CHUNKS)
     )
-    failed = judged.where(F.col("error").isNotNull()).select(
+    read = sized.withColumn("error", error)
+    if write:
+        read = materialise(read, "pages")
+    outcomes = read.where(F.col("error").isNotNull()).select(
         F.lit("parse_failed").alias("status"), "source_path", F.col("filename").alias("file"), F.col("error").alias("detail")
     )
-    parsed = judged.where(F.col("error").isNull()).drop("error")
-    if not settings.skip_existing or corpus is None:
-        return Prepared(parsed, chunks, failed, settings)
-    decided = collision_decision(parsed, corpus.fingerprints(), settings.collision_policy)
-    if settings.collision_policy.lower() == "fail":
-        hit = decided.where(F.col("decision") == "abort").orderBy("filename").limit(1).collect()
-        if hit:
-            raise ValueError(f"{hit[0]['filename']}: {hit[0]['reason']}")
-    keep = decided.where(F.col("decision") == "keep").select("source_path")
-    skipped = decided.where(F.col("decision") != "keep").select(
-        F.lit("skipped").alias("status"), "source_path", F.col("filename").alias("file"), F.col("reason").alias("detail")
-    )
-    return Prepared(
-        parsed.join(keep, "source_path", "left_semi"),
-        chunks.join(keep, "source_path", "left_semi"),
-        failed.unionByName(skipped),
-        settings,
-    )
+    kept = read.where(F.col("error").isNull()).drop("error")
+    if settings.skip_existing and corpus is not None:
+        decided = collision_decision(
+            kept.select("source_path", "filename", "fingerprint"), corpus.fingerprints(), settings.collision_policy
+        )
+        if write:
+            decided = materialise(decided, "decisions")
+        if settings.collision_policy.lower() == "fail":
+            hit = decided.where(F.col("decision") == "abort").orderBy("filename").limit(1).collect()
+            if hit:
+                raise ValueError(f"{hit[0]['filename']}: {hit[0]['reason']}")
+        kept = kept.join(decided.where(F.col("decision") == "keep"), "source_path", "left_semi")
+        skipped = decided.where(F.col("decision") != "keep").select(
+            F.lit("skipped").alias("status"), "source_path", F.col("filename").alias("file"), F.col("reason").alias("detail")
+        )
+        outcomes = outcomes.unionByName(skipped)
+    chunks = chunk_pages(kept.select("source_path", "pages"), windows=settings.windows)
+    return Prepared(kept, chunks, outcomes, settings)
 
 
 def dry_run(prepared: Prepared) -> DataFrame:
     """Totals of the batch and the shortened first chunk of its first document."""
-    first = (
-        prepared.chunks.join(prepared.kept.select("source_path", "filename"), "source_path")
-        .orderBy(F.lower("filename"), "filename", "source_path", "chunk_index")
-        .limit(1)
-        .select(F.struct("chunk_index", "page", preview(F.col("content")).alias("content")).alias("sample"))
-    )
-    return prepared.totals().select(
-        "documents", "total_chunks", "total_tokens", first.scalar().alias("sample_chunk")
+    order = F.struct(F.lower("filename"), "filename", "source_path")
+    first = prepared.kept.agg(F.min_by("source_path", order).alias("source_path")).scalar()
+    sample = F.struct("chunk_index", "page", preview(F.col("content")).alias("content"))
+    chunk = (
+        prepared.chunks.where((F.col("source_path") == first) & (F.col("chunk_index") == 0)).select(sample).scalar()
     )
+    return prepared.totals().select("documents", "total_chunks", "total_tokens", chunk.alias("sample_chunk"))
 
 
 def estimate(prepared: Prepared) -> DataFrame:
@@ -182,8 +184,6 @@ def run(prepared: Prepared, corpus: Corpus, embed: EmbedFn) -> Report:
             f"this corpus was embedded with {pin[0]['embed_backend']}/{pin[0]['embed_model']}; "
             f"{settings.backend}/{settings.model} would mix vector spaces"
         )
-    kept = materialise(prepared.kept, "kept")
-    outcomes = materialise(prepared.outcomes, "outcomes")
     vectors = materialise(
         embed_column(
             prepared.chunks, "content", embed, settings.batch_size, "source_path", "chunk_index", settings.embed_tasks
@@ -191,15 +191,18 @@ def run(prepared: Prepared, corpus: Corpus, embed: EmbedFn) -> Report:
         "vectors",
     )
     per_doc = vectors.groupBy("source_path").agg(
-        F.min("embed_error").alias("embed_error"), F.min_by(F.size("embedding"), "chunk_index").alias("embed_dims")
+        F.count(F.lit(1)).alias("chunk_count"),
+        F.min("embed_error").alias("embed_error"),
+        F.max(F.size("embedding")).alias("embed_dims"),
     )
-    embedded = kept.join(per_doc, "source_path")
+    embedded = prepared.kept.drop("pages").join(per_doc, "source_path")
     failed = embedded.where(F.col("embed_error").isNotNull()).select(
         F.lit("ingest_failed").alias("status"), "source_path", F.col("filename").alias("file"),
         F.col("embed_error").alias("detail"),
     )
     # ids that only chunks of an uncommitted document use are not given out again
-    first_id = max(next_seq(corpus.documents(), "id"), next_seq(corpus.raw_chunks(), "document_id"))
+    raw = corpus.raw_chunks().agg(F.max("id").alias("id"), F.max("document_id").alias("document_id")).first()
+    first_id = max(next_seq(corpus.documents(), "id"), (raw["document_id"] or 0) + 1)
     numbered = assign_seq(
         embedded.where(F.col("embed_error").isNull()),
         "id",
@@ -226,20 +229,19 @@ def run(prepared: Prepared, corpus: Corpus, embed: EmbedFn) -> Report:
             fp["sha256"].alias("sha256"),
         ).alias("metadata"),
     )
+    # a chunk id is its document's first id plus its index: chunks need no sort
+    starts = running_total(numbered.select("source_path", "id", "chunk_count"), [], "id", "chunk_count", "_before")
+    first_chunk = F.col("_before") + (raw["id"] or 0) + 1
+    starts = starts.select("source_path", F.col("id").alias("document_id"), first_chunk.alias("_first"))
     count = settings.token_count or (lambda _: F.lit(None))
-    chunk_rows = vectors.join(rows.select("source_path", F.col("id").alias("document_id")), "source_path")
-    numbered_chunks = assign_seq(
-        chunk_rows.select(
-            "document_id",
-            "chunk_index",
-            "content",
-            count(F.col("content")).cast("int").alias("token_count"),
-            F.struct("page").alias("metadata"),
-            rounded_vector(F.col("embedding")).alias("embedding"),
-        ),
-        "id",
-        ["document_id", "chunk_index"],
-        next_seq(corpus.raw_chunks(), "id"),
+    numbered_chunks = vectors.join(starts, "source_path").select(
+        (F.col("_first") + F.col("chunk_index")).alias("id"),
+        "document_id",
+        "chunk_index",
+        "content",
+        count(F.col("content")).cast("int").alias("token_count"),
+        F.struct("page").alias("metadata"),
+        rounded_vector(F.col("embedding")).alias("embedding"),
     )
     numbered_chunks.write.mode("append").parquet(corpus.chunks_path)
     rows.write.mode("append").parquet(corpus.documents_path)
@@ -247,7 +249,7 @@ def run(prepared: Prepared, corpus: Corpus, embed: EmbedFn) -> Report:
         F.lit("succeeded").alias("status"), "source_path", F.col("filename").alias("file"),
         F.concat(F.lit("document_id="), F.col("id").cast("string")).alias("detail"),
     )
-    everything = outcomes.unionByName(failed).unionByName(succeeded)
+    everything = prepared.outcomes.unionByName(failed).unionByName(succeeded)
     return Report(everything, run_report(everything))
 
 
@@ -258,11 +260,7 @@ def ingest(
     embed: EmbedFn | None = None,
     mode: str = "full",
 ) -> Report | DataFrame:
-    """Ingest extracted documents; ``dry_run`` and ``estimate`` only report.
-
-    A full run reads the page texts several times, so they are written first and the
-    files are opened and parsed once.
-    """
+    """Ingest extracted documents; ``dry_run`` and ``estimate`` only report."""
     if mode == "dry_run":
         return dry_run(prepare(documents, settings, corpus))
     if mode == "estimate":
@@ -271,4 +269,4 @@ def ingest(
         raise ValueError(f"unknown mode: {mode}")
     if corpus is None or embed is None:
         raise ValueError("a full run needs a corpus and a model function")
-    return run(prepare(materialise(documents, "pages"), settings, corpus), corpus, embed)
+    return run(prepare(documents, settings, corpus, write=True), corpus, embed)

@@ -13,7 +13,7 @@ from corpusloom.plans.embedding import digest_embedder, embed_column
 from corpusloom.plans.ingest import Corpus, Settings, ingest
 from corpusloom.plans.queries.common import SQL_CHUNKS, SQL_TOKENS, long, table
 from corpusloom.plans.queries.text import document_chunks
-from corpusloom.session import materialise, work_folder
+from corpusloom.session import materialise, spread, work_folder
 from corpusloom.sources.files import fingerprint
 
 MODEL = "text-embedding-3-large"
@@ -100,11 +100,11 @@ def as_files(documents: DataFrame) -> DataFrame:
 
 
 def ingest_estimate(spark: SparkSession, folder: str) -> DataFrame:
-    return ingest(as_files(table(spark, folder, "documents")), Settings(model=MODEL), mode="estimate")
+    return ingest(as_files(spread(table(spark, folder, "documents"))), Settings(model=MODEL), mode="estimate")
 
 
 def ingest_dry_run(spark: SparkSession, folder: str) -> DataFrame:
-    report = ingest(as_files(table(spark, folder, "documents")), Settings(), mode="dry_run")
+    report = ingest(as_files(spread(table(spark, folder, "documents"))), Settings(), mode="dry_run")
     return report.select(
         "documents", "total_chunks", "total_tokens", long("sample_chunk.page").alias("sample_page"),
         F.col("sample_chunk.content").alias("sample_content"),
@@ -114,7 +114,7 @@ def ingest_dry_run(spark: SparkSession, folder: str) -> DataFrame:
 def _ingested(spark: SparkSession, folder: str) -> Corpus:
     corpus = Corpus(spark, work_folder(spark, "corpus"))
     settings = Settings(skip_existing=True)
-    ingest(as_files(table(spark, folder, "documents")), settings, corpus, digest_embedder(8))
+    ingest(as_files(spread(table(spark, folder, "documents"))), settings, corpus, digest_embedder(8))
     return corpus
 
 
@@ -137,7 +137,7 @@ def ingest_chunks(spark: SparkSession, folder: str) -> DataFrame:
 def ingest_again(spark: SparkSession, folder: str) -> DataFrame:
     """Summary of a second ingest of the same files: all are skipped."""
     corpus = _ingested(spark, folder)
-    again = ingest(as_files(table(spark, folder, "documents")), Settings(skip_existing=True), corpus, digest_embedder(8))
+    again = ingest(as_files(spread(table(spark, folder, "documents"))), Settings(skip_existing=True), corpus, digest_embedder(8))
     return again.summary
 
 

@@ -10,11 +10,12 @@ from corpusloom.functions.text import (
     strip_ws, title, word_windows,
 )
 from corpusloom.plans.queries.common import SQL_CHUNKS, SQL_TOKENS, SQL_WS, SQL_WS_CLASS, long, sql_char_pieces, table
+from corpusloom.session import spread
 
 
 def document_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks of all documents by characters, with the document columns."""
-    return chunk_texts(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"))
+    return chunk_texts(spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text")))
 
 
 def _shown(chunks: DataFrame, key: str) -> DataFrame:
@@ -32,7 +33,7 @@ def chunk_chars(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_words(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents").select("doc_id", "text")
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
     return _shown(chunk_texts(documents, windows=word_windows), "doc_id")
 
 

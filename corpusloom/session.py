@@ -58,6 +58,16 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than cores, dealt out for work that is heavy per row.
+
+    Only small inputs are shuffled: a large table has more partitions than cores and
+    is returned as it is. ``scan`` must be a plain read, without a shuffle of its own.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when a bounded count shows at most ``limit`` rows."""
     if df.limit(limit + 1).count() <= limit:
