@@ -7,6 +7,8 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from corpusloom.functions.binding import bind
+
 # The characters that Python's ``str.strip`` removes.
 WHITESPACE_CODES = [
     0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0x20, 0x85, 0xA0, 0x1680,
@@ -49,11 +51,6 @@ def strip_ws(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
-def bind(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, also where ``use`` repeats it in a lambda."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def words(text: Column) -> Column:
     """White-space separated words of a text, without empty ones.
 

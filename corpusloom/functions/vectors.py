@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusloom.functions.binding import bind
+
 WORD_BITS = 64
 LITERAL_DECIMALS = 7
 
@@ -114,10 +116,13 @@ def cosine_distance(a: Column, b: Column) -> Column:
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: double(x) * double(y)), zero, lambda s, x: s + x)
     square = lambda v: F.aggregate(v, zero, lambda s, x: s + double(x) * double(x))
     norms = F.sqrt(square(a) * square(b))
-    cosine = F.least(F.greatest(F.try_divide(dot, norms), F.lit(-1.0)), F.lit(1.0))
-    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).otherwise(
-        F.coalesce(1.0 - cosine, F.lit(float("nan")))
-    )
+
+    def distance(cosine: Column) -> Column:
+        inside = F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0))
+        undefined = cosine.isNull() | F.isnan(cosine)  # the quotient is NULL for a zero norm
+        return F.when(undefined, F.lit(float("nan"))).otherwise(1.0 - inside)
+
+    return F.when(a.isNotNull() & b.isNotNull(), bind(F.try_divide(dot, norms), distance))
 
 
 def vector_literal_column(query: list[float]) -> Column:
