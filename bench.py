@@ -14,7 +14,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from corpusloom.plans.queries import registry  # noqa: E402
-from corpusloom.session import session  # noqa: E402
+from corpusloom.session import session, ship_package  # noqa: E402
 
 HEADLINE = (
     "knn_two_stage knn_stored_codes knn_batch knn_batch_fragments knn_exact knn_recall vector_codes vector_distances "
@@ -37,6 +37,7 @@ def main() -> None:
         spark__driver__memory="16g",
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     # start the JVM's scan path and the Python workers once, outside the timings
     spark.read.parquet(f"{folder}/region.parquet").repartition(int(cpus)).mapInPandas(
         lambda batches: batches, "r_regionkey int, r_name string"

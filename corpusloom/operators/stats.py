@@ -82,10 +82,10 @@ def cost(tokens: Column, price_per_1m: Column) -> Column:
 
 def cost_estimate(totals: DataFrame, backend: str, model: str) -> DataFrame:
     """Totals with ``est_cost_usd``; NULL unless the back end and the model are priced."""
-    priced = totals.withColumns({"backend": F.lit(backend), "model": F.lit(model)})
-    price = F.when(F.col("backend") == PRICED_BACKEND, F.col("price_per_1m_usd"))
-    return with_catalogue(priced).select(
-        *totals.columns, "backend", "model", cost(F.col("total_tokens"), price).alias("est_cost_usd")
+    prices = {name: price for name, _, _, price in MODELS} if backend == PRICED_BACKEND else {}
+    price = F.lit(prices.get(model)).cast("double")
+    return totals.withColumns(
+        {"backend": F.lit(backend), "model": F.lit(model), "est_cost_usd": cost(F.col("total_tokens"), price)}
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,6 +34,19 @@ def session(app: str = "corpusloom", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, where it was not installed or passed with --py-files."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        name = os.path.join(tempfile.mkdtemp(prefix="corpusloom-"), "corpusloom")
+        spark.sparkContext.addPyFile(shutil.make_archive(name, "zip", root, "corpusloom"))
+        _shipped.add(app)
+
+
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder that all executors share.
 

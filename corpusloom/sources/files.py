@@ -29,12 +29,35 @@ def locate(spark: SparkSession, path: str) -> tuple[str, bool]:
     return system.makeQualified(target).toString(), system.getFileStatus(target).isFile()
 
 
+def empty_files(spark: SparkSession, path: str, ext: str | None = None, recursive: bool = False) -> DataFrame:
+    """Files without a byte, which Spark's file sources leave out, in the form of a scan.
+
+    The folder is listed on the driver, as for any file scan; only empty files are kept.
+    """
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    single = system.getFileStatus(target).isFile()
+    listing = system.listFiles(target, recursive)
+    found = []
+    while listing.hasNext():
+        status = listing.next()
+        if status.getLen() == 0:
+            name = status.getPath().toString()
+            if single or ext is None or name.lower().endswith("." + ext.lower().lstrip(".")):
+                found.append((name, status.getModificationTime()))
+    rows = spark.createDataFrame(found, "path string, millis bigint")
+    return rows.select(
+        "path", F.timestamp_millis("millis").alias("modificationTime"), F.lit(0).cast("bigint").alias("length"),
+        F.lit(b"").alias("content"),
+    )
+
+
 def scan_files(spark: SparkSession, path: str, ext: str = "pdf", recursive: bool = False) -> DataFrame:
     """Contents of one file, or of the files of a folder that have an extension in any case."""
     reader = spark.read.format("binaryFile")
     if not locate(spark, path)[1]:
         reader = reader.option("pathGlobFilter", _glob(ext)).option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(path)
+    return reader.load(path).unionByName(empty_files(spark, path, ext, recursive))
 
 
 def list_files(spark: SparkSession, root: str, depth: int | None = 1, pattern: str | None = None) -> DataFrame:
@@ -46,17 +69,16 @@ def list_files(spark: SparkSession, root: str, depth: int | None = 1, pattern: s
     full, single = locate(spark, root)
     relative = F.substring("path", len(full.rstrip("/")) + 2, 1 << 30)
     level = F.lit(0) if single else F.size(F.split(relative, "/"))
-    listed = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", str(depth is None or depth > 1).lower())
-        .load(root)
-        .select(
-            "path",
-            file_name(F.col("path")).alias("name"),
-            level.alias("depth"),
-            "length",
-            F.col("modificationTime").alias("modified"),
-        )
+    below = depth is None or depth > 1
+    columns = ["path", "modificationTime", "length"]
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", str(below).lower()).load(root)
+    every = scan.select(*columns).unionByName(empty_files(spark, root, None, below).select(*columns))
+    listed = every.select(
+        "path",
+        file_name(F.col("path")).alias("name"),
+        level.alias("depth"),
+        "length",
+        F.col("modificationTime").alias("modified"),
     )
     if depth is not None:
         listed = listed.where(F.col("depth") <= depth)

@@ -7,7 +7,7 @@ import pytest
 
 sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
-from corpusloom.session import session  # noqa: E402
+from corpusloom.session import session, ship_package  # noqa: E402
 
 TESTDATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -19,6 +19,7 @@ def spark():
         spark__sql__warehouse__dir="/tmp/corpusloom-test-warehouse",
     )
     made.sparkContext.setLogLevel("ERROR")
+    ship_package(made)
     yield made
     made.stop()
 
