@@ -13,6 +13,9 @@ MTIME_TOLERANCE = 1e-3
 # ``collision_ids``, which has all of them as rows.
 LISTED_IDS = 1_000
 
+# Tasks that share the rows of one file name while its ids are gathered.
+SALTS = 32
+
 MATCH_SHA, DIFF_SHA, MATCH_STAT, DIFF_STAT, NONE = "match_sha", "diff_sha", "match_stat", "diff_stat", "none"
 POLICIES = ("ingest", "skip", "fail", "fingerprint")
 
@@ -60,14 +63,32 @@ def collision_ids(new: DataFrame, existing: DataFrame) -> DataFrame:
     return existing.select("filename", "id").join(new.select("filename").distinct(), "filename", "left_semi")
 
 
-def _id_list(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """Ids per colliding file name as text, where the list is short enough for a message."""
-    ids = collision_ids(new, existing)
-    counts = ids.groupBy("filename").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= LISTED_IDS)
-    lists = ids.join(counts, "filename", "left_semi").groupBy("filename").agg(
-        F.sort_array(F.collect_list("id")).alias("_ids")
+def _names(existing: DataFrame) -> DataFrame:
+    """One row per stored file name: ``n_existing``, ``n_no_fp`` and its ids as text.
+
+    Counting is pre-aggregated. Ids are gathered only for names with few rows; the
+    rows of a name are dealt over ``SALTS`` tasks before that is known, so a name
+    with a third of all rows does not meet in one of them.
+    """
+    fp = F.col("fingerprint")
+    no_fp = F.coalesce(~_has_sha(fp) & ~_has_stat(fp), F.lit(True))
+    counts = existing.groupBy("filename").agg(
+        F.count(F.lit(1)).alias("n_existing"), F.count_if(no_fp).alias("n_no_fp")
+    )
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    short = counts.where(F.col("n_existing") <= LISTED_IDS).select(
+        "filename", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     )
-    return lists.select("filename", F.array_join(F.col("_ids").cast("array<string>"), ",").alias("_ids"))
+    lists = (
+        existing.select("filename", "id", salt.alias("salt"))
+        .join(short, ["filename", "salt"], "left_semi")
+        .groupBy("filename", "salt")
+        .agg(F.collect_list("id").alias("ids"))
+        .groupBy("filename")
+        .agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
+    )
+    text = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return counts.join(lists.select("filename", text.alias("ids")), "filename", "left")
 
 
 def _matches(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -130,21 +151,17 @@ def collision_decision(
     """
     policy = policy.lower()
     fp = F.col("fingerprint")
-    no_fp = F.coalesce(~_has_sha(fp) & ~_has_stat(fp), F.lit(True))
-    per_name = existing.groupBy("filename").agg(
-        F.count(F.lit(1)).alias("n_existing"), F.count_if(no_fp).alias("n_no_fp")
-    )
-    judged = new.select(key, "filename", fp["sha256"].isNotNull().alias("_has_fp")).join(per_name, "filename", "left")
-    collides = F.col("n_existing").isNotNull()
+    files = new.select(key, "filename", fp["sha256"].isNotNull().alias("_has_fp"))
     if policy == "ingest":
-        return judged.select(
+        return files.select(
             key, "filename", F.lit("keep").alias("decision"), F.lit(None).cast("bigint").alias("matched_id"),
             F.lit(None).cast("string").alias("reason"),
         )
-    judged = judged.join(_id_list(new, existing), "filename", "left")
+    judged = files.join(_names(existing), "filename", "left")
+    collides = F.col("n_existing").isNotNull()
     ids = F.concat(
         F.lit("filename match (doc_id="),
-        F.coalesce(F.col("_ids"), F.concat(F.col("n_existing").cast("string"), F.lit(" rows"))),
+        F.coalesce(F.col("ids"), F.concat(F.col("n_existing").cast("string"), F.lit(" rows"))),
         F.lit(")"),
     )
     if policy in ("skip", "fail"):

@@ -188,19 +188,19 @@ def optimistic_update(
     A change is applied if it names the current version. Of several such changes to
     one row, the first by ``seq`` (unique) wins; for the others the version is stale.
     """
-    current = base.select(key, F.col(version).alias("_current"), F.lit(True).alias("_known"))
-    judged = changes.join(current, key, "left").withColumn("_fits", F.col(version).eqNullSafe(F.col("_current")))
-    winners = (
-        judged.where(F.col("_known") & F.col("_fits"))
-        .groupBy(key)
-        .agg(F.min_by(F.struct(F.col(seq), *[F.col(c) for c in sets]), seq).alias("_win"))
-    )
+    fields = F.struct(F.col(seq), *[F.col(c) for c in sets])
+    first = changes.groupBy(key, version).agg(F.min_by(fields, seq).alias("_win"))
+    current = base.select(key, F.col(version).alias("_current"))
+    # an inner join: a semi join would be pushed below the aggregate and move every change
+    fits = first.join(current, key).where(F.col(version) == F.col("_current"))
+    winners = fits.select(key, "_win")
     status = (
-        F.when(F.col("_known").isNull(), "missing")
+        F.when(F.col("_current").isNull(), "missing")
         .when(F.col("_win." + seq) == F.col(seq), "applied")
         .otherwise("conflict")
     )
-    outcomes = judged.join(winners.select(key, "_win"), key, "left").select(
+    # rows of the table and their winners are one per key; only the changes may be skewed
+    outcomes = changes.join(current.join(winners, key, "left"), key, "left").select(
         key, seq, status.alias("outcome"), F.col("_current").alias("current_version")
     )
     new = {c: F.when(F.col("_win").isNotNull(), F.col("_win." + c)).otherwise(F.col(c)) for c in sets}
@@ -212,7 +212,9 @@ def optimistic_update(
 def idempotent_add(df: DataFrame, existing: DataFrame, key: list[str], order_by: str) -> DataFrame:
     """Rows to create: the first per key, unless the key is already there."""
     first = df.groupBy(*key).agg(F.min_by(F.struct(*df.columns), order_by).alias("_row")).select("_row.*")
-    return first.join(existing.select(*key), key, "left_anti").select(*df.columns)
+    # an outer join: an anti join would be pushed below the aggregate and move every row
+    known = existing.select(*key).distinct().withColumn("_known", F.lit(True))
+    return first.join(known, key, "left").where(F.col("_known").isNull()).select(*df.columns)
 
 
 def latest_by_key(df: DataFrame, key: list[str], seq: str) -> DataFrame:
