@@ -122,7 +122,10 @@ def cosine_distance(a: Column, b: Column) -> Column:
         undefined = cosine.isNull() | F.isnan(cosine)  # the quotient is NULL for a zero norm
         return F.when(undefined, F.lit(float("nan"))).otherwise(1.0 - inside)
 
-    return F.when(a.isNotNull() & b.isNotNull(), bind(F.try_divide(dot, norms), distance))
+    unequal = F.raise_error(F.format_string("different vector dimensions %d and %d", F.size(a), F.size(b))).cast("double")
+    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("double")).when(F.size(a) != F.size(b), unequal).otherwise(
+        bind(F.try_divide(dot, norms), distance)
+    )
 
 
 def vector_literal_column(query: list[float]) -> Column:

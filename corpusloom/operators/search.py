@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusloom.functions.vectors import (
-    code_words, cosine_distance, hamming, query_words, vector_literal_column,
+    code_words, cosine_distance, hamming, query_words, require_dims, vector_literal_column,
 )
 from corpusloom.session import materialise
 
@@ -17,6 +17,8 @@ from corpusloom.session import materialise
 # both sides are too many for a broadcast.
 QUERY_BLOCK = 1_024
 FRAGMENT_ROWS = 100_000
+# Rows of an Arrow batch that are widened to double at a time.
+SLICE_ROWS = 2_048
 # Candidate ids that are put into a scan as a list; more are joined.
 LISTED_IDS = 10_000
 
@@ -42,10 +44,8 @@ def build_codes(df: DataFrame, key: str, vec_col: str, dims: int) -> DataFrame:
     missing = [c for c in (key, vec_col) if c not in df.columns]
     if missing:
         raise ValueError(f'Column "{missing[0]}" does not exist')
-    words = code_words(F.col(vec_col), dims)
-    return df.where(F.col(vec_col).isNotNull()).select(
-        key, *[w.alias(f"w{i}") for i, w in enumerate(words)]
-    )
+    known = df.where(F.col(vec_col).isNotNull()).select(key, require_dims(F.col(vec_col), dims).alias("_v"))
+    return known.select(key, *[w.alias(f"w{i}") for i, w in enumerate(code_words(F.col("_v"), dims))])
 
 
 def store_codes(df: DataFrame, key: str, vec_col: str, dims: int, path: str) -> DataFrame:
@@ -96,6 +96,9 @@ def top_k_per_query(df: DataFrame, query_key: str, order: list[str | Column], k:
 
 
 def _matrix(column: pa.Array, dtype: str) -> np.ndarray:
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    if len(sizes) and (sizes != sizes[0]).any():
+        raise ValueError(f"different vector dimensions {sizes.min()} and {sizes.max()}")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(dtype, copy=False)
 
@@ -162,12 +165,12 @@ def _block_scan(rows: DataFrame, queries: list, kind: str, k: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [_Best(k) for _ in query_ids]
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            matrix = _matrix(batch.column(1), dtype)
-            for one, vector in zip(best, vectors):
-                one.add(score(matrix, vector), keys)
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                keys = part.column(0).to_numpy(zero_copy_only=False)
+                matrix = _matrix(part.column(1), dtype)
+                for one, vector in zip(best, vectors):
+                    one.add(score(matrix, vector), keys)
         yield _emit(query_ids, best)
 
     return rows.mapInArrow(scan, SCORED)

@@ -48,6 +48,10 @@ class Corpus:
     def chunks_path(self) -> str:
         return f"{self.path}/chunks"
 
+    def is_new(self) -> bool:
+        """Whether no document was ever committed."""
+        return stored_table(self.spark, self.documents_path) is None
+
     def documents(self) -> DataFrame:
         """Committed documents; empty before the first ingest."""
         stored = stored_table(self.spark, self.documents_path)
@@ -127,7 +131,7 @@ def prepare(
         F.lit("parse_failed").alias("status"), "source_path", F.col("filename").alias("file"), F.col("error").alias("detail")
     )
     kept = read.where(F.col("error").isNull()).drop("error")
-    if settings.skip_existing and corpus is not None:
+    if settings.skip_existing and corpus is not None and not corpus.is_new():
         decided = collision_decision(
             kept.select("source_path", "filename", "fingerprint"), corpus.fingerprints(), settings.collision_policy
         )

@@ -14,7 +14,7 @@ from corpusloom.plans.ingest import Corpus, Settings, ingest
 from corpusloom.plans.queries.common import SQL_CHUNKS, SQL_TOKENS, long, table
 from corpusloom.plans.queries.text import document_chunks
 from corpusloom.session import materialise, spread, work_folder
-from corpusloom.sources.files import fingerprint
+from corpusloom.sources.files import extract_pages, fingerprint, read_documents, scan_files
 
 MODEL = "text-embedding-3-large"
 
@@ -88,6 +88,23 @@ def embedded_chunks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def lines_of(content: bytes) -> list[str]:
+    """A page per line."""
+    return content.decode("utf-8").split("\n")[:-1]
+
+
+def file_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents written to text files, scanned as files and read page by page."""
+    path = work_folder(spark, "files")
+    documents = table(spark, folder, "documents").select("lang", F.translate("text", "\r\n", "  ").alias("value"))
+    documents.write.partitionBy("lang").option("maxRecordsPerFile", 200).text(path)
+    read = extract_pages(read_documents(scan_files(spark, path, "txt", recursive=True)), lines_of)
+    pages = read.select(
+        F.regexp_extract("source_path", "lang=([^/]*)", 1).alias("lang"), "error", F.explode("pages").alias("page")
+    )
+    return pages.select("lang", "error", long(F.length("page")).alias("chars"), F.md5("page").alias("digest"))
+
+
 def as_files(documents: DataFrame) -> DataFrame:
     """Documents as extracted one-page files."""
     return documents.select(
@@ -211,6 +228,11 @@ QUERIES = {
         f"""WITH {SQL_CHUNKS} SELECT doc_id, chunk_index, 8::BIGINT AS dims, {_BYTE.format(at=1)} AS first,
         {' + '.join(_BYTE.format(at=2 * i + 1) for i in range(8))} AS total, NULL::VARCHAR AS embed_error FROM chunks""",
     ),
+    "file_pages": (
+        file_pages,
+        """WITH p AS (SELECT lang, replace(replace(text, chr(13), ' '), chr(10), ' ') AS page FROM documents)
+        SELECT lang, NULL::VARCHAR AS error, length(page) AS chars, md5(page) AS digest FROM p""",
+    ),
     "ingest_estimate": (
         ingest_estimate,
         f"""WITH {SQL_CHUNKS}, t AS (SELECT {_TOTALS} FROM chunks) SELECT *, 'openai' AS backend,

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from corpusloom.functions.chunking import chunk_page_rows, chunk_pages, chunk_texts
 from corpusloom.functions.text import (
     estimate_tokens, file_name, file_stem, mime_type, preview, render_template, replace_text, sanitize_filename,
-    strip_ws, title, word_windows,
+    strip_ws, title, tokenizer_count, tokenizer_windows, word_windows,
 )
 from corpusloom.plans.queries.common import SQL_CHUNKS, SQL_TOKENS, SQL_WS, SQL_WS_CLASS, long, sql_char_pieces, table
 from corpusloom.session import spread
@@ -37,6 +37,20 @@ def chunk_words(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(chunk_texts(documents, windows=word_windows), "doc_id")
 
 
+def tokenizer_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens per document with an injected tokenizer, here one that takes words as tokens."""
+    count = tokenizer_count(str.split)
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    return documents.select("doc_id", long(count(F.col("text"))).alias("tokens"))
+
+
+def tokenizer_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks by the token rule with an injected tokenizer, here one that takes characters as tokens."""
+    windows = tokenizer_windows(lambda text: [ord(c) for c in text], lambda tokens: "".join(map(chr, tokens)), 1600, 200)
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    return _shown(chunk_texts(documents, windows=windows), "doc_id")
+
+
 def chunk_conversation_pages(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", (F.col("turn") + 1).alias("page"), "text")
     return _shown(chunk_page_rows(turns, "conv_id", "page", "text"), "conv_id")
@@ -118,6 +132,16 @@ QUERIES = {
         chunks AS (SELECT doc_id, unnest(l) AS content, generate_subscripts(l, 1) - 1 AS chunk_index FROM l)
         SELECT doc_id, {_SHOWN.format(page='1')} FROM chunks""",
     ),
+    "tokenizer_counts": (tokenizer_counts, f"SELECT doc_id, len({_WORDS}) AS tokens FROM documents"),
+    "tokenizer_chunks": (
+        tokenizer_chunks,
+        f"""WITH t AS (SELECT doc_id, trim(text, {SQL_WS}) AS t FROM documents),
+        p AS (SELECT doc_id, list_filter(list_transform(CASE WHEN length(t) = 0 THEN [] ELSE list_transform(
+          range(0, greatest(length(t) - 201, 0) + 1, 1400), lambda i: substring(t, i::INT + 1, 1600)) END,
+          lambda c: trim(c, {SQL_WS})), lambda c: c <> '') AS l FROM t),
+        chunks AS (SELECT doc_id, unnest(l) AS content, generate_subscripts(l, 1) - 1 AS chunk_index FROM p)
+        SELECT doc_id, {_SHOWN.format(page='1')} FROM chunks""",
+    ),
     "chunk_conversation_pages": (
         chunk_conversation_pages,
         f"""WITH p AS (SELECT conv_id, turn + 1 AS page, {sql_char_pieces('text')} AS l FROM conversations),

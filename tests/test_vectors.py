@@ -148,3 +148,14 @@ def test_codes_are_stored_once(spark, tmp_path):
     assert S.store_codes(df.union(df), "id", "v", 8, path).count() == 5
     with pytest.raises(ValueError, match="does not exist"):
         S.build_codes(df, "id", "nothing", 8)
+
+
+def test_mixed_dimensions_are_an_error(spark):
+    df = frame(spark, [[1.0, 2.0], [1.0, 2.0, 3.0]])
+    with pytest.raises(Exception, match="different vector dimensions"):
+        df.select(V.cosine_distance(F.col("v"), V.vector_literal_column([1.0, 2.0]))).collect()
+    with pytest.raises(Exception, match="expected 2"):
+        S.find_closest(df, "id", "v", [1.0, 2.0])
+    queries = df.where("id = 0").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    with pytest.raises(Exception, match="different vector dimensions"):
+        S.exact_knn(df.coalesce(1), "id", "v", queries, "q", "qv").collect()
