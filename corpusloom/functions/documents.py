@@ -18,6 +18,11 @@ EMBEDDING_RESPONSE = (
 HAL_ACTIONS = {401: "stop", 409: "refetch", 422: "fix_input"}
 
 
+# Texts of the errors.
+SINGLE_MISSING_TEXT = "embedding response missing 'data[0].embedding' or 'embedding'"
+VECTORS_MISSING_TEXT = "response missing 'vectors'"
+
+
 def metadata_get(df: DataFrame, meta: str, path: str, as_type: str = "string") -> Column:
     """One value from a metadata column, held as VARIANT or as JSON text; NULL if absent."""
     column = F.col(meta)
@@ -107,7 +112,7 @@ def parse_embedding_response(body: Column, shape: str = "openai") -> Column:
     if shape == "single":
         one = F.coalesce(F.try_element_at(parsed["data"], F.lit(1))["embedding"], parsed["embedding"])
         vectors = F.when(one.isNotNull(), F.array(one))
-        error = F.when(one.isNull(), F.lit("embedding response missing 'data[0].embedding' or 'embedding'"))
+        error = F.when(one.isNull(), F.lit(SINGLE_MISSING_TEXT))
     elif shape == "openai":
         vectors = F.coalesce(
             F.transform(parsed["data"], lambda d: d["embedding"]), F.array().cast("array<array<double>>")
@@ -119,7 +124,7 @@ def parse_embedding_response(body: Column, shape: str = "openai") -> Column:
         failed = code != 0
         vectors = F.when(~failed, parsed["vectors"])
         error = F.when(failed, F.concat(F.lit("model error "), code.cast("string"), F.lit(": "), text)).when(
-            parsed["vectors"].isNull(), F.lit("response missing 'vectors'")
+            parsed["vectors"].isNull(), F.lit(VECTORS_MISSING_TEXT)
         )
     else:
         raise ValueError(f"unknown response shape: {shape}")

@@ -23,6 +23,7 @@ WHITESPACE_CLASS = "[" + "".join(f"\\x{{{code:x}}}" for code in WHITESPACE_CODES
 CHUNK_TOKENS = 400
 CHUNK_OVERLAP = 50
 CHARS_PER_TOKEN = 4
+# Lengths of shortened texts.
 PREVIEW_CHARS = 300
 SHA_PREFIX = 12
 

@@ -16,6 +16,18 @@ LISTED_IDS = 1_000
 # Tasks that share the rows of one file name while its ids are gathered.
 SALTS = 32
 
+# Texts of the messages.
+SHA_TEXT = "sha256 match"
+STAT_TEXT = "size+mtime match"
+NO_FINGERPRINT_TEXT = "no fingerprint in existing row"
+SHA_DIFFERS_TEXT = "sha256 differs (db=%s, new=%s)"
+STAT_DIFFERS_TEXT = "size/mtime differ (db=%s, new=%s)"
+NAME_TEXT = "filename match (doc_id=%s)%s"
+DUPLICATE_TEXT = "fingerprint duplicate of doc_id=%s (%s)"
+LOCAL_MISSING_TEXT = ", local fingerprint unavailable"
+STORED_MISSING_TEXT = " has no fingerprint in DB; assuming duplicate"
+POLICY_TEXTS = {"skip": ", policy=skip", "fail": "; policy=fail"}
+
 MATCH_SHA, DIFF_SHA, MATCH_STAT, DIFF_STAT, NONE = "match_sha", "diff_sha", "match_stat", "diff_stat", "none"
 POLICIES = ("ingest", "skip", "fail", "fingerprint")
 
@@ -45,16 +57,11 @@ def match_reason(new: Column, old: Column) -> Column:
     both = lambda fp: F.concat(fp["file_size"].cast("string"), F.lit("/"), fp["mtime"].cast("string"))
     kind = fingerprint_match(new, old)
     return (
-        F.when(kind == MATCH_SHA, F.lit("sha256 match"))
-        .when(
-            kind == DIFF_SHA,
-            F.concat(
-                F.lit("sha256 differs (db="), short_sha(old["sha256"]), F.lit(", new="), short_sha(new["sha256"]), F.lit(")")
-            ),
-        )
-        .when(kind == MATCH_STAT, F.lit("size+mtime match"))
-        .when(kind == DIFF_STAT, F.concat(F.lit("size/mtime differ (db="), both(old), F.lit(", new="), both(new), F.lit(")")))
-        .otherwise(F.lit("no fingerprint in existing row"))
+        F.when(kind == MATCH_SHA, F.lit(SHA_TEXT))
+        .when(kind == DIFF_SHA, F.format_string(SHA_DIFFERS_TEXT, short_sha(old["sha256"]), short_sha(new["sha256"])))
+        .when(kind == MATCH_STAT, F.lit(STAT_TEXT))
+        .when(kind == DIFF_STAT, F.format_string(STAT_DIFFERS_TEXT, both(old), both(new)))
+        .otherwise(F.lit(NO_FINGERPRINT_TEXT))
     )
 
 
@@ -159,28 +166,24 @@ def collision_decision(
         )
     judged = files.join(_names(existing), "filename", "left")
     collides = F.col("n_existing").isNotNull()
-    ids = F.concat(
-        F.lit("filename match (doc_id="),
-        F.coalesce(F.col("ids"), F.concat(F.col("n_existing").cast("string"), F.lit(" rows"))),
-        F.lit(")"),
-    )
+    ids = F.coalesce(F.col("ids"), F.format_string("%d rows", F.col("n_existing")))
+    by_name = lambda rest: F.format_string(NAME_TEXT, ids, F.lit(rest))
     if policy in ("skip", "fail"):
         word = "skip" if policy == "skip" else "abort"
-        sep = ", " if policy == "skip" else "; "
         return judged.select(
             key, "filename", F.when(collides, word).otherwise("keep").alias("decision"),
             F.lit(None).cast("bigint").alias("matched_id"),
-            F.when(collides, F.concat(ids, F.lit(f"{sep}policy={policy}"))).alias("reason"),
+            F.when(collides, by_name(POLICY_TEXTS[policy])).alias("reason"),
         )
     judged = judged.join(_matches(new, existing, key), key, "left")
-    why = F.when(F.col("match") == MATCH_SHA, "sha256 match").otherwise("size+mtime match")
+    why = F.when(F.col("match") == MATCH_SHA, SHA_TEXT).otherwise(STAT_TEXT)
     missing = collides & ~F.coalesce(F.col("_has_fp"), F.lit(False))
     matched = collides & F.col("matched_id").isNotNull()
     unknown = collides & (F.col("n_no_fp") == F.col("n_existing"))
     reason = (
-        F.when(missing, F.concat(ids, F.lit(", local fingerprint unavailable")))
-        .when(matched, F.concat(F.lit("fingerprint duplicate of doc_id="), F.col("matched_id").cast("string"), F.lit(" ("), why, F.lit(")")))
-        .when(unknown, F.concat(ids, F.lit(" has no fingerprint in DB; assuming duplicate")))
+        F.when(missing, by_name(LOCAL_MISSING_TEXT))
+        .when(matched, F.format_string(DUPLICATE_TEXT, F.col("matched_id").cast("string"), why))
+        .when(unknown, by_name(STORED_MISSING_TEXT))
     )
     return judged.select(
         key, "filename",

@@ -82,7 +82,7 @@ class Corpus:
 
 @dataclass
 class Settings:
-    """How an ingest works; the defaults are those of the reference behaviour."""
+    """How an ingest works."""
 
     windows: Callable[[Column], Column] = char_windows
     token_count: Callable[[Column], Column] | None = None

@@ -16,25 +16,18 @@ def strip_model(text: str) -> str:
 
 
 def chunk_model(text: str, size: int = 1600, step: int = 1400) -> list[str]:
+    """Every multiple of the step below the length starts a window, unless one window is enough."""
     text = text.strip()
-    if len(text) <= size:
-        pieces = [text]
-    else:
-        pieces, at = [], 0
-        while at < len(text):
-            pieces.append(text[at : at + size])
-            at += step
-    return [p.strip() for p in pieces if p.strip()]
+    count = 1 if len(text) <= size else -(-len(text) // step)
+    pieces = (text[n * step :][:size].strip() for n in range(count))
+    return [piece for piece in pieces if piece]
 
 
 def token_model(tokens: list, size: int, overlap: int) -> list[list]:
-    found, at = [], 0
-    while at < len(tokens):
-        found.append(tokens[at : at + size])
-        if at + size >= len(tokens):
-            break
-        at += size - overlap
-    return found
+    """After the first, a window starts only where more than the overlap is left."""
+    step = size - overlap
+    starts = [s for s in range(0, len(tokens), step) if s == 0 or len(tokens) - s > overlap]
+    return [tokens[s : s + size] for s in starts]
 
 
 def frame(spark, texts):
