@@ -247,7 +247,9 @@ def run(prepared: Prepared, corpus: Corpus, embed: EmbedFn) -> Report:
         F.struct("page").alias("metadata"),
         rounded_vector(F.col("embedding")).alias("embedding"),
     )
-    numbered_chunks.write.mode("append").parquet(corpus.chunks_path)
+    # searches fetch chunks by id: a Bloom filter lets them pass over the other row groups
+    writer = numbered_chunks.write.mode("append").option("parquet.bloom.filter.enabled#id", "true")
+    writer.parquet(corpus.chunks_path)
     rows.write.mode("append").parquet(corpus.documents_path)
     succeeded = rows.select(
         F.lit("succeeded").alias("status"), "source_path", F.col("filename").alias("file"),

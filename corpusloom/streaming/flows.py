@@ -81,15 +81,21 @@ def retry_stream(
     done: Sink,
     ended: Sink,
     checkpoint: str,
+    now: Column | None = None,
 ) -> StreamingQuery:
     """One pass of a retry loop over records with an ``attempt`` column (1 for new ones).
 
-    Records to be retried go, with ``attempt`` raised and a ``wait_s``, to the retry
-    table, which ``work`` may read as a source too; success and lasting failure have
-    sinks of their own.
+    Records to be retried go, with ``attempt`` raised and a time ``not_before``, to the
+    retry table, which ``work`` may read as a source too: a record that comes back too
+    early is put there again. Success and lasting failure have sinks of their own.
     """
+    now = F.current_timestamp() if now is None else now
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        early = batch.limit(0)
+        if "not_before" in batch.columns:
+            due = F.coalesce(F.col("not_before") <= now, F.lit(True))
+            early, batch = batch.where(~due), batch.where(due)
         tried = step(batch)
         code = F.col("error_code") if "error_code" in tried.columns else None
         after = F.col("retry_after") if "retry_after" in tried.columns else None
@@ -97,10 +103,11 @@ def retry_stream(
         try:
             done(judged.where(F.col("outcome") == "success"), batch_id)
             ended(judged.where(F.col("outcome").isin("permanent", "exhausted")), batch_id)
-            again = judged.where(F.col("outcome") == "retry").withColumn(
-                "wait_s", retry_wait(F.col("attempt"), F.col("status"), after)
+            wait = F.make_dt_interval(secs=retry_wait(F.col("attempt"), F.col("status"), after).cast("decimal(18,6)"))
+            again = judged.where(F.col("outcome") == "retry").withColumns(
+                {"not_before": now + wait, "attempt": F.col("attempt") + 1}
             )
-            folder_sink(retry_path)(again.withColumn("attempt", F.col("attempt") + 1), batch_id)
+            folder_sink(retry_path)(again.unionByName(early, allowMissingColumns=True), batch_id)
         finally:
             judged.unpersist()
 

@@ -135,6 +135,23 @@ def test_stream_retry_feeds_the_retry_table(spark, tmp_path):
     assert spark.read.parquet(source).count() == 0
 
 
+def test_stream_retry_waits(spark, tmp_path):
+    """A record that is not due goes back to the retry table as it is; a due one is tried."""
+    now = datetime(2024, 1, 1, 12)
+    rows = [(1, 2, datetime(2024, 1, 1, 11)), (2, 2, datetime(2024, 1, 1, 13)), (3, 2, None)]
+    source = str(tmp_path / "in")
+    spark.createDataFrame(rows, "id int, attempt int, not_before timestamp").write.parquet(source)
+    step = lambda df: df.withColumn("status", F.when(F.col("id") == 1, 200).otherwise(503))
+    path = lambda name: str(tmp_path / name)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    ST.retry_stream(
+        stream, step, path("retry"), ST.folder_sink(path("done")), ST.folder_sink(path("ended")), path("check"), F.lit(now)
+    ).awaitTermination()
+    assert [r.id for r in spark.read.parquet(path("done")).collect()] == [1]
+    found = {r.id: (r.attempt, r.not_before) for r in spark.read.parquet(path("retry")).collect()}
+    assert found == {2: (2, datetime(2024, 1, 1, 13)), 3: (3, datetime(2024, 1, 1, 12, 0, 4))}
+
+
 def test_file_attributes(spark):
     df = spark.createDataFrame([("file:/a/b/c.pdf",)], "path string")
     assert ST.file_attributes(df).first().attributes == {"absolute.path": "file:/a/b", "filename": "c.pdf"}
