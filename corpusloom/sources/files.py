@@ -33,16 +33,20 @@ def empty_files(spark: SparkSession, path: str, ext: str | None = None, recursiv
     """Files without a byte, which Spark's file sources leave out, in the form of a scan.
 
     The folder is listed on the driver, as for any file scan; only empty files are kept.
+    Names below the folder that begin with a dot or an underscore are hidden, as in a scan.
     """
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    single = system.getFileStatus(target).isFile()
+    full, single = locate(spark, path)
     listing = system.listFiles(target, recursive)
     found = []
     while listing.hasNext():
         status = listing.next()
         if status.getLen() == 0:
             name = status.getPath().toString()
+            below = name[len(full.rstrip("/")) + 1 :].split("/")
+            if not single and any(part.startswith((".", "_")) for part in below):
+                continue
             if single or ext is None or name.lower().endswith("." + ext.lower().lstrip(".")):
                 found.append((name, status.getModificationTime()))
     rows = spark.createDataFrame(found, "path string, millis bigint")

@@ -40,7 +40,7 @@ def inbox(tmp_path):
     (folder / "sub").mkdir(parents=True)
     files = {
         "b.pdf": "beta", "A.PDF": "alpha\fbad\f" + "x" * 2900, "empty.pdf": "", "blank.pdf": " \f\n", "broken.pdf": "broken",
-        "note.txt": "skip me", "sub/deep.pdf": "deep",
+        "note.txt": "skip me", "sub/deep.pdf": "deep", "_SUCCESS": "", ".hidden.pdf": "",
     }
     for name, text in files.items():
         (folder / name).write_text(text)
