@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.llm.common import table
+from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.simhash import near_duplicates
+from corpusloom.llm.token_file import read_token_files, write_token_files
+
+WORD_BPE, WORD_BPE_SIZE = "word_bpe_49k.json", 49_408
+
+
+def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path(WORD_BPE)
+    manifest = write_token_files(table(spark, folder, "documents"), path, end_id=1, vocabulary=WORD_BPE_SIZE)
+    return read_token_files(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op5_simhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
@@ -13,6 +24,12 @@ def op5_simhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 QUERIES = {
+    "op3_token_files": (op3_token_files, None),
     "op5_simhash_neardup": (op5_simhash_neardup, None),
+    "op7_best_fit_packing": (op7_best_fit_packing, None),
 }
