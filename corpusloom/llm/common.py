@@ -67,4 +67,4 @@ def new_file(folder: str, suffix: str) -> tuple[str, pa.NativeFile]:
     store, path = open_store(folder)
     store.create_dir(path, recursive=True)
     name = f"{uuid.uuid4().hex}{suffix}"
-    return f"{folder.rstrip('/')}/{name}", store.open_output_stream(f"{path}/{name}")
+    return f"{folder.rstrip('/')}/{name}", store.open_output_stream(f"{path}/{name}", compression=None)

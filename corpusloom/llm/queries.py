@@ -5,14 +5,26 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from corpusloom.llm.balltree import top_k
 from corpusloom.llm.common import table
+from corpusloom.llm.ctph import fingerprint_documents
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.simhash import near_duplicates
 from corpusloom.llm.token_file import read_token_files, write_token_files
+from corpusloom.llm.warc import BASE32, read_manifest, write_warc
 
+_PAGE_OF = "regexp_extract({}, '^urn:page:(-?[0-9]+)$', 1)"
 WORD_BPE, WORD_BPE_SIZE = "word_bpe_49k.json", 49_408
 
 
+def op1_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
+    manifest = write_warc(table(spark, folder, "pages"))
+    return read_manifest(manifest, payloads=False).where("gap is null").select(
+        F.expr("try_cast(" + _PAGE_OF.format("record_id") + " as bigint)").alias("page_id"), "payload_bytes", "payload_digest",
+        "record_type", F.expr("try_cast(" + _PAGE_OF.format("refers_to") + " as bigint)").alias("refers_to"),
+    )
+
+
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(WORD_BPE)
     manifest = write_token_files(table(spark, folder, "documents"), path, end_id=1, vocabulary=WORD_BPE_SIZE)
@@ -28,8 +40,41 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op8_piecewise_hashes(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint_documents(table(spark, folder, "documents"))
+
+
+def op10_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return top_k(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+# 5 hex digits of the digest make 4 letters
+_SQL_BASE32 = (
+    "list_aggregate(list_transform(range(0, 32), lambda i: substr('" + BASE32 + "', 1 + "
+    "((('0x' || substr(sha1(coalesce(html, '')), (i // 4)::INT * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), "
+    "'string_agg', '')"
+)
+SQL_WARC = f"""
+SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, {_SQL_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM (SELECT *, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+"""
+SQL_TOPK = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 QUERIES = {
+    "op1_warc_salvage": (op1_warc_salvage, SQL_WARC),
     "op3_token_files": (op3_token_files, None),
     "op5_simhash_neardup": (op5_simhash_neardup, None),
     "op7_best_fit_packing": (op7_best_fit_packing, None),
+    "op8_piecewise_hashes": (op8_piecewise_hashes, None),
+    "op10_exact_topk": (op10_exact_topk, SQL_TOPK),
 }
