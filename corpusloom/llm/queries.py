@@ -6,14 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.llm.balltree import top_k
-from corpusloom.llm.common import table
+from corpusloom.llm.bpe import token_digests
+from corpusloom.llm.common import remainder_of_id, table
 from corpusloom.llm.ctph import fingerprint_documents
 from corpusloom.llm.packing import pack_documents
+from corpusloom.llm.quality import train, with_scores
 from corpusloom.llm.simhash import near_duplicates
 from corpusloom.llm.token_file import read_token_files, write_token_files
 from corpusloom.llm.warc import BASE32, read_manifest, write_warc
 
 _PAGE_OF = "regexp_extract({}, '^urn:page:(-?[0-9]+)$', 1)"
+BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE, WORD_BPE_SIZE = "word_bpe_49k.json", 49_408
 
 
@@ -25,12 +28,24 @@ def op1_warc_salvage(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_quality_nbsvm(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    model = train(documents, table(spark, folder, "labels"), remainder_of_id("doc_id", 3) != 1)
+    scored = with_scores(documents, model)
+    held_out = F.coalesce(remainder_of_id("doc_id", 3) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(WORD_BPE)
     manifest = write_token_files(table(spark, folder, "documents"), path, end_id=1, vocabulary=WORD_BPE_SIZE)
     return read_token_files(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    return token_digests(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
 def op5_simhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -72,7 +87,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 QUERIES = {
     "op1_warc_salvage": (op1_warc_salvage, SQL_WARC),
+    "op2_quality_nbsvm": (op2_quality_nbsvm, None),
     "op3_token_files": (op3_token_files, None),
+    "op4_bpe_codec": (op4_bpe_codec, None),
     "op5_simhash_neardup": (op5_simhash_neardup, None),
     "op7_best_fit_packing": (op7_best_fit_packing, None),
     "op8_piecewise_hashes": (op8_piecewise_hashes, None),
