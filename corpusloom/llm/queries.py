@@ -9,6 +9,7 @@ from corpusloom.llm.balltree import top_k
 from corpusloom.llm.bpe import token_digests
 from corpusloom.llm.common import remainder_of_id, table
 from corpusloom.llm.ctph import fingerprint_documents
+from corpusloom.llm.mixing import score_documents
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.quality import train, with_scores
 from corpusloom.llm.simhash import near_duplicates
@@ -59,6 +60,10 @@ def op8_piecewise_hashes(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_documents(table(spark, folder, "documents"))
 
 
+def op9_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(table(spark, folder, "documents"), remainder_of_id("doc_id", 7) == 2)
+
+
 def op10_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return top_k(vectors, vectors.where("vec_id % 100 = 0"))
@@ -93,5 +98,6 @@ QUERIES = {
     "op5_simhash_neardup": (op5_simhash_neardup, None),
     "op7_best_fit_packing": (op7_best_fit_packing, None),
     "op8_piecewise_hashes": (op8_piecewise_hashes, None),
+    "op9_context_mixing": (op9_context_mixing, None),
     "op10_exact_topk": (op10_exact_topk, SQL_TOPK),
 }
