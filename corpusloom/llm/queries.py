@@ -12,6 +12,7 @@ from corpusloom.llm.ctph import fingerprint_documents
 from corpusloom.llm.mixing import score_documents
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.quality import train, with_scores
+from corpusloom.llm.secrets import scan
 from corpusloom.llm.simhash import near_duplicates
 from corpusloom.llm.token_file import read_token_files, write_token_files
 from corpusloom.llm.warc import BASE32, read_manifest, write_warc
@@ -52,6 +53,12 @@ def op5_simhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_secret_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every finding; the forest learns from documents whose crc32 modulo 3 is not 1. Values are given as digests only."""
+    found = scan(table(spark, folder, "documents"), remainder_of_id("doc_id", 3) != 1)
+    return found.select("doc_id", "n", F.sha2("value", 256).alias("value_sha256"), F.length("value").alias("length"), "label", "score", "is_secret")
+
+
 def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -96,6 +103,7 @@ QUERIES = {
     "op3_token_files": (op3_token_files, None),
     "op4_bpe_codec": (op4_bpe_codec, None),
     "op5_simhash_neardup": (op5_simhash_neardup, None),
+    "op6_secret_forest": (op6_secret_forest, None),
     "op7_best_fit_packing": (op7_best_fit_packing, None),
     "op8_piecewise_hashes": (op8_piecewise_hashes, None),
     "op9_context_mixing": (op9_context_mixing, None),

@@ -1,0 +1,178 @@
+"""Secrets in texts: candidates by pattern, false positives removed by a random forest. DataFrame functions only."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame, functions as F
+
+from corpusloom.session import materialise
+
+# A candidate is a run of these characters with a digit, or a longer one without
+_RUN = "[A-Za-z0-9+/_=-]"
+CANDIDATE = rf"(?<!{_RUN})(?:(?={_RUN}{{0,512}}?[0-9]){_RUN}{{16,}}|{_RUN}{{28,}})"
+CONTEXT = 48
+# names that announce a credential, and words that announce an example
+CREDENTIAL = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
+PLACEHOLDER = r"(?i)(?:example|sample|dummy|placeholder|changeme|your[_-]|xxxx|todo)"
+TEST_PATH = r"(?i)(?:^|[/_.-])(?:tests?|examples?|fixtures?|mocks?|docs?|vendor|samples?)(?:$|[/_.-])"
+
+DICTIONARY_WORDS = 150
+# findings of either label that the forest is fitted on, those of the lowest hashes
+SAMPLE_ROWS = 10_000
+TREES, DEPTH = 15, 5
+
+FEATURES = (
+    "length digits capitals others transitions vowel_turns repeats coverage test_path in_path "
+    "credential assigned quoted placeholder words_before"
+).split()
+
+
+def dictionary(documents: DataFrame, text: str = "text", words: int = DICTIONARY_WORDS) -> list[str]:
+    """The most frequent words of 3 letters or more over all texts, ties in order of the word; at most ``words``."""
+    found = documents.select(F.explode(F.split(F.lower(text), "[^a-z]+")).alias("w")).where(F.length("w") >= 3)
+    top = found.groupBy("w").count().orderBy(F.desc("count"), "w").limit(words)
+    return [row["w"] for row in top.collect()]
+
+
+def candidates(text: str) -> Column:
+    """Array of (before, value, after) of every candidate of a text; empty for a null text."""
+    # groups inside the look-arounds hold up to CONTEXT characters of either side
+    before = rf"(?s)(?<!{_RUN})(?={CANDIDATE})(?<=(.{{{CONTEXT}}}|^.{{0,{CONTEXT - 1}}})){_RUN}{{16,}}"
+    own = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    after = rf"(?s){CANDIDATE}(?=(.{{0,{CONTEXT}}}))"
+    return F.arrays_zip(
+        F.regexp_extract_all(own, F.lit(before), 1).alias("before"),
+        F.regexp_extract_all(own, F.lit(f"({CANDIDATE})"), 1).alias("value"),
+        F.regexp_extract_all(own, F.lit(after), 1).alias("after"),
+    )
+
+
+def features(before: Column, value: Column, after: Column, path: Column, words: list[str]) -> dict[str, Column]:
+    """The forest's inputs: length, character transitions, dictionary coverage, path, neighbouring words."""
+    count = lambda column, pattern: F.regexp_count(column, F.lit(pattern)).cast("double")
+    flag = lambda column, pattern: F.coalesce(column.rlike(pattern), F.lit(False)).cast("double")
+    size = F.length(value).cast("double")
+    known = "|".join(sorted(words, key=lambda w: (-len(w), w))) or "(?!)"
+    return {
+        "length": size,
+        "digits": count(value, "[0-9]") / size,
+        "capitals": count(value, "[A-Z]") / size,
+        "others": count(value, "[^A-Za-z0-9]") / size,
+        # neighbours of different classes, and vowels followed by consonants
+        "transitions": count(value, "[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])|[^A-Za-z0-9](?=[A-Za-z0-9])") / size,
+        "vowel_turns": count(F.lower(value), "[aeiou](?=[b-df-hj-np-tv-z])") / size,
+        "repeats": count(value, r"(.)(?=\1)") / size,
+        "coverage": 1 - F.length(F.regexp_replace(F.lower(value), known, "")) / size,
+        "test_path": flag(path, TEST_PATH),
+        "in_path": flag(before, r"(?:://|[/\\])[^\s\"']*$"),
+        "credential": flag(before, CREDENTIAL),
+        "assigned": flag(before, r"[=:]\s*[\"'`]?$"),
+        "quoted": flag(before, "[\"'`]$") * flag(after, "^[\"'`]"),
+        "placeholder": flag(F.concat(before, value), PLACEHOLDER),
+        "words_before": count(before, r"\b[A-Za-z]{2,}\b"),
+    }
+
+
+def labelled(before: Column, value: Column, after: Column) -> Column:
+    """The label of a finding where no person gave one: 1 for a value of random characters that is assigned, in quotes,
+    to a credential's name, 0 for everything else."""
+    named = before.rlike(CREDENTIAL + r"[A-Za-z_-]{0,12}\s{0,3}[=:]\s{0,3}[\"'`]$") & after.rlike("^[\"'`]")
+    mixed = F.regexp_count(value, F.lit("[0-9]")) * 8 >= F.length(value)
+    return F.coalesce(named & mixed & ~F.concat(before, value).rlike(PLACEHOLDER), F.lit(False)).cast("int")
+
+
+def findings(documents: DataFrame, words: list[str], key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
+    """A row per candidate: ``key, n`` (its number in the text, from 0), ``before, value, after`` and the features."""
+    place = F.col(path).cast("string") if path else F.lit("")
+    rows = documents.select(F.col(key), place.alias("path"), F.posexplode(candidates(text)).alias("n", "c"))
+    own = rows.select(key, "n", "path", "c.before", "c.value", "c.after")
+    made = features(F.col("before"), F.col("value"), F.col("after"), F.col("path"), words)
+    return own.select(key, "n", "before", "value", "after", *(column.alias(name) for name, column in made.items()))
+
+
+@dataclass
+class Forest:
+    """Trees as nested tuples: (feature, threshold, left, right), leaves are shares of label 1."""
+
+    trees: list
+
+    def score(self, inputs: dict[str, Column]) -> Column:
+        """The mean of the trees, as an expression."""
+        total = F.lit(0.0)
+        for tree in self.trees:
+            total = total + _as_column(tree, inputs)
+        return total / len(self.trees)
+
+
+def _as_column(node, inputs: dict[str, Column]) -> Column:
+    if isinstance(node, float):
+        return F.lit(node)
+    name, threshold, left, right = node
+    return F.when(inputs[name] <= threshold, _as_column(left, inputs)).otherwise(_as_column(right, inputs))
+
+
+def _tree(node) -> object:
+    if node.subtreeDepth() == 0:
+        stats = node.impurityStats().stats()
+        return float(stats[1] / (stats[0] + stats[1])) if len(stats) > 1 and stats[0] + stats[1] else 0.0
+    split = node.split()
+    return FEATURES[split.featureIndex()], float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild())
+
+
+def train_forest(labelled_findings: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 5) -> Forest:
+    """Fit on findings with the features and ``label`` (0 or 1); of each label at most ``sample_rows``, by the lowest hashes.
+
+    Rows with a null label or feature are left out. With findings of one label, or none,
+    every score is that label's, or 0.
+    """
+    rows = labelled_findings.select("label", *FEATURES).where(F.col("label").isin(0, 1)).dropna()
+    drawn = [rows.where(F.col("label") == y).orderBy(F.xxhash64(*FEATURES), *FEATURES).limit(sample_rows) for y in (0, 1)]
+    sample = materialise(drawn[0].union(drawn[1]).withColumn("label", F.col("label").cast("double")), "findings")
+    seen = {row["label"] for row in sample.select("label").distinct().collect()}
+    if len(seen) < 2:
+        return Forest([float(max(seen, default=0.0))])
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
+    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=2)
+    model = forest.fit(rows.select("label", "features"))
+    return Forest([_tree(tree._call_java("rootNode")) for tree in model.trees])
+
+
+def scan(documents: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
+    """All findings of all texts with ``label``, ``score`` and ``is_secret``.
+
+    The forest is trained on the findings of rows for which ``usable`` (over
+    ``documents``) is true; its label there is ``labelled``. A null or empty text has no
+    findings; rows with a null key and repeated rows are scanned like all others.
+    """
+    rows = documents.select(F.col(key), F.col(text), *([F.col(path)] if path else []), F.coalesce(usable, F.lit(True)).alias("_usable"))
+    words = dictionary(documents, text)
+    found = findings(rows.withColumn(key, F.struct(key, "_usable")), words, key, text, path)
+    found = found.withColumn("label", labelled(F.col("before"), F.col("value"), F.col("after")))
+    found = materialise(found, "findings")
+    forest = train_forest(found.where(F.col(f"{key}._usable")))
+    score = forest.score({name: F.col(name) for name in FEATURES})
+    return found.withColumn("score", score).withColumns({"is_secret": F.col("score") >= 0.5, key: F.col(f"{key}.{key}")})
+
+
+def redact(
+    documents: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", path: str | None = "source", mask: str = "[SECRET]"
+) -> DataFrame:
+    """``documents`` with every secret in ``text`` replaced by ``mask``; all other rows and columns as they are.
+
+    Candidates are scored where they stand, as an array of the row, so a text is neither
+    joined nor moved. All places of a secret in its text are replaced.
+    """
+    words = dictionary(documents, text)
+    found = findings(documents.where(F.coalesce(usable, F.lit(True))), words, key, text, path)
+    forest = train_forest(found.withColumn("label", labelled(F.col("before"), F.col("value"), F.col("after"))))
+    place = F.col(path).cast("string") if path else F.lit("")
+
+    def secret(c: Column) -> Column:
+        return forest.score(features(c["before"], c["value"], c["after"], place, words)) >= 0.5
+
+    values = F.transform(F.filter(candidates(text), secret), lambda c: c["value"])
+    changed = F.aggregate(values, F.col(text), lambda text_, value: F.replace(text_, value, F.lit(mask)))
+    return documents.withColumn(text, changed)
