@@ -1,0 +1,113 @@
+"""Near copies by the similarity of their word shingles, and documents without them."""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from corpusloom.llm.common import Batches, rows_to_batches, text_bytes
+from corpusloom.llm.components import connected_components
+from corpusloom.llm.simhash import SEED, near_duplicates, shingle_hashes
+from corpusloom.session import broadcast_if_small, materialise, ship_package
+
+WIDTH, SIMILARITY = 5, 0.8
+# passages end at words chosen by their hash, about one in so many, after some words at least
+PASSAGE_WORDS, LEAST_WORDS = 12, 6
+# documents as similar as SIMILARITY share more of their passages than this
+SHARED = 0.3
+# keys are 8 bytes each
+BROADCAST_KEYS = 200_000
+
+
+def passages(text: bytes) -> list[int]:
+    """Hashes of the distinct content-defined passages of a text, signed."""
+    words = text.lower().split()
+    if not words:
+        return []
+    ends = np.flatnonzero(np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % PASSAGE_WORDS == 0) + 1
+    found, begin = set(), 0
+    for end in [*ends.tolist(), len(words)]:
+        if end - begin >= LEAST_WORDS or end == len(words):
+            found.add(xxhash.xxh64_intdigest(b" ".join(words[begin:end]), SEED))
+            begin = end
+    return [h - (1 << 64) if h >> 63 else h for h in found]
+
+
+def similar_links(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY
+) -> DataFrame:
+    """Links ``a, b`` between documents whose sets of ``width``-word shingles have at least this Jaccard similarity.
+
+    Candidates share passages. Each passage proposes one centre, the document whose
+    passages are shared most, so a group of n copies gives n candidates and no pairs;
+    a passage that very many documents share does the same. Proposals of documents that
+    share too few passages with the centre are dropped, the exact similarity decides the rest.
+    """
+    ship_package(documents.sparkSession)
+    rows = documents.select(F.col(key).cast("bigint").alias("k"), text_bytes(text).alias("t")).where("k is not null")
+    schema = pa.schema([("k", pa.int64()), ("n", pa.int32()), ("p", pa.list_(pa.int64()))])
+
+    def cut(batches: Batches) -> Batches:
+        def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = passages(t.as_py())
+                yield k, len(found), found
+
+        return rows_to_batches(batches, schema, rows_of)
+
+    held = materialise(rows.mapInArrow(cut, "k bigint, n int, p array<bigint>"), "passages")
+    held = held.select("k", "n", F.explode("p").alias("p"))
+    counts = materialise(held.groupBy("p").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
+    shared = materialise(held.join(counts, "p"), "shared")
+    central = materialise(shared.groupBy("k").agg((F.sum(F.log("c")) / F.first("n")).alias("s")), "central")
+    shared = shared.join(central, "k")
+    centres = materialise(shared.groupBy("p").agg(F.max(F.struct("s", (-F.col("k")).alias("m"))).alias("best")).select("p", (-F.col("best.m")).alias("b")), "centres")
+    proposed = held.join(centres, "p").where("k <> b").groupBy("k", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    proposed = materialise(proposed.where(F.col("c") >= SHARED * F.col("n")).select("k", "b"), "proposed")
+    wanted = proposed.select(F.explode(F.array("k", "b")).alias("k")).distinct()
+    wanted = broadcast_if_small(materialise(wanted, "wanted"), BROADCAST_KEYS)
+    schema2 = pa.schema([("k", pa.int64()), ("s", pa.binary())])
+
+    def sets(batches: Batches) -> Batches:
+        return rows_to_batches(batches, schema2, lambda batch: (
+            (k, np.unique(shingle_hashes(t.as_py(), width)).tobytes()) for k, t in zip(batch.column(0).to_pylist(), batch.column(1))
+        ))
+
+    marked = materialise(rows.join(wanted, "k", "left_semi").mapInArrow(sets, "k bigint, s binary"), "sets")
+
+    def alike(batches: Batches) -> Batches:
+        for batch in batches:
+            kept = []
+            for one, other in zip(batch.column("s"), batch.column("o")):
+                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (one, other))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= similarity * max(len(x), len(y)) else 0
+                kept.append(both >= similarity * (len(x) + len(y) - both) and both > 0)
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    pairs = proposed.join(marked, "k").withColumnsRenamed({"k": "a"}).join(marked.toDF("b", "o"), "b").select("a", "b", "s", "o")
+    return pairs.mapInArrow(alike, "a bigint, b bigint")
+
+
+def without_near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``documents`` with one document of each group of near copies: that of the smallest key.
+
+    Groups are components: first of SimHash fingerprints over five words that differ in
+    at most 2 bits, then, among what is left, of documents with a similarity of at least
+    SIMILARITY. Rows that repeat a key are one document's and stay or go together; rows
+    with a null key stay. All columns stay as they are.
+    """
+    first = near_duplicates(documents.select(key, text), key, text, WIDTH)
+    gone = materialise(first.where(F.col(key) > F.col("component_id")).select(F.col(key).alias("_gone")).distinct(), "gone")
+    left = _without(documents, gone, key)
+    roots = connected_components(similar_links(left.select(key, text), key, text))
+    more = roots.where("id > root").select(F.col("id").alias("_gone"))
+    return _without(documents, materialise(gone.union(more).distinct(), "gone"), key)
+
+
+def _without(documents: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    return documents.join(broadcast_if_small(gone, BROADCAST_KEYS), documents[key] == gone["_gone"], "left_anti")
