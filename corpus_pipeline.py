@@ -14,7 +14,7 @@ from corpusloom.llm.common import remainder_of_id, table  # noqa: E402
 from corpusloom.llm.near_copies import without_near_copies  # noqa: E402
 from corpusloom.llm.packing import pack_documents  # noqa: E402
 from corpusloom.llm.quality import train, with_scores  # noqa: E402
-from corpusloom.llm.secrets import redact  # noqa: E402
+from corpusloom.llm.secret_scan import redact  # noqa: E402
 from corpusloom.session import work_folder  # noqa: E402
 
 

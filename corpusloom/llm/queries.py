@@ -12,7 +12,7 @@ from corpusloom.llm.ctph import fingerprint_documents
 from corpusloom.llm.mixing import score_documents
 from corpusloom.llm.packing import pack_documents
 from corpusloom.llm.quality import train, with_scores
-from corpusloom.llm.secrets import scan
+from corpusloom.llm.secret_scan import scan
 from corpusloom.llm.simhash import near_duplicates
 from corpusloom.llm.token_file import read_token_files, write_token_files
 from corpusloom.llm.warc import BASE32, read_manifest, write_warc
