@@ -14,7 +14,9 @@ PERMANENT_CODE = "insufficient_quota"
 SUCCESS, RETRY, PERMANENT, EXHAUSTED = "success", "retry", "permanent", "exhausted"
 
 
-def retry_class(attempt: Column, status: Column, error_code: Column | None = None) -> Column:
+def retry_class(
+    attempt: Column, status: Column, error_code: Column | None = None, max_retries: int = MAX_RETRIES
+) -> Column:
     """What follows the ``attempt``-th failure; a NULL status stands for a network error."""
     code = F.lit(None).cast("string") if error_code is None else error_code
     ok = status.between(200, 299)
@@ -22,7 +24,7 @@ def retry_class(attempt: Column, status: Column, error_code: Column | None = Non
     return (
         F.when(F.coalesce(ok, F.lit(False)), F.lit(SUCCESS))
         .when(F.coalesce(code == PERMANENT_CODE, F.lit(False)) | lasting, F.lit(PERMANENT))
-        .when(attempt > MAX_RETRIES, F.lit(EXHAUSTED))
+        .when(attempt > max_retries, F.lit(EXHAUSTED))
         .otherwise(F.lit(RETRY))
     )
 

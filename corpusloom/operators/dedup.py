@@ -5,24 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.text import short_sha
+from corpusloom.session import broadcast_if_small
 
 # Fixed value: modification times closer than this are equal.
 MTIME_TOLERANCE = 1e-3
 
-# A message lists the ids of existing rows up to this many; longer lists are left to
-# ``collision_ids``, which has all of them as rows.
-LISTED_IDS = 1_000
-
-# Tasks that share the rows of one file name while its ids are gathered.
-SALTS = 32
-
 # Texts of the messages.
 SHA_TEXT = "sha256 match"
 STAT_TEXT = "size+mtime match"
 NO_FINGERPRINT_TEXT = "no fingerprint in existing row"
 SHA_DIFFERS_TEXT = "sha256 differs (db=%s, new=%s)"
 STAT_DIFFERS_TEXT = "size/mtime differ (db=%s, new=%s)"
-NAME_TEXT = "filename match (doc_id=%s)%s"
+NAME_TEXT = "filename match (lowest doc_id=%d of %d)%s"
 DUPLICATE_TEXT = "fingerprint duplicate of doc_id=%s (%s)"
 LOCAL_MISSING_TEXT = ", local fingerprint unavailable"
 STORED_MISSING_TEXT = " has no fingerprint in DB; assuming duplicate"
@@ -71,31 +65,12 @@ def collision_ids(new: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def _names(existing: DataFrame) -> DataFrame:
-    """One row per stored file name: ``n_existing``, ``n_no_fp`` and its ids as text.
-
-    Counting is pre-aggregated. Ids are gathered only for names with few rows; the
-    rows of a name are dealt over ``SALTS`` tasks before that is known, so a name
-    with a third of all rows does not meet in one of them.
-    """
+    """One row per stored file name: ``n_existing``, ``n_no_fp`` and the lowest id, aggregated before the shuffle."""
     fp = F.col("fingerprint")
     no_fp = F.coalesce(~_has_sha(fp) & ~_has_stat(fp), F.lit(True))
-    counts = existing.groupBy("filename").agg(
-        F.count(F.lit(1)).alias("n_existing"), F.count_if(no_fp).alias("n_no_fp")
-    )
-    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
-    short = counts.where(F.col("n_existing") <= LISTED_IDS).select(
-        "filename", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    )
-    lists = (
-        existing.select("filename", "id", salt.alias("salt"))
-        .join(short, ["filename", "salt"], "left_semi")
-        .groupBy("filename", "salt")
-        .agg(F.collect_list("id").alias("ids"))
-        .groupBy("filename")
-        .agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
+    return existing.groupBy("filename").agg(
+        F.count(F.lit(1)).alias("n_existing"), F.count_if(no_fp).alias("n_no_fp"), F.min("id").alias("lowest_id")
     )
-    text = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return counts.join(lists.select("filename", text.alias("ids")), "filename", "left")
 
 
 def _matches(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -154,7 +129,8 @@ def collision_decision(
     ``new`` has ``key`` (unique), ``filename`` and ``fingerprint``; ``existing`` has
     ``id``, ``filename`` and ``fingerprint`` (a struct, or NULL if unknown). The
     decision is ``keep``, ``skip`` or, with policy ``fail``, ``abort``. A policy that
-    is not known acts as ``fingerprint``.
+    is not known acts as ``fingerprint``. Stored rows are cut to the names of the new
+    files before anything else, so a small batch costs one pass over the stored names.
     """
     policy = policy.lower()
     fp = F.col("fingerprint")
@@ -164,10 +140,11 @@ def collision_decision(
             key, "filename", F.lit("keep").alias("decision"), F.lit(None).cast("bigint").alias("matched_id"),
             F.lit(None).cast("string").alias("reason"),
         )
+    names = broadcast_if_small(new.select("filename").distinct())
+    existing = existing.select("id", "filename", "fingerprint").join(names, "filename", "left_semi")
     judged = files.join(_names(existing), "filename", "left")
     collides = F.col("n_existing").isNotNull()
-    ids = F.coalesce(F.col("ids"), F.format_string("%d rows", F.col("n_existing")))
-    by_name = lambda rest: F.format_string(NAME_TEXT, ids, F.lit(rest))
+    by_name = lambda rest: F.format_string(NAME_TEXT, F.col("lowest_id"), F.col("n_existing"), F.lit(rest))
     if policy in ("skip", "fail"):
         word = "skip" if policy == "skip" else "abort"
         return judged.select(

@@ -38,13 +38,10 @@ def route_frames(df: DataFrame, names: list[str], unmatched: str = UNMATCHED) ->
 
 
 def fan_out(df: DataFrame, sinks: dict[str, Sink]) -> None:
-    """Give every sink all records; they are computed once and kept until the last sink is done."""
-    cached = df.persist()
-    try:
-        for sink in sinks.values():
-            sink(cached)
-    finally:
-        cached.unpersist()
+    """Give every sink all records; they are computed and written once, so that all sinks agree whatever executor is lost."""
+    written = materialise(df, "fan-out")
+    for sink in sinks.values():
+        sink(written)
 
 
 def dead_letter(df: DataFrame, relationship: str, path: str) -> None:
@@ -62,6 +59,13 @@ def conservation(df_in: DataFrame, outputs: dict[str, DataFrame]) -> DataFrame:
     return result
 
 
+def route_conservation(routed: DataFrame, names: list[str], unmatched: str = UNMATCHED) -> DataFrame:
+    """``name, n`` of the input and of every route of a frame with one route per record, in one pass."""
+    counts = [F.struct(F.lit("input").alias("name"), F.count(F.lit(1)).alias("n"))]
+    counts += [F.struct(F.lit(name).alias("name"), F.count_if(F.col("route") == name).alias("n")) for name in [*names, unmatched]]
+    return routed.agg(F.array(*counts).alias("counts")).select(F.explode("counts").alias("c")).select("c.name", "c.n")
+
+
 def expire(df: DataFrame, ts: str, now: datetime | Column, ttl: str = DEFAULT_TTL) -> DataFrame:
     """Records that have not expired at ``now``; one without a time stays."""
     if not isinstance(now, Column):
@@ -95,7 +99,7 @@ def retry_rounds(
     for attempt in range(1, max_retries + 2):
         tried = step(pending.withColumn("attempt", F.lit(attempt)))
         code = F.col("error_code") if "error_code" in tried.columns else None
-        tried = tried.withColumn("outcome", retry_class(F.col("attempt"), F.col("status"), code))
+        tried = tried.withColumn("outcome", retry_class(F.col("attempt"), F.col("status"), code, max_retries))
         tried = materialise(tried, f"retry-{attempt}")
         ended.append(tried.where(F.col("outcome").isin(SUCCESS, PERMANENT, EXHAUSTED)))
         pending = tried.where(F.col("outcome") == RETRY).select(*df.columns)

@@ -11,12 +11,17 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusloom.functions.vectors import (
     code_words, cosine_distance, hamming, query_words, require_dims, vector_literal_column,
 )
-from corpusloom.session import materialise
+from corpusloom.operators.keys import stored_table
+from corpusloom.session import broadcast_if_small, materialise
 
 # Queries that one task compares at a time, and stored rows per fragment when
 # both sides are too many for a broadcast.
 QUERY_BLOCK = 1_024
-FRAGMENT_ROWS = 100_000
+FRAGMENT_BYTES = 64 << 20
+# A query's candidates from more tasks than this are merged in groups of tasks first.
+MERGED_TASKS = 512
+# Candidate rows, two numbers each, that are broadcast to the scan of the vectors.
+BROADCAST_CANDIDATES = 200_000
 # Rows of an Arrow batch that are widened to double at a time.
 SLICE_ROWS = 2_048
 # Candidate ids that are put into a scan as a list; more are joined.
@@ -49,9 +54,17 @@ def build_codes(df: DataFrame, key: str, vec_col: str, dims: int) -> DataFrame:
 
 
 def store_codes(df: DataFrame, key: str, vec_col: str, dims: int, path: str) -> DataFrame:
-    """Write the code table unless it is there already, and read it; call it after loading."""
-    build_codes(df, key, vec_col, dims).write.mode("ignore").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """Bring the code table at ``path`` up to date with ``df`` and read it.
+
+    Keys without a code get theirs appended, codes of keys that are gone are left
+    out, so a grown or cut table is searched as it is. A write that died left nothing
+    that is read. A vector that changes must get a new key.
+    """
+    stored = stored_table(df.sparkSession, path)
+    missing = df if stored is None else df.join(stored.select(key), key, "left_anti")
+    build_codes(missing, key, vec_col, dims).write.mode("append").parquet(path)
+    present = df.where(F.col(vec_col).isNotNull()).select(key)
+    return df.sparkSession.read.parquet(path).join(present, key, "left_semi")
 
 
 def find_closest(
@@ -176,7 +189,9 @@ def _block_scan(rows: DataFrame, queries: list, kind: str, k: int) -> DataFrame:
     return rows.mapInArrow(scan, SCORED)
 
 
-def _fragment_scan(rows: DataFrame, queries: DataFrame, kind: str, k: int, n_rows: int, n_queries: int) -> DataFrame:
+def _fragment_scan(
+    rows: DataFrame, queries: DataFrame, kind: str, k: int, n_rows: int, n_queries: int, width: int
+) -> DataFrame:
     """The same for many queries: fragments of rows meet blocks of queries.
 
     Both sides are cut by a hash of their unique keys, so every group has a bounded,
@@ -184,7 +199,7 @@ def _fragment_scan(rows: DataFrame, queries: DataFrame, kind: str, k: int, n_row
     per query of the block.
     """
     score, dtype = SCORES[kind]
-    n_fragments = max(1, -(-n_rows // FRAGMENT_ROWS))
+    n_fragments = max(1, -(-n_rows * 8 * width // FRAGMENT_BYTES))
     n_blocks = max(1, -(-n_queries // QUERY_BLOCK))
     number = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -219,7 +234,13 @@ def _scan(rows: DataFrame, queries: DataFrame, kind: str, k: int, query_limit: i
     if len(few) <= query_limit:
         parts = _block_scan(rows, few, kind, k)
     else:
-        parts = _fragment_scan(rows, queries, kind, k, rows.count(), queries.count())
+        width = max((len(q["v"]) for q in few if q["v"]), default=1)
+        parts = _fragment_scan(rows, queries, kind, k, rows.count(), queries.count(), width)
+    if parts.rdd.getNumPartitions() > MERGED_TASKS:
+        group = F.pmod(F.spark_partition_id(), F.lit(MERGED_TASKS // 8))
+        best = Window.partitionBy("query_id", "_group").orderBy("score", "row_id")
+        ranked = parts.withColumn("_group", group).withColumn("_rank", F.row_number().over(best))
+        parts = ranked.where(F.col("_rank") <= k).drop("_group", "_rank")
     return top_k_per_query(parts, "query_id", ["score", "row_id"], k)
 
 
@@ -267,11 +288,13 @@ def find_closest_batch(
     asked_codes = build_codes(queries.select(query_key, query_vec), query_key, query_vec, dims)
     rows = codes.select(F.col(key).alias("row_id"), _code_array(codes).alias("v"))
     asked = asked_codes.select(F.col(query_key).alias("query_id"), _code_array(asked_codes).alias("v"))
-    candidates = _scan(rows, asked, "code", wanted, query_limit).select("query_id", "row_id")
+    # written and counted first: a few thousand candidates go to the vectors, not the vectors to them
+    candidates = materialise(_scan(rows, asked, "code", wanted, query_limit).select("query_id", "row_id"), "candidates")
+    candidates = broadcast_if_small(candidates, BROADCAST_CANDIDATES)
     vectors = df.select(F.col(key).alias("row_id"), F.col(vec_col).alias("_v"))
     asked_vectors = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("_q"))
     scored = (
-        candidates.join(vectors, "row_id")
+        vectors.join(candidates, "row_id")
         .join(asked_vectors, "query_id")
         .select("query_id", "row_id", cosine_distance(F.col("_v"), F.col("_q")).alias("distance"))
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions.text import estimate_tokens
@@ -49,11 +51,14 @@ def with_catalogue(df: DataFrame, model: str = "model") -> DataFrame:
     return df.join(F.broadcast(catalogue), model, "left")
 
 
-def doc_stats(chunks: DataFrame, doc: str) -> DataFrame:
-    """``chunk_count, tokens, chars`` per document, from its chunks."""
+TokenCount = Callable[[Column], Column]
+
+
+def doc_stats(chunks: DataFrame, doc: str, token_count: TokenCount | None = None) -> DataFrame:
+    """``chunk_count, tokens, chars`` per document, from its chunks; tokens are estimated without a tokenizer's count."""
     return chunks.groupBy(doc).agg(
         F.count(F.lit(1)).alias("chunk_count"),
-        F.sum(estimate_tokens(F.col("content"))).alias("tokens"),
+        F.sum((token_count or estimate_tokens)(F.col("content"))).alias("tokens"),
         F.sum(F.length("content")).alias("chars"),
     )
 
@@ -66,9 +71,9 @@ def page_stats(documents: DataFrame, pages: str = "pages") -> DataFrame:
     return documents.withColumns({"page_count": F.size(pages), "total_chars": chars})
 
 
-def batch_totals(chunks: DataFrame, doc: str) -> DataFrame:
+def batch_totals(chunks: DataFrame, doc: str, token_count: TokenCount | None = None) -> DataFrame:
     """One row ``documents, total_chunks, total_tokens``."""
-    return doc_stats(chunks, doc).agg(
+    return doc_stats(chunks, doc, token_count).agg(
         F.count(F.lit(1)).alias("documents"),
         F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("total_chunks"),
         F.coalesce(F.sum("tokens"), F.lit(0)).alias("total_tokens"),
@@ -120,7 +125,8 @@ def run_report(outcomes: DataFrame) -> DataFrame:
     """One row with counts per outcome and ``success``; the lists stay rows of ``outcomes``.
 
     ``outcomes`` has a ``status`` of succeeded, skipped, parse_failed or ingest_failed.
-    A run is a success if some file succeeded and none failed while it was stored.
+    A run is a success if no file failed while it was stored and some file succeeded, or all that
+    could be parsed were skipped; a run without any parsed file is none.
     """
     counted = lambda name: F.count_if(F.col("status") == name)
     return outcomes.agg(
@@ -128,7 +134,7 @@ def run_report(outcomes: DataFrame) -> DataFrame:
         counted("skipped").alias("skipped"),
         counted("parse_failed").alias("parse_failed"),
         counted("ingest_failed").alias("ingest_failed"),
-    ).withColumn("success", (F.col("succeeded") > 0) & (F.col("ingest_failed") == 0))
+    ).withColumn("success", (F.col("succeeded") + F.col("skipped") > 0) & (F.col("ingest_failed") == 0))
 
 
 def outcome_rows(outcomes: DataFrame) -> DataFrame:

@@ -9,18 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions.chunking import chunk_pages, running_total
 from corpusloom.functions.text import CHUNK_OVERLAP, CHUNK_TOKENS, char_windows, preview, strip_ws, title
-from corpusloom.functions.vectors import rounded_vector
+from corpusloom.functions.vectors import code_words, fit_vector, rounded_vector
 from corpusloom.operators.dedup import collision_decision
 from corpusloom.operators.keys import assign_seq, next_seq, stored_table
 from corpusloom.operators.stats import (
-    batch_totals, cost_estimate, page_stats, pinned_identity, run_report,
+    BACKENDS, batch_totals, cost_estimate, page_stats, pinned_identity, run_report,
 )
 from corpusloom.operators.tables import linked
 from corpusloom.plans.embedding import EmbedFn, embed_column
 from corpusloom.session import materialise
 from corpusloom.sources.files import NO_TEXT
+from corpusloom.sources.schema import preflight
 
 NO_CHUNKS = "no chunks produced"
+CALL_SIZES = {name: size for name, _, _, size, _ in BACKENDS}
 
 DOCUMENT_COLUMNS = (
     "id bigint, filename string, source_path string, metadata struct<title: string, page_count: int, "
@@ -29,7 +31,7 @@ DOCUMENT_COLUMNS = (
 )
 CHUNK_COLUMNS = (
     "id bigint, document_id bigint, chunk_index int, content string, token_count int, "
-    "metadata struct<page: int>, embedding array<float>"
+    "metadata struct<page: int>, embedding array<float>, code array<bigint>"
 )
 
 
@@ -79,6 +81,28 @@ class Corpus:
         named = self.documents().select("id", meta["embed_backend"].alias("embed_backend"), meta["embed_model"].alias("embed_model"))
         return pinned_identity(named)
 
+    def dims(self) -> int | None:
+        """The dimension of the first stored document's vectors."""
+        known = self.documents().select("id", F.col("metadata")["embed_dims"].alias("n")).where("n is not null")
+        return known.agg(F.min_by("n", "id").alias("n")).first()["n"]
+
+    def codes(self) -> DataFrame:
+        """The code table of all committed chunks, as the ingest wrote it with the vectors."""
+        stored = self.chunks().where(F.col("code").isNotNull())
+        words = stored.agg(F.max(F.size("code")).alias("n")).first()["n"] or 0
+        return stored.select("id", *[F.col("code")[i].alias(f"w{i}") for i in range(words)])
+
+    def check(self) -> None:
+        """An error with all problems if the stored tables are not those that an ingest writes."""
+        if self.is_new():
+            return
+        required = {"documents": DOCUMENT_COLUMNS, "chunks": CHUNK_COLUMNS}
+        present = {"documents": self.documents().schema, "chunks": self.raw_chunks().schema}
+        need = {name: self.spark.createDataFrame([], columns).schema for name, columns in required.items()}
+        problems = preflight(self.spark, need, present).collect()
+        if problems:
+            raise ValueError("; ".join(f"{p['table']}.{p['column']}: {p['problem']}" for p in problems))
+
 
 @dataclass
 class Settings:
@@ -91,8 +115,14 @@ class Settings:
     backend: str = "openai"
     model: str = "text-embedding-3-large"
     title_override: str | None = None
-    batch_size: int = 64
+    batch_size: int | None = None
     embed_tasks: int | None = None
+    dims: int | None = None
+    dims_mode: str = "exact"
+
+    def call_size(self) -> int:
+        """Texts per model call: as told, else what the back end takes."""
+        return self.batch_size or CALL_SIZES.get(self.backend, 1)
 
 
 @dataclass
@@ -106,7 +136,7 @@ class Prepared:
 
     def totals(self) -> DataFrame:
         """One row with documents, chunks and tokens of the batch."""
-        return batch_totals(self.chunks, "source_path")
+        return batch_totals(self.chunks, "source_path", self.settings.token_count)
 
 
 def prepare(
@@ -166,6 +196,28 @@ def estimate(prepared: Prepared) -> DataFrame:
     return cost_estimate(prepared.totals(), prepared.settings.backend, prepared.settings.model)
 
 
+def with_dims(vectors: DataFrame, dims: int | None, mode: str) -> DataFrame:
+    """Vectors of the column's dimension; a chunk whose vector cannot get it has an ``embed_error`` instead.
+
+    ``exact`` takes vectors of that dimension only, ``pad_strict`` fills shorter ones with
+    zeros, ``fit`` also cuts longer ones.
+    """
+    if mode not in ("exact", "pad_strict", "fit"):
+        raise ValueError(f"unknown dims_mode: {mode}")
+    if dims is None:
+        return vectors
+    vector, size = F.col("embedding"), F.size("embedding")
+    bad = {"exact": size != dims, "pad_strict": size > dims, "fit": F.lit(False)}[mode] & vector.isNotNull()
+    error = F.when(bad, F.format_string(f"embedding has %d dims, expected {dims}", size))
+    return vectors.withColumns({
+        "embed_error": F.coalesce("embed_error", error), "embedding": F.when(~bad, fit_vector(vector, dims)),
+    })
+
+
+def _most_common_dims(vectors: DataFrame) -> int | None:
+    return vectors.where(F.col("embedding").isNotNull()).agg(F.mode(F.size("embedding")).alias("n")).first()["n"]
+
+
 @dataclass
 class Report:
     """Outcome rows ``status, source_path, file, detail`` and their one-row summary."""
@@ -182,6 +234,7 @@ def run(prepared: Prepared, corpus: Corpus, embed: EmbedFn) -> Report:
     document without all its chunks. A document with a failed call stores nothing.
     """
     settings = prepared.settings
+    corpus.check()
     pin = corpus.pinned().collect()
     if pin and (pin[0]["embed_backend"], pin[0]["embed_model"]) != (settings.backend, settings.model):
         raise ValueError(
@@ -190,10 +243,12 @@ def run(prepared: Prepared, corpus: Corpus, embed: EmbedFn) -> Report:
         )
     vectors = materialise(
         embed_column(
-            prepared.chunks, "content", embed, settings.batch_size, "source_path", "chunk_index", settings.embed_tasks
+            prepared.chunks, "content", embed, settings.call_size(), "source_path", "chunk_index", settings.embed_tasks
         ),
         "vectors",
     )
+    dims = settings.dims or corpus.dims() or _most_common_dims(vectors)
+    vectors = with_dims(vectors, dims, settings.dims_mode)
     per_doc = vectors.groupBy("source_path").agg(
         F.count(F.lit(1)).alias("chunk_count"),
         F.min("embed_error").alias("embed_error"),
@@ -246,6 +301,7 @@ def run(prepared: Prepared, corpus: Corpus, embed: EmbedFn) -> Report:
         count(F.col("content")).cast("int").alias("token_count"),
         F.struct("page").alias("metadata"),
         rounded_vector(F.col("embedding")).alias("embedding"),
+        (F.array(*code_words(rounded_vector(F.col("embedding")), dims)) if dims else F.lit(None).cast("array<bigint>")).alias("code"),
     )
     # searches fetch chunks by id: a Bloom filter lets them pass over the other row groups
     writer = numbered_chunks.write.mode("append").option("parquet.bloom.filter.enabled#id", "true")

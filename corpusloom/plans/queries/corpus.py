@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.operators.stats import (
     batch_totals, cost_estimate, doc_stats, outcome_rows, page_stats, pinned_identity, run_report, space_violations,
@@ -14,7 +14,8 @@ from corpusloom.plans.ingest import Corpus, Settings, ingest
 from corpusloom.plans.queries.common import SQL_CHUNKS, SQL_TOKENS, long, table
 from corpusloom.plans.queries.text import document_chunks
 from corpusloom.session import materialise, spread, work_folder
-from corpusloom.sources.files import extract_pages, fingerprint, read_documents, scan_files
+from corpusloom.sources.files import extract_pages, fingerprint, list_files, read_documents, scan_files
+from corpusloom.sources.schema import preflight
 
 MODEL = "text-embedding-3-large"
 
@@ -120,6 +121,46 @@ def ingest_estimate(spark: SparkSession, folder: str) -> DataFrame:
     return ingest(as_files(spread(table(spark, folder, "documents"))), Settings(model=MODEL), mode="estimate")
 
 
+def words_in(content: Column) -> Column:
+    """Stands for a tokenizer: the number of space-separated pieces."""
+    return F.size(F.split(content, " "))
+
+
+def ingest_estimate_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """The estimate with counts of a tokenizer instead of lengths."""
+    settings = Settings(model=MODEL, token_count=words_in)
+    return ingest(as_files(spread(table(spark, folder, "documents"))), settings, mode="estimate")
+
+
+def uneven_embedder(texts: list[str]) -> list[list[float]]:
+    """Vectors of 4 values; of 5 for texts that begin with T."""
+    return [[0.5] * (5 if text.startswith("T") else 4) for text in texts]
+
+
+def ingest_dims(spark: SparkSession, folder: str) -> DataFrame:
+    """An ingest whose model gives some vectors of a wrong dimension: only their documents fail."""
+    corpus = Corpus(spark, work_folder(spark, "corpus"))
+    settings = Settings(dims=4, batch_size=1)
+    report = ingest(as_files(spread(table(spark, folder, "documents"))), settings, corpus, uneven_embedder)
+    return report.outcomes.select("status", "file", F.when(F.col("status") == "ingest_failed", F.col("detail")).alias("detail"))
+
+
+def listed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents written to one folder per language, listed from the top."""
+    path = work_folder(spark, "files")
+    documents = table(spark, folder, "documents").where("text <> ''").select("lang", F.translate("text", "\r\n", "  ").alias("value"))
+    documents.repartition("lang").write.partitionBy("lang").text(path)
+    found = list_files(spark, path, depth=2, pattern=r"/part-[^/]*\.txt$")
+    return found.select(F.regexp_extract("path", "lang=([^/]*)", 1).alias("lang"), long("depth").alias("depth"), long("length").alias("length"))
+
+
+def preflight_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Problems of the given tables against what an ingest would need; the column counts come from their data."""
+    documents = table(spark, folder, "documents")
+    wide = documents.select("doc_id", F.col("n_chars").cast("int").alias("n_chars"))
+    return preflight(spark, {"documents": documents.schema, "labels": table(spark, folder, "labels").schema}, {"documents": wide.schema})
+
+
 def ingest_dry_run(spark: SparkSession, folder: str) -> DataFrame:
     report = ingest(as_files(spread(table(spark, folder, "documents"))), Settings(), mode="dry_run")
     return report.select(
@@ -256,10 +297,35 @@ QUERIES = {
         f"""{_KEPT} SELECT row_number() OVER (ORDER BY ids.id, chunk_index) AS id, ids.id AS document_id, chunk_index,
         1::BIGINT AS page, md5(content) AS digest, {_BYTE.format(at=1)} AS first FROM chunks JOIN ids USING (doc_id)""",
     ),
+    "ingest_estimate_tokens": (
+        ingest_estimate_tokens,
+        f"""WITH {SQL_CHUNKS}, t AS (SELECT count(DISTINCT doc_id) AS documents, count(*) AS total_chunks,
+        sum(len(string_split(content, ' ')))::BIGINT AS total_tokens FROM chunks) SELECT *, 'openai' AS backend,
+        '{MODEL}' AS model, round(total_tokens / 1000000.0 * 0.13::DOUBLE, 6) AS est_cost_usd FROM t""",
+    ),
+    "ingest_dims": (
+        ingest_dims,
+        f"""WITH {SQL_CHUNKS}, d AS (SELECT doc_id, bool_or(starts_with(content, 'T')) AS bad FROM chunks GROUP BY doc_id)
+        SELECT CASE WHEN d.doc_id IS NULL THEN 'parse_failed' WHEN bad THEN 'ingest_failed' ELSE 'succeeded' END AS status,
+        documents.doc_id || '.txt' AS file, CASE WHEN bad THEN 'embedding has 5 dims, expected 4' END AS detail
+        FROM documents LEFT JOIN d USING (doc_id)""",
+    ),
+    "list_files": (
+        listed_files,
+        """SELECT lang, 2::BIGINT AS depth, sum(strlen(translate(text, chr(13) || chr(10), '  ')) + 1)::BIGINT AS length
+        FROM documents WHERE text <> '' GROUP BY lang""",
+    ),
+    "preflight": (
+        preflight_tables,
+        """SELECT * FROM (VALUES ('documents', 'text', 'string', 'missing column'), ('documents', 'lang', 'string', 'missing column'),
+        ('documents', 'source', 'string', 'missing column'), ('documents', 'n_chars', 'bigint', 'type is int'),
+        ('labels', 'doc_id', 'bigint', 'missing table'), ('labels', 'quality', 'int', 'missing table'),
+        ('labels', 'toxic', 'int', 'missing table')) t("table", "column", required_type, problem)""",
+    ),
     "ingest_again": (
         ingest_again,
         f"""{_KEPT} SELECT 0::BIGINT AS succeeded, (SELECT count(*) FROM ids) AS skipped,
-        (SELECT count(*) FROM documents) - (SELECT count(*) FROM ids) AS parse_failed, 0::BIGINT AS ingest_failed, false AS success""",
+        (SELECT count(*) FROM documents) - (SELECT count(*) FROM ids) AS parse_failed, 0::BIGINT AS ingest_failed, true AS success""",
     ),
     "run_report": (
         run_summary,

@@ -107,7 +107,7 @@ _BASE = f"""WITH {_NEW},
 e AS (SELECT doc_id AS id, filename, CASE WHEN toxic = 1 THEN NULL ELSE size END AS size,
   CASE WHEN toxic = 1 THEN NULL WHEN quality = 0 THEN mtime + 0.0005 ELSE mtime END AS mtime,
   CASE WHEN toxic = 1 THEN NULL WHEN quality = 0 THEN '' ELSE sha END AS sha FROM n JOIN labels USING (doc_id)),
-names AS (SELECT filename, count(*) AS n_existing, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids,
+names AS (SELECT filename, count(*) AS n_existing, min(id) || ' of ' || count(*) AS ids,
   count(*) FILTER (coalesce(sha, '') = '' AND (size IS NULL OR mtime IS NULL)) AS n_no_fp FROM e GROUP BY filename)"""
 _PAIRS = """,
 p AS (SELECT doc_id, id, CASE WHEN coalesce(e.sha, '') <> '' THEN CASE WHEN e.sha = n.sha THEN 'sha256 match' END
@@ -117,13 +117,13 @@ m AS (SELECT doc_id, min(id) AS matched_id, arg_min(why, id) AS why FROM p WHERE
 """
 _DECIDED = """SELECT doc_id, filename, CASE WHEN matched_id IS NOT NULL OR n_no_fp = n_existing THEN 'skip' ELSE 'keep' END AS decision,
   matched_id, CASE WHEN matched_id IS NOT NULL THEN 'fingerprint duplicate of doc_id=' || matched_id || ' (' || why || ')'
-  WHEN n_no_fp = n_existing THEN 'filename match (doc_id=' || ids || ') has no fingerprint in DB; assuming duplicate' END AS reason
+  WHEN n_no_fp = n_existing THEN 'filename match (lowest doc_id=' || ids || ') has no fingerprint in DB; assuming duplicate' END AS reason
   FROM n LEFT JOIN names USING (filename) LEFT JOIN m USING (doc_id)"""
 
 
 def _named(word: str, sep: str, policy: str) -> str:
     return f"""{_BASE} SELECT doc_id, filename, CASE WHEN ids IS NULL THEN 'keep' ELSE '{word}' END AS decision,
-    NULL::BIGINT AS matched_id, 'filename match (doc_id=' || ids || '){sep}policy={policy}' AS reason
+    NULL::BIGINT AS matched_id, 'filename match (lowest doc_id=' || ids || '){sep}policy={policy}' AS reason
     FROM n LEFT JOIN names USING (filename)"""
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions.retry import retry_class, retry_wait
 from corpusloom.operators.flow import (
-    conservation, dead_letter, expire, fan_out, retry_rounds, route, route_frames, set_attributes,
+    dead_letter, expire, fan_out, retry_rounds, route, route_conservation, set_attributes,
 )
 from corpusloom.plans.queries.common import long, table
 from corpusloom.session import work_folder
@@ -39,7 +39,7 @@ def routed_to_all(spark: SparkSession, folder: str) -> DataFrame:
 
 def route_counts(spark: SparkSession, folder: str) -> DataFrame:
     all_events = events(spark, folder)
-    return conservation(all_events, route_frames(route(all_events, _rules()), list(_rules())))
+    return route_conservation(route(all_events, _rules()), list(_rules()))
 
 
 def fanned_out(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusloom.functions.deploy import call_table_function, deploy_function
+from corpusloom.functions.deploy import call_function, call_table_function, deploy_function
 from corpusloom.functions.documents import (
     hal_elements, hal_error, hal_page, json_build, json_each_text, metadata_get, parse_embedding_response, xml_values,
 )
@@ -80,9 +80,10 @@ def xml_links(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("</oc:fileid></d:prop></d:response><d:response><d:href>/second</d:href></d:response></d:multistatus>"),
     )
     pages = table(spark, folder, "pages").select("page_id", xml.alias("xml"))
-    hrefs = pages.select("page_id", F.explode(xml_values(F.col("xml"), "href")).alias("value"), F.lit("href").alias("name"))
-    ids = pages.select("page_id", F.explode(xml_values(F.col("xml"), "fileid")).alias("value"), F.lit("fileid").alias("name"))
-    return hrefs.unionByName(ids)
+    def named(name: str) -> Column:
+        return F.transform(xml_values(F.col("xml"), name), lambda value: F.struct(value.alias("value"), F.lit(name).alias("name")))
+
+    return pages.select("page_id", F.explode(F.concat(named("href"), named("fileid"))).alias("v")).select("page_id", "v.*")
 
 
 def model_answers(spark: SparkSession, folder: str) -> DataFrame:
@@ -112,6 +113,16 @@ def deployed_function(spark: SparkSession, folder: str) -> DataFrame:
     return documents.select("doc_id", F.call_function("token_estimate", F.col("text")).alias("tokens"))
 
 
+def called_by_name(spark: SparkSession, folder: str) -> DataFrame:
+    """A deployed function over the whole table, called with named arguments."""
+    table(spark, folder, "documents").createOrReplaceTempView("stored_documents")
+    deploy_function(
+        spark, "characters_of", "SELECT sum(n_chars) FROM stored_documents WHERE lang = wanted AND n_chars >= least_chars",
+        "wanted STRING, least_chars BIGINT", "BIGINT",
+    )
+    return call_function(spark, "characters_of", least_chars=100, wanted="fr")
+
+
 def deployed_table_function(spark: SparkSession, folder: str) -> DataFrame:
     table(spark, folder, "documents").createOrReplaceTempView("stored_documents")
     deploy_function(
@@ -162,6 +173,7 @@ QUERIES = {
         CASE WHEN label <> 9 THEN round(embedding[1]::DOUBLE, 6) END AS vectors,
         CASE WHEN label = 9 THEN 'model error 1004: login fail' END AS vectors_error FROM embeddings""",
     ),
+    "named_call": (called_by_name, "SELECT sum(n_chars)::BIGINT AS result FROM documents WHERE lang = 'fr' AND n_chars >= 100"),
     "sql_function": (deployed_function, "SELECT doc_id, greatest(1, length(text) // 4) AS tokens FROM documents"),
     "table_function": (deployed_table_function, "SELECT doc_id, n_chars FROM documents WHERE lang = 'fr'"),
 }

@@ -8,11 +8,11 @@ from corpusloom.operators.keys import append_rows, assign_seq, pk_violations
 from corpusloom.operators.search import top_k_per_query
 from corpusloom.operators.tables import (
     apply_filters, cascade_delete, count_mismatches, delete_where, idempotent_add, insert_default_if_absent,
-    latest_by_key, optimistic_update, orphans, page, page_envelope, read_table, update_where,
+    latest_by_key, optimistic_update, order_columns, orphans, page, page_envelope, read_table, update_where,
 )
 from corpusloom.plans.queries.common import long, table
 from corpusloom.session import work_folder
-from corpusloom.sources.files import by_name
+from corpusloom.sources.files import name_columns
 from corpusloom.sources.schema import conform, declare_schema
 
 
@@ -58,10 +58,10 @@ def open_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def null_order(spark: SparkSession, folder: str) -> DataFrame:
-    """The first fifty orders of two sorts on a column with NULLs."""
+    """The place of every order in two sorts on a column with NULLs."""
     orders = table(spark, folder, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("state"))
-    down = read_table(orders, order=[("state", "desc"), ("o_orderkey", "asc")], limit=50)
-    up = read_table(orders, order=[("state", "asc"), ("o_orderkey", "desc")], limit=50)
+    down = assign_seq(orders, "place", order_columns([("state", "desc"), ("o_orderkey", "asc")]))
+    up = assign_seq(orders, "place", order_columns([("state", "asc"), ("o_orderkey", "desc")]))
     return down.withColumn("sort", F.lit("desc")).unionByName(up.withColumn("sort", F.lit("asc")))
 
 
@@ -201,8 +201,8 @@ def top_orders(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def first_names(spark: SparkSession, folder: str) -> DataFrame:
-    """The first hundred pages by case-folded address."""
-    return by_name(table(spark, folder, "pages").select("page_id", "url"), "url", "page_id").limit(100)
+    """The place of every page in the order of case-folded addresses."""
+    return assign_seq(table(spark, folder, "pages").select("page_id", "url"), "place", name_columns("url", "page_id"))
 
 
 _STATE = "nullif(o_orderstatus, 'P')"
@@ -228,8 +228,10 @@ QUERIES = {
     "open_status_filter": (open_orders, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'"),
     "null_order": (
         null_order,
-        f"""(SELECT o_orderkey, {_STATE} AS state, 'desc' AS sort FROM orders ORDER BY state DESC NULLS FIRST, o_orderkey LIMIT 50)
-        UNION ALL (SELECT o_orderkey, {_STATE} AS state, 'asc' AS sort FROM orders ORDER BY state ASC NULLS LAST, o_orderkey DESC LIMIT 50)""",
+        f"""SELECT o_orderkey, {_STATE} AS state, 'desc' AS sort,
+          row_number() OVER (ORDER BY {_STATE} DESC NULLS FIRST, o_orderkey) AS place FROM orders
+        UNION ALL SELECT o_orderkey, {_STATE} AS state, 'asc' AS sort,
+          row_number() OVER (ORDER BY {_STATE} ASC NULLS LAST, o_orderkey DESC) AS place FROM orders""",
     ),
     "page_rows": (
         orders_page, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50"
@@ -319,5 +321,5 @@ QUERIES = {
         """SELECT o_custkey, o_orderkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank
         FROM orders QUALIFY rank <= 3""",
     ),
-    "name_order": (first_names, "SELECT page_id, url FROM pages ORDER BY lower(url), url, page_id LIMIT 100"),
+    "name_order": (first_names, "SELECT page_id, url, row_number() OVER (ORDER BY lower(url), url, page_id) AS place FROM pages"),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -52,12 +53,12 @@ def ship_package(spark: SparkSession) -> None:
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the folder that all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a local session, where
-    driver and executors are one process, may fall back to a temporary folder.
+    The cluster names it in ``spark.checkpoint.dir``. Only a session whose driver and
+    executors are one process may fall back to a temporary folder, as in tests.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
         base = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", base)

@@ -94,9 +94,14 @@ def skipped_files(spark: SparkSession, path: str, ext: str = "pdf") -> DataFrame
     return list_files(spark, path, depth=1).where(~F.lower("name").endswith("." + ext.lower().lstrip(".")))
 
 
+def name_columns(name: str, *ties: str) -> list[Column]:
+    """Sort columns of the case-folded name order; the name itself, then ``ties``, decide equal ones."""
+    return [F.lower(name), F.col(name), *map(F.col, ties)]
+
+
 def by_name(df: DataFrame, name: str, *ties: str) -> DataFrame:
-    """Rows in case-folded name order; the name itself, then ``ties``, decide equal ones."""
-    return df.orderBy(F.lower(name), F.col(name), *ties)
+    """Rows in case-folded name order."""
+    return df.orderBy(*name_columns(name, *ties))
 
 
 def fingerprint(size: Column, mtime: Column, content: Column) -> Column:

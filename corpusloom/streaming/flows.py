@@ -12,6 +12,7 @@ from corpusloom.functions.retry import retry_class, retry_wait
 from corpusloom.operators.flow import UNMATCHED, route, set_attributes
 from corpusloom.plans.ingest import Corpus, Report, Settings, ingest
 from corpusloom.plans.embedding import EmbedFn
+from corpusloom.session import materialise
 from corpusloom.sources.files import FILE_SCHEMA, Extractor, _glob, extract_pages, read_documents
 
 Sink = Callable[[DataFrame, int], None]
@@ -38,12 +39,9 @@ def fan_out_stream(
     """Give every sink all records of every batch; a batch is computed once."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        cached = batch.persist()
-        try:
-            for sink in sinks.values():
-                sink(cached, batch_id)
-        finally:
-            cached.unpersist()
+        written = materialise(batch, "fan-out")
+        for sink in sinks.values():
+            sink(written, batch_id)
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -99,17 +97,16 @@ def retry_stream(
         tried = step(batch)
         code = F.col("error_code") if "error_code" in tried.columns else None
         after = F.col("retry_after") if "retry_after" in tried.columns else None
-        judged = tried.withColumn("outcome", retry_class(F.col("attempt"), F.col("status"), code)).persist()
-        try:
-            done(judged.where(F.col("outcome") == "success"), batch_id)
-            ended(judged.where(F.col("outcome").isin("permanent", "exhausted")), batch_id)
-            wait = F.make_dt_interval(secs=retry_wait(F.col("attempt"), F.col("status"), after).cast("decimal(18,6)"))
-            again = judged.where(F.col("outcome") == "retry").withColumns(
-                {"not_before": now + wait, "attempt": F.col("attempt") + 1}
-            )
-            folder_sink(retry_path)(again.unionByName(early, allowMissingColumns=True), batch_id)
-        finally:
-            judged.unpersist()
+        judged = tried.withColumn("outcome", retry_class(F.col("attempt"), F.col("status"), code))
+        # the step may call a service: it is written before it is split
+        judged = materialise(judged, "retry")
+        done(judged.where(F.col("outcome") == "success"), batch_id)
+        ended(judged.where(F.col("outcome").isin("permanent", "exhausted")), batch_id)
+        wait = F.make_dt_interval(secs=retry_wait(F.col("attempt"), F.col("status"), after).cast("decimal(18,6)"))
+        again = judged.where(F.col("outcome") == "retry").withColumns(
+            {"not_before": now + wait, "attempt": F.col("attempt") + 1}
+        )
+        folder_sink(retry_path)(again.unionByName(early, allowMissingColumns=True), batch_id)
 
     return (
         work.writeStream.option("checkpointLocation", checkpoint)
@@ -160,7 +157,9 @@ def stream_ingest(
     failure then finds the documents it had stored and adds only the others.
     """
 
-    settings = replace(settings, skip_existing=True, collision_policy="fingerprint")
+    if settings.collision_policy.lower() != "fingerprint":
+        raise ValueError(f"a stream is ingested with policy fingerprint, not {settings.collision_policy}")
+    settings = replace(settings, skip_existing=True)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():

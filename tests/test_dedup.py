@@ -78,15 +78,13 @@ def test_match_classes_and_reasons(spark):
     assert why["none"] == "no fingerprint in existing row"
 
 
-def test_messages(spark, monkeypatch):
+def test_messages(spark):
     new = spark.createDataFrame([("p", "f", NEW_FP)], f"source_path string, filename string, fingerprint {FP}")
     old = spark.createDataFrame([(12, "f", None), (3, "f", None)], f"id bigint, filename string, fingerprint {FP}")
     reason = lambda policy: D.collision_decision(new, old, policy).first().reason
-    assert reason("fingerprint") == "filename match (doc_id=3,12) has no fingerprint in DB; assuming duplicate"
-    assert reason("skip") == "filename match (doc_id=3,12), policy=skip"
-    assert reason("fail") == "filename match (doc_id=3,12); policy=fail"
-    monkeypatch.setattr(D, "LISTED_IDS", 1)
-    assert reason("skip") == "filename match (doc_id=2 rows), policy=skip"
+    assert reason("fingerprint") == "filename match (lowest doc_id=3 of 2) has no fingerprint in DB; assuming duplicate"
+    assert reason("skip") == "filename match (lowest doc_id=3 of 2), policy=skip"
+    assert reason("fail") == "filename match (lowest doc_id=3 of 2); policy=fail"
     assert sorted(r.id for r in D.collision_ids(new, old).collect()) == [3, 12]
 
 
@@ -98,6 +96,19 @@ def test_one_name_with_many_copies_makes_no_pairs(spark):
     assert len(found) == 400 and {r.matched_id for r in found} == {0, 1, 2}
 
 
+def test_message_of_many_rows_has_the_same_shape(spark):
+    new = spark.createDataFrame([("p", "f", NEW_FP)], f"source_path string, filename string, fingerprint {FP}")
+    old = spark.range(5_000).select("id", F.lit("f").alias("filename"), F.lit(None).cast(FP).alias("fingerprint"))
+    assert D.collision_decision(new, old, "skip").first().reason == "filename match (lowest doc_id=0 of 5000), policy=skip"
+
+
+def test_stored_rows_are_cut_before_they_are_aggregated(spark):
+    new = spark.createDataFrame([("p", "f", NEW_FP)], f"source_path string, filename string, fingerprint {FP}")
+    old = spark.range(50).select("id", F.col("id").cast("string").alias("filename"), F.lit(None).cast(FP).alias("fingerprint"))
+    plan = D.collision_decision(new, old, "skip")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [filename") < plan.index("LeftSemi")
+
+
 def test_duplicates(spark):
     df = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x"), (4, "x")], "id bigint, t string")
     groups = D.duplicate_groups(df, "id", F.sha2("t", 256)).collect()

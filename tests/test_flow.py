@@ -90,6 +90,14 @@ def test_retry_rounds(spark):
     assert found == {1: (1, "success"), 2: (1, "permanent"), 3: (3, "success"), 9: (7, "exhausted")}
 
 
+@pytest.mark.parametrize("retries", [0, 1, 2, 8])
+def test_retries_lose_no_record(spark, retries):
+    step = lambda df: df.withColumn("status", F.when(F.col("attempt") >= F.col("id"), 200).otherwise(503))
+    found = J.retry_rounds(spark.range(1, 11), step, retries).collect()
+    assert sorted(r.id for r in found) == list(range(1, 11))
+    assert {r.id: r.outcome for r in found} == {i: "success" if i <= retries + 1 else "exhausted" for i in range(1, 11)}
+
+
 def test_fan_out_gives_all_records_to_all_sinks(spark):
     seen = {}
     J.fan_out(records(spark), {name: (lambda df, name=name: seen.update({name: df.count()})) for name in ("x", "y")})
@@ -161,7 +169,8 @@ def test_report(spark):
     rows = [("succeeded", "b", None), ("parse_failed", "A", "x"), ("skipped", "c", "y")]
     df = spark.createDataFrame(rows, "status string, file string, detail string")
     assert tuple(D.run_report(df).first()) == (1, 1, 1, 0, True)
-    assert not D.run_report(df.where("status <> 'succeeded'")).first().success
+    assert D.run_report(df.where("status <> 'succeeded'")).first().success  # all that was parsed was skipped
+    assert not D.run_report(df.where("status = 'parse_failed'")).first().success
     assert tuple(D.run_report(df.limit(0)).first()) == (0, 0, 0, 0, False)
     assert [r.status for r in D.outcome_rows(df).collect()] == ["parse_failed", "skipped", "succeeded"]
 

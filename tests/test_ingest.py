@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.operators import stats as D
 from corpusloom.plans import embedding as H
-from corpusloom.plans.ingest import Corpus, Settings, ingest, prepare, run
+from corpusloom.operators.search import find_closest
+from corpusloom.plans.ingest import Corpus, Settings, ingest, prepare, run, with_dims
 from corpusloom.sources import files as S
 from corpusloom.streaming.flows import stream_ingest
 
@@ -90,6 +91,38 @@ def outcomes(report):
     return {r.file: r.status for r in report.outcomes.collect()}
 
 
+def test_nothing_parsed_is_no_success(spark, inbox, tmp_path):
+    bad = documents(spark, inbox).where("error is not null")
+    assert not ingest(bad, Settings(), new_corpus(spark, tmp_path), H.digest_embedder(4)).summary.first().success
+
+
+def test_codes_follow_two_ingests(spark, tmp_path):
+    corpus = new_corpus(spark, tmp_path)
+    files = spark.range(40).select(
+        F.concat(F.lit("/f/"), "id").alias("source_path"), F.concat(F.col("id").cast("string"), F.lit(".txt")).alias("filename"),
+        S.fingerprint(F.lit(3), F.lit(0.5), F.col("id").cast("string")).alias("fingerprint"),
+        F.array(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("pages"), F.lit(None).cast("string").alias("error"),
+    )
+    for part in (files.where("source_path < '/f/2'"), files.where("source_path >= '/f/2'")):
+        ingest(part, Settings(skip_existing=True), corpus, H.digest_embedder(8))
+    rows = corpus.chunks().orderBy("id").collect()
+    assert len(rows) == 40 and corpus.codes().count() == 40
+    found = find_closest(corpus.chunks(), "id", "embedding", list(rows[35].embedding), 1, 8, codes=corpus.codes()).first()
+    assert found.id == rows[35].id and abs(found.distance) < 1e-6
+
+
+@pytest.mark.parametrize(
+    "mode, want", [("exact", "ffsf"), ("pad_strict", "sssf"), ("fit", "ssss")]
+)
+def test_dims_fail_their_document_only(spark, mode, want):
+    vectors = spark.createDataFrame(
+        [(n, [1.0] * n, None) for n in (1, 2, 3, 4)], "n int, embedding array<float>, embed_error string"
+    )
+    found = with_dims(vectors, 3, mode).orderBy("n").collect()
+    assert "".join("f" if r.embed_error else "s" for r in found) == want
+    assert all(r.embedding is None or len(r.embedding) == 3 for r in found)
+
+
 def test_full_ingest_and_again(spark, inbox, tmp_path):
     corpus = new_corpus(spark, tmp_path)
     settings = Settings(skip_existing=True, model="m1", backend="self_hosted", token_count=lambda c: F.length(c))
@@ -109,7 +142,7 @@ def test_full_ingest_and_again(spark, inbox, tmp_path):
     assert [c.token_count for c in chunks] == [len(c.content) for c in chunks]
     assert chunks[4].embedding == pytest.approx(H.digest_embedder(4)(["beta"])[0])
     again = ingest(documents(spark, inbox), settings, corpus, H.digest_embedder(4))
-    assert outcomes(again)["b.pdf"] == "skipped" and not again.summary.first().success
+    assert outcomes(again)["b.pdf"] == "skipped" and again.summary.first().success
     assert corpus.documents().count() == 2 and corpus.raw_chunks().count() == 5
     with open(f"{inbox}/b.pdf", "w") as f:
         f.write("changed")

@@ -145,7 +145,10 @@ def test_codes_are_stored_once(spark, tmp_path):
     path = str(tmp_path / "codes")
     df = frame(spark, vectors(5, 8))
     assert S.store_codes(df, "id", "v", 8, path).count() == 5
-    assert S.store_codes(df.union(df), "id", "v", 8, path).count() == 5
+    assert S.store_codes(df, "id", "v", 8, path).count() == 5
+    grown = frame(spark, vectors(9, 8))
+    assert S.store_codes(grown, "id", "v", 8, path).count() == 9
+    assert S.store_codes(df, "id", "v", 8, path).count() == 5  # codes of rows that are gone take no part
     with pytest.raises(ValueError, match="does not exist"):
         S.build_codes(df, "id", "nothing", 8)
 
