@@ -18,6 +18,7 @@ from corpusloom.session import broadcast_if_small, materialise, ship_package, wo
 
 # fixed values of the format
 VERSION = b"WARC/1.1\r\n"
+MANDATORY = ("warc-type", "warc-record-id", "warc-date")
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -134,6 +135,8 @@ def _head(data: bytes) -> tuple[dict[str, str], int, int]:
     headers = _headers(data[:end], "record")
     if not re.fullmatch(r"[0-9]{1,18}", headers.get("content-length", "")):
         raise Damaged("no valid Content-Length")
+    if missing := [name for name in MANDATORY if name not in headers]:
+        raise Damaged(f"no {', '.join(missing)}")
     return headers, end + 4, int(headers["content-length"])
 
 

@@ -1,0 +1,176 @@
+from __future__ import annotations
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.llm import balltree as K, ctph as H, mixing as M, quality as Q, secret_scan as X
+from corpusloom.llm.common import remainder_of_id, table
+
+
+def test_quality_of_held_out_rows(spark, folder):
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    fold = remainder_of_id("doc_id", 3)
+    model = Q.train(docs, labels, fold != 1)
+    scored = Q.with_scores(docs, model).join(labels, "doc_id").where(fold == 1).collect()
+    right = [(r.score >= 0.5) == (r.quality == 1) for r in scored]
+    assert len(right) > 15 and np.mean(right) >= 0.9
+
+
+def test_quality_of_odd_rows(odd, none, spark):
+    labels = spark.createDataFrame([(5, 1), (7, 0), (None, 1), (6, None), (8, 3)], "doc_id bigint, quality int")
+    model = Q.train(odd, labels, F.lit(True))
+    found = Q.with_scores(odd, model, "mine")
+    assert found.columns == [*odd.columns, "mine"] and found.count() == odd.count()
+    assert all(0 <= r.mine <= 1 for r in found.collect())
+    assert Q.with_scores(none, model, "mine").count() == 0
+    assert Q.train(odd, labels.where("quality = 1"), F.lit(True)).score(b"x") > 0.99
+    assert Q.train(none, labels, F.lit(True)).score(b"x") == pytest.approx(0.5)
+
+
+def test_dual_descent_separates_and_scales():
+    rng = np.random.Generator(np.random.PCG64(1))
+    labels = np.where(rng.random(200) < 0.8, 1, -1)
+    rows = [np.unique(np.append(rng.integers(0, 500, 40), 900 if y > 0 else 901)) for y in labels]
+    model = Q.fit(rows, labels)
+    margin, square = model.margin, model.square
+    found = [margin[r].sum() / math.sqrt(square[r].sum()) + model.bias for r in rows]
+    assert np.mean((model.slope * np.array(found) + model.shift > 0) == (labels > 0)) == 1.0
+
+
+def test_secrets(spark, odd, none):
+    words = [f"the value here is number{i} and more" for i in range(60)]
+    keys = [f'{n}, token = "{i:02d}9f8e7d6c5b4a39281706f5e4d3c2b1a09f8e7d" end' for i, n in enumerate(words)]
+    other = [f"{n} order 1234567890123{i:03d} commit {i:02d}9f8e7d6c5b4a39281706f5e4d3c2b1a09f8e7d done" for i, n in enumerate(words)]
+    texts = keys + other + [None, ""]
+    docs = spark.createDataFrame([(i, t, "src/a", len(t or ""), 1.5) for i, t in enumerate(texts)], "doc_id bigint, text string, source string, n_chars bigint, score double")
+    found = X.scan(docs, F.col("doc_id") % 3 != 1).collect()
+    assert len(found) == 60 + 120
+    assert {r.doc_id for r in found if r.is_secret} == set(range(60))
+    masked = {r.doc_id: r.text for r in X.redact(docs, F.lit(True)).collect()}
+    assert all('token = "[SECRET]" end' in masked[i] for i in range(60))
+    assert all(masked[i] == texts[i] for i in range(60, len(texts)))
+    assert X.scan(none, F.lit(True)).count() == 0 and X.redact(none, F.lit(True)).count() == 0
+    assert X.redact(odd, F.lit(True)).count() == odd.count()
+    plan = X.redact(docs, F.lit(True))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_candidates_keep_their_context(spark):
+    df = spark.createDataFrame([("x" * 60 + " a=ABCDEFGH12345678; b: 1234567890123456",)], "t string")
+    found = df.select(F.explode(X.candidates("t")).alias("c")).select("c.*").collect()
+    assert [(r.value, r.after[:2]) for r in found] == [("x" * 60, " a"), ("a=ABCDEFGH12345678", "; "), ("1234567890123456", "")]
+    assert found[1].before.endswith("x ") and len(found[1].before) == 48
+
+
+def edit(a: str, b: str) -> int:
+    """Insertions and deletions from a to b."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(row[j - 1] if x == y else 1 + min(row[j], new[-1]))
+        row = new
+    return row[-1]
+
+
+def test_likeness_is_the_edit_distance():
+    a, b = "abcdefghijKLMN", "abcdefgXhijLMNOP"
+    assert H.likeness(f"4:{a}:", f"4:{b}:") == pytest.approx(1 - edit(a, b) / (len(a) + len(b)))
+    assert H.likeness("4:abcdefgh:abcd", "8:abcdXYZ:q") == pytest.approx(1 - edit("abcd", "abcdXYZ") / 11)
+    assert H.likeness("4:abcdefgh:ab", "64:abcdefgh:ab") == 0 and H.likeness("0::", "0::") == 1
+
+
+def test_fingerprints_of_long_texts_keep_unchanged_parts():
+    rng = np.random.Generator(np.random.PCG64(2))
+    text = rng.integers(97, 123, 3_000_000, np.uint8).tobytes()
+    changed = text[:1_000_000] + b"inserted" + text[1_000_000:]
+    assert H.likeness(H.fingerprint(text), H.fingerprint(changed)) > 0.9
+    assert H.likeness(H.fingerprint(text), H.fingerprint(text[::-1])) == 0
+
+
+def test_documents_follow_each_other(odd, none):
+    found = H.fingerprint_documents(odd).collect()
+    docs = sorted((d for d in odd.collect() if d.doc_id is not None), key=lambda d: (d.doc_id, (d.text or "").encode()))
+    assert len(found) == len(docs) + 1 and H.fingerprint_documents(none).count() == 0
+    want = Counter()
+    for d, follows in zip(docs, docs[1:] + docs[:1]):
+        own, other = d.text or "", follows.text or ""
+        edited = (own[: len(own) - len(own) // 2] + other[: len(own) // 2]).encode()
+        marks = [H.fingerprint(x) for x in (own.encode(), edited, other.encode())]
+        want[(d.doc_id, len(own), marks[0], marks[1], H.likeness(marks[0], marks[1]), H.likeness(marks[0], marks[2]))] += 1
+    got = Counter((r.doc_id, r.n_chars, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in found if r.doc_id is not None)
+    assert got == want
+    (loose,) = [r for r in found if r.doc_id is None]
+    assert loose.fingerprint == H.fingerprint(b"no id") and loose.edited_fingerprint is None
+
+
+def test_language_model(spark, folder):
+    docs = table(spark, folder, "documents")
+    found = M.score_documents(docs, remainder_of_id("doc_id", 7) == 2).collect()
+    counts, texts = Counter(), {}
+    for d in docs.collect():
+        texts[d.doc_id] = [*M.words_of(d.text.encode()), M.END]
+        if zlib.crc32(str(d.doc_id).encode()) % 7 != 2:
+            counts.update(texts[d.doc_id])
+    n, v = sum(counts.values()), len(counts)
+    for r in found:
+        words = texts[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(words), sum(counts[w] > 0 for w in words), n)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in words))
+        assert r.score < 0 and r.bits_per_byte > 0
+    assert sum(r.score for r in found) > sum(r.base_score for r in found)
+
+
+def test_language_model_of_odd_rows(odd, none):
+    found = M.score_documents(odd, F.col("doc_id") == 3).collect()
+    assert len(found) == odd.count() and all(math.isfinite(r.score) for r in found)
+    assert M.score_documents(none, F.lit(False)).count() == 0
+    assert all(r.train_tokens == 0 for r in M.score_documents(odd, F.lit(True)).collect())
+
+
+def test_word_probabilities_sum_to_one():
+    """Over every next byte, so no probability is made up."""
+    counts = np.random.Generator(np.random.PCG64(4)).random((M.PLACES * len(M.ORDERS), 2)).astype(np.float32)
+    mixer = M.Mixer()
+    whole = [bytes([b]) for b in range(256) if b not in b" \t\n\v\f\r"]
+    total = 0.0
+    for first in [*whole, b"\t", b"\v", b"\f", b"\r"]:
+        steps = M.Steps([first])
+        p = 1.0
+        for bit in range(8):
+            places, ones = steps.bit(bit)
+            zero, one = counts[places[:, :1], 0], counts[places[:, :1], 1]
+            q = mixer.probability(mixer.inputs(zero, one), M._levels(zero, one, bit))[0]
+            p *= q if ones[0] else 1 - q
+        total += p
+    assert 0.9 < total < 1.0 + 1e-6
+
+
+def brute(rows, k):
+    vectors = {i: [math.floor(1024 * x) for x in v] for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    out = set()
+    for q, x in vectors.items():
+        if q % 100 == 0:
+            scores = sorted(((-sum(a * b for a, b in zip(x, y)), i) for i, y in vectors.items() if i != q))[:k]
+            out |= {(q, rank, i, -s) for rank, (s, i) in enumerate(scores, 1)}
+    return out
+
+
+def test_top_k(spark, monkeypatch):
+    monkeypatch.setattr(K, "SHARD_ROWS", 150)
+    monkeypatch.setattr(K, "QUERY_BLOCK", 3)
+    rng = np.random.Generator(np.random.PCG64(8))
+    rows = [(i, rng.normal(0, 0.3, 12).astype(np.float32).tolist()) for i in range(900)]
+    rows += [(900 + i, [0.25] * 12) for i in range(300)]  # ties
+    rows += [(2000, None), (2001, [None] + [0.1] * 11), (2100, [math.nan] * 12), (2101, [math.inf] * 12), (2200, [3.0e7] * 12), (2201, [-2.5e7] * 12)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id bigint, embedding array<float>, k string, score int").repartition(4)
+    found = K.top_k(df, df.where("vec_id % 100 = 0"))
+    assert {tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect()} == brute(rows, 10)
+    few = df.where("vec_id in (0, 3, 5)")
+    assert K.top_k(few, few.where("vec_id = 0")).count() == 2
+    assert K.top_k(df.limit(0), df.limit(0)).count() == 0
