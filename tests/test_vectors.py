@@ -111,9 +111,9 @@ def test_find_closest_on_empty_table_and_missing_column(spark):
         S.find_closest(empty, "id", "w", [1.0])
 
 
-@pytest.mark.parametrize("limit,fragment,block", [(1000, 100_000, 1024), (0, 9, 3)])
+@pytest.mark.parametrize("limit,fragment,block", [(1000, 64 << 20, 1024), (0, 640, 3)])
 def test_batch_search_equals_single_searches(spark, monkeypatch, limit, fragment, block):
-    monkeypatch.setattr(S, "FRAGMENT_ROWS", fragment)
+    monkeypatch.setattr(S, "FRAGMENT_BYTES", fragment)
     monkeypatch.setattr(S, "QUERY_BLOCK", block)
     values = vectors(50, 70, step=2) + [[0.0] * 70]
     rows = [(i, None if i == 20 else v) for i, v in enumerate(values)]
