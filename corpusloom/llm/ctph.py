@@ -113,11 +113,16 @@ def _placed(documents: DataFrame, key: str, text: str) -> DataFrame:
     rows = documents.select(F.col(key).cast("bigint").alias("k"), text_bytes(text).alias("t"))
     keys = rows.select(F.col("k").cast("double").alias("x"), "k").where("k is not null")
     cuts = sorted(set(keys.approxQuantile("x", [i / parts for i in range(1, parts)], 0.001) if parts > 1 else []))
-    buckets = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="x", outputCol="part", handleInvalid="keep")
-    firsts = buckets.transform(keys).groupBy("part").agg(F.min("k").alias("first")).orderBy("first").collect()
+
+    def bucketed(frame: DataFrame) -> DataFrame:
+        if not cuts:
+            return frame.withColumn("part", F.lit(0.0))
+        return Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="x", outputCol="part").transform(frame)
+
+    firsts = bucketed(keys).groupBy("part").agg(F.min("k").alias("first")).orderBy("first").collect()
     before = [(r["first"], firsts[i - 1]["part"]) for i, r in enumerate(firsts)]  # the first of all follows the last
     copies = documents.sparkSession.createDataFrame(before, "first bigint, before double")
-    placed = buckets.transform(rows.where("k is not null").withColumn("x", F.col("k").cast("double")))
+    placed = bucketed(rows.where("k is not null").withColumn("x", F.col("k").cast("double")))
     placed = placed.join(F.broadcast(copies), F.col("k") == F.col("first"), "left").select(
         "k", "t",
         F.explode(F.array_compact(F.array(
