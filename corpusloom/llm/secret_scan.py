@@ -167,12 +167,16 @@ def redact(
     """
     words = dictionary(documents, text)
     found = findings(documents.where(F.coalesce(usable, F.lit(True))), words, key, text, path)
-    forest = train_forest(found.withColumn("label", labelled(F.col("before"), F.col("value"), F.col("after"))))
+    found = found.withColumn("label", labelled(F.col("before"), F.col("value"), F.col("after")))
+    forest = train_forest(materialise(found.select("label", *FEATURES), "findings"))
     place = F.col(path).cast("string") if path else F.lit("")
 
-    def secret(c: Column) -> Column:
-        return forest.score(features(c["before"], c["value"], c["after"], place, words)) >= 0.5
+    # the inputs are made once per candidate, before the trees ask for them
+    def judged(c: Column) -> Column:
+        made = features(c["before"], c["value"], c["after"], place, words)
+        return F.struct(c["value"].alias("value"), *(column.alias(name) for name, column in made.items()))
 
-    values = F.transform(F.filter(candidates(text), secret), lambda c: c["value"])
+    secrets = F.filter(F.transform(candidates(text), judged), lambda c: forest.score({name: c[name] for name in FEATURES}) >= 0.5)
+    values = F.transform(secrets, lambda c: c["value"])
     changed = F.aggregate(values, F.col(text), lambda text_, value: F.replace(text_, value, F.lit(mask)))
     return documents.withColumn(text, changed)
