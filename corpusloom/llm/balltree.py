@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.llm.common import Batches
-from corpusloom.session import materialise, ship_package, spread
+from corpusloom.llm.common import Batches, prepare
+from corpusloom.session import materialise, spread
 
 SHARD_ROWS = 8192
 LEAF_ROWS = 64
@@ -198,7 +198,7 @@ def top_k(
     shared, in full.
     """
     spark = vectors.sparkSession
-    ship_package(spark)
+    prepare(spark)
     schema = pa.schema([("shard", pa.int64()), ("tree", pa.binary())])
 
     def trees(batches: Batches) -> Batches:

@@ -14,9 +14,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.llm.common import Batches, rows_to_batches, text_bytes
+from corpusloom.llm.common import Batches, hold, prepare, rows_to_batches, text_bytes
 from corpusloom.llm.tokens import BYTE_CHARACTERS, Generations, read_definition
-from corpusloom.session import ship_package
 
 # fixed value: the pattern of byte-level pre-tokenizers
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -27,8 +26,6 @@ _SHIFT = 20
 _RUN = re.compile(r"\s ")
 _WORD_ENDS = re.compile(r"(?<=\S)(?= )")
 
-_codecs: dict[str, "ByteBpe"] = {}
-
 
 class _Cached(Generations):
     def __init__(self, make, limit: int):
@@ -125,10 +122,7 @@ class ByteBpe:
 
 def codec(definition: str) -> ByteBpe:
     """The worker's codec for a tokenizer file's content; kept between tasks."""
-    if definition not in _codecs:
-        _codecs.clear()
-        _codecs[definition] = ByteBpe(definition)
-    return _codecs[definition]
+    return hold(("bytes", definition), lambda: ByteBpe(definition))
 
 
 def with_token_ids(documents: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
@@ -155,7 +149,7 @@ def token_digests(documents: DataFrame, tokenizer: str, key: str = "doc_id", tex
 
 
 def _encoded(documents: DataFrame, tokenizer: str, key: str, text: str, columns: str, kinds: list, made) -> DataFrame:
-    ship_package(documents.sparkSession)
+    prepare(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(read_definition(tokenizer))
     schema = pa.schema([("k", pa.int64()), *((c.split()[0], kind) for c, kind in zip(columns.split(", "), kinds))])
 

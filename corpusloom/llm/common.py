@@ -9,7 +9,10 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from corpusloom.session import ship_package
+
 Batches = Iterator[pa.RecordBatch]
+ARROW_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -58,6 +61,31 @@ def open_store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+# What a worker keeps between tasks: one thing at a time, so that the caches of different operators do not add up
+_held: dict = {}
+
+
+def hold(key: tuple, make: Callable[[], object]):
+    """The worker's value for ``key``, made once; whatever it held for another key is dropped."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Drop what the worker holds."""
+    _held.clear()
+
+
+def prepare(spark: SparkSession) -> None:
+    """Before a job with Python tasks: ship the package, and keep Arrow batches small where nobody has set their size."""
+    ship_package(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in (str(64 << 20), "64MB", "64m"):
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def new_file(folder: str, suffix: str) -> tuple[str, pa.NativeFile]:
     """A file of a fresh name below ``folder``, open for writing.
 

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.llm.common import Batches, rows_to_batches, text_bytes
-from corpusloom.session import ship_package
+from corpusloom.llm.common import Batches, prepare, rows_to_batches, text_bytes
+
 
 WINDOW = 7
 SIGNS = 64
@@ -152,7 +152,7 @@ def fingerprint_documents(documents: DataFrame, key: str = "doc_id", text: str =
     each other by text. A row with a null key has no next text: it is fingerprinted, its
     edited columns and likenesses are null. A null text is empty.
     """
-    ship_package(documents.sparkSession)
+    prepare(documents.sparkSession)
     kinds = {"bigint": pa.int64(), "string": pa.string(), "double": pa.float64()}
     schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in FINGERPRINT_SCHEMA.split(", ")])
     held: list = []  # the row that waits for the next one: part, key, text, its fingerprint

@@ -10,10 +10,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.llm.common import Batches, rows_to_batches, text_bytes
+from corpusloom.llm.common import Batches, prepare, release, rows_to_batches, text_bytes
 from corpusloom.llm.components import connected_components
 from corpusloom.llm.simhash import SEED, near_duplicates, shingle_hashes
-from corpusloom.session import broadcast_if_small, materialise, ship_package
+from corpusloom.session import broadcast_if_small, materialise
 
 WIDTH, SIMILARITY = 5, 0.8
 # passages end at words chosen by their hash, about one in so many, after some words at least
@@ -48,11 +48,13 @@ def similar_links(
     a passage that very many documents share does the same. Proposals of documents that
     share too few passages with the centre are dropped, the exact similarity decides the rest.
     """
-    ship_package(documents.sparkSession)
+    prepare(documents.sparkSession)
     rows = documents.select(F.col(key).cast("bigint").alias("k"), text_bytes(text).alias("t")).where("k is not null")
     schema = pa.schema([("k", pa.int64()), ("n", pa.int32()), ("p", pa.list_(pa.int64()))])
 
     def cut(batches: Batches) -> Batches:
+        release()
+
         def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = passages(t.as_py())

@@ -10,10 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.llm.common import Batches, rows_to_batches, text_bytes
+from corpusloom.llm.common import Batches, prepare, rows_to_batches, text_bytes
 from corpusloom.llm.tokens import read_definition, word_encoder
 from corpusloom.operators.keys import assign_seq
-from corpusloom.session import materialise, ship_package
+from corpusloom.session import materialise
 
 # A filling and how many sequences have it; its lengths are in descending order
 Plan = list[tuple[tuple[int, ...], int]]
@@ -226,7 +226,7 @@ def token_pieces(
 ) -> DataFrame:
     """``key, piece, start, length, ids_crc32``: every text's ids with ``end_id``, cut only where longer than ``capacity``."""
     spark = documents.sparkSession
-    ship_package(spark)
+    prepare(spark)
     shared = spark.sparkContext.broadcast(read_definition(tokenizer))
     schema = pa.schema([("k", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
     end = int(end_id).to_bytes(4, "little")
@@ -254,7 +254,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, order_by: list[str]) -> DataFr
     number alone tells its filling, sequence and offset.
     """
     spark = pieces.sparkSession
-    ship_package(spark)
+    prepare(spark)
     pieces = materialise(pieces, "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for row in pieces.groupBy("length").count().collect():

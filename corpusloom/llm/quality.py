@@ -9,8 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.llm.common import Batches, rows_to_batches, text_bytes
-from corpusloom.session import materialise, ship_package
+from corpusloom.llm.common import Batches, hold, prepare, release, rows_to_batches, text_bytes
+from corpusloom.session import materialise
 
 # n-grams of 1 to LONGEST bytes are hashed to this many places
 PLACES = 1 << 18
@@ -93,14 +93,14 @@ def _fit_once(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, n
     for places in rows:
         values = ratio[places]
         length = np.sqrt((values**2).sum())
-        scaled.append(values / length if length else values)
+        scaled.append((values / length if length else values).astype(np.float32))
     weights, bias, dual = np.zeros(PLACES), 0.0, np.zeros(len(rows))
     order = np.random.Generator(np.random.PCG64(11))
     for _ in range(ROUNDS):
         for i in order.permutation(len(rows)):
             places, values, label = rows[i], scaled[i], labels[i]
             gradient = label * (weights[places] @ values + bias) - 1
-            curve = values @ values + 1  # the constant feature
+            curve = float(values @ values) + 1  # the constant feature
             new = min(max(dual[i] - gradient / curve, 0.0), COST)
             if new != dual[i]:
                 step = (new - dual[i]) * label
@@ -162,19 +162,21 @@ def train(
     lowest hash of the key are taken. One task fits the bounded sample.
     """
     spark = documents.sparkSession
-    ship_package(spark)
+    prepare(spark)
     known = labels.where(usable & F.col(label).isin(0, 1) & F.col(key).isNotNull())
     chosen = known.select(F.col(key).cast("bigint").alias("k"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("k"), "k", "y").limit(sample_rows)
     rows = documents.select(F.col(key).cast("bigint").alias("k"), text_bytes(text).alias("t"))
     schema = pa.schema([("k", pa.int64()), ("y", pa.int32()), ("places", pa.binary())])
 
     def places(batches: Batches) -> Batches:
+        release()
         return rows_to_batches(batches, schema, lambda b: (
             (k, y, np.flatnonzero(indicators(t.as_py())).astype("<i4").tobytes())
             for k, y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2))
         ))
 
     def fitted(batches: Batches) -> Batches:
+        release()
         rows = sorted((k, y, p) for b in batches for k, y, p in zip(*(c.to_pylist() for c in b.columns)))
         model = fit([np.frombuffer(p, "<i4") for _, _, p in rows], np.array([2 * y - 1 for _, y, _ in rows], np.int64))
         yield pa.RecordBatch.from_pylist([{"model": model.to_bytes()}])
@@ -188,12 +190,12 @@ def train(
 def with_scores(documents: DataFrame, model: Model, out: str = "score", text: str = "text") -> DataFrame:
     """All columns of ``documents`` and the score of every whole text, 0 to 1. Null, empty and very long texts are scored too."""
     spark = documents.sparkSession
-    ship_package(spark)
+    prepare(spark)
     shared = spark.sparkContext.broadcast(model.to_bytes())
     kind = documents.schema.simpleString()
 
     def run(batches: Batches) -> Batches:
-        own = Model.from_bytes(shared.value)
+        own = hold(("quality", shared.value), lambda: Model.from_bytes(shared.value))
         for batch in batches:
             scores = pa.array([own.score(t.as_py()) for t in batch.column(1)], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["row", "score"])

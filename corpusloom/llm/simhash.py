@@ -9,9 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusloom.llm.common import Batches, rows_to_batches, text_bytes
+from corpusloom.llm.common import Batches, prepare, release, rows_to_batches, text_bytes
 from corpusloom.llm.components import connected_components
-from corpusloom.session import materialise, ship_package
+from corpusloom.session import materialise
 
 SEED = 42
 # Buckets of more fingerprints are linked through their one-bit neighbours, not in pairs
@@ -50,10 +50,11 @@ def with_fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "te
     A-Z are lower-cased; words are runs without ASCII white space. A null, empty or
     blank text has fingerprint zero. Rows with a null key and repeated rows are kept.
     """
-    ship_package(documents.sparkSession)
+    prepare(documents.sparkSession)
     schema = pa.schema([("k", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Batches) -> Batches:
+        release()
         return rows_to_batches(
             batches, schema,
             lambda batch: (

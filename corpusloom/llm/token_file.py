@@ -10,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.llm.common import Batches, new_file, open_store, rows_to_batches, text_bytes
+from corpusloom.llm.common import Batches, new_file, open_store, prepare, rows_to_batches, text_bytes
 from corpusloom.llm.tokens import read_definition, word_encoder
-from corpusloom.session import materialise, ship_package, work_folder
+from corpusloom.session import materialise, work_folder
 
 # File layout, all numbers little-endian:
 #   head    8 bytes MAGIC, u32 bits per id, u32 ids per block
@@ -140,7 +140,7 @@ def write_token_files(
     that were lost are in no manifest.
     """
     spark = documents.sparkSession
-    ship_package(spark)
+    prepare(spark)
     shared = spark.sparkContext.broadcast(read_definition(tokenizer))
     folder = folder or work_folder(spark, "tokens")
     bits = bits_for(vocabulary)
@@ -174,7 +174,7 @@ def read_token_files(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     collected to number the files; the documents stay in the tasks.
     """
     spark = manifest.sparkSession
-    ship_package(spark)
+    prepare(spark)
     files = manifest.select("path", "first", "ids").collect()
     files.sort(key=lambda f: (f["first"] is not None, f["first"] or 0, f["path"]))
     listed, total = [], 0

@@ -10,12 +10,12 @@ from array import array
 import regex
 from tokenizers import Tokenizer
 
+from corpusloom.llm.common import hold
+
 # words are cached up to this many per generation and worker, and only short ones
 CACHED_WORDS = 250_000
 CACHED_BYTES = 64
 
-_encoders: dict[str, "WordEncoder"] = {}
-
 
 class Generations(dict):
     """A cache of two generations: entries unused during one generation are dropped."""
@@ -110,10 +110,7 @@ class WordEncoder(Generations):
 def word_encoder(definition: str) -> WordEncoder:
     """The worker's encoder for a tokenizer file's content; kept between tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if definition not in _encoders:
-        _encoders.clear()
-        _encoders[definition] = WordEncoder(definition)
-    return _encoders[definition]
+    return hold(("words", definition), lambda: WordEncoder(definition))
 
 
 def read_definition(path: str) -> str:

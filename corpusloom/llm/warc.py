@@ -13,8 +13,8 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.llm.common import Batches, new_file, open_store, rows_to_batches, text_bytes
-from corpusloom.session import broadcast_if_small, materialise, ship_package, work_folder
+from corpusloom.llm.common import Batches, new_file, open_store, prepare, rows_to_batches, text_bytes
+from corpusloom.session import broadcast_if_small, materialise, work_folder
 
 # fixed values of the format
 VERSION = b"WARC/1.1\r\n"
@@ -267,7 +267,7 @@ def write_warc(
     manifest is written by Spark, so archives of lost attempts are never read.
     """
     spark = pages.sparkSession
-    ship_package(spark)
+    prepare(spark)
     folder = folder or work_folder(spark, "warc")
     rows = pages.select(
         F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("u"), text_bytes(payload).alias("p")
@@ -318,7 +318,7 @@ def read_warc(archives: DataFrame, payloads: bool = True) -> DataFrame:
     revisits, and without ``payloads``. A null path or content gives no rows. An
     archive is read by one task, a record at a time.
     """
-    ship_package(archives.sparkSession)
+    prepare(archives.sparkSession)
     content = "content" in archives.columns
     fields = [f.split() for f in READ_SCHEMA.split(", ")]
     kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
