@@ -49,6 +49,12 @@ def json_array(rows: DataFrame, order: list[Column], obj: Column) -> DataFrame:
     return rows.agg(F.concat(F.lit("["), body, F.lit("]")).alias("result"))
 
 
+def rank_rows_json(found: DataFrame, key: str, include_d: bool = False) -> DataFrame:
+    """A search result as one JSON array by distance; ``include_d`` repeats the distance as ``d``."""
+    extra = {"d": F.col("distance")} if include_d else None
+    return json_array(found, [F.col("distance"), F.col(key)], json_build(found, extra=extra))
+
+
 def json_each_text(df: DataFrame, obj: str) -> DataFrame:
     """One row per key of a JSON object: ``pos``, ``key``, ``value`` as text."""
     # the outer form keeps the optimizer from parsing twice, for a filter and for the rows

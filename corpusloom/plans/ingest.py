@@ -92,6 +92,13 @@ class Corpus:
         words = stored.agg(F.max(F.size("code")).alias("n")).first()["n"] or 0
         return stored.select("id", *[F.col("code")[i].alias(f"w{i}") for i in range(words)])
 
+    def compacted(self, path: str) -> "Corpus":
+        """A copy without the chunks of documents that were never committed, at a new path."""
+        other = Corpus(self.spark, path)
+        self.chunks().write.parquet(other.chunks_path)
+        self.documents().write.parquet(other.documents_path)
+        return other
+
     def check(self) -> None:
         """An error with all problems if the stored tables are not those that an ingest writes."""
         if self.is_new():

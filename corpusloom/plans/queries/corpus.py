@@ -11,11 +11,12 @@ from corpusloom.operators.stats import (
 from corpusloom.operators.tables import linked
 from corpusloom.plans.embedding import digest_embedder, embed_column
 from corpusloom.plans.ingest import Corpus, Settings, ingest
-from corpusloom.plans.queries.common import SQL_CHUNKS, SQL_TOKENS, long, table
+from corpusloom.plans.queries.common import SQL_CHUNKS, SQL_TOKENS, long, sql_char_pieces, table
 from corpusloom.plans.queries.text import document_chunks
 from corpusloom.session import materialise, spread, work_folder
 from corpusloom.sources.files import extract_pages, fingerprint, list_files, read_documents, scan_files
 from corpusloom.sources.schema import preflight
+from corpusloom.streaming.flows import stream_ingest
 
 MODEL = "text-embedding-3-large"
 
@@ -145,6 +146,16 @@ def ingest_dims(spark: SparkSession, folder: str) -> DataFrame:
     return report.outcomes.select("status", "file", F.when(F.col("status") == "ingest_failed", F.col("detail")).alias("detail"))
 
 
+def streamed_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that arrive as the lines of text files, ingested as a stream: every chunk's digest and how often it is stored."""
+    path, corpus = work_folder(spark, "arriving"), Corpus(spark, work_folder(spark, "corpus"))
+    lines = table(spark, folder, "documents").where("text <> ''").select(F.translate("text", "\r\n", "  ").alias("value"))
+    lines.repartition(4).write.text(path)
+    settings = Settings(skip_existing=True)
+    stream_ingest(spark, path, lines_of, corpus, digest_embedder(8), settings, work_folder(spark, "checkpoint"), "txt").awaitTermination()
+    return corpus.chunks().groupBy(F.md5("content").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def listed_files(spark: SparkSession, folder: str) -> DataFrame:
     """Documents written to one folder per language, listed from the top."""
     path = work_folder(spark, "files")
@@ -310,6 +321,11 @@ QUERIES = {
         documents.doc_id || '.txt' AS file, CASE WHEN bad THEN 'embedding has 5 dims, expected 4' END AS detail
         FROM documents LEFT JOIN d USING (doc_id)""",
     ),
+    "stream_ingest": (
+        streamed_chunks,
+        "WITH c AS (SELECT unnest(" + sql_char_pieces("translate(text, chr(13) || chr(10), '  ')") + ") AS content FROM documents) "
+        "SELECT md5(content) AS digest, count(*) AS n FROM c GROUP BY 1",
+    ),
     "list_files": (
         listed_files,
         """SELECT lang, 2::BIGINT AS depth, sum(strlen(translate(text, chr(13) || chr(10), '  ')) + 1)::BIGINT AS length

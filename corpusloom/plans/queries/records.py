@@ -99,7 +99,11 @@ def model_answers(spark: SparkSession, folder: str) -> DataFrame:
         .alias("vectors"),
     )
     parsed = rows.select("vec_id", *[parse_embedding_response(F.col(s), s).alias(s) for s in ("openai", "single", "vectors")])
-    first = lambda s: F.round(F.try_element_at(F.try_element_at(F.col(s)["vectors"], F.lit(1)), F.lit(1)), 6)
+    vector = lambda s: F.try_element_at(F.col(s)["vectors"], F.lit(1))
+    # of all components: each as an integer, weighted by its place
+    first = lambda s: F.aggregate(
+        F.transform(vector(s), lambda x, i: F.round(x * 1_000_000).cast("bigint") * (i + 1)), F.lit(0).cast("bigint"), lambda a, b: a + b
+    )
     return parsed.select(
         "vec_id", long(F.size(F.col("openai")["vectors"])).alias("n"), first("openai").alias("openai"),
         first("single").alias("single"), F.col("single")["error"].alias("single_error"),
@@ -167,11 +171,13 @@ QUERIES = {
     ),
     "embedding_response": (
         model_answers,
-        """SELECT vec_id, 2::BIGINT AS n, round(embedding[1]::DOUBLE, 6) AS openai,
-        CASE WHEN label <> 9 THEN round(embedding[1]::DOUBLE, 6) END AS single,
+        """SELECT vec_id, 2::BIGINT AS n, {digest} AS openai,
+        CASE WHEN label <> 9 THEN {digest} END AS single,
         CASE WHEN label = 9 THEN 'embedding response missing ''data[0].embedding'' or ''embedding''' END AS single_error,
-        CASE WHEN label <> 9 THEN round(embedding[1]::DOUBLE, 6) END AS vectors,
-        CASE WHEN label = 9 THEN 'model error 1004: login fail' END AS vectors_error FROM embeddings""",
+        CASE WHEN label <> 9 THEN {digest} END AS vectors,
+        CASE WHEN label = 9 THEN 'model error 1004: login fail' END AS vectors_error FROM embeddings""".format(
+            digest="list_sum(list_transform(embedding, lambda x, i: round(x::DOUBLE * 1000000)::BIGINT * i))::BIGINT"
+        ),
     ),
     "named_call": (called_by_name, "SELECT sum(n_chars)::BIGINT AS result FROM documents WHERE lang = 'fr' AND n_chars >= 100"),
     "sql_function": (deployed_function, "SELECT doc_id, greatest(1, length(text) // 4) AS tokens FROM documents"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusloom.functions.documents import json_array, json_build
+from corpusloom.functions.documents import rank_rows_json
 from corpusloom.functions.vectors import (
     code_bits, code_words, cosine_distance, fit_vector, hamming, literal_to_vector, pad_vector, query_words,
     rounded_vector, split_by_dims, vector_literal_column, vector_to_literal,
@@ -84,10 +84,11 @@ def knn_recall(spark: SparkSession, folder: str) -> DataFrame:
 def knn_json(spark: SparkSession, folder: str) -> DataFrame:
     df = embeddings(spark, folder)
     found = find_closest(df, "vec_id", "embedding", first_vector(df))
-    answer = json_array(found, [F.col("distance"), F.col("vec_id")], json_build(found))
-    item = "array<struct<vec_id: bigint, label: int, distance: double>>"
+    answer = rank_rows_json(found, "vec_id", include_d=True)
+    item = "array<struct<vec_id: bigint, label: int, distance: double, d: double>>"
     return answer.select(F.posexplode(F.from_json("result", item)).alias("pos", "row")).select(
-        long("pos").alias("pos"), "row.vec_id", "row.label", F.round("row.distance", 6).alias("distance")
+        long("pos").alias("pos"), "row.vec_id", "row.label", F.round("row.distance", 6).alias("distance"),
+        F.round("row.d", 6).alias("d"),
     )
 
 
@@ -194,7 +195,7 @@ QUERIES = {
     "knn_json": (
         knn_json,
         _ONE.format(wanted=20, k=5)
-        + "SELECT row_number() OVER (ORDER BY d, vec_id) - 1 AS pos, vec_id, label, round(d, 6) AS distance FROM f",
+        + "SELECT row_number() OVER (ORDER BY d, vec_id) - 1 AS pos, vec_id, label, round(d, 6) AS distance, round(d, 6) AS d FROM f",
     ),
     "vector_codes": (vector_codes, f"SELECT vec_id, {_BITS.format(v='embedding')} AS bits FROM embeddings"),
     "vector_distances": (

@@ -56,12 +56,19 @@ def empty_files(spark: SparkSession, path: str, ext: str | None = None, recursiv
     )
 
 
-def scan_files(spark: SparkSession, path: str, ext: str = "pdf", recursive: bool = False) -> DataFrame:
-    """Contents of one file, or of the files of a folder that have an extension in any case."""
+def scan_files(
+    spark: SparkSession, path: str, ext: str = "pdf", recursive: bool = False, with_empty: bool = True
+) -> DataFrame:
+    """Contents of one file, or of the files of a folder that have an extension in any case.
+
+    Files without a byte are added by a listing on the driver; ``with_empty=False`` spares
+    it where there are too many files.
+    """
     reader = spark.read.format("binaryFile")
     if not locate(spark, path)[1]:
         reader = reader.option("pathGlobFilter", _glob(ext)).option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(path).unionByName(empty_files(spark, path, ext, recursive))
+    found = reader.load(path)
+    return found.unionByName(empty_files(spark, path, ext, recursive)) if with_empty else found
 
 
 def list_files(spark: SparkSession, root: str, depth: int | None = 1, pattern: str | None = None) -> DataFrame:
