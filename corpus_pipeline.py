@@ -38,7 +38,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 2048 tokens."""
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # executors have come through all other stages: a small cache costs some time and spares memory
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), cached_words=60_000)
 
 
 STAGES = [

@@ -10,8 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusloom.llm.common import Batches, prepare, rows_to_batches, text_bytes
-from corpusloom.llm.tokens import read_definition, word_encoder
+from corpusloom.llm.common import Batches, prepare, release, rows_to_batches, text_bytes
+from corpusloom.llm.tokens import CACHED_WORDS, read_definition, word_encoder
 from corpusloom.operators.keys import assign_seq
 from corpusloom.session import materialise
 
@@ -222,7 +222,8 @@ def bin_completion(counts: np.ndarray, capacity: int, steps: int = STEPS) -> Pla
 
 
 def token_pieces(
-    documents: DataFrame, tokenizer: str, end_id: int, capacity: int, key: str = "doc_id", text: str = "text"
+    documents: DataFrame, tokenizer: str, end_id: int, capacity: int, key: str = "doc_id", text: str = "text",
+    cached_words: int = CACHED_WORDS,
 ) -> DataFrame:
     """``key, piece, start, length, ids_crc32``: every text's ids with ``end_id``, cut only where longer than ``capacity``."""
     spark = documents.sparkSession
@@ -232,7 +233,7 @@ def token_pieces(
     end = int(end_id).to_bytes(4, "little")
 
     def pieces_of(batch: pa.RecordBatch) -> Iterator[tuple]:
-        encoder = word_encoder(shared.value)
+        encoder = word_encoder(shared.value, cached_words)
         for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
             ids = encoder.encode(t.as_py()) + end
             for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
@@ -265,6 +266,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, order_by: list[str]) -> DataFr
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pieces.schema)}, sequence_id bigint, offset bigint"
 
     def run(batches: Batches) -> Batches:
+        release()
         starts, bases, copies, offsets, lengths = table.value
         for batch in batches:
             n = batch.column(0).to_numpy()
@@ -295,11 +297,13 @@ def _slots(plan: Plan, capacity: int) -> tuple[np.ndarray, ...]:
 
 
 def pack_documents(
-    documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, key: str = "doc_id", text: str = "text"
+    documents: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, key: str = "doc_id", text: str = "text",
+    cached_words: int = CACHED_WORDS,
 ) -> DataFrame:
     """``key, piece, start, length, ids_crc32, sequence_id, offset`` for every piece of every document.
 
     A null text is empty: one piece that holds only ``end_id``. Rows with a null key and
     repeated rows are packed like all others; an empty table gives an empty result.
+    ``cached_words`` trades a worker's memory for time.
     """
-    return pack_pieces(token_pieces(documents, tokenizer, end_id, capacity, key, text), capacity, [key, "piece", "ids_crc32"])
+    return pack_pieces(token_pieces(documents, tokenizer, end_id, capacity, key, text, cached_words), capacity, [key, "piece", "ids_crc32"])

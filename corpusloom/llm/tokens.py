@@ -107,10 +107,10 @@ class WordEncoder(Generations):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-def word_encoder(definition: str) -> WordEncoder:
+def word_encoder(definition: str, cached_words: int = CACHED_WORDS) -> WordEncoder:
     """The worker's encoder for a tokenizer file's content; kept between tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return hold(("words", definition), lambda: WordEncoder(definition))
+    return hold(("words", definition, cached_words), lambda: WordEncoder(definition, cached_words))
 
 
 def read_definition(path: str) -> str:
