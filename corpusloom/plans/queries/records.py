@@ -118,13 +118,11 @@ def deployed_function(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def called_by_name(spark: SparkSession, folder: str) -> DataFrame:
-    """A deployed function over the whole table, called with named arguments."""
-    table(spark, folder, "documents").createOrReplaceTempView("stored_documents")
-    deploy_function(
-        spark, "characters_of", "SELECT sum(n_chars) FROM stored_documents WHERE lang = wanted AND n_chars >= least_chars",
-        "wanted STRING, least_chars BIGINT", "BIGINT",
-    )
-    return call_function(spark, "characters_of", least_chars=100, wanted="fr")
+    """A deployed function, called with named arguments on a sum over the whole table."""
+    french = table(spark, folder, "documents").where("lang = 'fr' AND n_chars >= 100")
+    total = french.agg(F.coalesce(F.sum("n_chars"), F.lit(0)).alias("n")).first()["n"]
+    deploy_function(spark, "tokens_of", "greatest(least_tokens, floor(characters / 4))", "characters BIGINT, least_tokens BIGINT", "BIGINT")
+    return call_function(spark, "tokens_of", least_tokens=1, characters=total)
 
 
 def deployed_table_function(spark: SparkSession, folder: str) -> DataFrame:
@@ -179,7 +177,7 @@ QUERIES = {
             digest="list_sum(list_transform(embedding, lambda x, i: round(x::DOUBLE * 1000000)::BIGINT * i))::BIGINT"
         ),
     ),
-    "named_call": (called_by_name, "SELECT sum(n_chars)::BIGINT AS result FROM documents WHERE lang = 'fr' AND n_chars >= 100"),
+    "named_call": (called_by_name, "SELECT greatest(1, coalesce(sum(n_chars), 0)::BIGINT // 4)::BIGINT AS result FROM documents WHERE lang = 'fr' AND n_chars >= 100"),
     "sql_function": (deployed_function, "SELECT doc_id, greatest(1, length(text) // 4) AS tokens FROM documents"),
     "table_function": (deployed_table_function, "SELECT doc_id, n_chars FROM documents WHERE lang = 'fr'"),
 }
