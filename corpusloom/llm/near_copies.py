@@ -2,81 +2,109 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.llm.common import Batches, prepare, release, rows_to_batches, text_bytes
 from corpusloom.llm.components import connected_components
-from corpusloom.llm.simhash import SEED, near_duplicates, shingle_hashes
+from corpusloom.llm.simhash import fingerprint_links, near_duplicates, shingle_hashes, simhash
 from corpusloom.session import broadcast_if_small, materialise
 
 WIDTH, SIMILARITY = 5, 0.8
-# passages end at words chosen by their hash, about one in so many, after some words at least
-PASSAGE_WORDS, LEAST_WORDS = 12, 6
-# documents as similar as SIMILARITY share more of their passages than this
-SHARED = 0.3
 # keys are 8 bytes each
 BROADCAST_KEYS = 200_000
+# cells that count shingles by the first bits of their hashes; only the order of shingles depends on them
+CELL_BITS = 20
+_FLUSH = 1 << 20
 
 
-def passages(text: bytes) -> list[int]:
-    """Hashes of the distinct content-defined passages of a text, signed."""
-    words = text.lower().split()
-    if not words:
-        return []
-    ends = np.flatnonzero(np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % PASSAGE_WORDS == 0) + 1
-    found, begin = set(), 0
-    for end in [*ends.tolist(), len(words)]:
-        if end - begin >= LEAST_WORDS or end == len(words):
-            found.add(xxhash.xxh64_intdigest(b" ".join(words[begin:end]), SEED))
-            begin = end
-    return [h - (1 << 64) if h >> 63 else h for h in found]
+def _marks(rows: DataFrame, width: int) -> DataFrame:
+    """``k, n, d, fp`` of every text: size and digest of its shingle set, SimHash; and rows ``cell, c`` with counts of shingles."""
+    schema = pa.schema([("k", pa.int64()), ("n", pa.int32()), ("d", pa.binary()), ("fp", pa.int64()), ("cell", pa.int32()), ("c", pa.int64())])
 
+    def run(batches: Batches) -> Batches:
+        release()
+        cells, held, size = np.zeros(1 << CELL_BITS, np.int64), [], 0
 
-def similar_links(
-    documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY
-) -> DataFrame:
-    """Links ``a, b`` between documents whose sets of ``width``-word shingles have at least this Jaccard similarity.
+        def count() -> None:
+            nonlocal held, size
+            if held:
+                cells[:] += np.bincount(np.concatenate(held), minlength=len(cells))
+            held, size = [], 0
 
-    Candidates share passages. Each passage proposes one centre, the document whose
-    passages are shared most, so a group of n copies gives n candidates and no pairs;
-    a passage that very many documents share does the same. Proposals of documents that
-    share too few passages with the centre are dropped, the exact similarity decides the rest.
+        def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+            nonlocal size
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hashes = shingle_hashes(t.as_py(), width)
+                own = np.unique(hashes)
+                held.append((own >> np.uint64(64 - CELL_BITS)).astype(np.int64))
+                size += len(own)
+                if size >= _FLUSH:
+                    count()
+                yield k, len(own), hashlib.md5(own.tobytes()).digest(), simhash(hashes), None, None
+
+        yield from rows_to_batches(batches, schema, rows_of)
+        count()
+        full = np.flatnonzero(cells)
+        for at in range(0, len(full), 1 << 16):
+            part = full[at : at + (1 << 16)]
+            none = [pa.nulls(len(part), field.type) for field in list(schema)[:4]]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(part, pa.int32()), pa.array(cells[part])], schema=schema)
+
+    # fewer tasks give fewer rows of counts
+    parts = rows.rdd.getNumPartitions()
+    rows = rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-parts // 8)))
+    return materialise(rows.mapInArrow(run, "k bigint, n int, d binary, fp bigint, cell int, c bigint"), "marks")
+
+
+def _prefixes(rows: DataFrame, levels, width: int, similarity: float) -> DataFrame:
+    """``p, k, n, i``: of every text the first shingles of its set, rare ones first, up to where a similar text must share one.
+
+    ``n`` is the size of the set, ``i`` the place of shingle ``p`` in it.
     """
-    prepare(documents.sparkSession)
-    rows = documents.select(F.col(key).cast("bigint").alias("k"), text_bytes(text).alias("t")).where("k is not null")
-    schema = pa.schema([("k", pa.int64()), ("n", pa.int32()), ("p", pa.list_(pa.int64()))])
+    schema = pa.schema([("p", pa.int64()), ("k", pa.int64()), ("n", pa.int32()), ("i", pa.int32())])
 
-    def cut(batches: Batches) -> Batches:
-        release()
+    def emit(held: list) -> pa.RecordBatch:
+        keys, sizes, parts = zip(*held)
+        lengths = list(map(len, parts))
+        places = np.concatenate([np.arange(n, dtype=np.int32) for n in lengths])
+        columns = (np.concatenate(parts), np.repeat(np.array(keys, np.int64), lengths), np.repeat(np.array(sizes, np.int32), lengths), places)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
-        def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    def run(batches: Batches) -> Batches:
+        release()
+        order, held, size = levels.value, [], 0
+        for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = passages(t.as_py())
-                yield k, len(found), found
-
-        return rows_to_batches(batches, schema, rows_of)
-
-    held = materialise(rows.mapInArrow(cut, "k bigint, n int, p array<bigint>"), "passages")
-    held = held.select("k", "n", F.explode("p").alias("p"))
-    counts = materialise(held.groupBy("p").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shared")
-    shared = materialise(held.join(counts, "p"), "shared")
-    central = materialise(shared.groupBy("k").agg((F.sum(F.log("c")) / F.first("n")).alias("s")), "central")
-    shared = shared.join(central, "k")
-    centres = materialise(shared.groupBy("p").agg(F.max(F.struct("s", (-F.col("k")).alias("m"))).alias("best")).select("p", (-F.col("best.m")).alias("b")), "centres")
-    proposed = held.join(centres, "p").where("k <> b").groupBy("k", "b").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
-    proposed = materialise(proposed.where(F.col("c") >= SHARED * F.col("n")).select("k", "b"), "proposed")
-    wanted = proposed.select(F.explode(F.array("k", "b")).alias("k")).distinct()
+                own = np.unique(shingle_hashes(t.as_py(), width))
+                if not len(own):
+                    continue
+                own = own[np.argsort(order[(own >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")]
+                # copied, so that the rest of the set is not held
+                held.append((k, len(own), own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1].view(np.int64).copy()))
+                size += len(held[-1][2])
+                if size >= _FLUSH // 8:
+                    yield emit(held)
+                    held, size = [], 0
+        if held:
+            yield emit(held)
+
+    return materialise(rows.mapInArrow(run, "p bigint, k bigint, n int, i int"), "prefixes")
+
+
+def _alike(rows: DataFrame, pairs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those ``a, b`` of ``pairs`` whose sets have the similarity."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     wanted = broadcast_if_small(materialise(wanted, "wanted"), BROADCAST_KEYS)
-    schema2 = pa.schema([("k", pa.int64()), ("s", pa.binary())])
+    schema = pa.schema([("k", pa.int64()), ("s", pa.binary())])
 
     def sets(batches: Batches) -> Batches:
-        return rows_to_batches(batches, schema2, lambda batch: (
+        return rows_to_batches(batches, schema, lambda batch: (
             (k, np.unique(shingle_hashes(t.as_py(), width)).tobytes()) for k, t in zip(batch.column(0).to_pylist(), batch.column(1))
         ))
 
@@ -91,8 +119,76 @@ def similar_links(
                 kept.append(both >= similarity * (len(x) + len(y) - both) and both > 0)
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    pairs = proposed.join(marked, "k").withColumnsRenamed({"k": "a"}).join(marked.toDF("b", "o"), "b").select("a", "b", "s", "o")
-    return pairs.mapInArrow(alike, "a bigint, b bigint")
+    met = pairs.join(marked.toDF("a", "s"), "a").join(marked.toDF("b", "o"), "b").select("a", "b", "s", "o")
+    return materialise(met.mapInArrow(alike, "a bigint, b bigint"), "links")
+
+
+def _may_be_alike(similarity: float, n: Column, i: Column, m: Column, j: Column) -> Column:
+    """Whether sets of sizes n and m, whose first common shingle is at places i and j, can have the similarity."""
+    least, most = F.least(n, m), F.greatest(n, m)
+    shared = F.least(n - i, m - j)
+    return (least >= similarity * most - 1e-6) & (shared * (1 + similarity) >= similarity * (n + m) - 1e-6)
+
+
+def similar_links(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY
+) -> DataFrame:
+    """Links ``a, b`` whose components are those of all pairs of documents with at least this Jaccard similarity.
+
+    Documents are sets of ``width``-word shingles; every link has been checked, equal sets
+    are linked to their smallest key. Candidates are complete: two similar sets share a
+    shingle of their prefixes in any fixed order, here by rising counts. First, SimHash
+    fingerprints within 2 bits and, at every prefix shingle, the document of the smallest
+    key propose links, so a group of n copies gives about n candidates. Then all
+    pairs at a shingle follow that these links have not joined, except those that
+    sizes and places exclude; members of a shingle's largest component never meet each other.
+    """
+    spark = documents.sparkSession
+    prepare(spark)
+    rows = documents.select(F.col(key).cast("bigint").alias("k"), text_bytes(text).alias("t")).where("k is not null")
+    made = _marks(rows, width)
+    marks = made.where("k is not null").select("k", "n", "d", "fp")
+    levels = np.zeros(1 << CELL_BITS, np.uint8)
+    found = made.where("cell is not null").groupBy("cell").agg(F.ceil(F.log2(F.sum("c")) * 4).cast("int").alias("l")).toPandas()
+    levels[found["cell"].to_numpy()] = found["l"].to_numpy()
+    levels = spark.sparkContext.broadcast(levels)
+
+    first = materialise(marks.groupBy("d").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a < z").select("d", "a"), "first")
+    equal = materialise(marks.join(broadcast_if_small(first), "d").where("k > a").select("a", F.col("k").alias("b")), "equal")
+    # a key whose rows have several texts stays, as only one of them need be a copy
+    several = marks.groupBy("k").agg(F.min("d").alias("d"), F.max("d").alias("e")).where("d <> e").select(F.col("k").alias("b"))
+    copies = materialise(equal.join(several, "b", "left_anti").select(F.col("b").alias("k")).distinct(), "copies")
+    copies = broadcast_if_small(copies, BROADCAST_KEYS)
+    rows, marks = rows.join(copies, "k", "left_anti"), marks.where("n > 0").join(copies, "k", "left_anti")
+
+    held = _prefixes(rows, levels, width, similarity)
+    least = materialise(held.groupBy("p").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a < z").select("p", "a"), "least")
+    held = materialise(held.join(least, "p"), "shared")
+    near = held.where("k = a").select("p", "a", F.col("n").alias("m"), F.col("i").alias("j")).distinct()
+    star = held.where("k > a").join(near, ["p", "a"])
+    star = star.where(_may_be_alike(similarity, *map(F.col, "nimj"))).select("a", F.col("k").alias("b"))
+
+    prints = materialise(marks.select("k", "fp").distinct(), "fingerprints")
+    least = materialise(prints.groupBy("fp").agg(F.min("k").alias("a")), "first")
+    same = prints.join(least, "fp").where("k > a").select("a", F.col("k").alias("b"))
+    bits = fingerprint_links(least).toDF("a", "b")
+    bits = bits.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    links = _alike(rows, materialise(star.union(same).union(bits).distinct(), "proposed"), width, similarity)
+
+    roots = broadcast_if_small(materialise(connected_components(links).toDF("k", "r"), "roots"), BROADCAST_KEYS)
+    held = held.drop("a").join(roots, "k", "left").select("p", "k", "n", "i", F.coalesce("r", "k").alias("r"))
+    held = materialise(held, "rooted")
+    main = held.groupBy("p", "r").agg(F.count(F.lit(1)).alias("c")).groupBy("p")
+    main = main.agg(F.max(F.struct("c", "r"))["r"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("p", "main")
+    held = materialise(held.join(materialise(main, "main"), "p"), "undecided")
+    # the smaller set of a pair has the shingle in the first (1 - similarity) / (1 + similarity) of its places
+    left = held.where((F.col("n") - F.col("i")) * (1 + similarity) >= 2 * similarity * F.col("n") - 1e-6)
+    left = left.select("p", F.col("k").alias("a"), "n", "i", "r", (F.col("r") == F.col("main")).alias("side"))
+    sides = F.when(F.col("r") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    right = held.select("p", F.col("k").alias("b"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("r").alias("q"), F.explode(sides).alias("side"))
+    pairs = left.join(right, ["p", "side"]).where("r <> q and n <= m").where(_may_be_alike(similarity, *map(F.col, "nimj")))
+    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
+    return equal.union(links).union(_alike(rows, pairs, width, similarity))
 
 
 def without_near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -93,3 +93,32 @@ def test_near_copies(spark, none):
     alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert alike and not [p for p in alike if p[0] in kept and p[1] in kept]
     assert N.without_near_copies(none).count() == 0
+
+
+def alike_pairs(texts):
+    sets = {i: set(S.shingle_hashes(t.encode(), 5).tolist()) for i, t in texts}
+    return [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def test_near_copies_behind_a_licence(spark):
+    """Pairs whose words are mostly those of a licence, beside texts of it alone or with others: all similar pairs are found."""
+    rng = np.random.Generator(np.random.PCG64(8))
+    draw = lambda n: [f"w{i}" for i in rng.integers(0, 4_000, n)]
+    licence, texts = draw(280), []
+    for _ in range(12):
+        own = draw(120)
+        changed = own[:60] + ["changed"] + own[61:]
+        texts += [licence + own, licence + changed, licence[:270] + changed]
+    texts += [licence, licence + draw(30), licence + draw(35), licence[:150] + draw(3) + licence[150:], licence + draw(110)]
+    # chains of links whose ends are unlike, and texts of a few words
+    chain = draw(300)
+    for _ in range(4):
+        chain = chain[25:] + draw(25)
+        texts.append(chain)
+    texts += [draw(5), draw(6), texts[0][:5], texts[0][:6], texts[0][:7], texts[0][:8]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    links = N.similar_links(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    found = [(r.a, r.b) for r in links.collect()]
+    want = alike_pairs(rows)
+    assert {tuple(sorted(p)) for p in found} <= set(want)
+    assert model_components(found) == model_components(want)
