@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.llm.common import Batches, prepare, release, rows_to_batches, text_bytes
 from corpusloom.llm.components import connected_components
-from corpusloom.llm.simhash import fingerprint_links, near_duplicates, shingle_hashes, simhash
+from corpusloom.llm.simhash import fingerprint_links, shingle_hashes, simhash
 from corpusloom.session import broadcast_if_small, materialise
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -194,18 +194,10 @@ def similar_links(
 def without_near_copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``documents`` with one document of each group of near copies: that of the smallest key.
 
-    Groups are components: first of SimHash fingerprints over five words that differ in
-    at most 2 bits, then, among what is left, of documents with a similarity of at least
-    SIMILARITY. Rows that repeat a key are one document's and stay or go together; rows
-    with a null key stay. All columns stay as they are.
+    Groups are components of documents with a similarity of at least SIMILARITY. Rows
+    that repeat a key are one document's and stay or go together; rows with a null key
+    stay. All columns stay as they are.
     """
-    first = near_duplicates(documents.select(key, text), key, text, WIDTH)
-    gone = materialise(first.where(F.col(key) > F.col("component_id")).select(F.col(key).alias("_gone")).distinct(), "gone")
-    left = _without(documents, gone, key)
-    roots = connected_components(similar_links(left.select(key, text), key, text))
-    more = roots.where("id > root").select(F.col("id").alias("_gone"))
-    return _without(documents, materialise(gone.union(more).distinct(), "gone"), key)
-
-
-def _without(documents: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    roots = connected_components(similar_links(documents.select(key, text), key, text))
+    gone = materialise(roots.where("id > root").select(F.col("id").alias("_gone")).distinct(), "gone")
     return documents.join(broadcast_if_small(gone, BROADCAST_KEYS), documents[key] == gone["_gone"], "left_anti")

@@ -122,3 +122,13 @@ def test_near_copies_behind_a_licence(spark):
     want = alike_pairs(rows)
     assert {tuple(sorted(p)) for p in found} <= set(want)
     assert model_components(found) == model_components(want)
+
+
+def test_unlike_texts_of_one_fingerprint_stay(spark):
+    """Two texts with one line a hundred times and other words: equal fingerprints, hardly a common shingle."""
+    line = "this line of seven words comes again".split() * 100
+    rows = [(i, " ".join(line + [f"own{i}x{j}" for j in range(300)])) for i in range(2)]
+    docs = spark.createDataFrame([*rows, (2, rows[0][1].upper())], "doc_id bigint, text string")
+    assert not alike_pairs(rows)
+    assert {r.fp for r in S.with_fingerprints(docs, width=5).collect()} == {S.simhash(S.shingle_hashes(rows[0][1].encode(), 5))}
+    assert {r.doc_id for r in N.without_near_copies(docs).collect()} == {0, 1}
