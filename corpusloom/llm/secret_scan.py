@@ -10,12 +10,28 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.session import materialise
 
-# A candidate is a run of these characters with a digit, or a longer one without
 _RUN = "[A-Za-z0-9+/_=-]"
-CANDIDATE = rf"(?<!{_RUN})(?:(?={_RUN}{{0,512}}?[0-9]){_RUN}{{16,}}|{_RUN}{{28,}})"
 CONTEXT = 48
 # names that announce a credential, and words that announce an example
-CREDENTIAL = r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)"
+_NAMES = "(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_ -]?key|auth(?!or)|bearer|credential|private[_-]?key)"
+CREDENTIAL = f"(?i){_NAMES}"
+# what stands directly before a value that is given to a name, or follows the word bearer
+_NAME = f"(?i:{_NAMES})[A-Za-z0-9_-]{{0,12}}"
+_GIVEN = rf"(?:{_NAME}[\"'`]?(?:\s{{0,3}}[=:]|\s{{1,3}}(?:is|was))\s{{0,3}}[\"'`]?|(?i:bearer)\s{{1,3}})"
+_VALUE = rf"(?!=)(?:(?={_RUN}{{0,512}}?[0-9]){_RUN}{{8,}}|{_RUN}{{16,}})"
+# A candidate is, behind a credential's name, what stands in quotes, a bearer token, or a run of 8 characters with a digit,
+# or 16 without; elsewhere a run of 16 with a digit or 28 without, which does not give a value to such a name
+_BEHIND = (
+    rf"(?<=[=:\s\"'`])(?=[^\s\"'`]{{8}})(?<={_GIVEN})(?:(?<=[\"'`])[^\s\"'`]{{8,512}}(?=[\"'`])"
+    rf"|(?<=(?i:bearer)\s{{1,3}})[A-Za-z0-9+/_=.~-]{{16,}}|{_VALUE})"
+)
+_PLAIN = rf"(?<!{_RUN})(?:(?={_RUN}{{0,512}}?[0-9])(?={_RUN}{{16}})|(?={_RUN}{{28}}))(?![A-Za-z0-9_-]{{0,64}}?{_NAME}={_VALUE}){_RUN}{{16,}}"
+CANDIDATE = f"(?:{_BEHIND}|{_PLAIN})"
+# formats that only credentials have
+KNOWN = (
+    r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|glpat-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{16,}"
+    r"|[sr]k_live_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{16,})"
+)
 PLACEHOLDER = r"(?i)(?:example|sample|dummy|placeholder|changeme|your[_-]|xxxx|todo)"
 TEST_PATH = r"(?i)(?:^|[/_.-])(?:tests?|examples?|fixtures?|mocks?|docs?|vendor|samples?)(?:$|[/_.-])"
 
@@ -26,7 +42,7 @@ TREES, DEPTH = 15, 5
 
 FEATURES = (
     "length digits capitals others transitions vowel_turns repeats coverage test_path in_path "
-    "credential assigned quoted placeholder words_before"
+    "credential assigned quoted placeholder words_before named known entropy"
 ).split()
 
 
@@ -40,7 +56,7 @@ def dictionary(documents: DataFrame, text: str = "text", words: int = DICTIONARY
 def candidates(text: str) -> Column:
     """Array of (before, value, after) of every candidate of a text; empty for a null text."""
     # groups inside the look-arounds hold up to CONTEXT characters of either side
-    before = rf"(?s)(?<!{_RUN})(?={CANDIDATE})(?<=(.{{{CONTEXT}}}|^.{{0,{CONTEXT - 1}}})){_RUN}{{16,}}"
+    before = rf"(?s)(?={CANDIDATE})(?<=(.{{{CONTEXT}}}|^.{{0,{CONTEXT - 1}}})){CANDIDATE}"
     own = F.coalesce(F.col(text).cast("string"), F.lit(""))
     after = rf"(?s){CANDIDATE}(?=(.{{0,{CONTEXT}}}))"
     return F.arrays_zip(
@@ -50,6 +66,18 @@ def candidates(text: str) -> Column:
     )
 
 
+def entropy(value: Column) -> Column:
+    """Bits per character of the first 256 characters of a value, by their own frequencies."""
+    own = F.substring(value, 1, 256)
+    size = F.length(own).cast("double")
+
+    def bits(total: Column, letter: Column) -> Column:
+        n = size - F.length(F.replace(own, letter, F.lit("")))
+        return total + n * F.log2(size / n)
+
+    return F.aggregate(F.array_distinct(F.regexp_extract_all(own, F.lit("(?s)(.)"), 1)), F.lit(0.0), bits) / size
+
+
 def features(before: Column, value: Column, after: Column, path: Column, words: list[str]) -> dict[str, Column]:
     """The forest's inputs: length, character transitions, dictionary coverage, path, neighbouring words."""
     count = lambda column, pattern: F.regexp_count(column, F.lit(pattern)).cast("double")
@@ -73,15 +101,24 @@ def features(before: Column, value: Column, after: Column, path: Column, words:
         "quoted": flag(before, "[\"'`]$") * flag(after, "^[\"'`]"),
         "placeholder": flag(F.concat(before, value), PLACEHOLDER),
         "words_before": count(before, r"\b[A-Za-z]{2,}\b"),
+        "named": flag(before, f"{_GIVEN}$"),
+        "known": flag(value, KNOWN),
+        "entropy": entropy(value),
     }
 
 
 def labelled(before: Column, value: Column, after: Column) -> Column:
-    """The label of a finding where no person gave one: 1 for a value of random characters that is assigned, in quotes,
-    to a credential's name, 0 for everything else."""
-    named = before.rlike(CREDENTIAL + r"[A-Za-z_-]{0,12}\s{0,3}[=:]\s{0,3}[\"'`]$") & after.rlike("^[\"'`]")
-    mixed = F.regexp_count(value, F.lit("[0-9]")) * 8 >= F.length(value)
-    return F.coalesce(named & mixed & ~F.concat(before, value).rlike(PLACEHOLDER), F.lit(False)).cast("int")
+    """The label of a finding where no person gave one: 1 for a known format, or for a value of random characters that is
+    given to a credential's name, in quotes or without, or follows the word bearer; 0 for everything else."""
+    named = before.rlike(f"{_GIVEN}$")
+    digits = F.regexp_count(value, F.lit("[0-9]")) * 8 >= F.length(value)
+    # without many digits: letters of both cases mixed as words do not mix them, or other characters
+    turns = F.regexp_count(value, F.lit("[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])")) * 4 >= F.length(value)
+    short = F.length(value) < 16
+    kinds = sum((value.rlike(kind).cast("int") for kind in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")), F.lit(0))
+    random = F.when(short, (kinds >= 2) & value.rlike("[0-9]") & (entropy(value) >= 2.5)).otherwise(digits | turns & (entropy(value) >= 3.5))
+    given = named & random | value.rlike(KNOWN)
+    return F.coalesce(given & ~F.concat(before, value).rlike(PLACEHOLDER), F.lit(False)).cast("int")
 
 
 def findings(documents: DataFrame, words: list[str], key: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
@@ -100,11 +137,11 @@ class Forest:
     trees: list
 
     def score(self, inputs: dict[str, Column]) -> Column:
-        """The mean of the trees, as an expression."""
+        """The mean of the trees, as an expression; 1 for a known format that is no placeholder, which the sample may not hold."""
         total = F.lit(0.0)
         for tree in self.trees:
             total = total + _as_column(tree, inputs)
-        return total / len(self.trees)
+        return F.when((inputs["known"] == 1) & (inputs["placeholder"] == 0), 1.0).otherwise(total / len(self.trees))
 
 
 def _as_column(node, inputs: dict[str, Column]) -> Column:
