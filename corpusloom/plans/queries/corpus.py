@@ -19,6 +19,8 @@ from corpusloom.sources.schema import preflight
 from corpusloom.streaming.flows import stream_ingest
 
 MODEL = "text-embedding-3-large"
+# documents of one arriving file, which is read as one row
+FILE_LINES = 500
 
 
 def documents_stats(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,19 +152,20 @@ def streamed_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that arrive as the lines of text files, ingested as a stream: every chunk's digest and how often it is stored."""
     path, corpus = work_folder(spark, "arriving"), Corpus(spark, work_folder(spark, "corpus"))
     lines = table(spark, folder, "documents").where("text <> ''").select(F.translate("text", "\r\n", "  ").alias("value"))
-    lines.repartition(4).write.text(path)
+    lines.write.option("maxRecordsPerFile", FILE_LINES).text(path)
     settings = Settings(skip_existing=True)
     stream_ingest(spark, path, lines_of, corpus, digest_embedder(8), settings, work_folder(spark, "checkpoint"), "txt").awaitTermination()
     return corpus.chunks().groupBy(F.md5("content").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def listed_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents written to one folder per language, listed from the top."""
+    """Documents written to one folder per language, listed from the top; lengths are summed over a folder's files."""
     path = work_folder(spark, "files")
     documents = table(spark, folder, "documents").where("text <> ''").select("lang", F.translate("text", "\r\n", "  ").alias("value"))
-    documents.repartition("lang").write.partitionBy("lang").text(path)
+    documents.write.partitionBy("lang").text(path)
     found = list_files(spark, path, depth=2, pattern=r"/part-[^/]*\.txt$")
-    return found.select(F.regexp_extract("path", "lang=([^/]*)", 1).alias("lang"), long("depth").alias("depth"), long("length").alias("length"))
+    found = found.select(F.regexp_extract("path", "lang=([^/]*)", 1).alias("lang"), long("depth").alias("depth"), "length")
+    return found.groupBy("lang", "depth").agg(long(F.sum("length")).alias("length"))
 
 
 def preflight_tables(spark: SparkSession, folder: str) -> DataFrame:

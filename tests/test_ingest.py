@@ -8,6 +8,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from corpusloom.plans.queries import corpus as Q
 from corpusloom.operators import stats as D
 from corpusloom.plans import embedding as H
 from corpusloom.operators.search import find_closest
@@ -264,3 +265,23 @@ def test_pin_and_violations(spark):
     assert D.pinned_identity(unnamed).count() == 0 and D.space_violations(docs, unnamed).count() == 0
     assert D.space_violations(docs, docs.limit(0)).count() == 0
     assert D.backend_catalogue(spark).where("batch_size = 64").count() == 7
+
+
+def test_files_of_bounded_size_from_the_table(spark, tmp_path, monkeypatch):
+    """Files come from the table's own partitions: small ones for the stream, several per language for the listing."""
+    rows = [(i, f"text number {i} of the table", "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    folders = []
+
+    def folder_of(spark, purpose):
+        folders.append(str(tmp_path / f"{purpose}-{len(folders)}"))
+        return folders[-1]
+
+    monkeypatch.setattr(Q, "work_folder", folder_of)
+    monkeypatch.setattr(Q, "FILE_LINES", 7)
+    assert sum(r.n for r in Q.streamed_chunks(spark, str(tmp_path)).collect()) == 60
+    lines = [len(f.read_text().splitlines()) for f in (tmp_path / "arriving-0").glob("*.txt")]
+    assert sum(lines) == 60 and max(lines) <= 7
+    assert [tuple(r) for r in Q.listed_files(spark, str(tmp_path)).collect()] == [("en", 2, sum(len(t) + 1 for _, t, _ in rows))]
+    assert len([*tmp_path.glob("files-*/lang=en/*.txt")]) == 3
