@@ -62,6 +62,19 @@ def _marks(rows: DataFrame, width: int) -> DataFrame:
     return materialise(rows.mapInArrow(run, "k bigint, n int, d binary, fp bigint, cell int, c bigint"), "marks")
 
 
+def _levels(cells: DataFrame) -> np.ndarray:
+    """Of every cell the class of its count; made by one task, since the number of cells is fixed, and one row for the driver."""
+
+    def run(batches: Batches) -> Batches:
+        levels = np.zeros(1 << CELL_BITS, np.uint8)
+        for batch in batches:
+            levels[batch.column(0).to_numpy()] = np.ceil(np.log2(batch.column(1).to_numpy()) * 4)
+        yield pa.RecordBatch.from_pylist([{"levels": levels.tobytes()}])
+
+    found = materialise(materialise(cells, "cells").coalesce(1).mapInArrow(run, "levels binary"), "levels").first()
+    return np.frombuffer(bytes(found["levels"]), np.uint8)
+
+
 def _prefixes(rows: DataFrame, levels, width: int, similarity: float) -> DataFrame:
     """``p, k, n, i``: of every text the first shingles of its set, rare ones first, up to where a similar text must share one.
 
@@ -148,10 +161,7 @@ def similar_links(
     rows = documents.select(F.col(key).cast("bigint").alias("k"), text_bytes(text).alias("t")).where("k is not null")
     made = _marks(rows, width)
     marks = made.where("k is not null").select("k", "n", "d", "fp")
-    levels = np.zeros(1 << CELL_BITS, np.uint8)
-    found = made.where("cell is not null").groupBy("cell").agg(F.ceil(F.log2(F.sum("c")) * 4).cast("int").alias("l")).toPandas()
-    levels[found["cell"].to_numpy()] = found["l"].to_numpy()
-    levels = spark.sparkContext.broadcast(levels)
+    levels = spark.sparkContext.broadcast(_levels(made.where("cell is not null").groupBy("cell").agg(F.sum("c").alias("c"))))
 
     first = materialise(marks.groupBy("d").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a < z").select("d", "a"), "first")
     equal = materialise(marks.join(broadcast_if_small(first), "d").where("k > a").select("a", F.col("k").alias("b")), "equal")
