@@ -11,7 +11,7 @@ from corpusloom.llm.queries import QUERIES
 def test_all_are_registered():
     names = set(entry_points.queries())
     assert {*QUERIES, "pipeline"} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", [n for n, (_, sql) in QUERIES.items() if sql])
