@@ -157,6 +157,12 @@ def neighbour_links(fingerprints: DataFrame, radius: int) -> DataFrame:
     return links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
+def _roots(fingerprints: DataFrame, radius: int) -> DataFrame:
+    """``fp, root`` of every fingerprint that is linked to another; root is the smallest of its component."""
+    roots = connected_components(fingerprint_links(fingerprints, radius)).withColumnsRenamed({"id": "fp"})
+    return materialise(roots, "roots")
+
+
 def near_duplicates(
     documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2
 ) -> DataFrame:
@@ -170,11 +176,33 @@ def near_duplicates(
     """
     marked = materialise(with_fingerprints(documents, key, text, width), "fingerprints")
     first = materialise(marked.groupBy("fp").agg(F.min(key).alias("first")), "first")
-    roots = connected_components(fingerprint_links(first, radius)).withColumnsRenamed({"id": "fp"})
-    roots = materialise(roots, "roots")
+    roots = _roots(first, radius)
     least = materialise(
         roots.join(first, "fp").groupBy("root").agg(F.min("first").alias("component_id")), "components"
     )
     linked = materialise(roots.join(least, "root").select("fp", "component_id"), "components")
     named = first.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return marked.join(materialise(named, "components"), "fp").select(key, "fp", "component_id")
+
+
+def without_near_duplicates(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, radius: int = 2
+) -> DataFrame:
+    """One row of each component of ``near_duplicates``, with all its columns whatever their names.
+
+    The row of the smallest key stays, of repeated rows one, and a null key only where
+    the component has no other.
+    """
+    rows = materialise(
+        documents.select(
+            F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("document"), F.monotonically_increasing_id().alias("row")
+        ),
+        "documents",
+    )
+    told = rows.select("row", F.col(f"document.`{key}`").alias("id"), F.col(f"document.`{text}`").alias("text"))
+    marked = materialise(with_fingerprints(told.select("row", "text"), "row", "text", width), "fingerprints")
+    named = marked.join(told.select("row", F.struct(F.col("id").isNull().alias("missing"), "id", "row").alias("least")), "row")
+    first = materialise(named.groupBy("fp").agg(F.min("least").alias("least")), "first")
+    group = F.coalesce("root", "fp").alias("root")
+    kept = first.join(_roots(first, radius), "fp", "left").groupBy(group).agg(F.min("least").alias("least"))
+    return rows.join(materialise(kept.select("least.row"), "kept"), "row", "left_semi").select("document.*")
