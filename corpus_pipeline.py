@@ -11,10 +11,10 @@ import public_tokenizers  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession, functions as F  # noqa: E402
 
 from corpusloom.llm.common import remainder_of_id, table  # noqa: E402
-from corpusloom.llm.near_copies import without_near_copies  # noqa: E402
 from corpusloom.llm.packing import pack_documents  # noqa: E402
 from corpusloom.llm.quality import train, with_scores  # noqa: E402
 from corpusloom.llm.secret_scan import redact  # noqa: E402
+from corpusloom.llm.simhash import without_near_duplicates  # noqa: E402
 from corpusloom.session import work_folder  # noqa: E402
 
 
@@ -25,8 +25,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return without_near_copies(docs)
+    """One document of each group whose fingerprints over three words are linked by at most two differing bits."""
+    return without_near_duplicates(docs, width=3, radius=2)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
