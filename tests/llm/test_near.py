@@ -5,7 +5,7 @@ import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.llm import components as C, near_copies as N, simhash as S
+from corpusloom.llm import components as C, simhash as S
 
 
 def test_shingles_and_fingerprint():
@@ -71,64 +71,39 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert by[6].component_id == by[5].component_id == 5 and by[None].component_id is None
 
 
-def test_near_copies(spark, none):
+def test_near_duplicates_against_brute_force(spark):
+    """Random texts with edits: every fingerprint and component is that of a plain search over all pairs."""
     rng = np.random.Generator(np.random.PCG64(5))
-    words = [f"w{i}" for i in range(4_000)]
-    draw = lambda n: [words[i] for i in rng.integers(0, len(words), n)]
-    texts, boiler = [], draw(40)
-    for _ in range(12):
-        text = draw(300)
-        texts.append(text)
-        for _ in range(3):
-            copy = list(text)
-            for i in rng.integers(0, 300, 5):
-                copy[i] = "changed"
-            texts.append(copy)
-    clean = [boiler + draw(200) for _ in range(20)]  # share a passage only
-    rows = [(i, " ".join(t), "en") for i, t in enumerate(texts + clean)]
-    docs = spark.createDataFrame([*rows, (None, rows[0][1], "en"), (500, None, None)], "doc_id bigint, text string, a string")
-    kept = {r.doc_id for r in N.without_near_copies(docs).collect()}
-    sets = {i: set(S.shingle_hashes(t.encode(), 5).tolist()) for i, t, _ in rows}
-    assert {i for i in kept if i is not None and i >= len(texts)} == {*range(len(texts), len(rows)), 500} and None in kept
-    alike = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    assert alike and not [p for p in alike if p[0] in kept and p[1] in kept]
-    assert N.without_near_copies(none).count() == 0
-
-
-def alike_pairs(texts):
-    sets = {i: set(S.shingle_hashes(t.encode(), 5).tolist()) for i, t in texts}
-    return [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-
-
-def test_near_copies_behind_a_licence(spark):
-    """Pairs whose words are mostly those of a licence, beside texts of it alone or with others: all similar pairs are found."""
-    rng = np.random.Generator(np.random.PCG64(8))
-    draw = lambda n: [f"w{i}" for i in rng.integers(0, 4_000, n)]
-    licence, texts = draw(280), []
-    for _ in range(12):
-        own = draw(120)
-        changed = own[:60] + ["changed"] + own[61:]
-        texts += [licence + own, licence + changed, licence[:270] + changed]
-    texts += [licence, licence + draw(30), licence + draw(35), licence[:150] + draw(3) + licence[150:], licence + draw(110)]
-    # chains of links whose ends are unlike, and texts of a few words
-    chain = draw(300)
-    for _ in range(4):
-        chain = chain[25:] + draw(25)
-        texts.append(chain)
-    texts += [draw(5), draw(6), texts[0][:5], texts[0][:6], texts[0][:7], texts[0][:8]]
-    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    links = N.similar_links(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    found = [(r.a, r.b) for r in links.collect()]
-    want = alike_pairs(rows)
-    assert {tuple(sorted(p)) for p in found} <= set(want)
-    assert model_components(found) == model_components(want)
-
-
-def test_unlike_texts_of_one_fingerprint_stay(spark):
-    """Two texts with one line a hundred times and other words: equal fingerprints, hardly a common shingle."""
-    line = "this line of seven words comes again".split() * 100
-    rows = [(i, " ".join(line + [f"own{i}x{j}" for j in range(300)])) for i in range(2)]
-    docs = spark.createDataFrame([*rows, (2, rows[0][1].upper())], "doc_id bigint, text string")
-    assert not alike_pairs(rows)
-    assert {r.fp for r in S.with_fingerprints(docs, width=5).collect()} == {S.simhash(S.shingle_hashes(rows[0][1].encode(), 5))}
-    assert {r.doc_id for r in N.without_near_copies(docs).collect()} == {0, 1}
+    words = [f"w{i}" for i in range(500)]
+    texts = []
+    for _ in range(30):
+        base = [words[i] for i in rng.integers(0, 500, 200)]
+        texts.append(" ".join(base))
+        for n in (0, 1, 1, 2, 6):
+            copy = list(base)
+            for i in rng.integers(0, 200, n):
+                copy[i] = "Changed"
+            texts.append(" ".join(copy).upper() if n == 1 else "  ".join(copy))
+    rows = list(enumerate(texts))
+    rows = [rows[i] for i in rng.permutation(len(rows)).tolist()]
+    want_fp = {i: S.simhash(S.shingle_hashes(t.encode(), 3)) & (1 << 64) - 1 for i, t in rows}
+    want = model_components([
+        (a, b) for a in want_fp for b in want_fp if a < b and (want_fp[a] ^ want_fp[b]).bit_count() <= 2
+    ])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: (r.fp & (1 << 64) - 1, r.component_id) for r in S.near_duplicates(docs).collect()}
+    assert got == {i: (fp, want.get(i, i)) for i, fp in want_fp.items()}
+    assert len(set(c for _, c in got.values())) < len(texts)
+    kept = sorted(r.doc_id for r in S.without_near_duplicates(docs).collect())
+    assert kept == sorted({c for _, c in got.values()})
+
+
+def test_one_row_of_each_group_stays(spark, odd, none):
+    kept = S.without_near_duplicates(odd.withColumn("row", F.lit("x")).withColumn("document", F.lit(1)))
+    assert kept.columns == [*odd.columns, "row", "document"]
+    got = kept.collect()
+    groups = {r.component_id for r in S.near_duplicates(odd).collect()}
+    assert len(got) == len(groups) and {r.doc_id for r in got} == groups
+    assert S.without_near_duplicates(none).count() == 0 and S.without_near_duplicates(none).schema == none.schema
+    keyless = spark.createDataFrame([(None, "a b c d"), (None, "a b c d"), (None, "e f g")], "doc_id bigint, text string")
+    assert sorted(r.text for r in S.without_near_duplicates(keyless).collect()) == ["a b c d", "e f g"]
