@@ -109,7 +109,7 @@ def audit(
     anything gives the survivors; those that fail nothing survive everywhere and are
     counted once. Label losses are the same relations over left-semi joins with the
     labelled ids. All counts are per row: repeated rows count as often as they occur,
-    a null text is empty, a null part is the empty string, a document without label is
+    a null text is empty, a null part is the empty string, a document without label or without a key is
     no loss. An empty table gives an empty result. Only the named columns are read.
     """
     spark = documents.sparkSession
