@@ -234,8 +234,8 @@ def token_pieces(
 
     def pieces_of(batch: pa.RecordBatch) -> Iterator[tuple]:
         encoder = word_encoder(shared.value, cached_words)
-        for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = encoder.encode(t.as_py()) + end
+        for k, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist())):
+            ids += end
             for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
                 yield k, piece, at // 4, len(part) // 4, zlib.crc32(part)

@@ -150,11 +150,11 @@ def write_token_files(
         encoder, end = word_encoder(shared.value), np.uint32(end_id)
         writer, path = None, ""
         for batch in batches:
-            for k, t in zip(batch.column(0), batch.column(1)):
+            for k, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist())):
                 if writer is None:
                     path, out = new_file(folder, ".ids")
                     writer = PackedWriter(out, bits, block_ids)
-                writer.add(k.as_py(), np.append(np.frombuffer(encoder.encode(t.as_py()), "<u4"), end))
+                writer.add(k, np.append(np.frombuffer(ids, "<u4"), end))
         if writer is not None:
             writer.close()
             first = writer.keys[0] if writer.known[0] else None

@@ -5,16 +5,21 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from array import array
+from collections.abc import Iterator
 
-import regex
+import numpy as np
 from tokenizers import Tokenizer
 
 from corpusloom.llm.common import hold
 
 # words are cached up to this many per generation and worker, and only short ones
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000
 CACHED_BYTES = 64
+# texts are split into words about this many bytes at a time, and new words encoded so many in a call
+TEXT_BYTES = 2 << 20
+CALL_WORDS = 20_000
 
 
 class Generations(dict):
@@ -46,20 +51,20 @@ BYTE_CHARACTERS = {b: b for b in _PRINTED} | {
     b: 256 + n for n, b in enumerate(b for b in range(256) if b not in set(_PRINTED))
 }
 
-# words whose characters NFC leaves alone and whose small letters depend on nothing around them
-_PLAIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
+# characters that NFC leaves alone and whose small letters depend on nothing around them; lines with any other
+_PLAIN = "\x21-\x7e\xa1-\u012f\u0131-\u017f"
+_ODD = re.compile(f"^.*[^{_PLAIN}\n].*$", re.M)
+# no tokenizer has this id: the ends of words while several are encoded
+_NO_ID = 0xFFFFFFFF
+_CUT = _NO_ID.to_bytes(4, "little")
 
 
-class _Part(Generations):
-    """Ids of what the pre-tokenizer makes of a word: the library's model alone."""
-
-    def __init__(self, model, limit: int):
-        super().__init__(limit)
-        self.model = model
-
-    def make(self, part: str) -> bytes:
-        characters = part.encode().decode("latin-1").translate(BYTE_CHARACTERS)
-        return array("I", [token.id for token in self.model.tokenize(characters)]).tobytes()
+def _plain_classes(pattern: str) -> str:
+    """The pattern with its classes of letters and numbers as lists of the plain characters, small letters only."""
+    plain = [c for c in map(chr, range(0x21, 0x180)) if re.match(f"[{_PLAIN}]", c) and c.lower() == c]
+    for kind in "LN":
+        pattern = pattern.replace(rf"\p{{{kind}}}", "".join(c for c in plain if unicodedata.category(c)[0] == kind))
+    return pattern
 
 
 def _word_pattern(definition: dict) -> str | None:
@@ -77,34 +82,104 @@ def _word_pattern(definition: dict) -> str | None:
     return None
 
 
-class WordEncoder(Generations):
-    """Ids of a text as little-endian unsigned 32-bit integers.
+class WordEncoder:
+    """Ids of texts as little-endian unsigned 32-bit integers.
 
     Only for tokenizers whose words end at white space and drop it (``word_bpe``): no
     step of theirs looks across ASCII white space, so the ids of a text are those of
     its words, one after the other. Special tokens in a text are found as the library
-    does. Words of Latin letters go straight to the library's model, others through all its steps.
+    does. The new words of some texts are encoded together: words of Latin letters are cut
+    by one search, and each new part goes to the library's model; others go through all its steps.
+
+    Words are kept in two generations of ``limit``: a word of the older one moves up when
+    it is met again, so frequent words stay, and the rest goes with its generation.
     """
 
     def __init__(self, definition: str, limit: int = CACHED_WORDS):
-        super().__init__(limit)
+        self.limit = limit
+        self.newer: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         read = json.loads(definition)
         pattern = _word_pattern(read)
-        self.find = regex.compile(pattern).findall if pattern else None
+        # the ends of words are parts of their own
+        self.find = re.compile(f"\\n|{_plain_classes(pattern)}").findall if pattern else None
+        self.parts = {"\n": _CUT}
         self.special = re.compile("|".join(re.escape(t["content"]) for t in read.get("added_tokens", [])) or "(?!)")
-        self.part = _Part(self.tokenizer.model, limit // 2)
-
-    def make(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if self.find and _PLAIN.fullmatch(text) and not self.special.search(text):
-            return b"".join(map(self.part.__getitem__, self.find(text.lower())))
+        self.model = self.tokenizer.model
+
+    def _part(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(BYTE_CHARACTERS)
+        return array("I", [token.id for token in self.model.tokenize(part)]).tobytes()
+
+    def make(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words, without the cache."""
+        joined = b"\n".join(words).decode("utf-8", "replace")
+        texts = joined.split("\n")
+        odd = set(_ODD.findall(joined)) if self.find else set(texts)
+        odd.update(text for text in texts if self.special.search(text)) if self.special.search(joined) else None
+        plain = [text for text in texts if text not in odd] if odd else texts
+        made = iter(self._plain(plain))
+        return [self._alone(text) if text in odd else next(made) for text in texts] if odd else list(made)
+
+    def _alone(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        parts = self.find("\n".join(texts).lower())
+        known = self.parts
+        if len(known) > self.limit:
+            known = self.parts = {"\n": _CUT}
+        for part in set(parts).difference(known):
+            known[part] = self._part(part)
+        data = b"".join(map(known.__getitem__, parts))
+        ends = np.append(np.flatnonzero(np.frombuffer(data, "<u4") == _NO_ID) * 4, len(data))
+        starts = np.append(0, ends[:-1] + 4).tolist()
+        return [data[a:b] for a, b in zip(starts, ends.tolist())]
+
+    def encode_all(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text."""
+        at = 0
+        while at < len(texts):
+            held, missing, size = [], [], 0
+            while at < len(texts) and (not held or size < TEXT_BYTES):
+                words = texts[at].split()
+                ids = list(map(self.newer.get, words))
+                size += len(texts[at])
+                at += 1
+                gaps, i = [], -1
+                for _ in range(ids.count(None)):
+                    i = ids.index(None, i + 1)
+                    gaps.append(i)
+                held.append((ids, gaps, [words[i] for i in gaps]))
+                missing += held[-1][2]
+            found = self._look_up(dict.fromkeys(missing))
+            for ids, gaps, words in held:
+                for i, word in zip(gaps, words):
+                    ids[i] = found[word]
+                yield b"".join(ids)
+
+    def _look_up(self, words: dict[bytes, bytes]) -> dict[bytes, bytes]:
+        """The ids of words that are not in the newer generation; they are from now on."""
+        new = []
+        for word in words:
+            ids = words[word] = self.older.get(word)
+            if ids is None:
+                new.append(word)
+        for at in range(0, len(new), CALL_WORDS):
+            words.update(zip(new[at : at + CALL_WORDS], self.make(new[at : at + CALL_WORDS])))
+        if len(self.newer) + len(words) > self.limit:
+            self.older, self.newer = self.newer, {}
+        self.newer.update(item for item in words.items() if len(item[0]) <= CACHED_BYTES)
+        return words
+
     def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        return next(self.encode_all([text]))
 
 
 def word_encoder(definition: str, cached_words: int = CACHED_WORDS) -> WordEncoder:
