@@ -17,9 +17,10 @@ from corpusloom.session import materialise
 
 # A filling and how many sequences have it; its lengths are in descending order
 Plan = list[tuple[tuple[int, ...], int]]
-# Steps of the search (fillings, and sums looked for) before the best plan so far is taken
-STEPS = 20_000
-DEEPEST = 4
+# Fillings that the searches look at before the best plan so far is taken
+STEPS = 50_000
+# Orders of the searches: whether a branch tries small lengths first, by its depth and in turn
+SMALL_FIRST = ((False,), (True,), (False, True), (False, False, True), (True, True, False))
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -79,148 +80,144 @@ class Steps:
         return self.left >= 0
 
 
-def _sums(counts: np.ndarray, target: int, largest: int, depth: int, steps: Steps) -> Iterator[tuple[int, ...]]:
-    """Multisets of at most ``depth`` available lengths up to ``largest`` with this sum, large lengths first."""
-    if not steps.take():
+def _reachable(counts: np.ndarray, room: int, small: bool) -> tuple[list[int], list[int]]:
+    """Available lengths up to ``room`` and before each and after all the sums (as bits) that they reach.
+
+    The last lengths are used first: the large ones, or with ``small`` the small ones.
+    """
+    lengths = (np.flatnonzero(counts[1 : room + 1]) + 1).tolist()[:: -1 if small else 1]
+    mask, sums = (1 << room + 1) - 1, [1]
+    for length in lengths:
+        bits, left, take = sums[-1], min(int(counts[length]), room // length), 1
+        while left > 0:  # 1, 2, 4 ... copies and the rest give every number of copies
+            take = min(take, left)
+            bits |= bits << take * length & mask
+            left -= take
+            take *= 2
+        sums.append(bits)
+    return lengths, sums
+
+
+def _exact(lengths: list[int], sums: list[int], counts: np.ndarray, target: int, upto: int) -> Iterator[tuple[int, ...]]:
+    """Multisets of the first ``upto`` lengths with this sum, the last of them first; no dead ends."""
+    if target == 0:
+        yield ()
         return
-    if target <= largest and counts[target] > 0:
-        yield (target,)
-    if depth == 2:
-        high = min(largest, target - 1)
-        low = -(-target // 2)
-        if high >= low:
-            x = np.arange(high, low - 1, -1)
-            fits = (counts[x] > 0) & (counts[target - x] > (x == target - x))
-            for a in x[fits].tolist():
-                yield (a, target - a)
-    elif depth > 2:
-        for x in range(min(largest, target - 1), -(-target // depth) - 1, -1):
-            if steps.left <= 0:
-                return
-            if counts[x] > 0:
-                counts[x] -= 1
-                try:
-                    for rest in _sums(counts, target - x, x, depth - 1, steps):
-                        yield (x, *rest)
-                finally:
-                    counts[x] += 1
-
-
-def _dominated(filling: tuple[int, ...], counts: np.ndarray, waste: int) -> bool:
-    """A longer length could stand for one or two of the filling's, or one more would fit."""
-    if counts[1 : waste + 1].any():
+    for i in range(upto, 0, -1):
+        if not sums[i] >> target & 1:
+            return
+        length = lengths[i - 1]
+        for copies in range(min(int(counts[length]), target // length), 0, -1):
+            if sums[i - 1] >> target - copies * length & 1:
+                for rest in _exact(lengths, sums, counts, target - copies * length, i - 1):
+                    yield (length,) * copies + rest
+
+
+def _dominated(filling: tuple[int, ...], counts: np.ndarray, waste: int, pairs: bool) -> bool:
+    """With what the filling leaves, a longer length could stand for one (or two) of its own, or one more would fit."""
+    counts = counts.copy()
+    np.subtract.at(counts, np.array(filling, np.int64), 1)
+    distinct = sorted(set(filling))
+    if waste and (counts[1 : waste + 1].any() or any(counts[s + 1 : s + waste + 1].any() for s in distinct)):
         return True
-    sums = set(filling) | {a + b for i, a in enumerate(filling) for b in filling[i + 1 :]}
-    return any(counts[s + 1 : s + waste + 1].any() or (s not in filling and counts[s] > 0) for s in sums)
+    sums = {a + b for i, a in enumerate(distinct) for b in distinct[i:] if a != b or filling.count(a) > 1} if pairs else ()
+    return any(counts[s : s + waste + 1].any() for s in sums)
 
 
-def fillings(counts: np.ndarray, room: int, most_waste: int, steps: Steps) -> Iterator[tuple[int, ...]]:
-    """Undominated fillings of the room beside the largest length, least waste first.
+def fillings(counts: np.ndarray, room: int, most_waste: int, steps: Steps, small: bool = False) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of the room beside the largest length, least waste first, any number of lengths.
 
-    A length of exactly the room dominates all others. Sums of up to DEEPEST lengths
-    are enumerated for each waste in turn; where none has a tolerable waste, the
-    room is filled greedily with the largest lengths that fit.
+    A length of exactly the room dominates all others. Only sums that the available lengths
+    reach are looked at.
     """
-    if room == 0:
-        yield ()
-        return
-    if counts[room] > 0:
+    if room and counts[room] > 0:
         yield (room,)
         return
-    found = False
-    for waste in range(0, min(most_waste, room) + 1):
-        target = room - waste
-        if steps.left <= 0:
-            break
-        if target == 0:
-            if not counts[1 : room + 1].any():
-                found = True
-                yield ()
-            break
-        for depth in (2, DEEPEST):
-            seen = False
-            for filling in _sums(counts, target, target, depth, steps):
-                seen = True
-                if not waste or not _dominated(filling, counts, waste):
-                    found = True
-                    yield filling
-            if seen:
-                break
-    if not found:
-        taken, counts = [], counts.copy()
-        while (fits := np.flatnonzero(counts[1 : room + 1])).size:
-            taken.append(int(fits[-1]) + 1)
-            counts[taken[-1]] -= 1
-            room -= taken[-1]
-        yield tuple(taken)
+    lengths, sums = _reachable(counts, room, small)
+    for waste in range(min(most_waste, room) + 1):
+        if not sums[-1] >> room - waste & 1:
+            continue
+        for filling in _exact(lengths, sums, counts, room - waste, len(lengths)):
+            if not steps.take():
+                return
+            # looking for small lengths, what one large length could stand for is no loss
+            if not _dominated(filling, counts, waste, pairs=not small):
+                yield filling
 
 
 def bin_completion(counts: np.ndarray, capacity: int, steps: int = STEPS) -> Plan:
     """Branch and bound for the fewest sequences; ``counts[n]`` pieces have length n, up to ``capacity``.
 
     Every branch fills the sequence of the largest length left, and repeats that
-    filling as often as the counts allow, so a plan has about as many fillings as
-    there are lengths, whatever the number of pieces. A branch ends when its waste
-    exceeds what the best plan so far (at first best-fit decreasing) leaves for a
-    better one. The search ends at the lower bound, where the plan is proven best,
-    or after ``steps`` steps.
+    filling as often as the counts allow, later once, so a plan has about as many
+    fillings as there are lengths, whatever the number of pieces. A branch ends when
+    its waste exceeds what the best plan so far (at first best-fit decreasing) leaves for a
+    better one. Searches try large or small lengths first (SMALL_FIRST); they end at
+    the lower bound, where the plan is proven best, or after ``steps`` steps together.
     """
-    counts = counts.astype(np.int64).copy()
-    total = int((counts * np.arange(capacity + 1)).sum())
-    bound = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
-    fewest = sum(number for _, number in best)
-    plan: Plan = []
-    left = Steps(steps)
-    stack: list[tuple] = []  # (largest, fillings to try, sequences before, waste before)
-    used = waste = 0
-
-    def spare() -> int:
-        return (fewest - 1) * capacity - total - waste
-
-    def branch() -> None:
-        largest = int(np.flatnonzero(counts)[-1])
-        counts[largest] -= 1
-        view = counts.copy()
-        counts[largest] += 1
-        stack.append((largest, fillings(view, capacity - largest, max(0, spare()), left), used, waste))
-
-    if fewest > bound and counts.any():
-        branch()
-    while stack and left.left > 0 and fewest > bound:
-        largest, tries, before, wasted = stack[-1]
-        if len(plan) == len(stack):  # back from below: undo
-            filling, number = plan.pop()
-            for length in filling:
-                counts[length] += number
-            used, waste = before, wasted
-        filling = next(tries, None)
-        if filling is None:
-            stack.pop()
-            continue
-        left.take()
-        filling = (largest, *filling)
-        lengths, need = np.unique(filling, return_counts=True)
-        number = int((counts[lengths] // need).min())
-        loss = (capacity - sum(filling)) * number
-        if loss > spare():
-            number = max(1, spare() // max(1, capacity - sum(filling)))
-            loss = (capacity - sum(filling)) * number
-            if loss > spare():
-                # the rest of the tries wastes at least as much
-                stack.pop()
-                continue
-        counts[lengths] -= need * number
-        plan.append((filling, number))
-        used, waste = used + number, waste + loss
-        if not counts.any():
-            if used < fewest:
-                fewest, best = used, list(plan)
-        else:
-            branch()
+    for small in SMALL_FIRST:
+        best = _Search(counts, capacity, best, small).run(Steps(steps // len(SMALL_FIRST)))
     return best
 
 
+class _Search:
+    """A depth-first search over fillings, with the counts that are left and the plan that led there."""
+
+    def __init__(self, counts: np.ndarray, capacity: int, best: Plan, small: tuple[bool, ...]):
+        self.counts, self.capacity, self.small = counts.astype(np.int64).copy(), capacity, small
+        self.total = int((self.counts * np.arange(capacity + 1)).sum())
+        self.bound = lower_bound(self.counts, capacity)
+        self.best, self.fewest = best, sum(number for _, number in best)
+        self.used = self.waste = 0
+
+    def spare(self) -> int:
+        """The waste that a plan of one sequence fewer than the best may still have."""
+        return (self.fewest - 1) * self.capacity - self.total - self.waste
+
+    def branch(self, depth: int, left: Steps) -> Iterator[tuple]:
+        """Fillings of the largest length's sequence, and how often: (filling, number, lengths, copies of each, waste)."""
+        largest = int(np.flatnonzero(self.counts)[-1])
+        view = self.counts.copy()
+        view[largest] -= 1
+        for rest in fillings(view, self.capacity - largest, max(0, self.spare()), left, self.small[depth % len(self.small)]):
+            filling = (largest, *rest)
+            lengths, need = np.unique(filling, return_counts=True)
+            own = self.capacity - sum(filling)
+            most = int((self.counts[lengths] // need).min())
+            if own:
+                most = min(most, self.spare() // own)
+            if most > 0:
+                yield from ((filling, number, lengths, need, own) for number in dict.fromkeys((most, 1)))
+
+    def run(self, left: Steps) -> Plan:
+        taken: list[tuple] = []
+        open_ = [self.branch(0, left)] if self.fewest > self.bound and self.counts.any() else []
+        while open_ and left.left > 0 and self.fewest > self.bound:
+            if len(taken) == len(open_):  # back from below
+                self._take(taken.pop(), -1)
+            found = next(open_[-1], None)
+            if found is None:
+                open_.pop()
+                continue
+            left.take()
+            if found[4] * found[1] > self.spare():
+                continue
+            self._take(found, 1)
+            taken.append(found)
+            if self.counts.any():
+                open_.append(self.branch(len(open_), left))
+            elif self.used < self.fewest:
+                self.fewest, self.best = self.used, [(filling, number) for filling, number, *_ in taken]
+        return self.best
+
+    def _take(self, found: tuple, sign: int) -> None:
+        _, number, lengths, need, own = found
+        self.counts[lengths] -= sign * need * number
+        self.used += sign * number
+        self.waste += sign * own * number
+
+
 def token_pieces(
     documents: DataFrame, tokenizer: str, end_id: int, capacity: int, key: str = "doc_id", text: str = "text",
     cached_words: int = CACHED_WORDS,

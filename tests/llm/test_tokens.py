@@ -129,6 +129,17 @@ def test_bin_completion_beats_best_fit():
     assert P.lower_bound(counts, 15) == 4
 
 
+@pytest.mark.parametrize("low, high, pieces, seed", [(150, 400, 4_000, 0), (150, 400, 300, 1), (300, 500, 500, 1), (100, 110, 1_000, 0), (5, 2048, 3_000, 1)])
+def test_search_improves_on_best_fit(low, high, pieces, seed):
+    """Lengths of which many fit into a sequence: plans at the lower bound or one above it, and better than best fit."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    counts = np.bincount(rng.integers(low, high + 1, pieces), minlength=2049)
+    plan = P.bin_completion(counts, 2048)
+    assert (plan_counts(plan, 2048) == counts).all() and all(sum(f) <= 2048 for f, _ in plan)
+    found, simple = (sum(n for _, n in p) for p in (plan, P.best_fit(counts, 2048)))
+    assert found < simple and (found <= P.lower_bound(counts, 2048) + 1 or high == 2048)
+
+
 def test_packed_documents(odd, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows = P.pack_documents(odd, path, 0, 128).collect()
