@@ -26,13 +26,37 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 ARCHIVE_BYTES = 64 << 20
 HEAD_BYTES = 1 << 20
 _PIECE = 1 << 18
-_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+_VERSION = rb"WARC/(?:0\.1[0-9]|1\.[01])\r\n"
+_GZIP = b"\x1f\x8b\x08"
+_START = re.compile(re.escape(_GZIP) + rb"|" + _VERSION)
+_INNER_START = re.compile(_VERSION)
 
 
 def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def digest_bytes(named: str) -> tuple[str, bytes] | None:
+    """Algorithm and digest of ``sha1:...``, in base32 or hexadecimal letters; None if it is no digest that can be checked."""
+    kind, _, text = named.partition(":")
+    kind = kind.strip().lower().replace("-", "")
+    if kind not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    size, text = hashlib.new(kind).digest_size, text.strip().rstrip("=")
+    try:
+        if len(text) == 2 * size:
+            return kind, bytes.fromhex(text)
+        return kind, base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+    except ValueError:
+        return kind, b""
+
+
+def agrees(named: str, data: bytes) -> bool:
+    """Whether data have the digest that a header names; true where it names none that can be checked."""
+    wanted = digest_bytes(named)
+    return wanted is None or hashlib.new(wanted[0], data).digest() == wanted[1]
+
+
 def payload_digest(payload: Column) -> Column:
     """Base32 of the SHA-1 of a binary column, in SQL functions: 5 hex digits give 4 letters."""
     code = F.sha1(payload)
@@ -45,7 +69,11 @@ def payload_digest(payload: Column) -> Column:
 
 @dataclass
 class Record:
-    """One record, or with ``reason`` a gap of bytes that could not be read."""
+    """One record, or with ``reason`` a gap of bytes that could not be read.
+
+    ``inner`` and ``inner_length`` are the place within the inflated bytes of a gzip member of several
+    records or with a gap; its last row has the member's length, the others have none.
+    """
 
     offset: int
     length: int
@@ -53,6 +81,8 @@ class Record:
     headers: dict[str, str] = field(default_factory=dict)
     http: dict[str, str] = field(default_factory=dict)
     payload: bytes | None = None
+    inner: int | None = None
+    inner_length: int | None = None
 
 
 def record_bytes(
@@ -87,6 +117,7 @@ class FileSource:
         self._at, self._held = 0, b""
 
     def read(self, at: int, count: int) -> bytes:
+        count = min(count, self.size - at)
         if not (self._at <= at and at + count <= self._at + len(self._held)):
             self._at, self._held = at, self.file.read_at(min(max(count, 4 * _PIECE), self.size - at), at)
         return self._held[at - self._at : at - self._at + count]
@@ -102,6 +133,43 @@ class BytesSource:
         return self.data[at : at + count]
 
 
+class MemberSource:
+    """The inflated bytes of a gzip member, read forwards; those before ``forget`` are dropped.
+
+    ``end`` is where the member ends in the archive, once that is known; ``broken`` the
+    reason if it cannot be inflated to its end.
+    """
+
+    def __init__(self, source, at: int):
+        self.source, self.place = source, at
+        self.inflate = zlib.decompressobj(31)
+        self.base, self.held = 0, bytearray()
+        self.end: int | None = None
+        self.broken: str | None = None
+
+    def forget(self, at: int) -> None:
+        del self.held[: at - self.base]
+        self.base = at
+
+    def read(self, at: int, count: int) -> bytes:
+        while self.base + len(self.held) < at + count and self.end is None and self.broken is None:
+            piece = self.inflate.unconsumed_tail
+            if not piece:
+                piece = self.source.read(self.place, _PIECE)
+                self.place += len(piece)
+            try:
+                made = self.inflate.decompress(piece, 4 * _PIECE)
+            except zlib.error as bad:
+                self.broken = f"gzip member: {str(bad).partition(': ')[2] or bad}"
+                break
+            self.held += made
+            if self.inflate.eof:
+                self.end = self.place - len(self.inflate.unused_data)
+            elif not piece and not made:
+                self.broken = "gzip member is cut off"
+        return bytes(self.held[at - self.base : at - self.base + count])
+
+
 class Damaged(Exception):
     """A failed check; ``end`` is known where the frame of the record was whole."""
 
@@ -127,7 +195,7 @@ def _headers(head: bytes, source: str) -> dict[str, str]:
 
 def _head(data: bytes) -> tuple[dict[str, str], int, int]:
     """Headers, where the block begins, and its length."""
-    if not re.match(rb"WARC/1\.[01]\r\n", data):
+    if not _INNER_START.match(data):
         raise Damaged("no version line")
     end = data.find(b"\r\n\r\n")
     if end < 0:
@@ -143,8 +211,7 @@ def _head(data: bytes) -> tuple[dict[str, str], int, int]:
 def _checked(offset: int, end: int, headers: dict[str, str], block: bytes) -> Record:
     """The record, after its digests were compared."""
     record = Record(offset, end - offset, None, headers)
-    wanted = headers.get("warc-block-digest", "")
-    if wanted.startswith("sha1:") and wanted[5:] != base32_sha1(block):
+    if not agrees(headers.get("warc-block-digest", ""), block):
         raise Damaged("block digest differs", end)
     kind = headers.get("warc-type")
     record.payload = block
@@ -157,79 +224,94 @@ def _checked(offset: int, end: int, headers: dict[str, str], block: bytes) -> Re
         except Damaged as bad:
             raise Damaged(str(bad), end) from None
         record.payload = block[cut + 4 :]
-    wanted = headers.get("warc-payload-digest", "")
-    if kind != "revisit" and wanted.startswith("sha1:") and wanted[5:] != base32_sha1(record.payload):
+    if kind != "revisit" and not agrees(headers.get("warc-payload-digest", ""), record.payload):
         raise Damaged("payload digest differs", end)
     return record
 
 
-def _inflated(source, at: int, most: int | None = None) -> tuple[bytes, int]:
-    """One gzip member and where it ends; with ``most``, only its first bytes."""
-    inflate, parts, place, got = zlib.decompressobj(31), [], at, 0
-    while not inflate.eof:
-        piece = source.read(place, min(_PIECE if most is None else 512, source.size - place))
-        if not piece:
-            raise Damaged("gzip member is cut off")
-        place += len(piece)
-        try:
-            parts.append(inflate.decompress(piece, most or 0))
-        except zlib.error as bad:
-            raise Damaged(f"gzip member: {str(bad).partition(': ')[2] or bad}") from None
-        got += len(parts[-1])
-        if most and (got >= most or inflate.unconsumed_tail):
-            break
-    return b"".join(parts), place - len(inflate.unused_data)
-
-
-def _parse(source, at: int) -> Record | int:
-    """The record at ``at``; the end of an empty gzip member."""
-    if source.read(at, min(3, source.size - at)) == b"\x1f\x8b\x08":
-        data, end = _inflated(source, at)
-        if not data:
-            return end
-        headers, begin, length = _head(data)
-        if len(data) != begin + length + 4 or data[begin + length :] != b"\r\n\r\n":
-            raise Damaged("Content-Length differs from the member's length", end)
-        return _checked(at, end, headers, data[begin : begin + length])
+def _parse(source, at: int) -> Record:
+    """The record at ``at``, which is not compressed or already inflated."""
     size = 4096
     while True:
-        data = source.read(at, min(size, source.size - at))
+        data = source.read(at, size)
         if b"\r\n\r\n" in data or len(data) < size or size >= HEAD_BYTES or not data.startswith(b"WARC/"):
             break
         size *= 4
     headers, begin, length = _head(data)
     end = at + begin + length + 4
-    if end > source.size:
+    last = source.read(end - 4, 4)
+    if len(last) < 4:
         raise Damaged("record is cut off, or its Content-Length is too large")
-    if source.read(end - 4, 4) != b"\r\n\r\n":
+    if last != b"\r\n\r\n":
         raise Damaged("record does not end where its Content-Length says")
     return _checked(at, end, headers, source.read(at + begin, length))
 
 
 def _starts(source, at: int) -> bool:
-    """A member or version line that can begin a record, or the end of the archive."""
-    if at == source.size:
+    """A member or version line that can begin a record, or the end of the source."""
+    first = source.read(at, 3)
+    if not first:
         return True
     try:
-        if source.read(at, min(3, source.size - at)) == b"\x1f\x8b\x08":
-            return bool(re.match(rb"WARC/1\.[01]\r\n", _inflated(source, at, 16)[0]))
-        _head(source.read(at, min(HEAD_BYTES, source.size - at)))
+        if first == _GZIP and not isinstance(source, MemberSource):
+            return bool(_INNER_START.match(MemberSource(source, at).read(0, 16)))
+        _head(source.read(at, HEAD_BYTES))
         return True
     except Damaged:
         return False
 
 
 def _next_start(source, at: int) -> int:
-    """The first valid start from ``at`` on; the size of the archive without one."""
-    while at < source.size:
-        window = source.read(at, min(4 * _PIECE, source.size - at))
-        for match in _START.finditer(window):
+    """The first valid start from ``at`` on; the end of the source without one."""
+    pattern = _INNER_START if isinstance(source, MemberSource) else _START
+    while window := source.read(at, 4 * _PIECE):
+        for match in pattern.finditer(window):
             if _starts(source, at + match.start()):
                 return at + match.start()
-        if at + len(window) >= source.size:
-            break
+        if len(window) <= 16 or not source.read(at + len(window), 1):
+            return at + len(window)
         at += len(window) - 16  # a version line may span two windows
-    return source.size
+    return at
+
+
+def _salvaged(source, at: int) -> Record:
+    """The record at ``at``, or the gap up to the next start."""
+    try:
+        return _parse(source, at)
+    except Damaged as bad:
+        end = bad.end if bad.end is not None and _starts(source, bad.end) else _next_start(source, at + 1)
+        return Record(at, end - at, str(bad))
+
+
+def _inside(record: Record, at: int, length: int) -> Record:
+    return Record(at, length, record.reason, record.headers, record.http, record.payload, record.offset, record.length)
+
+
+def _member_records(source, at: int) -> Iterator[Record]:
+    """The records of the gzip member at ``at``, one at a time, and gaps between them; gives the place to go on.
+
+    An empty member has none. Of a member that cannot be inflated to its end those records stand that are followed
+    by another start; the rest is one gap up to the next start behind it.
+    """
+    member, place, held, several = MemberSource(source, at), 0, None, False
+    while member.read(place, 1):
+        member.forget(place)
+        found = _salvaged(member, place)
+        place += found.length
+        if held is not None:  # one is held back: the last row has the member's length
+            several = True
+            yield _inside(held, at, 0)
+        held = found
+    if member.broken is not None:
+        end = _next_start(source, at + 1)
+        yield Record(at, end - at, member.broken)
+        return end
+    if held is not None:
+        row = _inside(held, at, member.end - at)
+        if not several:
+            row.inner = row.inner_length = None
+        yield row
+    return member.end
 
 
 def salvage(source) -> Iterator[Record]:
@@ -237,20 +319,17 @@ def salvage(source) -> Iterator[Record]:
 
     A record with a whole frame but a wrong digest is left out as a whole. Where the
     frame itself fails, the search goes on one byte further, for the next gzip member
-    that inflates to a version line, or the next version line with a usable header.
+    that inflates to a version line, or the next version line with a usable header. The
+    same search runs over the inflated bytes of a member of several records, which are never held as a whole.
     """
     at = 0
     while at < source.size:
-        try:
-            record = _parse(source, at)
-            if isinstance(record, int):
-                at = record
-                continue
-        except Damaged as bad:
-            end = bad.end if bad.end is not None and _starts(source, bad.end) else _next_start(source, at + 1)
-            record = Record(at, end - at, str(bad))
-        yield record
-        at += record.length
+        if source.read(at, 3) == _GZIP:
+            at = yield from _member_records(source, at)
+        else:
+            record = _salvaged(source, at)
+            yield record
+            at += record.length
 
 
 def write_warc(
@@ -305,7 +384,7 @@ def write_warc(
 
 READ_SCHEMA = (
     "path string, offset bigint, length bigint, gap string, record_type string, record_id string, target_uri string, "
-    "refers_to string, payload_digest string, payload_bytes bigint, payload binary"
+    "refers_to string, payload_digest string, payload_bytes bigint, payload binary, inner_offset bigint, inner_length bigint"
 )
 
 
@@ -315,7 +394,8 @@ def read_warc(archives: DataFrame, payloads: bool = True) -> DataFrame:
     ``archives`` has a ``path`` per row, opened in the tasks, or ``path`` and ``content``
     where only Spark can read the store. ``payload_bytes`` is the length of the full
     payload: of a revisit, what its HTTP head says. ``payload`` is null for gaps and
-    revisits, and without ``payloads``. A null path or content gives no rows. An
+    revisits, and without ``payloads``. ``inner_offset`` and ``inner_length`` place a record or gap within a gzip
+    member of several. A null path or content gives no rows. An
     archive is read by one task, a record at a time.
     """
     prepare(archives.sparkSession)
@@ -326,17 +406,17 @@ def read_warc(archives: DataFrame, payloads: bool = True) -> DataFrame:
 
     def row(path: str, r: Record) -> tuple:
         if r.reason:
-            return (path, r.offset, r.length, r.reason) + (None,) * 7
+            return (path, r.offset, r.length, r.reason) + (None,) * 7 + (r.inner, r.inner_length)
         h = r.headers
         revisit = h.get("warc-type") == "revisit"
         size = r.http.get("content-length", "") if revisit else ""
-        named = h.get("warc-payload-digest", "")
-        digest = named[5:] if named.startswith("sha1:") else base32_sha1(r.payload)
+        named = digest_bytes(h.get("warc-payload-digest", ""))
+        digest = base64.b32encode(named[1]).decode() if named and named[0] == "sha1" else base32_sha1(r.payload)
         length = int(size) if size.isdigit() else None if revisit else len(r.payload)
         return (
             path, r.offset, r.length, None, h.get("warc-type"), h.get("warc-record-id", "").strip("<>"), h.get("warc-target-uri"),
             h["warc-refers-to"].strip("<>") if "warc-refers-to" in h else None, digest, length,
-            r.payload if payloads and not revisit else None,
+            r.payload if payloads and not revisit else None, r.inner, r.inner_length,
         )
 
     def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +66,48 @@ def test_a_wrong_digest_leaves_out_the_record_alone():
     assert set(found) == {0, 2} and gaps[0].reason == "payload digest differs" and gaps[0].length == len(bad)
 
 
+def test_members_of_several_records():
+    """Whole, with damaged records inside, and cut off; members of one record stand before and behind."""
+    parts = [record(i, p) for i, p in enumerate(PAYLOADS)]
+    one = lambda i: W.gzip_member(record(i, b"alone"))
+    found, gaps = read(one(10) + W.gzip_member(b"".join(parts)) + one(11))
+    assert found == {10: b"alone", **dict(enumerate(PAYLOADS)), 11: b"alone"} and gaps == []
+    broken = bytearray(b"".join([parts[0], parts[1], b"stray", parts[2].replace(b"xxxx", b"xxyx", 1), parts[3], b"junk" * 30, parts[4]]))
+    data = one(10) + W.gzip_member(bytes(broken)) + one(11)
+    rows = list(W.salvage(W.BytesSource(data)))
+    found, gaps = read(data)
+    assert set(found) == {10, 0, 1, 3, 4, 11}
+    inner = [(g.inner, g.inner_length) for g in gaps]
+    at = len(parts[0]) + len(parts[1])
+    assert inner == [(at, 5), (at + 5, len(parts[2])), (at + 5 + len(parts[2]) + len(parts[3]), 120)]
+    assert [g.reason for g in gaps] == ["no version line", "block digest differs", "no version line"]
+    assert sum(r.inner_length for r in rows if r.inner is not None) == len(broken) and len({r.offset for r in rows}) == 3
+    # a wrong Content-Length costs its own record alone
+    wrong = parts[1].replace(b"Content-Length: ", b"Content-Length: 9", 1)
+    found, gaps = read(W.gzip_member(parts[0] + wrong + parts[4]))
+    assert 0 in found and 4 in found and gaps
+    # a member that is cut off, and one that is damaged in the middle
+    whole = W.gzip_member(b"".join([parts[0], record(7, bytes(np.random.Generator(np.random.PCG64(1)).bytes(400_000))), parts[3], parts[4]]))
+    found, gaps = read(one(10) + whole[: len(whole) - 200] + one(11))
+    assert {10, 0, 7, 11} <= set(found) and gaps[-1].reason.startswith("gzip member")
+    damaged = whole[:200_000] + bytes([whole[200_000] ^ 0xFF]) * 40 + whole[200_040:]
+    found, gaps = read(one(10) + damaged + one(11))
+    assert {10, 0, 11} <= set(found) and 7 not in found and gaps
+
+
+def test_other_digests_and_versions():
+    def with_digest(i, named, version=b"WARC/1.1"):
+        return record(i, b"text").replace(b"sha1:" + W.base32_sha1(b"text").encode(), named).replace(b"WARC/1.1", version, 1)
+
+    sha = lambda kind: f"{kind}:{hashlib.new(kind, b'text').hexdigest()}".encode()
+    good = [sha("sha1"), sha("sha1").upper().replace(b"SHA1", b"sha1"), sha("sha256"), sha("md5"), b"other:xyz"]
+    data = b"".join(with_digest(i, d) for i, d in enumerate(good)) + with_digest(7, good[0], b"WARC/0.18") + with_digest(8, good[0], b"WARC/1.0")
+    found, gaps = read(data)
+    assert set(found) == {0, 1, 2, 3, 4, 7, 8} and gaps == []
+    found, gaps = read(with_digest(0, b"sha1:" + b"0" * 40) + with_digest(1, b"sha256:" + b"ab" * 32) + with_digest(2, b"sha1:not one") + with_digest(3, good[0]))
+    assert set(found) == {3} and len(gaps) == 3
+
+
 @pytest.mark.parametrize("compress", [True, False])
 def test_round_trip(spark, compress):
     rows = [(1, "u 1", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", ""), (5, "u", "<p>5</p>"), (None, "u", "<p>5</p>"), (6, "u", "y" * 200_000)]
