@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from corpusloom.functions.text import short_sha
-from corpusloom.session import broadcast_if_small
+from corpusloom.session import broadcast_if_small, materialise
 
 # Fixed value: modification times closer than this are equal.
 MTIME_TOLERANCE = 1e-3
@@ -64,56 +64,88 @@ def collision_ids(new: DataFrame, existing: DataFrame) -> DataFrame:
     return existing.select("filename", "id").join(new.select("filename").distinct(), "filename", "left_semi")
 
 
-def _names(existing: DataFrame) -> DataFrame:
-    """One row per stored file name: ``n_existing``, ``n_no_fp`` and the lowest id, aggregated before the shuffle."""
-    fp = F.col("fingerprint")
-    no_fp = F.coalesce(~_has_sha(fp) & ~_has_stat(fp), F.lit(True))
-    return existing.groupBy("filename").agg(
-        F.count(F.lit(1)).alias("n_existing"), F.count_if(no_fp).alias("n_no_fp"), F.min("id").alias("lowest_id")
-    )
+# What an index row answers: any file of the name, one with the digest, one with the size at the step of time
+NAME_PROBE, SHA_PROBE, STAT_PROBE = "name", "sha", "stat"
+INDEX_KEY = ["filename", "probe"]
+INDEX_COLUMNS = "filename string, probe string, mtime double, lowest_id bigint, n bigint, n_no_fp bigint"
+
+
+def _probe(kind: str, *values: Column) -> Column:
+    return F.concat_ws(" ", F.lit(kind), *(value.cast("string") for value in values))
+
 
+def _step(mtime: Column) -> Column:
+    return F.floor(mtime / (2 * MTIME_TOLERANCE))
 
-def _matches(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """Lowest id of an existing row with an equal fingerprint, per new file.
 
-    Both comparisons are equi joins against existing rows that were reduced first,
-    so many copies under one name never meet as pairs. For sizes and times the join
-    key is the time in steps of twice the tolerance and its two neighbours; a step
-    holds only as many distinct times as a double can tell apart.
+def name_index(existing: DataFrame) -> DataFrame:
+    """What decisions need of stored rows ``id, filename, fingerprint``, in one pass: INDEX_COLUMNS.
+
+    One row per name with counts and the lowest id, one per name and digest, and one per
+    name, size and time; all are aggregated before the shuffle, so a name of many rows is
+    spread by its digests. Indexes of parts of a table may be put together.
     """
-    old, fp = existing.select("filename", "id", "fingerprint"), F.col("fingerprint")
-    by_sha = (
-        old.where(_has_sha(fp))
-        .groupBy("filename", fp["sha256"].alias("sha256"))
-        .agg(F.min("id").alias("id_sha"))
+    fp = F.col("fingerprint")
+    no_fp = F.coalesce(~_has_sha(fp) & ~_has_stat(fp), F.lit(True)).cast("bigint")
+    none = F.lit(None).cast("double")
+    entry = lambda probe, mtime, missing: F.struct(probe.alias("probe"), mtime.alias("mtime"), missing.alias("missing"))
+    own = (
+        F.when(_has_sha(fp), entry(_probe(SHA_PROBE, fp["sha256"]), none, F.lit(0).cast("bigint")))
+        .when(_has_stat(fp), entry(_probe(STAT_PROBE, fp["file_size"], _step(fp["mtime"])), fp["mtime"], F.lit(0).cast("bigint")))
     )
-    step = lambda mtime: F.floor(mtime / (2 * MTIME_TOLERANCE))
-    by_stat = (
-        old.where(~_has_sha(fp) & _has_stat(fp))
-        .groupBy("filename", fp["file_size"].alias("file_size"), fp["mtime"].alias("_mtime"))
-        .agg(F.min("id").alias("_id"))
-        .withColumn("_step", F.explode(F.array(*[step(F.col("_mtime")) + d for d in (-1, 0, 1)])))
+    entries = F.array_compact(F.array(entry(_probe(NAME_PROBE), none, no_fp), own))
+    rows = existing.where("filename is not null").select("id", "filename", F.explode(entries).alias("e")).select("id", "filename", "e.*")
+    return reduced_index(rows.select(
+        "filename", "probe", "mtime", F.col("id").alias("lowest_id"), F.lit(1).cast("bigint").alias("n"), F.col("missing").alias("n_no_fp")
+    ))
+
+
+def reduced_index(index: DataFrame) -> DataFrame:
+    """An index with one row per entry again; what one run (column ``run``) stored twice counts once."""
+    if "run" in index.columns:
+        index = index.groupBy(*INDEX_KEY, "mtime", "run").agg(
+            F.min("lowest_id").alias("lowest_id"), F.max("n").alias("n"), F.max("n_no_fp").alias("n_no_fp")
+        )
+    return index.groupBy(*INDEX_KEY, "mtime").agg(
+        F.min("lowest_id").alias("lowest_id"), F.sum("n").alias("n"), F.sum("n_no_fp").alias("n_no_fp")
     )
-    files = new.select(
-        key, "filename", fp["sha256"].alias("sha256"), fp["file_size"].alias("file_size"), fp["mtime"].alias("mtime")
+
+
+def _probes(files: DataFrame, fingerprints: bool) -> DataFrame:
+    """Every entry that new files ask for, once; of a time its step and the two beside it."""
+    fp = F.col("fingerprint")
+    asked = [_probe(NAME_PROBE)]
+    if fingerprints:
+        asked += [F.when(_has_sha(fp), _probe(SHA_PROBE, fp["sha256"]))]
+        asked += [F.when(_has_stat(fp), _probe(STAT_PROBE, fp["file_size"], _step(fp["mtime"]) + d)) for d in (-1, 0, 1)]
+    return files.select("filename", F.explode(F.array_compact(F.array(*asked))).alias("probe")).distinct()
+
+
+def _matches(files: DataFrame, hits: DataFrame, key: str) -> DataFrame:
+    """Lowest id of a stored row with an equal fingerprint, per new file: ``key, matched_id, match``.
+
+    Both comparisons are equi joins against index rows, so many copies under one name
+    never meet as pairs. A step holds only as many distinct times as a double can tell apart.
+    """
+    fp = F.col("fingerprint")
+    own = files.select(
+        key, "filename", _probe(SHA_PROBE, fp["sha256"]).alias("_sha"), _has_sha(fp).alias("_by_sha"), fp["mtime"].alias("_mtime"),
+        F.when(_has_stat(fp), F.array(*[_probe(STAT_PROBE, fp["file_size"], _step(fp["mtime"]) + d) for d in (-1, 0, 1)])).alias("_stats"),
     )
+    by_sha = hits.where(F.col("probe").startswith(SHA_PROBE)).select("filename", F.col("probe").alias("_sha"), F.col("lowest_id").alias("id_sha"))
+    by_stat = hits.where(F.col("probe").startswith(STAT_PROBE)).select("filename", "probe", F.col("mtime").alias("_old"), "lowest_id")
     near = (
-        files.select(key, "filename", "file_size", "mtime", step(F.col("mtime")).alias("_step"))
-        .join(by_stat, ["filename", "file_size", "_step"])
-        .where(F.abs(F.col("_mtime") - F.col("mtime")) < MTIME_TOLERANCE)
-        .groupBy(key)
-        .agg(F.min("_id").alias("id_stat"))
+        own.select(key, "filename", "_mtime", F.explode("_stats").alias("probe")).join(by_stat, INDEX_KEY)
+        .where(F.abs(F.col("_old") - F.col("_mtime")) < MTIME_TOLERANCE)
+        .groupBy(key).agg(F.min("lowest_id").alias("id_stat"))
     )
     return (
-        files.select(key, "filename", "sha256")
-        .join(by_sha, ["filename", "sha256"], "left")
-        .join(near, key, "left")
+        own.where("_by_sha").select(key, "filename", "_sha").join(by_sha, ["filename", "_sha"]).select(key, "id_sha")
+        .join(near, key, "full")
         .select(
             key,
             F.least("id_sha", "id_stat").alias("matched_id"),
-            F.when(F.col("id_sha") <= F.coalesce("id_stat", "id_sha"), MATCH_SHA)
-            .when(F.col("id_stat").isNotNull(), MATCH_STAT)
-            .alias("match"),
+            F.when(F.col("id_sha") <= F.coalesce("id_stat", "id_sha"), MATCH_SHA).otherwise(MATCH_STAT).alias("match"),
         )
     )
 
@@ -127,10 +159,10 @@ def collision_decision(
     """Keep or skip every new file: ``key, filename, decision, matched_id, reason``.
 
     ``new`` has ``key`` (unique), ``filename`` and ``fingerprint``; ``existing`` has
-    ``id``, ``filename`` and ``fingerprint`` (a struct, or NULL if unknown). The
-    decision is ``keep``, ``skip`` or, with policy ``fail``, ``abort``. A policy that
-    is not known acts as ``fingerprint``. Stored rows are cut to the names of the new
-    files before anything else, so a small batch costs one pass over the stored names.
+    ``id``, ``filename`` and ``fingerprint`` (a struct, or NULL if unknown), or is a ``name_index``
+    of such rows. The decision is ``keep``, ``skip`` or, with policy ``fail``, ``abort``. A policy that
+    is not known acts as ``fingerprint``. The stored side is read once: what new files ask
+    for is looked up in its index, and only these entries go on.
     """
     policy = policy.lower()
     fp = F.col("fingerprint")
@@ -140,19 +172,27 @@ def collision_decision(
             key, "filename", F.lit("keep").alias("decision"), F.lit(None).cast("bigint").alias("matched_id"),
             F.lit(None).cast("string").alias("reason"),
         )
-    names = broadcast_if_small(new.select("filename").distinct())
-    existing = existing.select("id", "filename", "fingerprint").join(names, "filename", "left_semi")
-    judged = files.join(_names(existing), "filename", "left")
+    by_print = policy not in ("skip", "fail")
+    if "probe" not in existing.columns:
+        names = broadcast_if_small(new.select("filename").distinct())
+        existing = name_index(existing.select("id", "filename", "fingerprint").join(names, "filename", "left_semi"))
+    hits = reduced_index(existing.join(_probes(new, by_print), INDEX_KEY, "left_semi"))
+    if by_print:
+        hits = materialise(hits, "name-hits")
+    names = hits.where(F.col("probe") == NAME_PROBE).select(
+        "filename", F.col("n").alias("n_existing"), "n_no_fp", "lowest_id"
+    )
+    judged = files.join(names, "filename", "left")
     collides = F.col("n_existing").isNotNull()
     by_name = lambda rest: F.format_string(NAME_TEXT, F.col("lowest_id"), F.col("n_existing"), F.lit(rest))
-    if policy in ("skip", "fail"):
+    if not by_print:
         word = "skip" if policy == "skip" else "abort"
         return judged.select(
             key, "filename", F.when(collides, word).otherwise("keep").alias("decision"),
             F.lit(None).cast("bigint").alias("matched_id"),
             F.when(collides, by_name(POLICY_TEXTS[policy])).alias("reason"),
         )
-    judged = judged.join(_matches(new, existing, key), key, "left")
+    judged = judged.join(_matches(new, hits, key), key, "left")
     why = F.when(F.col("match") == MATCH_SHA, SHA_TEXT).otherwise(STAT_TEXT)
     missing = collides & ~F.coalesce(F.col("_has_fp"), F.lit(False))
     matched = collides & F.col("matched_id").isNotNull()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from datetime import datetime
+from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from corpusloom.functions.retry import EXHAUSTED, MAX_RETRIES, PERMANENT, RETRY, SUCCESS, retry_class
 from corpusloom.session import materialise
@@ -13,6 +14,8 @@ from corpusloom.session import materialise
 # Fixed value: how long records stay in a terminal queue unless stated otherwise.
 DEFAULT_TTL = "100 days"
 UNMATCHED = "unmatched"
+# the folders of a terminal queue
+DAY = "ended_on"
 
 Sink = Callable[[DataFrame], None]
 
@@ -44,9 +47,39 @@ def fan_out(df: DataFrame, sinks: dict[str, Sink]) -> None:
         sink(written)
 
 
-def dead_letter(df: DataFrame, relationship: str, path: str) -> None:
-    """Write ended records so that every relationship has a folder of its own."""
-    df.write.mode("append").partitionBy(relationship).parquet(path)
+def with_day(df: DataFrame, ts: str) -> DataFrame:
+    """Adds the day of a record's time, by which terminal queues are divided; null without a time."""
+    return df.withColumn(DAY, F.to_date(ts))
+
+
+def dead_letter(df: DataFrame, relationship: str, path: str, ts: str | None = None) -> None:
+    """Write ended records so that every relationship has a folder of its own, and with ``ts`` every day one in it."""
+    if ts is None:
+        df.write.mode("append").partitionBy(relationship).parquet(path)
+    else:
+        with_day(df, ts).write.mode("append").partitionBy(relationship, DAY).parquet(path)
+
+
+def unexpired(queue: DataFrame, ts: str, now: datetime | Column, ttl: str = DEFAULT_TTL) -> DataFrame:
+    """What ``expire`` keeps of a terminal queue divided by days; days that ended before are not read."""
+    if not isinstance(now, Column):
+        now = F.lit(now.isoformat(sep=" ")).cast(queue.schema[ts].dataType)
+    first = F.to_date(now - F.expr(f"INTERVAL {ttl}"))
+    return expire(queue.where(F.col(DAY).isNull() | (F.col(DAY) >= first)), ts, now, ttl).drop(DAY)
+
+
+def drop_expired(spark: SparkSession, path: str, now: datetime, ttl: timedelta) -> list[str]:
+    """Delete the folders of days that are over for good in a terminal queue; their paths."""
+    last = (now - ttl).date()
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    dropped = []
+    for folder in system.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, f"*=*/{DAY}=*")) or []:
+        day = folder.getPath().getName().split("=", 1)[1]
+        if re.fullmatch(r"\d{4}-\d{2}-\d{2}", day) and date.fromisoformat(day) < last:
+            system.delete(folder.getPath(), True)
+            dropped.append(folder.getPath().toString())
+    return sorted(dropped)
 
 
 def conservation(df_in: DataFrame, outputs: dict[str, DataFrame]) -> DataFrame:

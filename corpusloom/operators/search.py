@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -12,18 +11,13 @@ from corpusloom.functions.vectors import (
     code_words, cosine_distance, hamming, query_words, require_dims, vector_literal_column,
 )
 from corpusloom.operators.keys import stored_table
-from corpusloom.session import broadcast_if_small, materialise
+from corpusloom.operators.query_waves import QUERY_BLOCK, Waves, fragments, scan_fragments, scan_rows, score_pairs
+from corpusloom.session import materialise
 
-# Queries that one task compares at a time, and stored rows per fragment when
-# both sides are too many for a broadcast.
-QUERY_BLOCK = 1_024
-FRAGMENT_BYTES = 64 << 20
 # A query's candidates from more tasks than this are merged in groups of tasks first.
 MERGED_TASKS = 512
-# Candidate rows, two numbers each, that are broadcast to the scan of the vectors.
-BROADCAST_CANDIDATES = 200_000
-# Rows of an Arrow batch that are widened to double at a time.
-SLICE_ROWS = 2_048
+# The first rows of stored codes that a search reads differ from the query's number of set bits by so much, or dims / 32.
+FIRST_RADIUS = 4
 # Candidate ids that are put into a scan as a list; more are joined.
 LISTED_IDS = 10_000
 
@@ -53,18 +47,57 @@ def build_codes(df: DataFrame, key: str, vec_col: str, dims: int) -> DataFrame:
     return known.select(key, *[w.alias(f"w{i}") for i, w in enumerate(code_words(F.col("_v"), dims))])
 
 
+def set_bits(words: list[Column]) -> Column:
+    """Number of set bits of a code."""
+    total = F.bit_count(words[0])
+    for word in words[1:]:
+        total = total + F.bit_count(word)
+    return total
+
+
 def store_codes(df: DataFrame, key: str, vec_col: str, dims: int, path: str) -> DataFrame:
     """Bring the code table at ``path`` up to date with ``df`` and read it.
 
-    Keys without a code get theirs appended, codes of keys that are gone are left
+    Codes lie in a folder per number of set bits, by which a search leaves folders out. Keys
+    without a code get theirs appended, codes of keys that are gone are left
     out, so a grown or cut table is searched as it is. A write that died left nothing
     that is read. A vector that changes must get a new key.
     """
     stored = stored_table(df.sparkSession, path)
     missing = df if stored is None else df.join(stored.select(key), key, "left_anti")
-    build_codes(missing, key, vec_col, dims).write.mode("append").parquet(path)
+    codes = build_codes(missing, key, vec_col, dims)
+    codes = codes.withColumn("bits", set_bits([F.col(c) for c in code_columns(codes)]))
+    codes.repartitionByRange("bits", key).write.mode("append").partitionBy("bits").parquet(path)
     present = df.where(F.col(vec_col).isNotNull()).select(key)
-    return df.sparkSession.read.parquet(path).join(present, key, "left_semi")
+    schema = codes.select(key, *code_columns(codes), "bits").schema
+    return df.sparkSession.read.schema(schema).parquet(path).join(present, key, "left_semi")
+
+
+def nearest_codes(codes: DataFrame, key: str, query: list[float], wanted: int) -> tuple[list, list[int]]:
+    """Keys of the ``wanted`` rows with the smallest code distance, equal ones in key order; and the radii that were read.
+
+    Two codes differ in at least as many bits as their numbers of set bits. So only the
+    rows whose ``bits`` are near those of the query are read, then those that are as far
+    away as the last candidate found, and no row further out can replace one: it is
+    the result of the whole table. The keys that come to the driver are bounded by the call.
+    """
+    target = query_words(query)
+    own = sum((word & (1 << 64) - 1).bit_count() for word in target)
+    distance = hamming([F.col(c) for c in code_columns(codes)], [F.lit(w).cast("bigint") for w in target])
+    best: list[tuple] = []
+    radii, seen = [max(FIRST_RADIUS, len(query) // 32)], -1
+    while True:
+        radius = radii[-1]
+        ring = F.col("bits").between(own - radius, own + radius)
+        if seen >= 0:
+            ring = ring & ~F.col("bits").between(own - seen, own + seen)
+        found = codes.where(ring).select(distance.alias("_h"), key).orderBy("_h", key).limit(wanted).collect()
+        best = sorted([*best, *(tuple(row) for row in found)])[:wanted]
+        full = len(best) == wanted
+        if radius >= len(query) or full and best[-1][0] <= radius:
+            return [row[1] for row in best], radii
+        seen = radius
+        radii.append(best[-1][0] if full else len(query) if len(radii) > 1 else 4 * radius)
 
 
 def find_closest(
@@ -78,7 +111,8 @@ def find_closest(
 ) -> DataFrame:
     """The ``k`` rows closest to a query vector, without the vector, plus ``distance``.
 
-    Candidates are the rows with the smallest code distance, equal ones in key order.
+    Candidates are the rows with the smallest code distance, equal ones in key order;
+    of stored codes only the folders near the query's number of set bits are read.
     Their keys (``k`` times the factor, so bounded by the call) are fetched first and
     become a pushed-down filter of the second scan: wide columns and raw vectors are
     read only for row groups that hold a candidate.
@@ -93,11 +127,12 @@ def find_closest(
     if len(words) != len(target):
         raise ValueError(f"query has {len(query)} dims, the codes have {len(words)} words")
     nearest = codes.select(key, hamming(words, target).alias("_h")).orderBy("_h", key).limit(wanted).select(key)
-    if wanted <= LISTED_IDS:
-        ids = [row[key] for row in nearest.collect()]
-        rows = df.where(F.col(key).isin(ids))
-    else:
+    if wanted > LISTED_IDS:
         rows = df.join(nearest, key, "left_semi")
+    elif "bits" in codes.columns:
+        rows = df.where(F.col(key).isin(nearest_codes(codes, key, query, wanted)[0]))
+    else:
+        rows = df.where(F.col(key).isin([row[key] for row in nearest.collect()]))
     distance = cosine_distance(F.col(vec_col), vector_literal_column(query))
     return rows.withColumn("distance", distance).drop(vec_col).orderBy("distance", key).limit(k)
 
@@ -108,140 +143,36 @@ def top_k_per_query(df: DataFrame, query_key: str, order: list[str | Column], k:
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 
 
-def _matrix(column: pa.Array, dtype: str) -> np.ndarray:
-    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
-    if len(sizes) and (sizes != sizes[0]).any():
-        raise ValueError(f"different vector dimensions {sizes.min()} and {sizes.max()}")
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1).astype(dtype, copy=False)
-
-
-def _code_scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    # counted on unsigned words: for a negative number numpy counts the bits of its absolute value
-    return np.bitwise_count((rows ^ query).view(np.uint64)).sum(axis=1, dtype=np.int64).astype(np.float64)
-
-
-def _cosine_scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    norms = np.sqrt(np.einsum("ij,ij->i", rows, rows) * (query @ query))
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return 1.0 - np.clip(np.where(norms == 0.0, np.nan, rows @ query / norms), -1.0, 1.0)
-
-
-def _smallest(scores: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` smallest (score, key) pairs; NaN scores last."""
-    if len(scores) > k:
-        cut = np.partition(scores, k - 1)[k - 1]
-        near = np.arange(len(scores)) if np.isnan(cut) else np.flatnonzero(scores <= cut)
-    else:
-        near = np.arange(len(scores))
-    return near[np.lexsort((keys[near], scores[near]))[:k]]
-
-
-class _Best:
-    """Running best rows of one query over the batches of a task: never more than ``k``."""
-
-    def __init__(self, k: int):
-        self.k = k
-        self.scores = np.empty(0)
-        self.keys = np.empty(0, dtype=np.int64)
-
-    def add(self, scores: np.ndarray, keys: np.ndarray) -> None:
-        at = _smallest(scores, keys, self.k)
-        scores = np.concatenate([self.scores, scores[at]])
-        keys = np.concatenate([self.keys, keys[at]])
-        at = _smallest(scores, keys, self.k)
-        self.scores, self.keys = scores[at], keys[at]
-
-
-def _emit(query_ids: list[int], best: list[_Best]) -> pa.RecordBatch:
-    sizes = [len(b.keys) for b in best]
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.repeat(np.asarray(query_ids, dtype=np.int64), sizes), pa.int64()),
-            pa.array(np.concatenate([b.keys for b in best]) if best else [], pa.int64()),
-            pa.array(np.concatenate([b.scores for b in best]) if best else [], pa.float64()),
-        ],
-        names=["query_id", "row_id", "score"],
-    )
-
+def _merged(parts: DataFrame, k: int) -> DataFrame:
+    """``query_id, row_id, score, rank`` of the best ``k`` rows per query, from those of every task."""
+    if parts.rdd.getNumPartitions() > MERGED_TASKS:
+        group = F.pmod(F.spark_partition_id(), F.lit(MERGED_TASKS // 8))
+        best = Window.partitionBy("query_id", "_group").orderBy("score", "row_id")
+        ranked = parts.withColumn("_group", group).withColumn("_rank", F.row_number().over(best))
+        parts = ranked.where(F.col("_rank") <= k).drop("_group", "_rank")
+    return top_k_per_query(parts, "query_id", ["score", "row_id"], k)
 
-SCORED = "query_id bigint, row_id bigint, score double"
-SCORES = {"code": (_code_scores, "int64"), "cosine": (_cosine_scores, "float64")}
 
+class _Stored:
+    """Stored rows ``row_id, v``: read as they are for one wave of queries, packed into fragments once for more."""
 
-def _block_scan(rows: DataFrame, queries: list, kind: str, k: int) -> DataFrame:
-    """Best ``k`` rows per query and task, for queries that were proven to be few."""
-    score, dtype = SCORES[kind]
-    query_ids = [q["query_id"] for q in queries]
-    vectors = [np.asarray(q["v"], dtype=dtype) for q in queries]
+    def __init__(self, rows: DataFrame, kind: str, waves: Waves):
+        self.rows, self.kind = rows, kind
+        self.packed = None if waves.only is not None else materialise(fragments(rows, kind), "fragments")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [_Best(k) for _ in query_ids]
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
-                keys = part.column(0).to_numpy(zero_copy_only=False)
-                matrix = _matrix(part.column(1), dtype)
-                for one, vector in zip(best, vectors):
-                    one.add(score(matrix, vector), keys)
-        yield _emit(query_ids, best)
+    def best(self, wave: pa.Table, column: str, k: int) -> DataFrame:
+        if self.packed is None:
+            return _merged(scan_rows(self.rows, wave, column, self.kind, k), k)
+        return _merged(scan_fragments(self.packed, wave, column, self.kind, k), k)
 
-    return rows.mapInArrow(scan, SCORED)
 
+def _wave_result(found: DataFrame, waves: Waves) -> DataFrame:
+    """The result of a wave; of several each is written before the next one's queries are read."""
+    return found if waves.only is not None else materialise(found, "wave")
 
-def _fragment_scan(
-    rows: DataFrame, queries: DataFrame, kind: str, k: int, n_rows: int, n_queries: int, width: int
-) -> DataFrame:
-    """The same for many queries: fragments of rows meet blocks of queries.
 
-    Both sides are cut by a hash of their unique keys, so every group has a bounded,
-    even size; a task holds one fragment and one block and emits at most ``k`` rows
-    per query of the block.
-    """
-    score, dtype = SCORES[kind]
-    n_fragments = max(1, -(-n_rows * 8 * width // FRAGMENT_BYTES))
-    n_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    number = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = rows.withColumn("fragment", number("row_id", n_fragments)).withColumn("block", every(n_blocks))
-    right = queries.withColumn("block", number("query_id", n_blocks)).withColumn("fragment", every(n_fragments))
-
-    def compare(stored: pa.Table, asked: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("row_id", pa.int64()), ("score", pa.float64())])
-        if stored.num_rows == 0 or asked.num_rows == 0:
-            return schema.empty_table()
-        keys = stored.column("row_id").to_numpy()
-        matrix = _matrix(stored.column("v").combine_chunks(), dtype)
-        asked_ids = asked.column("query_id").to_pylist()
-        vectors = _matrix(asked.column("v").combine_chunks(), dtype)
-        best = []
-        for vector in vectors:
-            one = _Best(k)
-            one.add(score(matrix, vector), keys)
-            best.append(one)
-        return pa.Table.from_batches([_emit(asked_ids, best)], schema)
-
-    groups = ["block", "fragment"]
-    return left.groupBy(*groups).cogroup(right.groupBy(*groups)).applyInArrow(compare, SCORED)
-
-
-def _scan(rows: DataFrame, queries: DataFrame, kind: str, k: int, query_limit: int) -> DataFrame:
-    """``query_id, row_id, score, rank`` of the best ``k`` rows per query.
-
-    The queries are collected only if a bounded read shows that they are few.
-    """
-    few = queries.limit(query_limit + 1).collect()
-    if len(few) <= query_limit:
-        parts = _block_scan(rows, few, kind, k)
-    else:
-        width = max((len(q["v"]) for q in few if q["v"]), default=1)
-        parts = _fragment_scan(rows, queries, kind, k, rows.count(), queries.count(), width)
-    if parts.rdd.getNumPartitions() > MERGED_TASKS:
-        group = F.pmod(F.spark_partition_id(), F.lit(MERGED_TASKS // 8))
-        best = Window.partitionBy("query_id", "_group").orderBy("score", "row_id")
-        ranked = parts.withColumn("_group", group).withColumn("_rank", F.row_number().over(best))
-        parts = ranked.where(F.col("_rank") <= k).drop("_group", "_rank")
-    return top_k_per_query(parts, "query_id", ["score", "row_id"], k)
+def _together(found: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, found)
 
 
 def _code_array(df: DataFrame) -> Column:
@@ -258,10 +189,19 @@ def exact_knn(
     k: int = 5,
     query_limit: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """Exact cosine top-k of many queries: ``query_id, row_id, distance, rank``."""
-    rows = df.where(F.col(vec_col).isNotNull()).select(F.col(key).alias("row_id"), F.col(vec_col).alias("v"))
-    asked = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("v"))
-    return _scan(rows, asked, "cosine", max(k, 1), query_limit).withColumnRenamed("score", "distance")
+    """Exact cosine top-k of many queries: ``query_id, row_id, distance, rank``.
+
+    Up to ``query_limit`` queries go to the tasks that read the rows. More go there in
+    waves of bounded size, and the rows are packed once into fragments for all waves.
+    Neither rows nor queries are ever shuffled, only the best rows of each task are.
+    """
+    rows = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(vec_col).alias("v"))
+    asked = queries.select(F.col(query_key).cast("bigint").alias("query_id"), F.col(query_vec).alias("v")).where("v is not null")
+    k = max(k, 1)
+    waves = Waves(asked, query_limit, k)
+    stored = _Stored(rows, "cosine", waves)
+    found = [_wave_result(stored.best(wave, "v", k), waves) for wave in waves]
+    return _together(found).withColumnRenamed("score", "distance")
 
 
 def find_closest_batch(
@@ -279,26 +219,27 @@ def find_closest_batch(
 ) -> DataFrame:
     """``find_closest`` for many queries: ``query_id, row_id, distance, rank``.
 
-    Each task keeps its best candidates per query, the window keeps the best overall,
-    and raw vectors are joined for the candidates only.
+    Each wave of queries meets the codes, as in ``exact_knn``; the best candidates (at most
+    ``k`` times the factor per query) then go to the raw vectors and are scored where
+    these are read.
     """
     k, wanted = candidate_count(k, rerank_factor)
     if codes is None:
         codes = build_codes(df.select(key, vec_col), key, vec_col, dims)
-    asked_codes = build_codes(queries.select(query_key, query_vec), query_key, query_vec, dims)
-    rows = codes.select(F.col(key).alias("row_id"), _code_array(codes).alias("v"))
-    asked = asked_codes.select(F.col(query_key).alias("query_id"), _code_array(asked_codes).alias("v"))
-    # written and counted first: a few thousand candidates go to the vectors, not the vectors to them
-    candidates = materialise(_scan(rows, asked, "code", wanted, query_limit).select("query_id", "row_id"), "candidates")
-    candidates = broadcast_if_small(candidates, BROADCAST_CANDIDATES)
-    vectors = df.select(F.col(key).alias("row_id"), F.col(vec_col).alias("_v"))
-    asked_vectors = queries.select(F.col(query_key).alias("query_id"), F.col(query_vec).alias("_q"))
-    scored = (
-        vectors.join(candidates, "row_id")
-        .join(asked_vectors, "query_id")
-        .select("query_id", "row_id", cosine_distance(F.col("_v"), F.col("_q")).alias("distance"))
+    asked = queries.where(F.col(query_vec).isNotNull()).select(
+        F.col(query_key).cast("bigint").alias("query_id"), require_dims(F.col(query_vec), dims).alias("v")
     )
-    return top_k_per_query(scored, "query_id", ["distance", "row_id"], k)
+    asked = asked.select("query_id", "v", F.array(*code_words(F.col("v"), dims)).alias("code"))
+    rows = codes.select(F.col(key).cast("bigint").alias("row_id"), _code_array(codes).alias("v"))
+    vectors = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(vec_col).alias("v"))
+    waves = Waves(asked, query_limit, wanted)
+    stored = _Stored(rows, "code", waves)
+    found = []
+    for wave in waves:
+        pairs = stored.best(wave, "code", wanted).select("query_id", "row_id").toArrow()
+        scored = score_pairs(vectors, wave, "v", pairs)
+        found.append(_wave_result(top_k_per_query(scored, "query_id", ["score", "row_id"], k), waves))
+    return _together(found).withColumnRenamed("score", "distance")
 
 
 def recall_at_k(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.session import broadcast_if_small
+from corpusloom.session import broadcast_if_small, materialise
 
 NULL_WORDS = {"null": None, "true": True, "false": False}
 
@@ -109,6 +109,32 @@ def page(df: DataFrame, page_no: int, page_size: int, order: list[tuple[str, str
     return read_table(df, order=order, limit=page_size, offset=(page_no - 1) * page_size)
 
 
+class Pages:
+    """A sorted table of which any page is read without sorting, or reading, the rows before it.
+
+    The rows are range-sorted and written once. The start of a page follows from the
+    number of rows of each written partition; the rows of the page are then found by their place.
+    """
+
+    def __init__(self, df: DataFrame, order: list[tuple[str, str]]):
+        self.columns = df.columns
+        self.rows = materialise(df.orderBy(*order_columns(order)).withColumn("_pos", F.monotonically_increasing_id()), "pages")
+        part = F.shiftright("_pos", 33)
+        self.counts = [tuple(r) for r in self.rows.groupBy(part.alias("part")).count().orderBy("part").collect()]
+
+    def page(self, page_no: int, page_size: int) -> DataFrame:
+        """Rows of a 1-based page, in order."""
+        if page_no < 1 or page_size < 0:
+            raise ValueError("page_no is 1-based and page_size is not negative")
+        first, places, before = (page_no - 1) * page_size, F.lit(False), 0
+        for part, count in self.counts:
+            low, high = max(first - before, 0), min(first + page_size - before, count)
+            if low < high:
+                places = places | F.col("_pos").between((part << 33) + low, (part << 33) + high - 1)
+            before += count
+        return self.rows.where(places).orderBy("_pos").select(*self.columns)
+
+
 def page_envelope(df: DataFrame, page_no: int, page_size: int) -> DataFrame:
     """One row ``total, count, pageSize, offset``; ``offset`` is the page number."""
     left = F.col("total") - (page_no - 1) * page_size

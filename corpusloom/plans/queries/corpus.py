@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.operators.stats import (
     batch_totals, cost_estimate, doc_stats, outcome_rows, page_stats, pinned_identity, run_report, space_violations,
@@ -15,7 +16,7 @@ from corpusloom.plans.queries.common import SQL_CHUNKS, SQL_TOKENS, long, sql_ch
 from corpusloom.plans.queries.text import document_chunks
 from corpusloom.session import materialise, spread, work_folder
 from corpusloom.sources.files import extract_pages, fingerprint, list_files, read_documents, scan_files
-from corpusloom.sources.schema import preflight
+from corpusloom.sources.schema import column_checks, preflight
 from corpusloom.streaming.flows import stream_ingest
 
 MODEL = "text-embedding-3-large"
@@ -169,10 +170,14 @@ def listed_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def preflight_tables(spark: SparkSession, folder: str) -> DataFrame:
-    """Problems of the given tables against what an ingest would need; the column counts come from their data."""
+    """What an ingest would find: missing tables and columns, wrong types, and per column the rows that do not fit."""
     documents = table(spark, folder, "documents")
-    wide = documents.select("doc_id", F.col("n_chars").cast("int").alias("n_chars"))
-    return preflight(spark, {"documents": documents.schema, "labels": table(spark, folder, "labels").schema}, {"documents": wide.schema})
+    need = StructType.fromDDL("doc_id bigint, text string, lang string, source bigint, n_chars int, page int")
+    problems = preflight(spark, {"documents": need, "chunks": StructType.fromDDL("id bigint")}, {"documents": documents.schema})
+    checks = column_checks(documents, need).withColumn("table", F.lit("documents"))
+    return checks.drop("problem").join(problems.drop("required_type"), ["table", "column"], "full").select(
+        "table", "column", "required_type", "problem", "rows", "nulls", "failed"
+    )
 
 
 def ingest_dry_run(spark: SparkSession, folder: str) -> DataFrame:
@@ -336,10 +341,16 @@ QUERIES = {
     ),
     "preflight": (
         preflight_tables,
-        """SELECT * FROM (VALUES ('documents', 'text', 'string', 'missing column'), ('documents', 'lang', 'string', 'missing column'),
-        ('documents', 'source', 'string', 'missing column'), ('documents', 'n_chars', 'bigint', 'type is int'),
-        ('labels', 'doc_id', 'bigint', 'missing table'), ('labels', 'quality', 'int', 'missing table'),
-        ('labels', 'toxic', 'int', 'missing table')) t("table", "column", required_type, problem)""",
+        """SELECT 'documents' AS "table", c AS "column", t AS required_type, p AS problem, (SELECT count(*) FROM documents) AS rows, n AS nulls, f AS failed
+        FROM (SELECT 'doc_id' AS c, 'bigint' AS t, NULL AS p, count(*) FILTER (doc_id IS NULL) AS n, 0::BIGINT AS f FROM documents
+        UNION ALL SELECT 'text', 'string', NULL, count(*) FILTER (text IS NULL), 0 FROM documents
+        UNION ALL SELECT 'lang', 'string', NULL, count(*) FILTER (lang IS NULL), 0 FROM documents
+        UNION ALL SELECT 'source', 'bigint', 'type is string', count(*) FILTER (source IS NULL),
+          count(*) FILTER (source IS NOT NULL AND TRY_CAST(source AS BIGINT) IS NULL) FROM documents
+        UNION ALL SELECT 'n_chars', 'int', 'type is bigint', count(*) FILTER (n_chars IS NULL),
+          count(*) FILTER (n_chars IS NOT NULL AND TRY_CAST(n_chars AS INT) IS NULL) FROM documents
+        UNION ALL SELECT 'page', 'int', 'missing column', count(*), 0 FROM documents)
+        UNION ALL SELECT 'chunks', 'id', NULL, 'missing table', NULL, NULL, NULL""",
     ),
     "ingest_again": (
         ingest_again,

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.functions.retry import retry_class, retry_wait
 from corpusloom.operators.flow import (
-    dead_letter, expire, fan_out, retry_rounds, route, route_conservation, set_attributes,
+    dead_letter, expire, fan_out, retry_rounds, route, route_conservation, set_attributes, unexpired,
 )
 from corpusloom.plans.queries.common import long, table
 from corpusloom.session import work_folder
 from corpusloom.streaming.flows import (
-    distinct_stream, fan_out_stream, folder_sink, record_stream, retry_stream, route_stream,
+    dead_letter_stream, distinct_stream, fan_out_stream, folder_sink, record_stream, retry_stream, route_stream,
 )
 
 
@@ -66,6 +66,30 @@ def dead_letters(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema("event_id bigint, relationship string").parquet(path)
 
 
+def _ended(df: DataFrame) -> DataFrame:
+    kind = F.when(F.col("event_type") == "error", "failure").when(F.col("value") > 100, "no retry").otherwise("original")
+    return df.select("event_id", "ts", kind.alias("relationship"))
+
+
+_QUEUE = "event_id bigint, ts timestamp_ntz, relationship string, ended_on date"
+
+
+def dead_letter_days(spark: SparkSession, folder: str) -> DataFrame:
+    """A terminal queue divided by days: the records that have not expired, from their days alone."""
+    path = work_folder(spark, "dead")
+    dead_letter(_ended(events(spark, folder)), "relationship", path, "ts")
+    queue = spark.read.schema(_QUEUE).parquet(path)
+    return unexpired(queue, "ts", datetime(2024, 2, 1), "10 days").select("event_id", "relationship")
+
+
+def stream_dead_letters(spark: SparkSession, folder: str) -> DataFrame:
+    """The same queue filled by a stream."""
+    path = work_folder(spark, "stream-dead")
+    dead_letter_stream(_ended(_stream(spark, folder)), "relationship", "ts", f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    queue = spark.read.schema(_QUEUE).parquet(f"{path}/out")
+    return unexpired(queue, "ts", datetime(2024, 2, 1), "10 days").select("event_id", "relationship")
+
+
 def fresh_events(spark: SparkSession, folder: str) -> DataFrame:
     return expire(events(spark, folder), "ts", datetime(2024, 4, 20)).select("event_id")
 
@@ -184,6 +208,9 @@ _KIND = """CASE WHEN status = 200 THEN 'success' WHEN error_code OR status IN (4
  WHEN attempt > 6 THEN 'exhausted' ELSE 'retry' END"""
 _SINKS = " UNION ALL ".join(f"SELECT event_id, event_type, '{sink}' AS sink FROM events" for sink in ("store", "audit"))
 
+_FRESH = """SELECT event_id, CASE WHEN event_type = 'error' THEN 'failure' WHEN value > 100 THEN 'no retry' ELSE 'original' END
+ AS relationship FROM events WHERE ts > TIMESTAMP '2024-02-01' - INTERVAL 10 DAY"""
+
 QUERIES = {
     "route_events": (routed, f"SELECT event_id, {_ROUTE} AS route FROM events"),
     "route_to_all": (
@@ -203,6 +230,8 @@ QUERIES = {
         """SELECT event_id, CASE WHEN event_type = 'error' THEN 'failure' WHEN value > 100 THEN 'no retry' ELSE 'original' END
         AS relationship FROM events""",
     ),
+    "dead_letter_days": (dead_letter_days, _FRESH),
+    "stream_dead_letter": (stream_dead_letters, _FRESH),
     "expire_events": (fresh_events, "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-04-20' - INTERVAL 100 DAY"),
     "expire_after_a_week": (
         fresh_for_a_week, "SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 7 DAY"

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from corpusloom.operators.keys import append_rows, assign_seq, pk_violations
+from corpusloom.operators.postings import Postings, store_postings
 from corpusloom.operators.search import top_k_per_query
 from corpusloom.operators.tables import (
-    apply_filters, cascade_delete, count_mismatches, delete_where, idempotent_add, insert_default_if_absent,
+    Pages, apply_filters, cascade_delete, count_mismatches, delete_where, idempotent_add, insert_default_if_absent,
     latest_by_key, optimistic_update, order_columns, orphans, page, page_envelope, read_table, update_where,
 )
 from corpusloom.plans.queries.common import long, table
@@ -70,6 +71,12 @@ def orders_page(spark: SparkSession, folder: str) -> DataFrame:
     return page(orders, 3, 25, [("o_totalprice", "desc"), ("o_orderkey", "asc")])
 
 
+def orders_deep_page(spark: SparkSession, folder: str) -> DataFrame:
+    """A page from the middle of a sorted table that was written once."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    return Pages(orders, [("o_totalprice", "desc"), ("o_orderkey", "asc")]).page(31, 25)
+
+
 def orders_envelope(spark: SparkSession, folder: str) -> DataFrame:
     found = page_envelope(table(spark, folder, "orders"), 3, 25)
     return found.select("total", "count", long("pageSize").alias("pageSize"), long("offset").alias("offset"))
@@ -89,6 +96,13 @@ def fts_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "lang")
 
 
+def fts_by_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """The same look-up through a posting table."""
+    documents, path = table(spark, folder, "documents"), work_folder(spark, "postings")
+    store_postings(documents, "doc_id", "text", path)
+    return Postings(spark, path, "doc_id").lookup(documents, "text", ["The", "and"]).select("doc_id", "lang")
+
+
 def update_orders(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
     return update_where(
@@ -236,6 +250,9 @@ QUERIES = {
     "page_rows": (
         orders_page, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 50"
     ),
+    "page_deep": (
+        orders_deep_page, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 750"
+    ),
     "page_envelope": (
         orders_envelope,
         """SELECT count(*) AS total, greatest(0, least(25, count(*) - 50))::BIGINT AS count, 25::BIGINT AS "pageSize",
@@ -247,6 +264,10 @@ QUERIES = {
         fts_lookup,
         f"SELECT doc_id, lang FROM documents WHERE list_contains({_WORDS}, 'the') AND list_contains({_WORDS}, 'and')",
     ),
+    "fts_postings": (
+        fts_by_postings,
+        f"SELECT doc_id, lang FROM documents WHERE list_contains({_WORDS}, 'the') AND list_contains({_WORDS}, 'and')",
+    ),
     "update_where": (
         update_orders,
         """SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'O' THEN '0-NONE' ELSE o_orderpriority END AS o_orderpriority,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -71,6 +72,11 @@ def scan_files(
     return found.unionByName(empty_files(spark, path, ext, recursive)) if with_empty else found
 
 
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Contents of files that are named one by one; characters of patterns stand for themselves."""
+    return spark.read.format("binaryFile").load([re.sub(r"([][{}*?\\])", r"\\\1", path) for path in paths])
+
+
 def list_files(spark: SparkSession, root: str, depth: int | None = 1, pattern: str | None = None) -> DataFrame:
     """Files below a folder without their contents: ``path, name, depth, length, modified``.
 

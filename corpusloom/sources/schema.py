@@ -122,6 +122,27 @@ def preflight(
     )
 
 
+def column_checks(df: DataFrame, required: T.StructType) -> DataFrame:
+    """What a table's rows are worth for a required schema: ``column, required_type, problem, rows, nulls, failed``.
+
+    One pass counts, per required column, the nulls and the values that cannot be cast to the
+    required type. A missing column has only nulls.
+    """
+    present = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    checks = []
+    for field in required.fields:
+        kind = field.dataType.simpleString()
+        found = present.get(field.name)
+        own = F.col(f"`{field.name}`") if found else F.lit(None).cast(kind)
+        problem = "missing column" if not found else f"type is {found}" if found != kind else None
+        checks.append(F.struct(
+            F.lit(field.name).alias("column"), F.lit(kind).alias("required_type"), F.lit(problem).cast("string").alias("problem"),
+            F.count(F.lit(1)).alias("rows"), F.count_if(own.isNull()).alias("nulls"),
+            F.count_if(own.isNotNull() & own.try_cast(kind).isNull()).alias("failed"),
+        ))
+    return df.agg(F.array(*checks).alias("c")).select(F.inline("c"))
+
+
 def catalog_schemas(spark: SparkSession, tables: list[str]) -> dict[str, T.StructType]:
     """Schemas of those tables that exist in the catalog."""
     return {t: spark.table(t).schema for t in tables if spark.catalog.tableExists(t)}

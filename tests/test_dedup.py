@@ -106,7 +106,32 @@ def test_stored_rows_are_cut_before_they_are_aggregated(spark):
     new = spark.createDataFrame([("p", "f", NEW_FP)], f"source_path string, filename string, fingerprint {FP}")
     old = spark.range(50).select("id", F.col("id").cast("string").alias("filename"), F.lit(None).cast(FP).alias("fingerprint"))
     plan = D.collision_decision(new, old, "skip")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("Aggregate [filename") < plan.index("LeftSemi")
+    assert plan.index("Aggregate [filename") < plan.rindex("LeftSemi") and plan.count("Range") == 1
+
+
+def test_an_index_of_parts_decides_like_the_rows(spark):
+    """Indexes of two parts put together, read once, against the decisions over all rows."""
+    fp = F.when(F.col("id") % 7 > 0, F.struct(
+        (F.col("id") % 4).alias("file_size"), (F.col("id") % 9 / 2000).alias("mtime"),
+        F.when(F.col("id") % 3 == 0, F.sha2((F.col("id") % 5).cast("string"), 256)).otherwise("").alias("sha256"),
+    ))
+    rows = spark.range(300).select("id", F.concat(F.lit("n"), (F.col("id") % 11).cast("string")).alias("filename"), fp.alias("fingerprint"))
+    new = rows.withColumnRenamed("id", "source_path")
+    old = rows.where("id % 2 = 0").withColumn("fingerprint", F.col("fingerprint").cast(FP))
+    index = D.name_index(old.where("id < 150")).union(D.name_index(old.where("id >= 150")))
+    for policy in ("fingerprint", "skip"):
+        want = sorted(map(tuple, D.collision_decision(new, old, policy).collect()))
+        assert sorted(map(tuple, D.collision_decision(new, index, policy).collect())) == want and {r[2] for r in want} >= {"skip"}
+
+
+def test_a_name_of_many_rows_is_spread_by_its_digests(spark):
+    old = spark.range(2_000).select("id", F.lit("same.txt").alias("filename"), F.struct(
+        F.lit(1).cast("bigint").alias("file_size"), F.lit(0.5).alias("mtime"), F.sha2(F.col("id").cast("string"), 256).alias("sha256"),
+    ).alias("fingerprint"))
+    index = D.name_index(old)
+    assert index.count() == 2_001
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert "probe" in plan.split("hashpartitioning(")[1][:60]  # of name, probe and time
 
 
 def test_duplicates(spark):

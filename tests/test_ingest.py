@@ -12,7 +12,7 @@ from corpusloom.plans.queries import corpus as Q
 from corpusloom.operators import stats as D
 from corpusloom.plans import embedding as H
 from corpusloom.operators.search import find_closest
-from corpusloom.plans.ingest import Corpus, Settings, ingest, prepare, run, with_dims
+from corpusloom.plans.ingest import Corpus, Settings, code_table, ingest, prepare, run, with_dims
 from corpusloom.sources import files as S
 from corpusloom.streaming.flows import stream_ingest
 
@@ -170,15 +170,128 @@ def test_failed_document_stores_nothing(spark, inbox, tmp_path):
     assert [r.filename for r in corpus.documents().collect()] == ["A.PDF"]
 
 
-def test_uncommitted_chunks_stay_invisible(spark, inbox, tmp_path):
+class Died(Exception):
+    pass
+
+
+def test_a_run_that_died_leaves_nothing_visible(spark, inbox, tmp_path, monkeypatch):
+    """Its chunks are not seen, its ids are not used again, and its names are no reason to skip a file."""
+    corpus = new_corpus(spark, tmp_path)
+    settings = Settings(skip_existing=True)
+    ingest(documents(spark, inbox).where("filename = 'b.pdf'"), settings, corpus, H.digest_embedder(4))
+    reserve, path = Corpus.reserve, Corpus.documents_path
+
+    def reserve_then_die(self, *sizes):
+        taken = reserve(self, *sizes)
+        monkeypatch.setattr(Corpus, "documents_path", property(lambda _: "/nowhere\0"))
+        return taken
+
+    with monkeypatch.context():
+        monkeypatch.setattr(Corpus, "reserve", reserve_then_die)
+        with pytest.raises(Exception):
+            ingest(documents(spark, inbox), settings, corpus, H.digest_embedder(4))
+        monkeypatch.setattr(Corpus, "documents_path", path)
+        monkeypatch.setattr(Corpus, "reserve", reserve)
+    assert corpus.raw_chunks().count() == 5 and corpus.chunks().count() == corpus.codes().count() == 1
+    again = ingest(documents(spark, inbox), settings, corpus, H.digest_embedder(4))
+    assert outcomes(again)["A.PDF"] == "succeeded" and outcomes(again)["b.pdf"] == "skipped"
+    assert corpus.documents().agg(F.max("id")).first()[0] == 3
+    assert sorted(r.id for r in corpus.chunks().collect()) == [1, 6, 7, 8, 9]
+    copy = corpus.compacted(str(tmp_path / "copy"))
+    assert copy.raw_chunks().count() == copy.codes().count() == 5
+    assert set(outcomes(ingest(documents(spark, inbox), settings, copy, H.digest_embedder(4))).values()) == {"skipped", "parse_failed"}
+
+
+def test_names_of_a_run_that_died_before_storing_them(spark, inbox, tmp_path, monkeypatch):
+    corpus = new_corpus(spark, tmp_path)
+    settings = Settings(skip_existing=True)
+    add = Corpus.add_names
+
+    def die(self, run):
+        raise Died
+
+    monkeypatch.setattr(Corpus, "add_names", die)
+    with pytest.raises(Died):
+        ingest(documents(spark, inbox), settings, corpus, H.digest_embedder(4))
+    monkeypatch.setattr(Corpus, "add_names", add)
+    assert outcomes(ingest(documents(spark, inbox), settings, corpus, H.digest_embedder(4)))["b.pdf"] == "skipped"
+    corpus.add_names(1)
+    corpus.add_names(1)  # twice counts once
+    found = outcomes(ingest(documents(spark, inbox), settings, corpus, H.digest_embedder(4)))
+    assert found["b.pdf"] == found["A.PDF"] == "skipped"
+    index = corpus.index().where("probe = 'name'")
+    assert index.count() == 4 and "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+
+
+def test_decisions_meet_the_index_without_a_shuffle_of_it(spark, inbox, tmp_path):
+    """One read of the index, whose buckets are those of the join; chunks are not read for ids."""
+    from corpusloom.operators import dedup
+
+    corpus = new_corpus(spark, tmp_path)
+    ingest(documents(spark, inbox), Settings(skip_existing=True), corpus, H.digest_embedder(4))
+    new = documents(spark, inbox).select("source_path", "filename", "fingerprint")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = corpus.index().join(dedup._probes(new, True), dedup.INDEX_KEY, "left_semi")
+        plan = met._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    left = plan.split("Sort [")[1]
+    assert plan.count("corpusloom_names_") >= 1 and plan.count("FileScan parquet") == 1
+    assert "Exchange" not in left.split("FileScan")[0]
+
+
+def test_chunks_are_not_scanned_for_ids(spark, inbox, tmp_path, monkeypatch):
+    """A second run takes its ids from the ranges; of the chunks it reads its own alone."""
     corpus = new_corpus(spark, tmp_path)
     ingest(documents(spark, inbox), Settings(), corpus, H.digest_embedder(4))
-    lost = corpus.raw_chunks().where("document_id = 2").withColumn("document_id", F.lit(7).cast("bigint")).withColumn("id", F.lit(90).cast("bigint"))
-    lost.write.mode("append").parquet(corpus.chunks_path)
-    assert corpus.chunks().where("document_id = 7").count() == 0
+    coded = []
+    monkeypatch.setattr("corpusloom.plans.ingest.code_table", lambda chunks: coded.append(chunks) or code_table(chunks))
+    monkeypatch.setattr(Corpus, "chunks", lambda _: pytest.fail("all chunks were read"))
     ingest(documents(spark, inbox), Settings(), corpus, H.digest_embedder(4))
-    assert corpus.documents().agg(F.max("id")).first()[0] == 9
-    assert corpus.chunks().agg(F.min("id"), F.max("id"), F.count("id")).first()[:] == (1, 95, 10)
+    assert [r.id for r in coded[0].select("id").orderBy("id").collect()] == [6, 7, 8, 9, 10]
+    assert "GreaterThanOrEqual(id,6)" in coded[0]._jdf.queryExecution().executedPlan().toString()
+    assert corpus.reserve(3, 7) == (5, 11) and corpus.reserve(1, 1) == (8, 18)
+
+
+def test_checks_come_before_any_file_is_read(spark, inbox, tmp_path):
+    corpus = new_corpus(spark, tmp_path)
+    ingest(documents(spark, inbox), Settings(model="m1", backend="self_hosted"), corpus, H.digest_embedder(4))
+    opened = spark.sparkContext.accumulator(0)
+
+    def watched(content):
+        opened.add(1)
+        return pages_of(content)
+
+    files = S.extract_pages(S.read_documents(S.scan_files(spark, inbox)), watched)
+    for settings, text in ((Settings(model="m2"), "mix vector spaces"), (Settings(dims_mode="other"), "unknown dims_mode")):
+        for mode in ("full", "estimate", "dry_run"):
+            with pytest.raises(ValueError, match=text):
+                ingest(files, settings, corpus, H.digest_embedder(4), mode)
+    spark.range(3).write.parquet(f"{tmp_path}/broken/chunks")
+    spark.range(3).write.parquet(f"{tmp_path}/broken/documents")
+    with pytest.raises(ValueError, match="missing column"):
+        ingest(files, Settings(), Corpus(spark, f"{tmp_path}/broken"), H.digest_embedder(4))
+    assert opened.value == 0
+    # the corpus's own model and dimension are taken where none are given
+    report = ingest(files, Settings(), corpus, H.digest_embedder(6))
+    assert opened.value > 0 and set(outcomes(report).values()) == {"ingest_failed", "parse_failed"}
+    ingest(files, Settings(), corpus, H.digest_embedder(4))
+    assert {r.m for r in corpus.documents().select(F.col("metadata.embed_model").alias("m")).collect()} == {"m1"}
+
+
+def test_dims_of_the_first_document_and_title_of_a_single_file(spark, inbox, tmp_path):
+    def uneven(texts):
+        return [[1.0] * (3 if "alpha" in texts else 2) for _ in texts]
+
+    corpus = new_corpus(spark, tmp_path)
+    report = ingest(documents(spark, inbox), Settings(title_override="Mine", batch_size=1000), corpus, uneven)
+    assert outcomes(report)["A.PDF"] == "succeeded" and outcomes(report)["b.pdf"] == "ingest_failed"
+    assert [r.metadata.title for r in corpus.documents().collect()] == ["A"]
+    one = new_corpus(spark, tmp_path)
+    ingest(documents(spark, inbox).where("filename = 'b.pdf'"), Settings(title_override="Mine"), one, uneven)
+    assert [r.metadata.title for r in one.documents().collect()] == ["Mine"]
 
 
 def test_dry_run_and_estimate(spark, inbox):

@@ -3,11 +3,15 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
-from corpusloom.operators import search as S
+from corpusloom.operators import query_waves as W, search as S
+from corpusloom.session import materialise
 
 random.seed(7)
 
@@ -113,8 +117,10 @@ def test_find_closest_on_empty_table_and_missing_column(spark):
 
 @pytest.mark.parametrize("limit,fragment,block", [(1000, 64 << 20, 1024), (0, 640, 3)])
 def test_batch_search_equals_single_searches(spark, monkeypatch, limit, fragment, block):
-    monkeypatch.setattr(S, "FRAGMENT_BYTES", fragment)
-    monkeypatch.setattr(S, "QUERY_BLOCK", block)
+    monkeypatch.setattr(W, "FRAGMENT_BYTES", fragment)
+    monkeypatch.setattr(W, "QUERY_BLOCK", block)
+    monkeypatch.setattr(W, "SLICE_ROWS", 7 * block)
+    monkeypatch.setattr(W, "WAVE_BYTES", 4 * fragment)
     values = vectors(50, 70, step=2) + [[0.0] * 70]
     rows = [(i, None if i == 20 else v) for i, v in enumerate(values)]
     df = spark.createDataFrame(rows, "id bigint, v array<float>")
@@ -130,6 +136,69 @@ def test_batch_search_equals_single_searches(spark, monkeypatch, limit, fragment
     assert got == want
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10_000), st.integers(1, 9), st.sampled_from(["code", "cosine"]))
+def test_best_rows_of_a_task(seed, k, kind):
+    """Rows that come in parts, with equal vectors and zero vectors, against a sort of all scores."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    if kind == "code":
+        rows, queries = (rng.integers(-(1 << 63), 1 << 63, (n, 2)) & 0xF00F for n in (60, 7))
+        score = lambda r, q: float(sum((int(a) ^ int(b)).bit_count() for a, b in zip(r, q)))
+    else:
+        rows, queries = (rng.integers(-1, 2, (n, 5)).astype(float) for n in (60, 7))
+        score = lambda r, q: W.CosineScore(q[None]).pairs(r[None], np.array([0]), np.array([0]))[0]
+    keys = rng.permutation(1_000)[:60]
+    best = W.Best(np.arange(7), queries, kind, k)
+    for at in range(0, 60, 13):
+        best.add(keys[at : at + 13], rows[at : at + 13])
+    found = pa.Table.from_batches(best.batches()).to_pylist()
+    for q in range(7):
+        want = sorted((score(r, queries[q]), int(key)) for r, key in zip(rows, keys))[:k]
+        assert [r["row_id"] for r in found if r["query_id"] == q] == [key for _, key in want]
+
+
+def test_no_exchange_carries_a_vector(spark, monkeypatch):
+    """However many waves and fragments: only query, row and score are shuffled."""
+    monkeypatch.setattr(W, "WAVE_BYTES", 2_000)
+    plans = []
+    monkeypatch.setattr(S, "materialise", lambda df, purpose: plans.append(df._jdf.queryExecution().executedPlan().toString()) or materialise(df, purpose))
+    df = frame(spark, vectors(90, 12)).repartition(3)
+    df = materialise(df, "rows")
+    queries = df.where("id < 30").select(F.col("id").alias("q"), F.col("v").alias("qv"))
+    S.exact_knn(df, "id", "v", queries, "q", "qv", 3, query_limit=0).collect()
+    S.find_closest_batch(df, "id", "v", queries, "q", "qv", 12, 3, 2, query_limit=0).collect()
+    assert len(plans) > 6
+    for plan in plans:
+        assert "CartesianProduct" not in plan and "Join" not in plan
+        for line in plan.splitlines():
+            if "Exchange" in line:
+                assert "query_id" in line
+
+
+@pytest.mark.parametrize("spread", [1.0, 0.02])
+def test_stored_codes_close_the_search(spark, tmp_path, spread):
+    """Candidates are those of the whole table; where they are near, most folders are not read."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    centres = np.where(np.arange(64)[None, :] < np.array([4, 12, 20, 28, 36, 44, 52, 60])[:, None], 1.0, -1.0)
+    values = [(centres[i % 8] + rng.normal(0, spread, 64)).tolist() for i in range(400)]
+    df = frame(spark, values)
+    codes = S.store_codes(df, "id", "v", 64, str(tmp_path / "codes"))
+    folders = {int(f.name.split("=")[1]) for f in (tmp_path / "codes").glob("bits=*")}
+    whole = S.build_codes(df, "id", "v", 64)
+    for query in (values[0], values[3], values[7]):
+        words = [F.lit(w).cast("bigint") for w in V.query_words(query)]
+        for wanted in (1, 20, 400, 1_000):
+            want = whole.select(V.hamming([F.col("w0")], words).alias("h"), "id").orderBy("h", "id").limit(wanted).collect()
+            found, radii = S.nearest_codes(codes, "id", query, wanted)
+            assert found == [r.id for r in want]
+            if spread < 0.1 and wanted <= 20:
+                own = sum(x > 0 for x in query)
+                assert sum(abs(b - own) <= radii[-1] for b in folders) <= 2 < len(folders)
+    plan = codes.where("bits between 3 and 5")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bits" in plan
+    assert [r.id for r in S.find_closest(df, "id", "v", values[5], 5, 4, codes).collect()] == [r.id for r in S.find_closest(df, "id", "v", values[5], 5, 4).collect()]
+
+
 def test_recall_grows_with_the_factor(spark):
     df = frame(spark, vectors(300, 32))
     queries = df.where("id < 10").select(F.col("id").alias("q"), F.col("v").alias("qv"))
