@@ -205,4 +205,5 @@ def without_near_duplicates(
     first = materialise(named.groupBy("fp").agg(F.min("least").alias("least")), "first")
     group = F.coalesce("root", "fp").alias("root")
     kept = first.join(_roots(first, radius), "fp", "left").groupBy(group).agg(F.min("least").alias("least"))
-    return rows.join(materialise(kept.select("least.row"), "kept"), "row", "left_semi").select("document.*")
+    # the same plan at any size: whole documents meet their thin partners in a shuffle, once
+    return rows.join(materialise(kept.select("least.row"), "kept").hint("merge"), "row", "left_semi").select("document.*")
