@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from corpusloom.functions.binding import bind
+from corpusloom.session import bounded_batches
 
 # The characters that Python's ``str.strip`` removes.
 WHITESPACE_CODES = [
@@ -115,6 +116,8 @@ def tokenizer_windows(
         last = max(len(tokens) - overlap - 1, 0)
         return [decode(tokens[at : at + size]) for at in range(0, last + 1, size - overlap)]
 
+    bounded_batches(SparkSession.getActiveSession())
+
     @F.pandas_udf("array<string>")
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(windows)
@@ -125,6 +128,8 @@ def tokenizer_windows(
 def tokenizer_count(encode: Callable[[str], list[int]]) -> Callable[[Column], Column]:
     """Number of tokens of a text for an injected tokenizer; NULL text gives NULL."""
 
+    bounded_batches(SparkSession.getActiveSession())
+
     @F.pandas_udf("int")
     def count(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else len(encode(t))).astype("Int32")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from corpusloom.session import ship_package
+from corpusloom.session import bounded_batches, ship_package
 
 Batches = Iterator[pa.RecordBatch]
 ARROW_BYTES = 16 << 20
@@ -81,9 +81,7 @@ def release() -> None:
 def prepare(spark: SparkSession) -> None:
     """Before a job with Python tasks: ship the package, and keep Arrow batches small where nobody has set their size."""
     ship_package(spark)
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name) in (str(64 << 20), "64MB", "64m"):
-        spark.conf.set(name, str(ARROW_BYTES))
+    bounded_batches(spark, ARROW_BYTES)
 
 
 def new_file(folder: str, suffix: str) -> tuple[str, pa.NativeFile]:

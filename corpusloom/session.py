@@ -37,6 +37,19 @@ def session(app: str = "corpusloom", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+# bytes of a batch that goes to a Python worker, where nobody has set them
+ARROW_BYTES = 4 << 20
+_ARROW_NAME = "spark.sql.execution.arrow.maxBytesPerBatch"
+# how Spark gives its own value, with the unit
+_ARROW_DEFAULTS = (f"{64 << 20}b", str(64 << 20), "64MB", "64m")
+
+
+def bounded_batches(spark: SparkSession | None, size: int = ARROW_BYTES) -> None:
+    """Before a job with Python functions over texts: a worker holds a batch several times over, as text, objects and result."""
+    if spark is not None and spark.conf.get(_ARROW_NAME) in _ARROW_DEFAULTS:
+        spark.conf.set(_ARROW_NAME, str(size))
+
+
 _shipped: set[str] = set()
 
 

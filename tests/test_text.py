@@ -82,6 +82,23 @@ def test_tokenizer_windows_and_counts(spark):
     assert [r.content for r in chunks.orderBy("chunk_index").collect()].count("abcd") == 2
 
 
+def test_batches_of_texts_are_bounded(spark, monkeypatch):
+    """A worker gets texts in batches of a few MB, whatever the number of rows in its partition."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.unset(name)
+    try:
+        sizes = F.pandas_udf(lambda t: t.map(lambda _: int(t.str.len().sum())), "long")
+        df = spark.range(3000).select(F.repeat(F.lit("abcdefgh"), 1250).alias("t")).coalesce(1)
+        X.tokenizer_count(str.split)
+        assert df.select(sizes("t").alias("n")).agg(F.max("n").alias("n")).first()["n"] <= 6 << 20
+        spark.conf.set(name, "32m")  # one that is set stays
+        X.tokenizer_windows(list, "".join)
+        assert spark.conf.get(name) == "32m"
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_pages_number_chunks_through_a_document(spark):
     pages = ["first", " ", "c" * 2900, None, "last"]
     wanted = [(0, 1, 5), (1, 3, 1600), (2, 3, 1500), (3, 3, 100), (4, 5, 4)]
