@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from corpusloom.functions.retry import MAX_RETRIES, PERMANENT_CODE, RETRYABLE_STATUS, backoff_seconds
+from corpusloom.session import bounded_batches
 
 EmbedFn = Callable[[list[str]], list[list[float]]]
 
@@ -65,6 +66,7 @@ def embed_column(
         df.schema.fields
         + [T.StructField(out, T.ArrayType(T.FloatType(), False)), T.StructField("embed_error", T.StringType())]
     )
+    bounded_batches(df.sparkSession)
     call = "_call"
     if group:
         rows = df.withColumn(call, F.floor(F.col(position) / batch_size))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from corpusloom.functions.text import file_name
+from corpusloom.session import bounded_batches
 
 # A page is its text, or a function that gives the text and may fail for that page only.
 Page = str | Callable[[], str]
@@ -173,4 +174,5 @@ def extract_pages(files: DataFrame, extractor: Extractor, content: str = "conten
             batch["error"] = [r[2] for r in results]
             yield batch
 
+    bounded_batches(files.sparkSession)
     return files.mapInPandas(extract, out)

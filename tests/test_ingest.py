@@ -341,6 +341,20 @@ def test_calls_stay_inside_a_document(spark):
     assert sorted(r.embedding[0] for r in loose) == [3.0] * 3 + [4.0] * 8
 
 
+def test_pages_and_model_calls_get_bounded_batches(spark):
+    """Rows that go to the extractor and to the model come in batches of a few MB, whatever the size of a partition."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.range(3).select("id", F.lit("text").alias("t"), F.lit(b"page").alias("content"))
+    try:
+        for step in (lambda: H.embed_column(rows, "t", H.digest_embedder(8)), lambda: S.extract_pages(rows, pages_of)):
+            spark.conf.unset(name)  # Spark gives its own value with a unit
+            step()
+            assert int(spark.conf.get(name)) <= 4 << 20
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_model_calls_retry():
     waits, answers = [], [H.ModelError("busy", 429, retry_after=9.0), H.ModelError("net"), [[1.0]]]
 
