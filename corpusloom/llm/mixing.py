@@ -5,17 +5,20 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.llm.common import Batches, hold, new_file, open_store, prepare, rows_to_batches, text_bytes
+from corpusloom.llm.common import Batches, hold, new_file, open_store, prepare, release, rows_to_batches, text_bytes
 from corpusloom.session import materialise, work_folder
 
-# Contexts: the last 1, 2, 3, 4 and 6 bytes of the word, and all of them
+# Contexts: the last 1, 2, 3 and 4 bytes of the text, whatever words they lie in, the last 6 bytes of the word, and all of the word's
 ORDERS = (1, 2, 3, 4, 6, None)
+RUNNING = 4  # orders up to this go on through the borders of words
 PLACE_BITS = 19
 PLACES = 1 << PLACE_BITS
 INPUTS = len(ORDERS) + 1  # and a constant
@@ -27,13 +30,16 @@ GATES = LEVELS * 2 * LESS_LEVELS * BITS
 BUCKETS = 33  # of the refining table, over the logit
 PRIOR = 0.05  # of a counter, for either bit
 RATE = 0.1
-# words of one task of the model's own passes, and of one step
-TASK_WORDS, LEAST_TASK_WORDS, STEP_WORDS = 500_000, 50_000, 1_024
-# words of one step where nothing is learned: each counting step passes once over all counters
-COUNT_WORDS, SCORE_WORDS = 32_768, 4_096
+# words of one task that learns, whatever the cluster; of one that counts, at least and at most
+LEARN_WORDS, TASK_WORDS, LEAST_TASK_WORDS = 150_000, 500_000, 50_000
+# words and bytes that are looked at together, so that equal beginnings are met once; edges of one learning and one scoring step
+CHUNK_WORDS, CHUNK_BYTES, STEP_EDGES, SCORE_EDGES = 1 << 15, 3 << 17, 8_192, 32_768
 # words broadcast with their counts and scores: the most frequent ones, none longer
 COMMON_WORDS, COMMON_BYTES = 200_000, 64
-_FLUSH_WORDS, _FLUSH_BYTES = 300_000, 64 << 20
+COMMON_EDGES = 400_000  # first bytes of words after what stood before, broadcast with their scores
+_FLUSH_WORDS, _FLUSH_BYTES = 250_000, 64 << 20
+_FLUSH_EDGES = 4_000_000
+_GROUP_BYTES = 1 << 19  # of texts that are taken apart together
 _C = [np.uint64(c | 1) for c in np.random.Generator(np.random.PCG64(9)).integers(1 << 62, 1 << 63, 2 + len(ORDERS), np.uint64).tolist()]
 # the table of earlier words: contexts of two words, each with the word that followed most, by its whole 64-bit mark;
 # while contexts are counted, followers are told apart by SHORT_BITS of their marks
@@ -49,62 +55,183 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-class Steps:
-    """Byte-wise contexts of a few words, each followed by a space (the end by nothing)."""
+# An edge is one of the first three bytes of a word or end, with the bytes that orders 1 to 4 see before it: three bytes of
+# what stood before the word's space, and the word's own. Nine bits a byte, value plus one, 0 where there is none; above them the byte's place.
+HEAD = 3
+_FIELDS = (45, 36, 27, 18, 9, 0)  # third, second and first byte before the space; the word's first three
+_PLACE = 54
+_SPACE = 33
+
+
+def heads_of(tokens: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Of every word or end of some texts, each text closed by its end: the bytes around its beginning, as in an edge."""
+    data = np.frombuffer(b"  \n " + b" ".join(tokens) + b"  ", np.uint8)
+    first = np.cumsum(sizes + 1) - sizes + 3
+    byte = lambda k: data[first + k].astype(np.uint64)
+    end, out, none = data[first] == END[0], np.zeros(len(first), np.uint64), np.zeros(len(first), bool)
+    for k, shift in zip((-2, -3, -4), _FIELDS[2::-1]):
+        value = byte(k)
+        none |= value == END[0]  # where the text begins
+        out |= np.where(none, 0, value + np.uint64(1)) << np.uint64(shift)
+    out |= (byte(0) + np.uint64(1)) << np.uint64(_FIELDS[3])
+    out |= np.where(end, 0, byte(1) + np.uint64(1)) << np.uint64(_FIELDS[4])
+    return out | np.where(sizes < 2, 0, byte(2) + np.uint64(1)) << np.uint64(_FIELDS[5])
+
+
+def edges_of(heads: np.ndarray) -> list[np.ndarray]:
+    """The edges of heads, by places; 0 where the word has ended before."""
+    out = []
+    for k in range(HEAD):
+        seen = sum(511 << shift for shift in _FIELDS[k : k + 4])
+        there = heads >> np.uint64(_FIELDS[3 + k]) & np.uint64(511)
+        out.append(np.where(there > 0, heads & np.uint64(seen) | np.uint64(k << _PLACE), 0))
+    return out
+
+
+class Layout:
+    """Where the bytes of words lie, each followed by a space (the end by nothing)."""
 
     def __init__(self, words: list[bytes]):
         parts = [w if w == END else w + b" " for w in words]
         self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         self.data = np.frombuffer(b"".join(parts), np.uint8)
-        n = len(self.data)
-        first = np.cumsum(self.sizes) - self.sizes
+        self.first = np.cumsum(self.sizes) - self.sizes
         self.word = np.repeat(np.arange(len(parts)), self.sizes)
-        at = np.arange(n) - first[self.word]
-        value = self.data.astype(np.uint64)
-        self.contexts = []
-        packed, k = np.zeros(n, np.uint64), 0
-        for order, factor in zip(ORDERS, _C):
-            if order is None:
-                powers = np.full(int(self.sizes.max(initial=1)), _C[-1], np.uint64)
-                powers[0] = 1
-                terms = (value + np.uint64(1)) * np.cumprod(powers)[at]
-                sums = np.cumsum(terms) - terms
-                packed = sums - sums[first[self.word]] + at.astype(np.uint64)
-            else:
-                while k < order:
-                    k += 1
-                    before = np.zeros(n, np.uint64)
-                    before[k:] = value[:-k] + np.uint64(1)
-                    before[at < k] = 0
-                    packed = packed ^ before << np.uint64(9 * (k - 1)) if k < 7 else packed
-            self.contexts.append((packed + factor) * factor)
+        self.at = np.arange(len(self.data)) - self.first[self.word]
+
+
+class Steps:
+    """Bytes with their contexts. Of words, every byte or the given ones, as if nothing but a space stood before the word; or edges."""
+
+    def __init__(self, words: list[bytes] | Layout, rows: np.ndarray | None = None):
+        laid = words if isinstance(words, Layout) else Layout(words)
+        rows = np.arange(len(laid.data)) if rows is None else rows
+        self.data, at = laid.data[rows], laid.at[rows]
+        running, own, packed = np.zeros(len(rows), np.uint64), np.zeros(len(rows), np.uint64), []
+        for k in range(1, 7):
+            before = np.where(at < k, 0, laid.data[np.maximum(rows - k, 0)].astype(np.uint64) + np.uint64(1))
+            own |= before << np.uint64(9 * (k - 1))
+            if k <= RUNNING:
+                before[at == k - 1] = _SPACE
+                running = running | before << np.uint64(9 * (k - 1))
+                packed.append(running)
+        powers = np.full(int(laid.sizes.max(initial=1)), _C[-1], np.uint64)
+        powers[0] = 1
+        sums = (laid.data.astype(np.uint64) + np.uint64(1)) * np.cumprod(powers)[laid.at]
+        sums = np.append(np.uint64(0), np.cumsum(sums))
+        self._mark([*packed, own, sums[rows] - sums[rows - at] + at.astype(np.uint64)])
+
+    def _mark(self, packed: list[np.ndarray]) -> None:
+        self.contexts = np.stack([(p + factor) * factor for p, factor in zip(packed, _C)])
+
+    @classmethod
+    def of(cls, edges: np.ndarray) -> Steps:
+        """The bytes of edges."""
+        made, edges = cls.__new__(cls), edges.astype(np.uint64)
+        place = (edges >> np.uint64(_PLACE)).astype(np.int64)
+        third, second, last, *own = (edges >> np.uint64(shift) & np.uint64(511) for shift in _FIELDS)
+        space, none = np.full(len(edges), _SPACE, np.uint64), np.zeros(len(edges), np.uint64)
+        before = [np.choose(place, x) for x in ((space, own[0], own[1]), (last, space, own[0]), (second, last, space), (third, second, last))]
+        running, packed = none, []
+        for k, value in enumerate(before):
+            running = running | value << np.uint64(9 * k)
+            packed.append(running)
+        packed.append(np.choose(place, (none, own[0], own[1] | own[0] << np.uint64(9))))
+        packed.append(np.choose(place, (none, own[0] + np.uint64(1), own[0] + own[1] * _C[-1] + np.uint64(2))))
+        made._mark(packed)
+        made.data = (np.choose(place, own) - np.uint64(1)).astype(np.uint8)
+        return made
+
+    def take(self, rows: np.ndarray) -> Steps:
+        """Some of the bytes."""
+        part = Steps.__new__(Steps)
+        part.data, part.contexts = self.data[rows], self.contexts[:, rows]
+        return part
+
+    def joined(self, other: Steps) -> Steps:
+        both = Steps.__new__(Steps)
+        both.data, both.contexts = np.append(self.data, other.data), np.concatenate([self.contexts, other.contexts], axis=1)
+        return both
 
     def bit(self, bit: int) -> tuple[np.ndarray, np.ndarray]:
         """Of every byte's bit (0 the highest): places of all contexts with the higher bits, and the bit itself."""
         node = (1 << bit | self.data.astype(np.int64) >> (8 - bit)) if bit else np.ones(len(self.data), np.int64)
         mixed = node.astype(np.uint64) * _C[-2]
-        places = [
-            ((((c ^ mixed) * _C[-1]) >> np.uint64(64 - PLACE_BITS)).astype(np.int64) + k * PLACES) for k, c in enumerate(self.contexts)
-        ]
-        return np.stack(places), self.data >> (7 - bit) & 1
+        places = ((self.contexts ^ mixed) * _C[-1] >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
+        places += np.arange(len(ORDERS))[:, None] * PLACES
+        return places, self.data >> (7 - bit) & 1
+
 
+class Tree:
+    """Sorted words behind their first three bytes, as a tree: equal beginnings are one byte, with the counts of all their words."""
 
-def _chunks(words: list[bytes], *columns: np.ndarray, size: int = STEP_WORDS) -> Iterator[tuple]:
-    """Steps of bounded bytes and words, with the rest of the columns."""
-    begin, held = 0, 0
-    for i, word in enumerate(words):
-        held += len(word)
-        if i + 1 - begin >= size or held >= 16 * size or i + 1 == len(words):
-            yield Steps(words[begin : i + 1]), *(c[begin : i + 1] for c in columns)
-            begin, held = i + 1, 0
+    def __init__(self, words: list[bytes]):
+        laid = Layout(words)
+        at, word, sizes, first = laid.at, laid.word, laid.sizes, laid.first
+        # of every word the bytes that it begins with like the word before
+        earlier = first[word - 1] + np.minimum(at, sizes[word - 1] - 1)
+        equal = (at < sizes[word - 1]) & (laid.data == laid.data[earlier]) & (word > 0)
+        shared = np.minimum.reduceat(np.where(equal, sizes[word], at), first) if words else sizes
+        inner = np.flatnonzero(at >= HEAD)
+        inner = inner[np.argsort(at[inner], kind="stable")]  # by depth, and there by words
+        fresh = at[inner] >= shared[word[inner]]
+        self.word, self.node = word[inner], np.cumsum(fresh) - 1
+        self.steps = Steps(laid, inner[fresh])
+        self.words = len(words)
+
+    def counts(self, c: np.ndarray) -> np.ndarray:
+        return np.bincount(self.node, c[self.word], len(self.steps.data))
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Per word, over its bytes."""
+        return np.bincount(self.word, values[self.node], self.words)
+
+
+def _chunks(batches: Batches) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
+    """Sorted words with their counts, edges with theirs, of rows ``word, edge, c``: bounded parts of the batches."""
+    words: list[bytes] = []
+    counts, edges, size = [], [], 0
+
+    def part() -> tuple:
+        order = sorted(range(len(words)), key=words.__getitem__)
+        both = np.concatenate(edges, axis=1) if edges else np.zeros((2, 0), np.int64)
+        return [words[i] for i in order], (np.concatenate(counts) if counts else np.zeros(0, np.int64))[order], *both
+
+    for batch in batches:
+        word, edge, c = batch.column(0), batch.column(1), batch.column(2).to_numpy()
+        kind = word.is_null().to_numpy(zero_copy_only=False)
+        edges.append(np.stack([edge.fill_null(0).to_numpy()[kind], c[kind]]))
+        own = word.drop_null().to_pylist()
+        c = c[~kind]
+        begin = 0
+        for i, w in enumerate(own, 1):
+            size += len(w)
+            if size >= CHUNK_BYTES or len(words) + i - begin >= CHUNK_WORDS:
+                words += own[begin:i]
+                counts.append(c[begin:i])
+                yield part()
+                words, counts, edges, size, begin = [], [], [], 0, i
+        words += own[begin:]
+        counts.append(c[begin:])
+    if words or edges:
+        yield part()
+
+
+_SEEN, _LESS_SEEN = (np.digitize(np.arange(int(x[-1]) + 2), x) for x in (SEEN, LESS_SEEN))  # by whole counts
+
+
+def _pairs(counts: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones at places, each pair read once."""
+    pairs = counts.view(np.uint64)[:, 0].take(places).view(np.float32)
+    return pairs[:, 0::2], pairs[:, 1::2]
 
 
 def _levels(zero: np.ndarray, one: np.ndarray, bit: int) -> np.ndarray:
     """Gate of the weights: how much the whole-word context has been seen and whether always with
     the same bit, how much the four-byte context has been seen, and the bit's place."""
-    most = np.digitize(zero[5] + one[5], SEEN)
+    most = _SEEN[np.minimum(zero[5] + one[5] + 0.5, len(_SEEN) - 1).astype(np.int32)]
     sure = np.minimum(zero[5], one[5]) < 0.5
-    less = np.digitize(zero[3] + one[3], LESS_SEEN)
+    less = _LESS_SEEN[np.minimum(zero[3] + one[3] + 0.5, len(_LESS_SEEN) - 1).astype(np.int32)]
     return ((most * 2 + sure) * LESS_LEVELS + less) * BITS + bit
 
 
@@ -175,10 +302,12 @@ def marks_of(words: list[bytes]) -> np.ndarray:
 END_MARK = marks_of([END])[0]
 
 
-def match_keys(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of every mark: place and check of the two marks before."""
+def match_keys(own: np.ndarray, starts: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Of every mark: place and check of the two marks before in its text; ``starts`` are the first marks of texts."""
     one, two = np.ones(len(own), np.uint64), np.ones(len(own), np.uint64)
     one[1:], two[2:] = own[:-1], own[:-2]
+    one[starts] = two[starts] = 1
+    two[np.minimum(np.add(starts, 1), len(own) - 1)] = 1
     mixed = ((one * _C[0]) ^ ((two + np.uint64(7)) * _C[1])) * _C[2]
     mixed ^= mixed >> np.uint64(29)
     mixed *= _C[3]
@@ -233,11 +362,13 @@ def _match_rows(documents: DataFrame) -> DataFrame:
     schema = pa.schema([("place", pa.int32()), ("check", pa.int32()), ("target", pa.int64()), ("count", pa.int64()), ("total", pa.int64())])
 
     def run(batches: Batches) -> Batches:
+        release()
         table, held, size = Matches(), [], 0
         for batch in batches:
-            for t in batch.column(0):
-                own = np.append(marks_of(words_of(t.as_py())), END_MARK)
-                held.append((*match_keys(own), own))
+            for tokens, sizes in _groups(batch.column(0)):
+                own = marks_of(tokens)
+                starts = np.append(0, np.cumsum(sizes)[:-1])
+                held.append((*match_keys(own, starts), own))
                 size += len(own)
                 if size >= _MATCH_TOKENS:
                     table.add(*map(np.concatenate, zip(*held)))
@@ -288,60 +419,119 @@ def _write_matches(rows: DataFrame, folder: str) -> tuple[str, np.ndarray]:
     return found["path"], np.array(found["shares"])
 
 
-def _read_matches(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Check, target and level of every place, kept by the worker."""
+def _read_matches(path: str, more: str) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Check, target and level of every place, and the counters in ``more``, kept by the worker."""
 
-    def read() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def read() -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
         store, inner = open_store(path)
         with store.open_input_file(inner) as file:
             data, size = file.read(), 1 << MATCH_BITS
-        return np.frombuffer(data, "<u4", size), np.frombuffer(data, "<u8", size, 4 * size), np.frombuffer(data, np.uint8, size, 12 * size)
+        table = np.frombuffer(data, "<u4", size), np.frombuffer(data, "<u8", size, 4 * size), np.frombuffer(data, np.uint8, size, 12 * size)
+        return table, _counters(more)
 
     return hold(("matches", path), read)
 
 
-def _word_counts(documents: DataFrame) -> DataFrame:
-    """``word, c``: occurrences in training texts, 0 for words that only others hold."""
-    schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
+def _groups(texts: pa.Array) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """The words of some texts after each other, each text closed by its end, and the texts' numbers of them."""
+    tokens: list[bytes] = []
+    sizes, held = [], 0
+    for t in texts:
+        t = t.as_py()
+        words = words_of(t)
+        tokens += words
+        tokens.append(END)
+        sizes.append(len(words) + 1)
+        held += len(t)
+        if held >= _GROUP_BYTES:
+            yield tokens, np.array(sizes)
+            tokens, sizes, held = [], [], 0
+    if sizes:
+        yield tokens, np.array(sizes)
+
+
+def _lengths(tokens: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, tokens), np.int64, len(tokens))
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, counts, len(keys)).astype(np.int64)
+
+
+def _unit_counts(documents: DataFrame) -> DataFrame:
+    """``word, edge, c``: occurrences of words and of edges in training texts, 0 for those that only others hold."""
+    schema = pa.schema([("word", pa.binary()), ("edge", pa.int64()), ("c", pa.int64())])
 
     def run(batches: Batches) -> Batches:
+        release()
         counts: Counter = Counter()
-        size = 0
+        edges, fresh, size = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0, 0
+
+        def words() -> pa.RecordBatch:
+            counts.pop(END, None)
+            return pa.RecordBatch.from_arrays([pa.array(counts, pa.binary()), pa.nulls(len(counts), pa.int64()), pa.array(counts.values(), pa.int64())], schema=schema)
+
+        def firsts() -> Batches:
+            for at in range(0, len(edges[0]), 1 << 16):
+                keys, n = (x[at : at + (1 << 16)] for x in edges)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(keys.astype(np.int64)), pa.array(n)], schema=schema)
+
         for batch in batches:
-            for held, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = words_of(t.as_py())
-                counts.update(dict.fromkeys(words, 0) if held else words)
-                size += len(t.as_py())
-                if len(counts) > _FLUSH_WORDS or size > _FLUSH_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array(counts, pa.binary()), pa.array(counts.values(), pa.int64())], schema=schema)
-                    counts.clear()
-                    size = 0
+            for held in (False, True):
+                for tokens, _ in _groups(batch.column(1).filter(pc.equal(batch.column(0), held))):
+                    lengths = _lengths(tokens)
+                    heads, n = np.unique(heads_of(tokens, lengths), return_counts=True)
+                    n = n * (not held)
+                    for own in edges_of(heads):
+                        keys, c = _summed(own[own > 0], n[own > 0])
+                        edges = np.append(edges[0], keys), np.append(edges[1], c)
+                    counts.update(dict.fromkeys(tokens, 0) if held else tokens)
+                    size += int(lengths.sum())
+                    if len(edges[0]) > 2 * fresh + (1 << 18):
+                        edges = _summed(*edges)
+                        fresh = len(edges[0])
+                    if fresh > _FLUSH_EDGES:
+                        yield from firsts()
+                        edges, fresh = (edges[0][:0], edges[1][:0]), 0
+                    if len(counts) > _FLUSH_WORDS or size > _FLUSH_BYTES:
+                        yield words()
+                        counts.clear()
+                        size = 0
         if counts:
-            yield pa.RecordBatch.from_arrays([pa.array(counts, pa.binary()), pa.array(counts.values(), pa.int64())], schema=schema)
+            yield words()
+        edges = _summed(*edges)
+        yield from firsts()
+
+    found = documents.select("held_out", "t").mapInArrow(run, "word binary, edge bigint, c bigint")
+    return found.groupBy("word", "edge").agg(F.sum("c").alias("c"))
 
-    return documents.select("held_out", "t").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
+def _context_counts(units: DataFrame) -> DataFrame:
+    """``cell, n``: how often a bit (cell % 2) followed a context (cell / 2) in training texts.
 
-def _context_counts(words: DataFrame) -> DataFrame:
-    """``cell, n``: how often a bit (cell % 2) followed a context (cell / 2) in training tokens."""
+    Every byte of every occurrence counts, with the bytes that stood before it in its text: the first bytes of
+    words as edges, the others with their words.
+    """
     schema = pa.schema([("cell", pa.int32()), ("n", pa.float64())])
 
     def run(batches: Batches) -> Batches:
+        release()
         cells = np.zeros(2 * PLACES * len(ORDERS))
-        for batch in batches:
-            for steps, c in _chunks(batch.column(0).to_pylist(), batch.column(1).to_numpy(), size=COUNT_WORDS):
-                weight = c[steps.word].astype(np.float64)
-                for bit in range(BITS):
-                    places, ones = steps.bit(bit)
-                    for k, row in enumerate(places):
-                        at = slice(2 * PLACES * k, 2 * PLACES * (k + 1))
-                        cells[at] += np.bincount(2 * (row - PLACES * k) + ones, weight, 2 * PLACES)
+        for words, c, edges, n in _chunks(batches):
+            tree = Tree(words)
+            steps, weight = tree.steps.joined(Steps.of(edges)), np.append(tree.counts(c), n)
+            for bit in range(BITS):
+                places, ones = steps.bit(bit)
+                for k, row in enumerate(places):
+                    at = slice(2 * PLACES * k, 2 * PLACES * (k + 1))
+                    cells[at] += np.bincount(2 * (row - PLACES * k) + ones, weight, 2 * PLACES)
         full = np.flatnonzero(cells)
         for at in range(0, len(full), 1 << 16):
             part = full[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(cells[part])], schema=schema)
 
-    return words.select("word", "c").mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n"))
+    return units.select("word", "edge", "c").mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def _write_counts(cells: DataFrame, folder: str) -> str:
@@ -359,43 +549,49 @@ def _write_counts(cells: DataFrame, folder: str) -> str:
     return materialise(cells.coalesce(1).mapInArrow(run, "path string"), "counts").first()["path"]
 
 
-def _read_counts(path: str) -> np.ndarray:
-    """The counters, kept by the worker; row: place, columns: zeros and ones."""
+def _counters(path: str) -> np.ndarray:
+    """The counters; row: place, columns: zeros and ones."""
+    store, inner = open_store(path)
+    with store.open_input_file(inner) as file:
+        return np.frombuffer(file.read(), np.float32).reshape(-1, 2)
 
-    def read() -> np.ndarray:
-        store, inner = open_store(path)
-        with store.open_input_file(inner) as file:
-            return np.frombuffer(file.read(), np.float32).reshape(-1, 2)
 
-    return hold(("counts", path), read)
+def _read_counts(path: str) -> np.ndarray:
+    """The counters, kept by the worker."""
+    return hold(("counts", path), lambda: _counters(path))
 
 
-def _trained(words: DataFrame, path: str) -> Mixer:
-    """Online learning over all training words, task by task; the tasks' weights are averaged by their mass.
+def _trained(units: DataFrame, tasks: int, path: str) -> Mixer:
+    """Online learning over all training units, task by task; the tasks' weights are averaged by their mass.
 
     Every occurrence is predicted from the counts without itself, so that words seen
-    once teach how far to trust contexts that were never seen.
+    once teach how far to trust contexts that were never seen. Which units a task has, and their
+    order, is decided by their digests.
     """
     schema = pa.schema([("at", pa.int32()), ("value", pa.float64()), ("mass", pa.float64())])
 
     def run(batches: Batches) -> Batches:
         counts, mixer = _read_counts(path), Mixer()
-        for batch in batches:
-            for steps, c in _chunks(batch.column(0).to_pylist(), batch.column(1).to_numpy()):
-                weight = c[steps.word].astype(np.float64)
+        for words, c, edges, n in _chunks(batches):
+            tree = Tree(words)
+            steps, weights = tree.steps.joined(Steps.of(edges)), np.append(tree.counts(c), n)
+            order = np.random.Generator(np.random.PCG64(9)).permutation(len(weights))
+            for at in range(0, len(order), STEP_EDGES):
+                part = order[at : at + STEP_EDGES]
+                step, weight = steps.take(part), weights[part]
                 for bit in range(BITS):
-                    places, ones = steps.bit(bit)
-                    zero, one = counts[places, 0], counts[places, 1]
+                    places, ones = step.bit(bit)
+                    zero, one = _pairs(counts, places)
                     zero, one = np.maximum(zero - (1 - ones), 0), np.maximum(one - ones, 0)
                     mixer.learn(mixer.inputs(zero, one), _levels(zero, one, bit), ones, weight)
         mass = np.repeat(mixer.mass, INPUTS)
         values = np.concatenate([mixer.weights.ravel() * mass, mixer.refined.ravel()])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(len(values)), pa.int32()), pa.array(values), pa.array(np.concatenate([mass, np.zeros(mixer.refined.size)]))],
-            schema=schema,
-        )
+        mass = np.concatenate([mass, np.zeros(mixer.refined.size)])
+        at = np.flatnonzero((mass > 0) | (values != 0))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(values[at]), pa.array(mass[at])], schema=schema)
 
-    learned = words.select("word", "c").mapInArrow(run, "at int, value double, mass double")
+    rows = units.select("word", "edge", "c").repartition(tasks, "word", "edge").sortWithinPartitions(F.xxhash64("word", "edge"), "word", "edge")
+    learned = rows.mapInArrow(run, "at int, value double, mass double")
     found = learned.groupBy("at").agg(F.sum("value").alias("value"), F.sum("mass").alias("mass")).toPandas()
     mixer, cut = Mixer(), GATES * INPUTS
     values, mass = np.zeros(cut + mixer.refined.size), np.zeros(cut + mixer.refined.size)
@@ -404,18 +600,17 @@ def _trained(words: DataFrame, path: str) -> Mixer:
     return Mixer(weights.reshape(GATES, INPUTS), values[cut:].reshape(-1, 2))
 
 
-def _log10_of(words: list[bytes], counts: np.ndarray, mixer: Mixer) -> np.ndarray:
-    """log10 of the probability of every word with its end."""
-    out = []
-    for (steps,) in _chunks(words, size=SCORE_WORDS):
-        total = np.zeros(len(steps.sizes))
+def _log10_of(steps: Steps, counts: np.ndarray, mixer: Mixer) -> np.ndarray:
+    """log10 of the probability of every byte."""
+    out = np.zeros(len(steps.data))
+    for at in range(0, len(out), SCORE_EDGES):
+        step = steps.take(slice(at, at + SCORE_EDGES))
         for bit in range(BITS):
-            places, ones = steps.bit(bit)
-            zero, one = counts[places, 0], counts[places, 1]
+            places, ones = step.bit(bit)
+            zero, one = _pairs(counts, places)
             p = mixer.probability(mixer.inputs(zero, one), _levels(zero, one, bit))
-            total += np.bincount(steps.word, np.log10(np.where(ones, p, 1 - p)), len(total))
-        out.append(total)
-    return np.concatenate(out) if out else np.zeros(0)
+            out[at : at + SCORE_EDGES] += np.log10(np.where(ones, p, 1 - p))
+    return out
 
 
 def score_documents(documents: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -427,10 +622,12 @@ def score_documents(documents: DataFrame, held_out: Column, key: str = "doc_id",
     ``score`` the model's log10 probability, both over words and end; the bytes of
     ``bits_per_byte`` are those of the words, a space behind each, and the end.
 
-    The model predicts the bits of a word from contexts inside it, so it is learned and
-    applied per distinct word, each weighted with its exact count over the whole corpus:
-    the vocabulary is aggregated by Spark, and no pass of the model repeats for repeated
-    words. Before it stands a match predictor: where the two words before have been seen,
+    The model predicts the bits of a text from the bytes before them: the last 1, 2, 3 and 4
+    of the text, which may lie in earlier words, the last 6 of the word, and all of the word's.
+    From the fourth byte of a word on, none of them reaches before its space, so the model is learned and applied
+    per distinct word there, and per distinct bytes around its beginning before, each weighted with its exact
+    count over the whole corpus: Spark aggregates both, and no pass of the model repeats for
+    what is repeated. Before it stands a match predictor: where the two words before have been seen,
     the word that followed them most gets the share with which such contexts proved
     right, and the bit predictors share the rest. Counters, weights and tables have a fixed
     size. Frequent words are broadcast with their scores, at most COMMON_WORDS; all others
@@ -442,44 +639,47 @@ def score_documents(documents: DataFrame, held_out: Column, key: str = "doc_id",
     rows = documents.select(
         F.col(key).cast("bigint").alias("k"), F.coalesce(held_out, F.lit(False)).alias("held_out"), text_bytes(text).alias("t")
     )
-    vocabulary = materialise(_word_counts(rows), "vocabulary")
+    units = materialise(_unit_counts(rows), "vocabulary")
     ends = rows.where("not held_out").count()
-    known = vocabulary.agg(
+    known = units.where("word is not null").agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("c"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("c") > 0, 1)).alias("words")
     ).first()
     tokens, words = known["tokens"] + ends, known["words"] + (ends > 0)
-    end_row = spark.createDataFrame([(bytearray(END), ends)], "word binary, c bigint")
     # few tasks, since each gives all counters that it touched; but no idle cores where words are few
     cores = spark.sparkContext.defaultParallelism
     tasks = max(1, known["n"] // TASK_WORDS, min(cores, known["n"] // LEAST_TASK_WORDS))
-    learned_from = vocabulary.where("c > 0").union(end_row.where("c > 0")).coalesce(tasks)
+    learned_from = units.where("c > 0")
     folder = work_folder(spark, "mixing")
-    path = _write_counts(materialise(_context_counts(learned_from), "contexts"), folder)
-    mixer = _trained(learned_from, path)
+    path = _write_counts(materialise(_context_counts(learned_from.coalesce(tasks)), "contexts"), folder)
+    mixer = _trained(learned_from, -(-known["n"] // LEARN_WORDS) or 1, path)
     shared = spark.sparkContext.broadcast((mixer.weights, mixer.refined))
-    schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("score", pa.float64())])
+    schema = pa.schema([("word", pa.binary()), ("edge", pa.int64()), ("c", pa.int64()), ("score", pa.float64())])
 
     def scored(batches: Batches) -> Batches:
         counts, mixer = _read_counts(path), Mixer(*shared.value)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(_log10_of(batch.column(0).to_pylist(), counts, mixer))], schema=schema
-            )
-
-    vocabulary = materialise(vocabulary.union(end_row).select("word", "c").mapInArrow(scored, "word binary, c bigint, score double"), "scores")
+        for words, c, edges, n in _chunks(batches):
+            tree = Tree(words)
+            values = tree.sums(_log10_of(tree.steps, counts, mixer))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.nulls(len(words), pa.int64()), pa.array(c), pa.array(values)], schema=schema)
+            values = _log10_of(Steps.of(edges), counts, mixer)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(edges), pa.binary()), pa.array(edges), pa.array(n), pa.array(values)], schema=schema)
+
+    units = materialise(units.select("word", "edge", "c").mapInArrow(scored, "word binary, edge bigint, c bigint, score double"), "scores")
+    # words with the score behind their first three bytes; the end has none
+    end_row = spark.createDataFrame([(bytearray(END), ends, 0.0)], "word binary, c bigint, score double")
+    vocabulary = units.where("word is not null").select("word", "c", "score").union(end_row)
     share = math.log10(tokens + words + 1)
     vocabulary = vocabulary.withColumn("base", F.log10(F.col("c") + 1) - F.lit(share))
-    common = _common(vocabulary)
-    table = spark.sparkContext.broadcast(common)
+    table = spark.sparkContext.broadcast((_common(vocabulary), _common_edges(units)))
     matches, shares = _write_matches(materialise(_match_rows(rows), "matches"), folder)
-    out = _known_part(rows.withColumn("id", F.monotonically_increasing_id()), table, matches, shares)
+    out = _known_part(rows.withColumn("id", F.monotonically_increasing_id()), table, shared, matches, path, shares)
     out = materialise(out, "partial")
     # the same mixture as for common words: the share of the match, and the bit model's part of the rest
     levels, nothing = F.array(*map(F.lit, shares.tolist())), F.lit(0.0)
 
     def mixed(total: Column, hit: Column) -> Column:
         share = F.get(levels, hit["level"])
-        return total + hit["n"] * F.log10(share + (1 - share) * F.pow(F.lit(10.0), F.col("score")))
+        return total + F.log10(share + (1 - share) * F.pow(F.lit(10.0), hit["head"] + F.col("score")))
 
     foretold = F.aggregate("hits", nothing, mixed)
     rare = out.select("id", F.explode("rare").alias("r")).select("id", "r.*").join(vocabulary, "word").groupBy("id").agg(
@@ -495,68 +695,102 @@ def score_documents(documents: DataFrame, held_out: Column, key: str = "doc_id",
     )
 
 
-def _common(vocabulary: DataFrame) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The most frequent words, by classes of counts, no more than COMMON_WORDS; and the end."""
-    end = F.col("word") == F.lit(bytearray(END))
-    short = vocabulary.where((F.octet_length("word") <= COMMON_BYTES) & (F.col("c") > 0))
-    level = F.floor(F.log2("c") * 8).cast("int")
+def _most_frequent(rows: DataFrame, limit: int) -> Column:
+    """The condition of the rows with the highest ``c``, by classes, no more than ``limit``."""
+    level = F.floor(F.log2(F.col("c") + 1) * 8).cast("int")
     lowest, held = None, 0
-    for row in sorted(short.groupBy(level.alias("l")).count().collect(), key=lambda r: -r["l"]):
+    for row in sorted(rows.groupBy(level.alias("l")).count().collect(), key=lambda r: -r["l"]):
         held += row["count"]
-        if held > COMMON_WORDS:
+        if held > limit:
             break
         lowest = row["l"]
-    kept = (level >= lowest) if lowest is not None else F.lit(False)
+    return (level >= lowest) if lowest is not None else F.lit(False)
+
+
+def _common_edges(units: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent edges with their scores, no more than COMMON_EDGES, sorted."""
+    edges = units.where("edge is not null")
+    found = edges.where(_most_frequent(edges, COMMON_EDGES)).select("edge", "score").orderBy("edge").toArrow()
+    return found.column("edge").to_numpy().astype(np.uint64), found.column("score").to_numpy()
+
+
+def _head_scores(heads: np.ndarray, common: tuple[np.ndarray, np.ndarray], counts: np.ndarray, mixer: Mixer) -> np.ndarray:
+    """Of every head log10 of the probability of its bytes: by the common edges, where there are any, else by the model."""
+    keys, scores = common
+    out = np.zeros(len(heads))
+    for own in edges_of(heads):
+        at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
+        found = keys[at] == own if len(keys) else np.zeros(len(own), bool)
+        out[found] += scores[at[found]]
+        left = np.flatnonzero(~found & (own > 0))
+        if len(left):
+            edges, place = np.unique(own[left], return_inverse=True)
+            out[left] += _log10_of(Steps.of(edges), counts, mixer)[place]
+    return out
+
+
+def _common(vocabulary: DataFrame) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent words, by classes of counts, no more than COMMON_WORDS; and the end."""
+    end = F.col("word") == F.lit(bytearray(END))
+    short = vocabulary.where((F.octet_length("word") <= COMMON_BYTES) & (F.col("c") > 0))
+    kept = _most_frequent(short, COMMON_WORDS)
     found = vocabulary.where((F.octet_length("word") <= COMMON_BYTES) & (F.col("c") > 0) & kept | end).select("word", "c", "base", "score").toArrow()
     index = {word: i for i, word in enumerate(found.column("word").to_pylist())}
     return index, marks_of(list(index)), *(found.column(c).to_numpy() for c in ("c", "base", "score"))
 
 
-def _known_part(rows: DataFrame, table, matches: str, shares: np.ndarray) -> DataFrame:
-    """Of every document: sums over common words and the end, and its other words with their counts: all, those that no
-    match foretold, and by levels those that one did."""
+def _known_part(rows: DataFrame, table, model, matches: str, counters: str, shares: np.ndarray) -> DataFrame:
+    """Of every document: sums over common words and the end, and over the first bytes of the others, which come with their
+    counts: all, those that no match foretold, and for each that one did its level and the score of its first bytes."""
     kinds = [("id", pa.int64()), ("k", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
              ("base", pa.float64()), ("score", pa.float64()), ("bytes", pa.int64()),
              ("rare", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("m", pa.int64()),
-                                          ("hits", pa.list_(pa.struct([("level", pa.int32()), ("n", pa.int64())])))])))]
+                                          ("hits", pa.list_(pa.struct([("level", pa.int32()), ("head", pa.float64())])))])))]
     schema = pa.schema(kinds)
+    rest = np.log10(1 - shares)
 
     def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
-        index, marks, counts, base, score = table.value
-        find, end = index.get, index[END]
-        checks, targets, levels = _read_matches(matches)
-        for i, k, held, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-            words = words_of(t.as_py())
-            at = np.append(np.fromiter((find(w, -1) for w in words), np.int64, len(words)), end)
+        ((index, marks, counts, base, score), edges), mixer = table.value, Mixer(*model.value)
+        (checks, targets, levels), cells = _read_matches(matches, counters)
+        begin = 0
+        for tokens, sizes in _groups(batch.column(3)):
+            n, lengths = len(sizes), _lengths(tokens)
+            doc, starts = np.repeat(np.arange(n), sizes), np.append(0, np.cumsum(sizes))
+            total = lambda x: np.bincount(doc, x, n).tolist()  # noqa: B023, E731
+            at = np.fromiter(map(index.get, tokens, repeat(-1)), np.int64, len(tokens))
             common = at >= 0
             left = np.flatnonzero(~common)
-            uncommon = [words[j] for j in left.tolist()]
             mark = marks[at]
-            mark[left] = marks_of(uncommon)
-            place, check = match_keys(mark)
+            mark[left] = marks_of([tokens[j] for j in left.tolist()])
+            place, check = match_keys(mark, starts[:-1])
             level = np.where(checks[place] == check, levels[place], 0)
             share = shares[level]
             hit = (targets[place] == mark) & (share > 0)
-            own, part = at[common], share[common]
-            p = (1 - part) * 10.0 ** score[own] + np.where(hit[common], part, 0)
-            total = np.log10(p).sum() + np.log10(1 - share[left][~hit[left]]).sum()
-            foretold = hit[left].tolist()
-            unmatched = Counter(w for w, h in zip(uncommon, foretold) if not h)
-            hits: dict[bytes, Counter] = {}
-            for w, h, l in zip(uncommon, foretold, level[left].tolist()):
+            head = _head_scores(heads_of(tokens, lengths), edges, cells, mixer)
+            own = head + np.where(common, score[at], 0)
+            value = rest[level] + own
+            foretold = hit & common
+            value[foretold] = np.log10(share[foretold] + (1 - share[foretold]) * 10.0 ** own[foretold])
+            value[hit & ~common] = 0
+            rare: list[dict] = [{} for _ in range(n)]
+            for j, d, h, l, x in zip(left.tolist(), doc[left].tolist(), hit[left].tolist(), level[left].tolist(), head[left].tolist()):
+                word = rare[d].setdefault(tokens[j], [0, 0, []])
+                word[0] += 1
                 if h:
-                    hits.setdefault(w, Counter())[l] += 1
-            yield (
-                i, k, held, len(words) + 1, int(np.count_nonzero(counts[own])), float(base[own].sum()), float(total),
-                sum(map(len, words)) + len(words) + 1,
-                [{"word": w, "n": n, "m": unmatched[w], "hits": [{"level": l, "n": c} for l, c in hits.get(w, {}).items()]}
-                 for w, n in Counter(uncommon).items()],
-            )
+                    word[2].append({"level": l, "head": x})
+                else:
+                    word[1] += 1
+            sums = zip(total(common & (counts[at] > 0)), total(np.where(common, base[at], 0)), total(value), total(lengths + 1))
+            firsts = (batch.column(c).slice(begin, n).to_pylist() for c in range(3))
+            for i, k, held, size, (known, unigram, log, length), own_rare in zip(*firsts, sizes.tolist(), sums, rare):
+                yield (i, k, held, size, int(known), unigram, log, int(length) - 1,
+                       [{"word": w, "n": a, "m": b, "hits": hits} for w, (a, b, hits) in own_rare.items()])
+            begin += n
 
     def run(batches: Batches) -> Batches:
         return rows_to_batches(batches, schema, rows_of)
 
     return rows.select("id", "k", "held_out", "t").mapInArrow(
         run, "id bigint, k bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, bytes bigint, "
-        "rare array<struct<word: binary, n: bigint, m: bigint, hits: array<struct<level: int, n: bigint>>>>",
+        "rare array<struct<word: binary, n: bigint, m: bigint, hits: array<struct<level: int, head: double>>>>",
     )

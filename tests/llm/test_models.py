@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import balltree as K, ctph as H, mixing as M, quality as Q, secret_scan as X
 from corpusloom.llm.common import remainder_of_id, table
+from corpusloom.session import work_folder
 
 
 def test_quality_of_held_out_rows(spark, folder):
@@ -151,6 +152,75 @@ def test_word_probabilities_sum_to_one():
     assert 0.9 < total < 1.0 + 1e-6
 
 
+def plain_contexts(text: bytes) -> list[tuple]:
+    """Of every byte of a text's words, each followed by a space, and its end: the byte, and what every order sees before it."""
+    stream, out = b" ", []
+    for word in [*M.words_of(text), M.END]:
+        part = word if word == M.END else word + b" "
+        for at, byte in enumerate(part):
+            running = [(stream + part[:at])[-k:] for k in (1, 2, 3, 4)]
+            out.append((byte, *running, part[max(at - 6, 0) : at], part[:at]))
+        stream += part
+    return out
+
+
+def test_contexts_go_on_through_the_borders_of_words(spark):
+    """Counters are those of every byte of every training text after the bytes that stood before it, in whatever word."""
+    texts = ["the cat sat on the mat", "a b", "", "I a I a xyzzy", "the cat\tsat  nowhere é", "cats and catalogues of the cat", "b the cat sat"]
+    rows = spark.createDataFrame([(i == 6, t.encode()) for i, t in enumerate(texts)], "held_out boolean, t binary").repartition(3)
+    units = M._unit_counts(rows)
+    found = {r.cell: r.n for r in M._context_counts(units.where("c > 0")).collect()}
+    # two contexts share a place exactly if the model's hash says so: compare sums by what a plain pass over the bytes sees
+    seen, places = Counter(), {}
+    for t in texts[:6]:
+        for byte, *contexts in plain_contexts(t.encode()):
+            for k, context in enumerate(contexts):
+                for bit in range(8):
+                    seen[k, context, bit, byte >> (8 - bit), byte >> (7 - bit) & 1] += 1
+    assert sum(found.values()) == sum(seen.values())
+    for k in range(len(M.ORDERS)):
+        own = sorted(n for cell, n in found.items() if cell // (2 * M.PLACES) == k)
+        plain = sorted(n for (order, *_), n in seen.items() if order == k)
+        assert own == plain  # no collisions in so small a text
+    # the same bytes of a word are predicted differently after different words
+    after = {t: M.heads_of([t, b"cat", M.END], np.array([len(t), 3, 1]))[1] for t in (b"the", b"b")}
+    assert len(set(after.values())) == 2
+    counted = {r.word: r.c for r in units.collect() if r.word is not None}
+    assert counted[b"cat"] == 3 and M.END not in counted
+
+
+def test_scores_of_texts_are_those_of_their_bytes(spark, monkeypatch):
+    """The sum over edges and tree is what a byte-by-byte pass gives; edges that are not broadcast change nothing."""
+    rng = np.random.Generator(np.random.PCG64(12))
+    counts = (rng.random((M.PLACES * len(M.ORDERS), 2)) * 9).astype(np.float32)
+    mixer = M.Mixer()
+    words = sorted({bytes(rng.integers(97, 100, rng.integers(1, 9), np.uint8)) for _ in range(200)})
+    tree = M.Tree(words)
+    inner = dict(zip(words, tree.sums(M._log10_of(tree.steps, counts, mixer))))
+    for w in words:
+        steps = M.Steps([w])
+        assert inner[w] == pytest.approx(M._log10_of(steps, counts, mixer)[3:].sum())
+    assert (tree.counts(np.ones(len(words), np.int64)) > 1).any()
+    tokens = [*words[:40], M.END, *words[40:50], M.END]
+    heads = M.heads_of(tokens, M._lengths(tokens))
+    keys = np.unique(np.concatenate(M.edges_of(heads)))[1:]
+    all_scores = M._log10_of(M.Steps.of(keys), counts, mixer)
+    some = M._head_scores(heads, (keys[::3], all_scores[::3]), counts, mixer)
+    assert some == pytest.approx(M._head_scores(heads, (keys, all_scores), counts, mixer))
+    assert some == pytest.approx(M._head_scores(heads, (keys[:0], all_scores[:0]), counts, mixer))
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in rng.integers(0, 50, 30))) for i in range(60)], "doc_id bigint, text string")
+    score = lambda: {r.doc_id: r.score for r in M.score_documents(docs, F.col("doc_id") >= 50).collect()}
+    many = score()
+    monkeypatch.setattr(M, "COMMON_EDGES", 2)
+    assert score() == pytest.approx(many, rel=1e-9)
+    # what a task learns, and in which order, does not depend on how the table is stored
+    rows = docs.select(F.lit(False).alias("held_out"), F.col("text").cast("binary").alias("t"))
+    units = M._unit_counts(rows)
+    path = M._write_counts(M._context_counts(units), work_folder(spark, "mixing"))
+    learned = [M._trained(u, 3, path).weights for u in (units, M._unit_counts(rows.repartition(7)).repartition(5))]
+    assert learned[0] == pytest.approx(learned[1], rel=1e-9)
+
+
 def test_scores_mix_matches_in_one_formula(spark, monkeypatch):
     """Scores do not depend on which words are broadcast; after a match all words' probabilities sum to one at most."""
     rng = np.random.Generator(np.random.PCG64(6))
