@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -13,7 +12,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusloom.llm.common import Batches, hold, new_file, open_store, prepare, release, rows_to_batches, text_bytes
+from corpusloom.llm.common import Batches, hold, new_file, open_store, prepare, release, text_bytes
 from corpusloom.session import materialise, work_folder
 
 # Contexts: the last 1, 2, 3 and 4 bytes of the text, whatever words they lie in, the last 6 bytes of the word, and all of the word's
@@ -37,9 +36,9 @@ CHUNK_WORDS, CHUNK_BYTES, STEP_EDGES, SCORE_EDGES = 1 << 15, 3 << 17, 8_192, 32_
 # words broadcast with their counts and scores: the most frequent ones, none longer
 COMMON_WORDS, COMMON_BYTES = 200_000, 64
 COMMON_EDGES = 400_000  # first bytes of words after what stood before, broadcast with their scores
-_FLUSH_WORDS, _FLUSH_BYTES = 250_000, 64 << 20
+_FLUSH_WORDS, _MORE_WORDS, _FLUSH_BYTES = 250_000, 1 << 17, 64 << 20
 _FLUSH_EDGES = 4_000_000
-_GROUP_BYTES = 1 << 19  # of texts that are taken apart together
+_GROUP_BYTES = 1 << 20  # of texts that are taken apart together
 _C = [np.uint64(c | 1) for c in np.random.Generator(np.random.PCG64(9)).integers(1 << 62, 1 << 63, 2 + len(ORDERS), np.uint64).tolist()]
 # the table of earlier words: contexts of two words, each with the word that followed most, by its whole 64-bit mark;
 # while contexts are counted, followers are told apart by SHORT_BITS of their marks
@@ -47,6 +46,10 @@ MATCH_BITS, CHECK_BITS, SHORT_BITS = 22, 18, 24
 FOLLOWED, SHARE = (1.5, 2.5, 4.5, 8.5, 32.5), (0.25, 0.5, 0.75, 0.95)
 MATCH_LEVELS = 1 + (len(FOLLOWED) + 1) * (len(SHARE) + 1)
 _MATCH_TOKENS = 1 << 20
+# tables of tasks are merged by blocks of places, each a string of rows
+MATCH_BLOCKS = 1 << 11
+_BLOCK_PLACES = (1 << MATCH_BITS) // MATCH_BLOCKS
+MATCH_ROW = np.dtype([("place", "<i4"), ("check", "<u4"), ("target", "<i8"), ("count", "<i8"), ("total", "<i8")])
 END = b"\n"  # stands where a word would begin; words hold no white space
 
 
@@ -187,6 +190,16 @@ class Tree:
         return np.bincount(self.word, values[self.node], self.words)
 
 
+def _objects(words: pa.Array) -> list[bytes]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+def _coded(tokens: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The distinct words among tokens, and of every token the number of its word."""
+    found = pa.array(tokens, pa.binary()).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy()
+
+
 def _chunks(batches: Batches) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
     """Sorted words with their counts, edges with theirs, of rows ``word, edge, c``: bounded parts of the batches."""
     words: list[bytes] = []
@@ -201,7 +214,7 @@ def _chunks(batches: Batches) -> Iterator[tuple[list[bytes], np.ndarray, np.ndar
         word, edge, c = batch.column(0), batch.column(1), batch.column(2).to_numpy()
         kind = word.is_null().to_numpy(zero_copy_only=False)
         edges.append(np.stack([edge.fill_null(0).to_numpy()[kind], c[kind]]))
-        own = word.drop_null().to_pylist()
+        own = _objects(word.drop_null())
         c = c[~kind]
         begin = 0
         for i, w in enumerate(own, 1):
@@ -279,17 +292,19 @@ class Mixer:
         self.weights += RATE * gradient / np.sqrt(self.squares)[:, None]
         self.mass += mass
         at, share = self.buckets(logit, gate)
-        nearest = at + (share >= 0.5)
-        for value in (0, 1):
-            self.refined[:, value] += np.bincount(nearest, weight * (bit == value), GATES * BUCKETS)
+        np.add.at(self.refined, (at + (share >= 0.5), bit), weight)
+
+    def table(self) -> np.ndarray:
+        """The refined probability of a one at the centre of every bucket."""
+        centre = _logit(np.tile(np.linspace(-12, 12, BUCKETS), GATES))
+        return (self.refined[:, 1] + 16 * centre) / (self.refined.sum(axis=1) + 16)
 
-    def probability(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        """Of a one: the mixed probability averaged with the refined one."""
+    def probability(self, x: np.ndarray, gate: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+        """Of a one: the mixed probability averaged with the refined one; ``table`` is made once for many steps."""
+        table = self.table() if table is None else table
         logit = self.mix(x, gate)
         mixed = _logit(logit)
         at, share = self.buckets(logit, gate)
-        centre = _logit(np.tile(np.linspace(-12, 12, BUCKETS), GATES))
-        table = (self.refined[:, 1] + 16 * centre) / (self.refined.sum(axis=1) + 16)
         refined = table[at] * (1 - share) + table[at + 1] * share
         return np.clip((mixed + refined) / 2, 1e-7, 1 - 1e-7)
 
@@ -322,6 +337,21 @@ def match_levels(count: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.where(count > 0, level, 0)
 
 
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+
+
+def _most(begin: np.ndarray, *values: np.ndarray) -> np.ndarray:
+    """Of every run of rows the one with the highest values, compared one after the other; the last of equal ones."""
+    sizes = np.diff(np.append(begin, len(values[0])))
+    there = np.ones(len(values[0]), bool)
+    for value in values:
+        value = np.where(there, value.astype(np.int64), np.iinfo(np.int64).min)
+        there &= value == np.repeat(np.maximum.reduceat(value, begin), sizes)
+    return np.maximum.reduceat(np.where(there, np.arange(len(there)), -1), begin)
+
+
 class Matches:
     """A table of fixed size: at each place the context seen most, with the word that followed it most."""
 
@@ -333,17 +363,18 @@ class Matches:
     def add(self, place: np.ndarray, check: np.ndarray, target: np.ndarray) -> None:
         short = target >> np.uint64(64 - SHORT_BITS)
         keys = place << np.uint64(CHECK_BITS + SHORT_BITS) | check << np.uint64(SHORT_BITS) | short
-        keys, first, n = np.unique(keys, return_index=True, return_counts=True)
+        order = np.argsort(keys)
+        keys = keys[order]
+        begin = _runs(keys)
+        keys, first, n = keys[begin], np.minimum.reduceat(order, begin), np.diff(np.append(begin, len(keys)))
         context = keys >> np.uint64(SHORT_BITS)
         # of each context the word that followed most, and how often any did
-        last = np.flatnonzero(np.append(context[1:] != context[:-1], True))
-        order = np.lexsort((n, context))
-        best, total = order[last], np.diff(np.append(0, np.cumsum(n)[last]))
+        begin = _runs(context)
+        best, total = _most(begin, n), np.add.reduceat(n, begin)
         # of each place the context seen most
-        context, most, target = context[last], n[best], target[first[best]]
+        context, most, target = context[begin], n[best], target[first[best]]
         place = (context >> np.uint64(CHECK_BITS)).astype(np.int64)
-        order = np.lexsort((total, place))
-        own = order[np.append(place[order][1:] != place[order][:-1], True)]
+        own = _most(_runs(place), total)
         place, most, total, target = place[own], most[own], total[own], target[own]
         check = (context[own] & np.uint64((1 << CHECK_BITS) - 1)).astype(np.uint32)
         known = (self.check[place] == check) & (self.count[place] > 0)
@@ -357,16 +388,33 @@ class Matches:
         self.check[place[replaced]], self.total[place[replaced]] = check[replaced], total[replaced]
 
 
+def merged_matches(rows: np.ndarray) -> np.ndarray:
+    """One row per place, of the rows of several tables: counts of equal contexts and words are added, then the word that followed
+    a context most and the context seen most at a place stay."""
+    context = rows["place"].astype(np.uint64) << np.uint64(CHECK_BITS) | rows["check"]
+    order = np.lexsort((rows["target"], context))
+    rows, context = rows[order], context[order]
+    begin = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (rows["target"][1:] != rows["target"][:-1])))
+    count, total = (np.add.reduceat(rows[c], begin) for c in ("count", "total"))
+    rows, context = rows[begin], context[begin]
+    begin = _runs(context)
+    rows["count"], total = count, np.add.reduceat(total, begin)
+    rows = rows[_most(begin, rows["count"], rows["target"])]
+    rows["total"] = total
+    return rows[_most(_runs(rows["place"]), *(rows[c] for c in ("total", "count", "target", "check")))]
+
+
 def _match_rows(documents: DataFrame) -> DataFrame:
-    """The contexts of all training texts, one table per task, merged: ``place, check, target, count, total``."""
-    schema = pa.schema([("place", pa.int32()), ("check", pa.int32()), ("target", pa.int64()), ("count", pa.int64()), ("total", pa.int64())])
+    """The contexts of all training texts, one table per task, merged: ``block, rows``, rows of MATCH_ROW with the places of a block."""
+    schema = pa.schema([("block", pa.int32()), ("rows", pa.binary())])
 
     def run(batches: Batches) -> Batches:
         release()
         table, held, size = Matches(), [], 0
         for batch in batches:
             for tokens, sizes in _groups(batch.column(0)):
-                own = marks_of(tokens)
+                words, code = _coded(tokens)
+                own = marks_of(_objects(words))[code]
                 starts = np.append(0, np.cumsum(sizes)[:-1])
                 held.append((*match_keys(own, starts), own))
                 size += len(own)
@@ -375,21 +423,24 @@ def _match_rows(documents: DataFrame) -> DataFrame:
                     held, size = [], 0
         if held:
             table.add(*map(np.concatenate, zip(*held)))
-        full = np.flatnonzero(table.count)
-        for at in range(0, len(full), 1 << 16):
-            part = full[at : at + (1 << 16)]
-            columns = (part, table.check[part], table.target[part].view(np.int64), table.count[part], table.total[part])
-            yield pa.RecordBatch.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+        for block in range(MATCH_BLOCKS):
+            first = block * _BLOCK_PLACES
+            part = first + np.flatnonzero(table.count[first : first + _BLOCK_PLACES])
+            if len(part):
+                rows = np.empty(len(part), MATCH_ROW)
+                rows["place"], rows["target"] = part, table.target[part].view(np.int64)
+                rows["check"], rows["count"], rows["total"] = table.check[part], table.count[part], table.total[part]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([rows.tobytes()])], schema=schema)
+
+    def merge(block: pa.Table) -> pa.Table:
+        rows = np.concatenate([np.frombuffer(x.as_buffer(), MATCH_ROW) for x in block.column("rows")])
+        return pa.Table.from_arrays([block.column("block").slice(0, 1), pa.array([merged_matches(rows).tobytes()])], schema=schema)
 
     rows = documents.where("not held_out").select("t")
     parts = rows.rdd.getNumPartitions()
     # fewer and larger tasks see more repetitions before the shuffle
     rows = rows.coalesce(max(documents.sparkSession.sparkContext.defaultParallelism, -(-parts // 8)))
-    found = rows.mapInArrow(run, "place int, check int, target bigint, count bigint, total bigint").repartition("place")
-    found = found.groupBy("place", "check", "target").agg(F.sum("count").alias("count"), F.sum("total").alias("total"))
-    found = found.groupBy("place", "check").agg(F.max(F.struct("count", "target")).alias("m"), F.sum("total").alias("total"))
-    best = found.groupBy("place").agg(F.max(F.struct("total", "m", "check")).alias("b"))
-    return best.select("place", "b.check", "b.m.target", "b.m.count", "b.total")
+    return rows.mapInArrow(run, "block int, rows binary").groupBy("block").applyInArrow(merge, "block int, rows binary")
 
 
 def _write_matches(rows: DataFrame, folder: str) -> tuple[str, np.ndarray]:
@@ -403,10 +454,12 @@ def _write_matches(rows: DataFrame, folder: str) -> tuple[str, np.ndarray]:
         check, target, level = np.zeros(size, "<u4"), np.zeros(size, "<u8"), np.zeros(size, np.uint8)
         hits, misses = np.zeros(MATCH_LEVELS), np.zeros(MATCH_LEVELS)
         for batch in batches:
-            place, own, word, count, total = (c.to_numpy() for c in batch.columns)
-            check[place], target[place], level[place] = own, word.view(np.uint64), match_levels(count, total)
-            hits += np.bincount(match_levels(count - 1, total - 1), count, MATCH_LEVELS)
-            misses += np.bincount(match_levels(count, total - 1), total - count, MATCH_LEVELS)
+            for block in batch.column(1):
+                rows = np.frombuffer(block.as_buffer(), MATCH_ROW)
+                place, count, total = rows["place"], rows["count"], rows["total"]
+                check[place], target[place], level[place] = rows["check"], rows["target"].view("<u8"), match_levels(count, total)
+                hits += np.bincount(match_levels(count - 1, total - 1), count, MATCH_LEVELS)
+                misses += np.bincount(match_levels(count, total - 1), total - count, MATCH_LEVELS)
         path, out = new_file(folder, ".matches")
         for values in (check, target, level):
             out.write(values.tobytes())
@@ -465,12 +518,18 @@ def _unit_counts(documents: DataFrame) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         release()
-        counts: Counter = Counter()
-        edges, fresh, size = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0, 0
+        words, known = [], 0  # distinct words with their counts, of one or more batches
+        edges, fresh = (np.zeros(0, np.uint64), np.zeros(0, np.int64)), 0
 
-        def words() -> pa.RecordBatch:
-            counts.pop(END, None)
-            return pa.RecordBatch.from_arrays([pa.array(counts, pa.binary()), pa.nulls(len(counts), pa.int64()), pa.array(counts.values(), pa.int64())], schema=schema)
+        def added(parts: list[pa.Array], c: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+            coded = pa.chunked_array(parts, pa.binary()).dictionary_encode().combine_chunks()
+            return coded.dictionary, np.bincount(coded.indices.to_numpy(), c, len(coded.dictionary)).astype(np.int64)
+
+        def counted() -> Batches:
+            for word, c in words:
+                own = pc.not_equal(word, END)
+                word, c = word.filter(own), c[own.to_numpy(zero_copy_only=False)]
+                yield pa.RecordBatch.from_arrays([word, pa.nulls(len(word), pa.int64()), pa.array(c)], schema=schema)
 
         def firsts() -> Batches:
             for at in range(0, len(edges[0]), 1 << 16):
@@ -478,6 +537,7 @@ def _unit_counts(documents: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.binary()), pa.array(keys.astype(np.int64)), pa.array(n)], schema=schema)
 
         for batch in batches:
+            parts, learned = [], 0
             for held in (False, True):
                 for tokens, _ in _groups(batch.column(1).filter(pc.equal(batch.column(0), held))):
                     lengths = _lengths(tokens)
@@ -486,20 +546,23 @@ def _unit_counts(documents: DataFrame) -> DataFrame:
                     for own in edges_of(heads):
                         keys, c = _summed(own[own > 0], n[own > 0])
                         edges = np.append(edges[0], keys), np.append(edges[1], c)
-                    counts.update(dict.fromkeys(tokens, 0) if held else tokens)
-                    size += int(lengths.sum())
+                    parts.append(pa.array(tokens, pa.binary()))
+                    learned += 0 if held else len(tokens)
                     if len(edges[0]) > 2 * fresh + (1 << 18):
                         edges = _summed(*edges)
                         fresh = len(edges[0])
                     if fresh > _FLUSH_EDGES:
                         yield from firsts()
                         edges, fresh = (edges[0][:0], edges[1][:0]), 0
-                    if len(counts) > _FLUSH_WORDS or size > _FLUSH_BYTES:
-                        yield words()
-                        counts.clear()
-                        size = 0
-        if counts:
-            yield words()
+            if parts:
+                words.append(added(parts, np.arange(sum(map(len, parts))) < learned))
+            if sum(len(word) for word, _ in words) > 2 * known + _MORE_WORDS:
+                words = [added([word for word, _ in words], np.concatenate([c for _, c in words]))]
+                known = len(words[0][0])
+            if known > _FLUSH_WORDS or sum(word.nbytes for word, _ in words) > _FLUSH_BYTES:
+                yield from counted()
+                words, known = [], 0
+        yield from counted()
         edges = _summed(*edges)
         yield from firsts()
 
@@ -523,9 +586,8 @@ def _context_counts(units: DataFrame) -> DataFrame:
             steps, weight = tree.steps.joined(Steps.of(edges)), np.append(tree.counts(c), n)
             for bit in range(BITS):
                 places, ones = steps.bit(bit)
-                for k, row in enumerate(places):
-                    at = slice(2 * PLACES * k, 2 * PLACES * (k + 1))
-                    cells[at] += np.bincount(2 * (row - PLACES * k) + ones, weight, 2 * PLACES)
+                for row in places:
+                    np.add.at(cells, 2 * row + ones, weight)
         full = np.flatnonzero(cells)
         for at in range(0, len(full), 1 << 16):
             part = full[at : at + (1 << 16)]
@@ -602,13 +664,13 @@ def _trained(units: DataFrame, tasks: int, path: str) -> Mixer:
 
 def _log10_of(steps: Steps, counts: np.ndarray, mixer: Mixer) -> np.ndarray:
     """log10 of the probability of every byte."""
-    out = np.zeros(len(steps.data))
+    out, table = np.zeros(len(steps.data)), mixer.table()
     for at in range(0, len(out), SCORE_EDGES):
         step = steps.take(slice(at, at + SCORE_EDGES))
         for bit in range(BITS):
             places, ones = step.bit(bit)
             zero, one = _pairs(counts, places)
-            p = mixer.probability(mixer.inputs(zero, one), _levels(zero, one, bit))
+            p = mixer.probability(mixer.inputs(zero, one), _levels(zero, one, bit), table)
             out[at : at + SCORE_EDGES] += np.log10(np.where(ones, p, 1 - p))
     return out
 
@@ -717,16 +779,19 @@ def _common_edges(units: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def _head_scores(heads: np.ndarray, common: tuple[np.ndarray, np.ndarray], counts: np.ndarray, mixer: Mixer) -> np.ndarray:
     """Of every head log10 of the probability of its bytes: by the common edges, where there are any, else by the model."""
     keys, scores = common
+    heads, back = np.unique(heads, return_inverse=True)
     out = np.zeros(len(heads))
     for own in edges_of(heads):
-        at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-        found = keys[at] == own if len(keys) else np.zeros(len(own), bool)
-        out[found] += scores[at[found]]
-        left = np.flatnonzero(~found & (own > 0))
+        edges, place = np.unique(own, return_inverse=True)
+        values = np.zeros(len(edges))
+        at = np.minimum(np.searchsorted(keys, edges), max(len(keys) - 1, 0))
+        found = keys[at] == edges if len(keys) else np.zeros(len(edges), bool)
+        values[found] = scores[at[found]]
+        left = np.flatnonzero(~found & (edges > 0))
         if len(left):
-            edges, place = np.unique(own[left], return_inverse=True)
-            out[left] += _log10_of(Steps.of(edges), counts, mixer)[place]
-    return out
+            values[left] = _log10_of(Steps.of(edges[left]), counts, mixer)
+        out += values[place]
+    return out[back]
 
 
 def _common(vocabulary: DataFrame) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -742,53 +807,59 @@ def _common(vocabulary: DataFrame) -> tuple[dict, np.ndarray, np.ndarray, np.nda
 def _known_part(rows: DataFrame, table, model, matches: str, counters: str, shares: np.ndarray) -> DataFrame:
     """Of every document: sums over common words and the end, and over the first bytes of the others, which come with their
     counts: all, those that no match foretold, and for each that one did its level and the score of its first bytes."""
+    hit_kind = pa.struct([("level", pa.int32()), ("head", pa.float64())])
+    rare_kind = pa.struct([("word", pa.binary()), ("n", pa.int64()), ("m", pa.int64()), ("hits", pa.list_(hit_kind))])
     kinds = [("id", pa.int64()), ("k", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-             ("base", pa.float64()), ("score", pa.float64()), ("bytes", pa.int64()),
-             ("rare", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64()), ("m", pa.int64()),
-                                          ("hits", pa.list_(pa.struct([("level", pa.int32()), ("head", pa.float64())])))])))]
+             ("base", pa.float64()), ("score", pa.float64()), ("bytes", pa.int64()), ("rare", pa.list_(rare_kind))]
     schema = pa.schema(kinds)
     rest = np.log10(1 - shares)
 
-    def rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
-        ((index, marks, counts, base, score), edges), mixer = table.value, Mixer(*model.value)
-        (checks, targets, levels), cells = _read_matches(matches, counters)
-        begin = 0
-        for tokens, sizes in _groups(batch.column(3)):
-            n, lengths = len(sizes), _lengths(tokens)
-            doc, starts = np.repeat(np.arange(n), sizes), np.append(0, np.cumsum(sizes))
-            total = lambda x: np.bincount(doc, x, n).tolist()  # noqa: B023, E731
-            at = np.fromiter(map(index.get, tokens, repeat(-1)), np.int64, len(tokens))
-            common = at >= 0
-            left = np.flatnonzero(~common)
-            mark = marks[at]
-            mark[left] = marks_of([tokens[j] for j in left.tolist()])
-            place, check = match_keys(mark, starts[:-1])
-            level = np.where(checks[place] == check, levels[place], 0)
-            share = shares[level]
-            hit = (targets[place] == mark) & (share > 0)
-            head = _head_scores(heads_of(tokens, lengths), edges, cells, mixer)
-            own = head + np.where(common, score[at], 0)
-            value = rest[level] + own
-            foretold = hit & common
-            value[foretold] = np.log10(share[foretold] + (1 - share[foretold]) * 10.0 ** own[foretold])
-            value[hit & ~common] = 0
-            rare: list[dict] = [{} for _ in range(n)]
-            for j, d, h, l, x in zip(left.tolist(), doc[left].tolist(), hit[left].tolist(), level[left].tolist(), head[left].tolist()):
-                word = rare[d].setdefault(tokens[j], [0, 0, []])
-                word[0] += 1
-                if h:
-                    word[2].append({"level": l, "head": x})
-                else:
-                    word[1] += 1
-            sums = zip(total(common & (counts[at] > 0)), total(np.where(common, base[at], 0)), total(value), total(lengths + 1))
-            firsts = (batch.column(c).slice(begin, n).to_pylist() for c in range(3))
-            for i, k, held, size, (known, unigram, log, length), own_rare in zip(*firsts, sizes.tolist(), sums, rare):
-                yield (i, k, held, size, int(known), unigram, log, int(length) - 1,
-                       [{"word": w, "n": a, "m": b, "hits": hits} for w, (a, b, hits) in own_rare.items()])
-            begin += n
+    def listed(offsets: np.ndarray, kind: pa.StructType, *columns: np.ndarray | pa.Array) -> pa.ListArray:
+        columns = [pa.array(column, field.type) for column, field in zip(columns, kind)]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kind)))
 
     def run(batches: Batches) -> Batches:
-        return rows_to_batches(batches, schema, rows_of)
+        ((index, marks, counts, base, score), edges), mixer = table.value, Mixer(*model.value)
+        (checks, targets, levels), cells = _read_matches(matches, counters)
+        for batch in batches:
+            begin = 0
+            for tokens, sizes in _groups(batch.column(3)):
+                n = len(sizes)
+                # what a word has is looked up once for all its tokens
+                words, code = _coded(tokens)
+                names, lengths = _objects(words), pc.binary_length(words).to_numpy().astype(np.int64)[code]
+                at = np.fromiter(map(index.get, names, repeat(-1)), np.int64, len(names))
+                mark, left = marks[at], np.flatnonzero(at < 0)
+                mark[left] = marks_of([names[j] for j in left.tolist()])
+                at, mark = at[code], mark[code]
+                doc, starts = np.repeat(np.arange(n), sizes), np.append(0, np.cumsum(sizes))
+                total = lambda x: np.bincount(doc, x, n)  # noqa: B023, E731
+                common = at >= 0
+                place, check = match_keys(mark, starts[:-1])
+                level = np.where(checks[place] == check, levels[place], 0)
+                share = shares[level]
+                hit = (targets[place] == mark) & (share > 0)
+                head = _head_scores(heads_of(tokens, lengths), edges, cells, mixer)
+                own = head + np.where(common, score[at], 0)
+                value = rest[level] + own
+                foretold = hit & common
+                value[foretold] = np.log10(share[foretold] + (1 - share[foretold]) * 10.0 ** own[foretold])
+                value[hit & ~common] = 0
+                # other words of each document, with those of their tokens that a match foretold
+                left = np.flatnonzero(~common)
+                key = doc[left] * len(names) + code[left]
+                order = np.argsort(key, kind="stable")
+                left, key = left[order], key[order]
+                ends = np.append(np.flatnonzero(np.diff(key, prepend=-1)), len(key))
+                first, told = left[ends[:-1]], hit[left]
+                hit_ends = np.append(0, np.cumsum(told))[ends]
+                hits = listed(hit_ends, hit_kind, level[left][told], head[left][told])
+                times = np.diff(ends)
+                rare = listed(np.searchsorted(doc[first], np.arange(n + 1)), rare_kind, words.take(pa.array(code[first])), times, times - np.diff(hit_ends), hits)
+                sums = (sizes, total(common & (counts[at] > 0)), total(np.where(common, base[at], 0)), total(value), total(lengths + 1) - 1)
+                columns = [*(batch.column(c).slice(begin, n) for c in range(3)), *(pa.array(x.astype(f.type.to_pandas_dtype())) for x, f in zip(sums, list(schema)[3:8])), rare]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                begin += n
 
     return rows.select("id", "k", "held_out", "t").mapInArrow(
         run, "id bigint, k bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, bytes bigint, "

@@ -241,6 +241,46 @@ def test_scores_mix_matches_in_one_formula(spark, monkeypatch):
     assert (table.target == same[0]).sum() + (table.target == same[1]).sum() == 1
 
 
+def test_tables_of_tasks_are_merged_as_blocks(spark):
+    """One row a block goes through the shuffle, and merged rows are those of a plain pass over the tables of all tasks."""
+    rng = np.random.Generator(np.random.PCG64(3))
+    texts = [" ".join(f"w{j}" for j in rng.integers(0, 9, 40)).encode() for _ in range(120)]
+    rows = spark.createDataFrame([(False, t) for t in texts], "held_out boolean, t binary").repartition(3)
+    found = M._match_rows(rows).collect()
+    assert 0 < len({r.block for r in found}) == len(found) <= M.MATCH_BLOCKS
+    merged = np.concatenate([np.frombuffer(r.rows, M.MATCH_ROW) for r in found])
+    assert len(set(merged["place"].tolist())) == len(merged)
+    follows = Counter()
+    for t in texts:
+        own = M.marks_of([*M.words_of(t), M.END])
+        follows.update(zip(*(x.tolist() for x in M.match_keys(own))))
+    assert {(r["place"], r["check"]): r["total"] for r in merged} == follows
+    # tables that disagree: contexts of one place, words of one context, ties by the larger mark
+    several = np.array([(*rng.integers(0, 4, 2), *rng.integers(-3, 3, 1), *rng.integers(1, 5, 2)) for _ in range(400)])
+    several = np.array([tuple(r) for r in several.tolist()], M.MATCH_ROW)
+    count, total = Counter(), Counter()
+    for place, check, target, c, n in several.tolist():
+        count[place, check, target] += c
+        total[place, check] += n
+    best: dict = {}
+    for (place, check), n in total.items():
+        most = max((c, t) for (p, k, t), c in count.items() if (p, k) == (place, check))
+        best[place] = max(best.get(place, (-1,)), (n, *most, check))
+    assert {r["place"]: tuple(r[c].item() for c in ("total", "count", "target", "check")) for r in M.merged_matches(several)} == best
+
+
+def test_units_of_many_batches_are_added(spark, monkeypatch):
+    """Words of small batches are added within their task; words of other texts alone come with 0."""
+    monkeypatch.setattr(M, "_MORE_WORDS", 2)
+    texts = [(i % 7 == 2, f"the w{i % 5} é {'z' * i} held{i % 7 == 2}".encode()) for i in range(60)]
+    rows = spark.createDataFrame(texts, "held_out boolean, t binary").coalesce(1)
+    monkeypatch.setattr(M, "_FLUSH_WORDS", 8)
+    want = Counter()
+    for held, t in texts:
+        want.update(dict.fromkeys(M.words_of(t), 0) if held else M.words_of(t))
+    assert {r.word: r.c for r in M._unit_counts(rows).collect() if r.word is not None} == dict(want)
+
+
 def brute(rows, k):
     vectors = {i: [math.floor(1024 * x) for x in v] for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)}
     out = set()
