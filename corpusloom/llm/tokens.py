@@ -10,6 +10,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from corpusloom.llm.common import hold
@@ -146,23 +147,34 @@ class WordEncoder:
         """The ids of each text."""
         at = 0
         while at < len(texts):
-            held, missing, size = [], [], 0
-            while at < len(texts) and (not held or size < TEXT_BYTES):
-                words = texts[at].split()
-                ids = list(map(self.newer.get, words))
+            words, sizes, size = [], [], 0
+            while at < len(texts) and (not sizes or size < TEXT_BYTES):
+                own = texts[at].split()
+                words += own
+                sizes.append(len(own))
                 size += len(texts[at])
                 at += 1
-                gaps, i = [], -1
-                for _ in range(ids.count(None)):
-                    i = ids.index(None, i + 1)
-                    gaps.append(i)
-                held.append((ids, gaps, [words[i] for i in gaps]))
-                missing += held[-1][2]
-            found = self._look_up(dict.fromkeys(missing))
-            for ids, gaps, words in held:
-                for i, word in zip(gaps, words):
-                    ids[i] = found[word]
-                yield b"".join(ids)
+            yield from self._encoded(words, sizes)
+
+    def _encoded(self, words: list[bytes], sizes: list[int]) -> Iterator[bytes]:
+        """The ids of texts with so many words each; every distinct word is looked up once, and its ids are copied to its places."""
+        coded = pa.array(words, pa.binary()).dictionary_encode()
+        names, code = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        ids = list(map(self.newer.get, names))
+        missing = [i for i, found in enumerate(ids) if found is None]
+        found = self._look_up(dict.fromkeys(names[i] for i in missing))
+        for i in missing:
+            ids[i] = found[names[i]]
+        data = np.frombuffer(b"".join(ids), "<u4")
+        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(length) - length
+        # the ids of a word lie at a distance from where they go that is the same for all of them
+        times = length[code]
+        ends = np.append(0, np.cumsum(times))
+        out = data[np.repeat(first[code] - ends[:-1], times) + np.arange(ends[-1])]
+        stops = ends[np.append(0, np.cumsum(sizes))].tolist()
+        for a, b in zip(stops, stops[1:]):
+            yield out[a:b].tobytes()
 
     def _look_up(self, words: dict[bytes, bytes]) -> dict[bytes, bytes]:
         """The ids of words that are not in the newer generation; they are from now on."""

@@ -32,6 +32,25 @@ def test_words_as_the_library(text):
     assert ids(encoder.encode(text.encode())) == word.encode(text, add_special_tokens=False).ids
 
 
+def test_words_are_looked_up_once_for_all_their_places():
+    """Texts that are encoded together are as if alone, and a word that stands often in them is asked for once."""
+
+    class Asked(dict):
+        n = 0
+
+        def get(self, key, default=None):
+            Asked.n += 1
+            return super().get(key, default)
+
+    own = WordEncoder(WORD)
+    texts = ["the cat the cat", "", " \n ", "the " * 500, "É 日本 cat<|endoftext|> the", "don't the"]
+    own.newer = Asked()
+    found = [ids(x) for x in own.encode_all([t.encode() for t in texts])]
+    assert found == [word.encode(t, add_special_tokens=False).ids for t in texts]
+    assert 0 < Asked.n < 10
+    assert list(own.encode_all([])) == [] and list(own.encode_all([b""])) == [b""]
+
+
 @settings(max_examples=400, deadline=None)
 @given(TEXT)
 def test_merges_as_the_library(text):
