@@ -19,7 +19,7 @@ from corpusloom.operators.stats import (
 )
 from corpusloom.operators.tables import linked
 from corpusloom.plans.embedding import EmbedFn, embed_column
-from corpusloom.session import materialise
+from corpusloom.session import BROADCAST_ROWS, materialise
 from corpusloom.sources.files import NO_TEXT, name_columns
 from corpusloom.sources.schema import preflight
 
@@ -275,7 +275,7 @@ def prepare(
             hit = decided.where(F.col("decision") == "abort").orderBy("filename").limit(1).collect()
             if hit:
                 raise ValueError(f"{hit[0]['filename']}: {hit[0]['reason']}")
-        kept = kept.join(decided.where(F.col("decision") == "keep"), "source_path", "left_semi")
+        kept = _chosen(kept, decided, write)
         skipped = decided.where(F.col("decision") != "keep").select(
             F.lit("skipped").alias("status"), "source_path", F.col("filename").alias("file"), F.col("reason").alias("detail")
         )
@@ -284,6 +284,26 @@ def prepare(
     return Prepared(kept, chunks, outcomes, settings)
 
 
+def _chosen(documents: DataFrame, decided: DataFrame, written: bool) -> DataFrame:
+    """The documents that are decided to be kept.
+
+    Where decisions are written they are counted first: if one side is empty or small, the page texts stay where they are.
+    """
+    keep = F.col("decision") == "keep"
+    chosen, others = decided.where(keep).select("source_path"), decided.where(~keep).select("source_path")
+    if written:
+        n = decided.agg(F.count_if(keep).alias("kept"), F.count_if(~keep).alias("others")).first()
+        if not n["kept"]:
+            return documents.limit(0)
+        if not n["others"]:
+            return documents
+        if n["others"] <= min(n["kept"], BROADCAST_ROWS):
+            return documents.join(F.broadcast(others), "source_path", "left_anti")
+        if n["kept"] <= BROADCAST_ROWS:
+            return documents.join(F.broadcast(chosen), "source_path", "left_semi")
+    return documents.join(chosen, "source_path", "left_semi")
+
+
 def dry_run(prepared: Prepared) -> DataFrame:
     """Totals of the batch and the shortened first chunk of its first document."""
     order = F.struct(F.lower("filename"), "filename", "source_path")

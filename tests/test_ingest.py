@@ -242,6 +242,28 @@ def test_decisions_meet_the_index_without_a_shuffle_of_it(spark, inbox, tmp_path
     assert "Exchange" not in left.split("FileScan")[0]
 
 
+def test_decisions_move_no_page_texts(spark, inbox, tmp_path):
+    """Where no file, every file or few files are kept, page texts are not shuffled to meet the decisions."""
+    from corpusloom.plans.ingest import prepare
+
+    corpus, settings = new_corpus(spark, tmp_path), Settings(skip_existing=True)
+    ingest(documents(spark, inbox), settings, corpus, H.digest_embedder(4))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for changed, want in (([], []), (["b.pdf"], ["b.pdf"]), (["A.PDF", "b.pdf"], ["A.PDF", "b.pdf"])):
+            for name in changed:
+                with open(f"{inbox}/{name}", "w") as f:
+                    f.write(f"changed {changed}")
+            prepared = prepare(documents(spark, inbox), settings, corpus, True)
+            plan = prepared.chunks._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "hashpartitioning" not in plan
+            assert sorted(r.filename for r in prepared.kept.collect()) == want
+            assert prepared.outcomes.where("status = 'skipped'").count() == 2 - len(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_chunks_are_not_scanned_for_ids(spark, inbox, tmp_path, monkeypatch):
     """A second run takes its ids from the ranges; of the chunks it reads its own alone."""
     corpus = new_corpus(spark, tmp_path)
