@@ -68,14 +68,15 @@ _held: dict = {}
 def hold(key: tuple, make: Callable[[], object]):
     """The worker's value for ``key``, made once; whatever it held for another key is dropped."""
     if key not in _held:
-        _held.clear()
+        release()
         _held[key] = make()
     return _held[key]
 
 
 def release() -> None:
-    """Drop what the worker holds."""
+    """Drop what the worker holds, and give back what Arrow keeps of earlier tasks' memory."""
     _held.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def prepare(spark: SparkSession) -> None:

@@ -46,6 +46,7 @@ MATCH_BITS, CHECK_BITS, SHORT_BITS = 22, 18, 24
 FOLLOWED, SHARE = (1.5, 2.5, 4.5, 8.5, 32.5), (0.25, 0.5, 0.75, 0.95)
 MATCH_LEVELS = 1 + (len(FOLLOWED) + 1) * (len(SHARE) + 1)
 _MATCH_TOKENS = 1 << 20
+_MATCH_PARTS = 8  # of the places, counted one after the other, so that what counting needs is a part's
 # tables of tasks are merged by blocks of places, each a string of rows
 MATCH_BLOCKS = 1 << 11
 _BLOCK_PLACES = (1 << MATCH_BITS) // MATCH_BLOCKS
@@ -355,12 +356,27 @@ def _most(begin: np.ndarray, *values: np.ndarray) -> np.ndarray:
 class Matches:
     """A table of fixed size: at each place the context seen most, with the word that followed it most."""
 
+    MOST = (1 << 32) - 1  # words that can be counted
+
     def __init__(self):
         size = 1 << MATCH_BITS
-        self.check, self.target = np.zeros(size, np.uint32), np.zeros(size, np.uint64)
-        self.count, self.total = np.zeros(size, np.int64), np.zeros(size, np.int64)
+        # one piece of memory, which goes back as a whole
+        data = np.zeros(5 * size, np.uint32)
+        self.target = data[: 2 * size].view(np.uint64)
+        self.check, self.count, self.total = data[2 * size :].reshape(3, size)
 
     def add(self, place: np.ndarray, check: np.ndarray, target: np.ndarray) -> None:
+        self.add_parts([(place, check, target)])
+
+    def add_parts(self, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """Places, checks and targets in some parts, as if they were one."""
+        shift = np.uint64(MATCH_BITS) - np.uint64(_MATCH_PARTS.bit_length() - 1)
+        for part in range(_MATCH_PARTS):
+            rows = [np.flatnonzero(place >> shift == part) for place, _, _ in held]
+            if any(map(len, rows)):
+                self._add(*(np.concatenate([x[i] for x, i in zip(column, rows)]) for column in zip(*held)))
+
+    def _add(self, place: np.ndarray, check: np.ndarray, target: np.ndarray) -> None:
         short = target >> np.uint64(64 - SHORT_BITS)
         keys = place << np.uint64(CHECK_BITS + SHORT_BITS) | check << np.uint64(SHORT_BITS) | short
         order = np.argsort(keys)
@@ -375,7 +391,8 @@ class Matches:
         context, most, target = context[begin], n[best], target[first[best]]
         place = (context >> np.uint64(CHECK_BITS)).astype(np.int64)
         own = _most(_runs(place), total)
-        place, most, total, target = place[own], most[own], total[own], target[own]
+        place, target = place[own], target[own]
+        most, total = most[own].astype(np.uint32), total[own].astype(np.uint32)
         check = (context[own] & np.uint64((1 << CHECK_BITS) - 1)).astype(np.uint32)
         known = (self.check[place] == check) & (self.count[place] > 0)
         same = known & (self.target[place] == target)
@@ -404,43 +421,56 @@ def merged_matches(rows: np.ndarray) -> np.ndarray:
     return rows[_most(_runs(rows["place"]), *(rows[c] for c in ("total", "count", "target", "check")))]
 
 
+_MATCH_SCHEMA = pa.schema([("block", pa.int32()), ("rows", pa.binary())])
+
+
+def _block_rows(table: Matches) -> Batches:
+    """A table by blocks of its places, as rows of MATCH_ROW."""
+    for block in range(MATCH_BLOCKS):
+        first = block * _BLOCK_PLACES
+        part = first + np.flatnonzero(table.count[first : first + _BLOCK_PLACES])
+        if len(part):
+            rows = np.empty(len(part), MATCH_ROW)
+            rows["place"], rows["target"] = part, table.target[part].view(np.int64)
+            rows["check"], rows["count"], rows["total"] = table.check[part], table.count[part], table.total[part]
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([rows.tobytes()])], schema=_MATCH_SCHEMA)
+
+
+def _task_matches(batches: Batches) -> Batches:
+    """The contexts of a task's texts; a second table is begun where the first one's counts could overflow."""
+    release()
+    table, held, size, counted = Matches(), [], 0, 0
+    for batch in batches:
+        for tokens, sizes in _groups(batch.column(0)):
+            if counted + size + len(tokens) > Matches.MOST:
+                table.add_parts(held)
+                yield from _block_rows(table)
+                table, held, size, counted = Matches(), [], 0, 0
+            words, code = _coded(tokens)
+            own = marks_of(_objects(words))[code]
+            starts = np.append(0, np.cumsum(sizes)[:-1])
+            held.append((*match_keys(own, starts), own))
+            size += len(own)
+            if size >= _MATCH_TOKENS:
+                table.add_parts(held)
+                held, size, counted = [], 0, counted + size
+                pa.default_memory_pool().release_unused()
+    table.add_parts(held)
+    yield from _block_rows(table)
+
+
 def _match_rows(documents: DataFrame) -> DataFrame:
     """The contexts of all training texts, one table per task, merged: ``block, rows``, rows of MATCH_ROW with the places of a block."""
-    schema = pa.schema([("block", pa.int32()), ("rows", pa.binary())])
-
-    def run(batches: Batches) -> Batches:
-        release()
-        table, held, size = Matches(), [], 0
-        for batch in batches:
-            for tokens, sizes in _groups(batch.column(0)):
-                words, code = _coded(tokens)
-                own = marks_of(_objects(words))[code]
-                starts = np.append(0, np.cumsum(sizes)[:-1])
-                held.append((*match_keys(own, starts), own))
-                size += len(own)
-                if size >= _MATCH_TOKENS:
-                    table.add(*map(np.concatenate, zip(*held)))
-                    held, size = [], 0
-        if held:
-            table.add(*map(np.concatenate, zip(*held)))
-        for block in range(MATCH_BLOCKS):
-            first = block * _BLOCK_PLACES
-            part = first + np.flatnonzero(table.count[first : first + _BLOCK_PLACES])
-            if len(part):
-                rows = np.empty(len(part), MATCH_ROW)
-                rows["place"], rows["target"] = part, table.target[part].view(np.int64)
-                rows["check"], rows["count"], rows["total"] = table.check[part], table.count[part], table.total[part]
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([rows.tobytes()])], schema=schema)
 
     def merge(block: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(x.as_buffer(), MATCH_ROW) for x in block.column("rows")])
-        return pa.Table.from_arrays([block.column("block").slice(0, 1), pa.array([merged_matches(rows).tobytes()])], schema=schema)
+        return pa.Table.from_arrays([block.column("block").slice(0, 1), pa.array([merged_matches(rows).tobytes()])], schema=_MATCH_SCHEMA)
 
     rows = documents.where("not held_out").select("t")
     parts = rows.rdd.getNumPartitions()
     # fewer and larger tasks see more repetitions before the shuffle
     rows = rows.coalesce(max(documents.sparkSession.sparkContext.defaultParallelism, -(-parts // 8)))
-    return rows.mapInArrow(run, "block int, rows binary").groupBy("block").applyInArrow(merge, "block int, rows binary")
+    return rows.mapInArrow(_task_matches, "block int, rows binary").groupBy("block").applyInArrow(merge, "block int, rows binary")
 
 
 def _write_matches(rows: DataFrame, folder: str) -> tuple[str, np.ndarray]:
@@ -583,14 +613,16 @@ def _context_counts(units: DataFrame) -> DataFrame:
         cells = np.zeros(2 * PLACES * len(ORDERS))
         for words, c, edges, n in _chunks(batches):
             tree = Tree(words)
-            steps, weight = tree.steps.joined(Steps.of(edges)), np.append(tree.counts(c), n)
-            for bit in range(BITS):
-                places, ones = steps.bit(bit)
-                for row in places:
-                    np.add.at(cells, 2 * row + ones, weight)
-        full = np.flatnonzero(cells)
-        for at in range(0, len(full), 1 << 16):
-            part = full[at : at + (1 << 16)]
+            for steps, weight in ((tree.steps, tree.counts(c)), (Steps.of(edges), n)):
+                for at in range(0, len(weight), SCORE_EDGES):
+                    part = slice(at, at + SCORE_EDGES)
+                    step = steps.take(part)
+                    for bit in range(BITS):
+                        places, ones = step.bit(bit)
+                        for row in places:
+                            np.add.at(cells, 2 * row + ones, weight[part])
+        for at in range(0, len(cells), 1 << 18):
+            part = at + np.flatnonzero(cells[at : at + (1 << 18)])
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(cells[part])], schema=schema)
 
     return units.select("word", "edge", "c").mapInArrow(run, "cell int, n double").groupBy("cell").agg(F.sum("n").alias("n"))
@@ -728,7 +760,7 @@ def score_documents(documents: DataFrame, held_out: Column, key: str = "doc_id",
 
     units = materialise(units.select("word", "edge", "c").mapInArrow(scored, "word binary, edge bigint, c bigint, score double"), "scores")
     # words with the score behind their first three bytes; the end has none
-    end_row = spark.createDataFrame([(bytearray(END), ends, 0.0)], "word binary, c bigint, score double")
+    end_row = spark.range(0, 1, 1, 1).select(F.lit(bytearray(END)).alias("word"), F.lit(ends).cast("bigint").alias("c"), F.lit(0.0).alias("score"))
     vocabulary = units.where("word is not null").select("word", "c", "score").union(end_row)
     share = math.log10(tokens + words + 1)
     vocabulary = vocabulary.withColumn("base", F.log10(F.col("c") + 1) - F.lit(share))
@@ -860,6 +892,7 @@ def _known_part(rows: DataFrame, table, model, matches: str, counters: str, shar
                 columns = [*(batch.column(c).slice(begin, n) for c in range(3)), *(pa.array(x.astype(f.type.to_pandas_dtype())) for x, f in zip(sums, list(schema)[3:8])), rare]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
                 begin += n
+            pa.default_memory_pool().release_unused()
 
     return rows.select("id", "k", "held_out", "t").mapInArrow(
         run, "id bigint, k bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, bytes bigint, "

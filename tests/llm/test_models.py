@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,6 +271,35 @@ def test_tables_of_tasks_are_merged_as_blocks(spark):
     assert {r["place"]: tuple(r[c].item() for c in ("total", "count", "target", "check")) for r in M.merged_matches(several)} == best
 
 
+def test_counting_matches_needs_little_beside_its_table(monkeypatch):
+    """A task's contexts are counted by parts of the places: the same table, in a fraction of the memory."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    own = M.marks_of([b"%d" % i for i in rng.zipf(1.2, M._MATCH_TOKENS).tolist()])
+    place, check = M.match_keys(own)
+    tracemalloc.start()
+    table = M.Matches()
+    held = tracemalloc.get_traced_memory()[0]
+    table.add(place, check, own)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 21 << M.MATCH_BITS and most - held < 64 << 20
+    monkeypatch.setattr(M, "_MATCH_PARTS", 1)
+    whole = M.Matches()
+    whole.add(place, check, own)
+    for name in ("check", "target", "count", "total"):
+        assert (getattr(table, name) == getattr(whole, name)).all()
+
+
+def test_counts_of_matches_do_not_overflow(monkeypatch):
+    """Before a task's counts could, its table is given and another one begun; merged, they are one again."""
+    texts = pa.RecordBatch.from_arrays([pa.array([b"a b c a b c d"] * 50)], ["t"])
+    read = lambda: np.concatenate([np.frombuffer(x.as_py(), M.MATCH_ROW) for b in M._task_matches([texts] * 4) for x in b.column(1)])
+    whole = read()
+    monkeypatch.setattr(M.Matches, "MOST", 1_000)
+    parts = read()
+    assert len(parts) > len(whole) and (M.merged_matches(parts) == M.merged_matches(whole)).all()
+
+
 def test_units_of_many_batches_are_added(spark, monkeypatch):
     """Words of small batches are added within their task; words of other texts alone come with 0."""
     monkeypatch.setattr(M, "_MORE_WORDS", 2)
