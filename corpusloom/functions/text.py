@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, SparkSession, functions as F
@@ -49,8 +51,16 @@ DEFAULT_MIME = "application/octet-stream"
 
 
 def strip_ws(text: Column) -> Column:
-    """Remove leading and trailing Unicode white space (``trim`` removes blanks only)."""
-    return F.btrim(text, F.lit(WHITESPACE))
+    """Remove leading and trailing Unicode white space (``trim`` removes blanks only).
+
+    A trim on the right lists all characters of the text first, so only texts that end with white space get one.
+    """
+
+    def strip(t: Column) -> Column:
+        ends = reduce(or_, [F.endswith(t, F.lit(c)) for c in WHITESPACE])
+        return F.ltrim(F.when(ends, F.rtrim(t, F.lit(WHITESPACE))).otherwise(t), F.lit(WHITESPACE))
+
+    return bind(text, strip)
 
 
 def words(text: Column) -> Column:

@@ -19,7 +19,7 @@ from corpusloom.operators.stats import (
 )
 from corpusloom.operators.tables import linked
 from corpusloom.plans.embedding import EmbedFn, embed_column
-from corpusloom.session import BROADCAST_ROWS, materialise
+from corpusloom.session import BROADCAST_ROWS, broadcast_if_small, materialise
 from corpusloom.sources.files import NO_TEXT, name_columns
 from corpusloom.sources.schema import preflight
 
@@ -72,7 +72,7 @@ class Corpus:
 
     def chunks(self) -> DataFrame:
         """Chunks of committed documents."""
-        committed = self.documents().select(F.col("id").alias("committed_id"))
+        committed = broadcast_if_small(self.documents().select(F.col("id").alias("committed_id")))
         return linked(self.raw_chunks(), "document_id", committed, "committed_id").drop("committed_id")
 
     def fingerprints(self) -> DataFrame:
@@ -442,6 +442,9 @@ def run(prepared: Prepared, corpus: Corpus, embed: EmbedFn, source: tuple[str |
     starts = running_total(numbered.select("source_path", "id", "chunk_count"), [], "id", "chunk_count", "_before")
     first_chunk = F.col("_before") + first_of_all
     starts = starts.select("source_path", F.col("id").alias("document_id"), first_chunk.alias("_first"))
+    if size["documents"] <= BROADCAST_ROWS:
+        # else chunks are shuffled with their texts, as soon as paths outgrow the threshold of Spark's own broadcasts
+        starts = F.broadcast(starts)
     count = settings.token_count or (lambda _: F.lit(None))
     numbered_chunks = vectors.join(starts, "source_path").select(
         (F.col("_first") + F.col("chunk_index")).alias("id"),

@@ -98,10 +98,15 @@ def lines_of(content: bytes) -> list[str]:
     return content.decode("utf-8").split("\n")[:-1]
 
 
+def one_line(text: str) -> Column:
+    """A text with blanks for its line ends; ``translate`` looks up every character."""
+    return F.replace(F.replace(F.col(text), F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(" "))
+
+
 def file_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Documents written to text files, scanned as files and read page by page."""
     path = work_folder(spark, "files")
-    documents = table(spark, folder, "documents").select("lang", F.translate("text", "\r\n", "  ").alias("value"))
+    documents = table(spark, folder, "documents").select("lang", one_line("text").alias("value"))
     documents.write.partitionBy("lang").option("maxRecordsPerFile", 200).text(path)
     read = extract_pages(read_documents(scan_files(spark, path, "txt", recursive=True)), lines_of)
     pages = read.select(
@@ -152,7 +157,7 @@ def ingest_dims(spark: SparkSession, folder: str) -> DataFrame:
 def streamed_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that arrive as the lines of text files, ingested as a stream: every chunk's digest and how often it is stored."""
     path, corpus = work_folder(spark, "arriving"), Corpus(spark, work_folder(spark, "corpus"))
-    lines = table(spark, folder, "documents").where("text <> ''").select(F.translate("text", "\r\n", "  ").alias("value"))
+    lines = table(spark, folder, "documents").where("text <> ''").select(one_line("text").alias("value"))
     lines.write.option("maxRecordsPerFile", FILE_LINES).text(path)
     settings = Settings(skip_existing=True)
     stream_ingest(spark, path, lines_of, corpus, digest_embedder(8), settings, work_folder(spark, "checkpoint"), "txt").awaitTermination()
@@ -162,7 +167,7 @@ def streamed_chunks(spark: SparkSession, folder: str) -> DataFrame:
 def listed_files(spark: SparkSession, folder: str) -> DataFrame:
     """Documents written to one folder per language, listed from the top; lengths are summed over a folder's files."""
     path = work_folder(spark, "files")
-    documents = table(spark, folder, "documents").where("text <> ''").select("lang", F.translate("text", "\r\n", "  ").alias("value"))
+    documents = table(spark, folder, "documents").where("text <> ''").select("lang", one_line("text").alias("value"))
     documents.write.partitionBy("lang").text(path)
     found = list_files(spark, path, depth=2, pattern=r"/part-[^/]*\.txt$")
     found = found.select(F.regexp_extract("path", "lang=([^/]*)", 1).alias("lang"), long("depth").alias("depth"), "length")

@@ -10,11 +10,13 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark import cloudpickle
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrameWriter, functions as F
 
+from corpusloom.functions.text import WHITESPACE, strip_ws
 from corpusloom.operators import flow as J, keys as E, postings as P, tables as T
 from corpusloom.plans.embedding import digest_embedder
 from corpusloom.plans.ingest import Corpus, Settings, ingest
+from corpusloom.plans.queries.corpus import as_files, one_line
 from corpusloom.sources.schema import column_checks
 from corpusloom.streaming import flows as ST
 
@@ -179,3 +181,38 @@ def test_checks_of_rows(spark):
     df = spark.createDataFrame([("1", 5), ("x", None), (None, 7)], "a string, b bigint")
     found = {r["column"]: (r.problem, r["rows"], r.nulls, r.failed) for r in column_checks(df, StructType.fromDDL("a int, b bigint, c date")).collect()}
     assert found == {"a": ("type is string", 3, 1, 1), "b": (None, 3, 1, 0), "c": ("missing column", 3, 3, 0)}
+
+
+def test_chunks_meet_few_documents_without_a_shuffle(spark, tmp_path, monkeypatch):
+    """Where documents are few, neither storing chunks nor reading them back moves a text, whatever the threshold of Spark's broadcasts."""
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = [(i, f"{i} " + "words of a text " * 300, "s") for i in range(20)]
+    corpus, plans, parquet = Corpus(spark, str(tmp_path / "corpus")), [], DataFrameWriter.parquet
+
+    def recorded(self, path, *args, **kwargs):
+        if path == corpus.chunks_path:
+            plans.append(plan_of(self._df))
+        return parquet(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", recorded)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        ingest(as_files(spark.createDataFrame(rows, "doc_id bigint, text string, source string")), Settings(), corpus, digest_embedder(8))
+        plans.append(plan_of(corpus.chunks()))
+        assert corpus.chunks().count() == 20 * 4
+    finally:
+        spark.conf.set(name, before)
+    assert len(plans) == 2
+    stored, read = plans
+    # what is left are joins of rows per document, below the broadcast
+    assert stored.index("BroadcastHashJoin") < stored.find("SortMergeJoin") % len(stored) and "SortMergeJoin" not in read
+
+
+def test_line_ends_and_white_space_at_both_ends(spark):
+    texts = [None, "", "x", *WHITESPACE, *(f"{c}a{c}b{c}" for c in WHITESPACE), *(f"é{c}" for c in WHITESPACE), WHITESPACE, f"a\r\nb\n\r{WHITESPACE}é"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("t", strip_ws(F.col("t")).alias("s"), one_line("t").alias("l"))
+    for row in rows.collect():
+        assert row["s"] == (None if row["t"] is None else row["t"].strip(WHITESPACE))
+        assert row["l"] == (None if row["t"] is None else row["t"].replace("\r", " ").replace("\n", " "))
